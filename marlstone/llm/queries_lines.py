@@ -1,0 +1,17 @@
+"""op9: repeated stretches of lines, over the whole documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.line_dedup import ORACLE, dedup_lines
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return dedup_lines(docs, counts=True).select("doc_id", "text", "n_chars", "n_lines_removed")
+
+
+QUERIES = {"op9_line_dedup": op9_line_dedup}
+ORACLES = {"op9_line_dedup": ORACLE}
