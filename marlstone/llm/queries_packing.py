@@ -1,0 +1,16 @@
+"""op1: best-fit packing of the whole documents table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.packing import best_fit_pack
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+ORACLES: dict[str, str] = {}
