@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK_DIR}").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK_DIR}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -1,0 +1,16 @@
+"""op2: the whole pages table as WARC archives and back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.warc import ORACLE, round_trip
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {"op2_warc": op2_warc}
+ORACLES = {"op2_warc": ORACLE}
