@@ -1,0 +1,26 @@
+"""op4 and op10: quality and toxicity of every document, learned outside the held-out fold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm import quality, toxicity
+from marlstone.llm.common import crc_held_out, table
+
+
+def _scores(spark: SparkSession, sf_dir: str, kind) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = kind.fit(docs, labels)
+    return kind.scored(docs.select("doc_id", "text"), model).select("doc_id", crc_held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, quality)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, toxicity)
+
+
+QUERIES = {"op4_quality_classifier": op4_quality_classifier, "op10_toxicity": op10_toxicity}
+ORACLES: dict[str, str] = {}
