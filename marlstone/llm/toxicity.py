@@ -3,8 +3,11 @@
 Features are densities and counts over the whole text: insults, profanity and
 threats from short fixed lists (several languages), their nearness to words in
 the second person, their clustering, capitals, punctuation, and obfuscation
-(letters swapped for digits or signs, stretched letters, mixed words). Trees are
-grown in numpy on quantile bins with Newton steps on the logistic loss; a
+(letters swapped for digits or signs, stretched letters, mixed words). A second
+lexicon is learned: words that toxic documents of the sample hold far more often
+than others, weighted by log odds, at most ``MAX_LEARNED`` of them. So that trees
+do not trust it more than it deserves, each training document is seen through
+words counted on the other thirds of the sample. Trees are grown in numpy on quantile bins with Newton steps on the logistic loss; a
 quarter of the sample, unseen by the trees, calibrates their sum by isotonic
 regression, read off by linear interpolation.
 
@@ -28,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marlstone.llm.common import materialise
 from marlstone.llm.labelled import training_rows
 
 MAX_TRAIN, THRESHOLD, CACHE_WORDS, NEAR, CLUSTER = 20_000, 0.5, 150_000, 6, 20
+MAX_LEARNED, LEARN_DOCS, LEARN_ODDS, FOLDS = 5000, 3, 2.0, 3
 TREES, DEPTH, BINS, RATE, L2, MIN_ROWS = 80, 3, 32, 0.15, 1.0, 10
 
 # Word lists.
@@ -42,19 +47,19 @@ INSULTS = frozenset(
     ignorant imbecile incompetent inferior jackass jerk junk kook lame laughable leech liar loser lowlife lunatic
     maggot moron moronic nasty nitwit nobody numbskull oaf obnoxious parasite pathetic pig pitiful psycho punk rat
     repulsive revolting rubbish schmuck scum scumbag shameful sicko simpleton skank sleazy slimy slob snake spineless
-    stupid stupidity subhuman swine trash twit twisted ugly useless vermin vile weasel weirdo wimp worthless wretch
+    stupid stupidity subhuman swine trash twit twisted ugly useless vermin weasel weirdo wimp worthless wretch
     arschloch blödmann depp dummkopf idioten trottel versager widerlich wertlos abschaum
     abruti connard crétin débile imbécile ordure pathétique minable nul salaud
     basura cabrón cretino estúpido idiota imbécil inútil patético perdedor asqueroso
     """.split()
 )
 PROFANITY = frozenset("arse arsehole ass asshole bitch bollocks bullshit crap damn dick douche fuck fucker fucking hell motherfucker piss prick shit shitty slut twat wanker whore merde putain mierda puta scheisse scheiße".split())
-THREATS = frozenset("burn choke crush destroy die hate hurt kill killed murder punch rot shoot smash stab strangle suffer hasse stirb meurs muere odio déteste".split())
+THREATS = frozenset("burn choke crush destroy hate hurt kill killed murder punch rot shoot smash stab strangle suffer hasse stirb meurs muere odio déteste".split())
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur youre you're ya du dich dir dein deine ihr euch tu toi te ton ta tes vous votre vos tú ti tus usted ustedes".split())
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 NAMES = (
     "insults_per_100 log_insults distinct_insults profanity_per_100 threats_per_100 second_person_per_100 near_second_person_per_100 most_in_window "
-    "caps_word_share capital_share exclamations_per_100 questions_per_100 punctuation_share obfuscated_per_100 mixed_per_100 stretched_per_100 log_words mean_word_length"
+    "caps_word_share capital_share exclamations_per_100 questions_per_100 punctuation_share obfuscated_per_100 mixed_per_100 stretched_per_100 log_words mean_word_length learned_per_100 log_learned distinct_learned learned_weight"
 ).split()
 
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -94,19 +99,21 @@ def word_bits(token: str) -> int:
 
 
 class WordCache(dict):
-    """Token -> row of ``attrs`` (bits, letters in upper case, letters, signs, characters, id of the plain form)."""
+    """Token -> row of ``attrs`` (bits, letters in upper case, letters, signs, characters, id of the plain form, hundredths of learned log odds)."""
 
-    def __init__(self) -> None:
+    def __init__(self, learned: dict[str, float] | None = None) -> None:
+        self.learned = learned or {}
         self.attrs: list[tuple[int, ...]] = []
         self.forms: dict[str, int] = {}
-        self.table, self.filled = np.zeros((1024, 6), np.int32), 0
+        self.table, self.filled = np.zeros((1024, 7), np.int32), 0
 
     def __missing__(self, token: str) -> int:
-        bits, form = word_bits(token), 0
-        if bits & (INSULT | PROFANE | THREAT):
-            form = self.forms.setdefault(_EDGE.sub("", token.lower()).rstrip("s"), len(self.forms) + 1)
+        bits, form, bare = word_bits(token), 0, _EDGE.sub("", token.lower())
+        learned = int(100 * self.learned.get(bare, 0.0))
+        if bits & (INSULT | PROFANE | THREAT) or learned:
+            form = self.forms.setdefault(bare, len(self.forms) + 1)
         letters = sum(map(str.isalpha, token))
-        self.attrs.append((bits, sum(map(str.isupper, token)), letters, len(token) - letters - sum(map(str.isdigit, token)), len(token), form))
+        self.attrs.append((bits, sum(map(str.isupper, token)), letters, len(token) - letters - sum(map(str.isdigit, token)), len(token), form, learned))
         self[token] = at = len(self.attrs) - 1
         return at
 
@@ -121,7 +128,7 @@ class WordCache(dict):
     def rows(self, tokens: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if len(self.attrs) > len(self.table):
-            self.table = np.concatenate([self.table[: self.filled], np.zeros((2 * len(self.attrs) - self.filled, 6), np.int32)])
+            self.table = np.concatenate([self.table[: self.filled], np.zeros((2 * len(self.attrs) - self.filled, 7), np.int32)])
         if len(self.attrs) > self.filled:
             self.table[self.filled : len(self.attrs)] = self.attrs[self.filled :]
             self.filled = len(self.attrs)
@@ -145,11 +152,13 @@ def dense_features(text: str | None, cache: WordCache) -> np.ndarray:
         gap = np.minimum(np.abs(second[np.minimum(after, len(second) - 1)] - bad), np.abs(bad - second[np.maximum(after - 1, 0)]))
         near = int(np.count_nonzero(gap <= NEAR))
     most = int((np.searchsorted(bad, bad + CLUSTER) - np.arange(len(bad))).max()) if len(bad) else 0
+    taught = np.flatnonzero(rows[:, 6])
     upper, letters, signs, chars = (int(x) for x in rows[:, 1:5].sum(0))
     return np.array(
         [
             n[INSULT] * per, np.log1p(n[INSULT]), len(np.unique(rows[bad, 5])), n[PROFANE] * per, n[THREAT] * per, n[SECOND] * per, near * per, most,
             n[CAPS] / len(tokens), upper / max(1, letters), text.count("!") * per, text.count("?") * per, signs / max(1, chars), n[HIDDEN] * per, n[MIXED] * per, n[STRETCHED] * per, np.log1p(len(tokens)), chars / len(tokens),
+            len(taught) * per, np.log1p(len(taught)), len(np.unique(rows[taught, 5])), rows[taught, 6].sum() / 100,
         ]
     )
 
@@ -242,27 +251,49 @@ def train(data: np.ndarray, y: np.ndarray) -> Forest:
     return Forest().fit(data[~held], y[~held]).calibrate(data[held], y[held])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> Forest:
+def learned_words(sample: DataFrame, max_words: int = MAX_LEARNED) -> list[dict[str, float]]:
+    """Log odds of the words typical of label 1: counted without each fold of the sample, and last over all of it."""
+    words = sample.select("fold", "y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("word"))
+    cells = [(k, c) for k in range(FOLDS) for c in (0, 1)]
+    counts = words.groupBy("word").agg(*[F.count_if((F.col("fold") == k) & (F.col("y") == c)).alias(f"n{k}_{c}") for k, c in cells])
+    ones, zeros = (sum((F.col(f"n{k}_{c}") for k in range(FOLDS)), F.lit(0)) for c in (1, 0))
+    top = counts.where(ones >= LEARN_DOCS).orderBy((ones / (zeros + 1)).desc(), ones.desc(), "word").limit(max_words).toPandas()
+    docs = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for left_out in (*range(FOLDS), None):
+        kept = [k for k in range(FOLDS) if k != left_out]
+        a, b = (sum(top[f"n{k}_{c}"] for k in kept) for c in (1, 0))
+        n1, n0 = (sum(docs.get((k, c), 0) for k in kept) for c in (1, 0))
+        odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+        out.append({w: float(o) for w, o, n in zip(top["word"], odds, a) if n >= LEARN_DOCS - (left_out is not None) and o >= LEARN_ODDS})
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> tuple[Forest, dict[str, float]]:
+    """The trees and the learned lexicon."""
+    sample = materialise(training_rows(docs, labels, label, max_train).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    lexicons = learned_words(sample)
+
     def extract(batches):
-        cache = WordCache()
+        caches = [WordCache(x) for x in lexicons]
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [dense_features(t, cache).tolist() for t in pdf["text"]], "y": pdf["y"]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [dense_features(t, caches[k]).tolist() for t, k in zip(pdf["text"], pdf["fold"])], "y": pdf["y"]})
 
-    sample = training_rows(docs, labels, label, max_train)
     got = sample.mapInPandas(extract, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id", kind="stable")
-    order = np.random.default_rng(3).permutation(len(got))  # near copies with near ids must not meet in one part only
+    order = np.random.default_rng(3).permutation(len(got))
     data = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))[order]
-    return train(data, got["y"].to_numpy(float)[order])
+    return train(data, got["y"].to_numpy(float)[order]), lexicons[-1]
 
 
-def scored(docs: DataFrame, model: Forest, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+def scored(docs: DataFrame, model: tuple[Forest, dict[str, float]], text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = WordCache()
+        forest, learned = held.value
+        cache = WordCache(learned)
         for texts in batches:
             data = np.array([dense_features(t, cache) for t in texts]).reshape(len(texts), len(NAMES))
-            yield pd.Series(held.value.score(data), dtype="float64")
+            yield pd.Series(forest.score(data), dtype="float64")
 
     return docs.withColumn(score_col, score(text_col)).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
