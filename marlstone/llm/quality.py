@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 
 from marlstone.llm.labelled import training_rows
 
-BUCKETS, DIM, GRAMS, REPEATS, EPOCHS, RATE, MAX_TRAIN, SLICE = 1 << 16, 16, (3, 4), (1, 2, 3, 4), 5, 1.0, 6000, 1 << 18
+BUCKETS, DIM, GRAMS, REPEATS, EPOCHS, RATE, MAX_TRAIN, SLICE = 1 << 16, 16, (3, 4), (1, 2, 3, 4), 5, 1.0, 4000, 1 << 18
 THRESHOLD = 0.3
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0], dtype=np.uint32)
@@ -124,11 +124,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     def extract(batches):
         for pdf in batches:
             found = [counted(t, buckets) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.tolist() for i, _ in found], "shares": [s.tolist() for _, s in found], "y": pdf["y"]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.astype("<u4").tobytes() for i, _ in found], "shares": [s.astype("<f4").tobytes() for _, s in found], "y": pdf["y"]})
 
     sample = training_rows(docs, labels, label, max_train)
-    got = sample.mapInPandas(extract, "doc_id long, ids array<int>, shares array<float>, y int").toPandas().sort_values("doc_id", kind="stable")
-    return train([(np.asarray(i, np.int64), np.asarray(s, np.float32), int(y)) for i, s, y in zip(got["ids"], got["shares"], got["y"])], buckets)
+    got = sample.mapInPandas(extract, "doc_id long, ids binary, shares binary, y int").toPandas().sort_values("doc_id", kind="stable")
+    return train([(np.frombuffer(i, "<u4"), np.frombuffer(s, "<f4"), int(y)) for i, s, y in zip(got["ids"], got["shares"], got["y"])], buckets)
 
 
 def raw_score(text: str | None, values: np.ndarray, bias: float) -> float:
