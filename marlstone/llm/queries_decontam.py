@@ -1,0 +1,16 @@
+"""op3: every document against every benchmark item."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.decontam import contaminated
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op3_decontamination": op3_decontamination}
+ORACLES: dict[str, str] = {}
