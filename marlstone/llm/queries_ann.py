@@ -1,0 +1,16 @@
+"""op8: the 20 nearest vectors of every twentieth vector, among all."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.ann import nearest
+from marlstone.llm.common import table
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+QUERIES = {"op8_ann": op8_ann}
+ORACLES: dict[str, str] = {}
