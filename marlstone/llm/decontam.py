@@ -66,17 +66,19 @@ class Tokens(dict):
         self.h, self.f = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
 
     def __missing__(self, token: str) -> int:
-        bare = _EDGE.sub("", token)
+        plain = token.isalpha()
+        bare = token if plain else _EDGE.sub("", token)
         low = bare.lower()
-        flags = ENDS * (token.rstrip("\"')]*").endswith((".", "!", "?", ":"))) | EMPTY * (not bare)
-        if any(map(str.isdigit, bare)) or low in NUMBERS:
+        flags = 0 if plain else ENDS * token.rstrip("\"')]*").endswith((".", "!", "?", ":")) | EMPTY * (not bare)
+        if low in NUMBERS or not (plain or bare.isalpha()) and any(map(str.isdigit, bare)):
             flags |= NUM
         elif low in UNITS:
             flags |= UNIT
-        elif low in GIVEN_NAMES and bare[0].isupper():
-            flags |= NAME
-        elif bare[:1].isupper() and not (len(bare) > 1 and bare.isupper()):
-            flags |= CAPITAL
+        elif low != bare and bare[0].isupper():
+            if low in GIVEN_NAMES:
+                flags |= NAME
+            elif not (len(bare) > 1 and bare.isupper()):
+                flags |= CAPITAL
         self.hashes.append(xxhash.xxh64_intdigest(low))
         self.flags.append(flags)
         self.words.append(low)
@@ -113,10 +115,14 @@ def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
         names |= capital & np.isin(h, h[names])
     names |= (f & NAME) > 0
     kind = np.where(names, NAME, f & (NUM | UNIT)).astype(np.uint8)
-    for k, value in _PLACE.items():
-        h = np.where(kind == k, value, h)
-    real = (f & EMPTY) == 0
-    return h[real], kind[real] > 0, at[real]
+    placeholder = kind > 0
+    if placeholder.any():
+        for k, value in _PLACE.items():
+            h[kind == k] = value
+    if (f & EMPTY).any():
+        real = (f & EMPTY) == 0
+        return h[real], placeholder[real], at[real]
+    return h, placeholder, at
 
 
 def windows(h: np.ndarray, placeholder: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +130,18 @@ def windows(h: np.ndarray, placeholder: np.ndarray, size: int, min_literal: int)
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    # Runs of 1, 2, 4, ... tokens are put together from two halves; a window of
+    # any size from the runs of its binary digits.
+    out, run, factor, length, done = np.full(n, size, np.uint64), h, 0x9E3779B97F4A7C15, 1, 0
+    while length <= size:
+        if size & length:
+            out = out * np.uint64(factor) + run[done : done + n]
+            done += length
+        run = run[:-length] * np.uint64(factor) + run[length:]
+        factor, length = factor * factor % (1 << 64), 2 * length
     out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    if not placeholder.any():
+        return np.arange(n), out
     literal = np.r_[0, np.cumsum(~placeholder)]
     at = np.flatnonzero(literal[size:] - literal[:-size] >= min(min_literal, size))
     return at, out[at]
@@ -178,7 +192,10 @@ def _filter_bits(table: DataFrame, bits: int) -> np.ndarray:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_literal: int = MIN_LITERAL, min_tokens: int = MIN_TOKENS, min_cover: float = MIN_COVER, filter_bits: int = FILTER_BITS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, cover, matched_windows, verbatim, first_token, last_token): a row a contaminated pair."""
+    """(doc_id, item_id, cover, matched_windows, verbatim, first_token, last_token): a row a contaminated pair.
+
+    ``filter_bits`` is a power of two.
+    """
     table = materialise(item_windows(items, item_col, item_text_col, window, min_literal, min_tokens), "item-windows")
     sizes = sorted(r["size"] for r in table.select("size").distinct().collect())  # at most `window` numbers
     held = docs.sparkSession.sparkContext.broadcast(_filter_bits(table, filter_bits))
@@ -191,7 +208,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 h, placeholder, at = canonical(text, tokens)
                 for size in sizes:
                     pos, hashes = windows(h, placeholder, size, min_literal)
-                    bit = hashes.view(np.int64) % filter_bits
+                    bit = (hashes & np.uint64(filter_bits - 1)).view(np.int64)
                     hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
                     rows += [(doc, size, int(pos[i]), int(hashes[i].view(np.int64)), _slots(at, placeholder, pos[i], size, tokens)) for i in hit]
             yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
