@@ -1,0 +1,16 @@
+"""op5: license notices in every document."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.licenses import scan_licenses
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_license_scan": op5_license_scan}
+ORACLES: dict[str, str] = {}
