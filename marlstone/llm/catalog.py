@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_packing", "queries_warc", "queries_decontam", "queries_html", "queries_ann", "queries_scores", "queries_lines")
+MODULES = ("queries_packing", "queries_warc", "queries_decontam", "queries_licenses", "queries_ngrams", "queries_html", "queries_ann", "queries_scores", "queries_lines")
 
 
 def _all(kind: str) -> dict:

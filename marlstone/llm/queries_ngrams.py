@@ -1,0 +1,16 @@
+"""op6: components of documents under 3-gram Jaccard similarity of 0.9."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm.common import table
+from marlstone.llm.ngram_join import ORACLE, jaccard_components
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+ORACLES = {"op6_ngram_jaccard_join": ORACLE}
