@@ -26,12 +26,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    a lost executor costs no more than the task it ran."""
+    a lost executor costs no more than the task it ran.
+
+    Python workers get ``batch_rows`` rows at a time meanwhile, for texts are long.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
+    path, key = fresh_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

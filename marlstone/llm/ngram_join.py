@@ -42,7 +42,7 @@ from marlstone.llm.common import fanout_join, materialise
 from marlstone.llm.components import UnionFind, components
 
 N, PERCENT, BLOCK, SETS_BLOCK, CACHE_WORDS = 3, 90, 2048, 512, 200_000
-BROADCAST_ROWS = 10_000
+BASE_WORDS, MAX_WORDS = 4, 256
 
 
 # ---------------------------------------------------------------- sets
@@ -81,6 +81,23 @@ def most_differences(a, b, percent: int):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def bitmap_words(size: int, percent: int) -> int:
+    """Words of 64 bits that tell sets of this size apart: unlike sets differ in about half
+    of the bits, which must be well over the most differences of linked sets."""
+    need = 2.8 * most_differences(size, size, percent) / 64
+    words = BASE_WORDS
+    while words < min(need, MAX_WORDS):
+        words *= 2
+    return words
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same parity over fewer bits."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def bitmap(grams: np.ndarray, words: int) -> np.ndarray:
     """Parity of the set's hashes over 64 * words bits."""
     at = (grams >> np.uint64(7)).astype(np.int64) % (64 * words)
@@ -88,7 +105,7 @@ def bitmap(grams: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _signatures(n: int, percent: int, bit_words: int):
+def _signatures(n: int, percent: int):
     def make(batches):
         words = WordHashes()
         for pdf in batches:
@@ -97,7 +114,7 @@ def _signatures(n: int, percent: int, bit_words: int):
                 grams = ngram_set(text, n, words)
                 key = xxhash.xxh128(grams.tobytes()).digest() if len(grams) else None
                 prefix = grams[: prefix_length(len(grams), percent)].view(np.int64).tolist() if len(grams) else []
-                rows.append((doc, len(grams), key, prefix, bitmap(grams, bit_words).tolist()))
+                rows.append((doc, len(grams), key, prefix, bitmap(grams, bitmap_words(len(grams), percent)).tolist()))
             yield pd.DataFrame(rows, columns=["id", "n", "key", "prefix", "bits"])
 
     return make
@@ -116,10 +133,33 @@ def _forest_pairs(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.nda
     return rep[i[keep]], rep[j[keep]]
 
 
-def _meet(rep: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Bitmaps:
+    """Bitmaps of unequal lengths: compared folded to the base length first, then, where
+    both are longer, folded to the shorter of the two."""
+
+    def __init__(self, bits) -> None:
+        self.whole = [np.asarray(b, np.int64).view(np.uint64) for b in bits]
+        self.base = np.stack([folded(b, BASE_WORDS) for b in self.whole])
+        self.words = np.array([len(b) for b in self.whole])
+
+    def take(self, rows: np.ndarray) -> Bitmaps:
+        out = object.__new__(Bitmaps)
+        out.whole, out.base, out.words = [self.whole[i] for i in rows], self.base[rows], self.words[rows]
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(self.base[i] ^ self.base[j]).sum(1, dtype=np.int64) <= most
+        for k in np.flatnonzero(ok & (np.minimum(self.words[i], self.words[j]) > BASE_WORDS)):
+            a, b = self.whole[i[k]], self.whole[j[k]]
+            words = min(len(a), len(b))
+            ok[k] = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum() <= most[k]
+        return ok
+
+
+def _meet(rep: np.ndarray, n: np.ndarray, bits: Bitmaps, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate forest of one meeting. side: 0 and 1 in a pair of blocks (only pairs across count), all 0 otherwise."""
     order = np.argsort(n, kind="stable")
-    rep, n, bits, side = rep[order], n[order], bits[order], side[order]
+    rep, n, bits, side = rep[order], n[order], bits.take(order), side[order]
     two = side.any()
     # Row k meets the rows before it that are long enough.
     first = np.searchsorted(100 * n, percent * n, side="left")
@@ -134,8 +174,7 @@ def _meet(rep: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray, pe
         i, j = i[fit], j[fit]
         for part in range(0, len(i), 1 << 18):
             a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            ok = differ <= most_differences(n[a], n[b], percent)
+            ok = bits.may_link(a, b, most_differences(n[a], n[b], percent))
             left.append(a[ok])
             right.append(b[ok])
     i, j = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
@@ -147,21 +186,23 @@ def _candidates(percent: int):
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         gram, pair, rep, n, side = (rows[c].to_numpy() for c in ("gram", "pair", "rep", "n", "side"))
-        bits = np.stack(rows["bits"].to_numpy()).astype(np.int64).view(np.uint64)
+        bits = Bitmaps(rows["bits"])
         edge = np.flatnonzero((np.diff(gram) != 0) | (np.diff(pair) != 0)) + 1
         starts = np.r_[0, edge]
         sizes = np.diff(np.r_[starts, len(gram)])
         out = []
         small = sizes <= 8
+        two = np.repeat(np.add.reduceat(side, starts) > 0, sizes)
         for offset in range(1, 8):  # small meetings all at once
             at = np.concatenate([starts[small & (sizes > offset + k)] + k for k in range(8 - offset)])
             i, j = at, at + offset
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-            ok = (100 * low >= percent * high) & (differ <= most_differences(low, high, percent)) & ((pair[i] == 0) | (side[i] != side[j]))
+            fit = (100 * low >= percent * high) & (~two[i] | (side[i] != side[j]))
+            i, j, low, high = i[fit], j[fit], low[fit], high[fit]
+            ok = bits.may_link(i, j, most_differences(low, high, percent))
             out.append((rep[i[ok]], rep[j[ok]]))
         for s, m in zip(starts[~small].tolist(), sizes[~small].tolist()):
-            out.append(_meet(rep[s : s + m], n[s : s + m], bits[s : s + m], side[s : s + m], percent))
+            out.append(_meet(rep[s : s + m], n[s : s + m], bits.take(np.arange(s, s + m)), side[s : s + m], percent))
         return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]):
@@ -209,7 +250,7 @@ class PrefixTree:
     """A trie of ordered sets; every node has a run of elements and the range of sets below it."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())  # bytes order as the numbers do
         self.sets = [sets[i] for i in self.order]
         self.sizes = np.array([len(s) for s in self.sets])
         shared = [self._common(a, b) for a, b in zip(self.sets, self.sets[1:])]
@@ -302,9 +343,8 @@ def _exact_links(percent: int):
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, block: int = BLOCK, sets_block: int = SETS_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
-    bit_words = 4 if percent >= 88 else 8
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text: null ids keep longs exact
-    made = narrow.mapInPandas(_signatures(n, percent, bit_words), "id string, n long, key binary, prefix array<long>, bits array<long>")
+    made = narrow.mapInPandas(_signatures(n, percent), "id string, n long, key binary, prefix array<long>, bits array<long>")
     made = materialise(made.withColumn("id", F.col("id").cast("long")), "ngram-sets")
     classes = made.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = materialise(classes, "ngram-classes")
