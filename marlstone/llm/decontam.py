@@ -5,7 +5,9 @@ lower-cased; tokens of signs alone vanish. Numbers, units of measure and names
 become typed placeholders whose values are kept as slots. A name is a
 capitalised word inside a sentence that the text never has in lower case (also
 at a sentence's start, if it is a name elsewhere), or a common given name. Windows of ``window`` tokens are
-hashed. A window needs at least ``min_literal`` tokens that are no placeholders.
+hashed. A template needs at least ``min_literal`` tokens that are no placeholders;
+windows with placeholders are hashed in their own words too, so that a copy is
+found whatever its case.
 
 1. The benchmark's windows form a table; their hashes also set the bits of a
    filter of fixed size, which is broadcast.
@@ -101,8 +103,8 @@ class Tokens(dict):
         return at, self.h[at], self.f[at]
 
 
-def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the placeholder or word, whether a placeholder, row in ``tokens``) of each token of a text."""
+def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the placeholder or word, whether a placeholder, row in ``tokens``, hash of the word) of each token of a text."""
     tokens.trim()
     at, h, f = tokens.look_up((text or "").split())
     starts = np.ones(len(f), bool)
@@ -115,23 +117,24 @@ def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray,
         names |= capital & np.isin(h, h[names])
     names |= (f & NAME) > 0
     kind = np.where(names, NAME, f & (NUM | UNIT)).astype(np.uint8)
-    placeholder = kind > 0
+    placeholder, plain = kind > 0, h
     if placeholder.any():
+        h = h.copy()
         for k, value in _PLACE.items():
             h[kind == k] = value
     if (f & EMPTY).any():
         real = (f & EMPTY) == 0
-        return h[real], placeholder[real], at[real]
-    return h, placeholder, at
+        return h[real], placeholder[real], at[real], plain[real]
+    return h, placeholder, at, plain
 
 
-def windows(h: np.ndarray, placeholder: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows with enough literal tokens."""
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` tokens.
+
+    Runs of 1, 2, 4, ... tokens are put together from two halves, a run of any
+    size from those of its binary digits.
+    """
     n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # Runs of 1, 2, 4, ... tokens are put together from two halves; a window of
-    # any size from the runs of its binary digits.
     out, run, factor, length, done = np.full(n, size, np.uint64), h, 0x9E3779B97F4A7C15, 1, 0
     while length <= size:
         if size & length:
@@ -139,12 +142,22 @@ def windows(h: np.ndarray, placeholder: np.ndarray, size: int, min_literal: int)
             done += length
         run = run[:-length] * np.uint64(factor) + run[length:]
         factor, length = factor * factor % (1 << 64), 2 * length
-    out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def windows(h: np.ndarray, placeholder: np.ndarray, plain: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, whether typed) of a text's windows: templates with enough literal
+    tokens, and those with placeholders also in their own words."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    typed = _runs(h, size)
     if not placeholder.any():
-        return np.arange(n), out
-    literal = np.r_[0, np.cumsum(~placeholder)]
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(min_literal, size))
-    return at, out[at]
+        return np.arange(n), typed, np.zeros(n, bool)
+    slots = np.r_[0, np.cumsum(placeholder)]
+    slots = slots[size:] - slots[:-size]
+    enough, some = np.flatnonzero(size - slots >= min(min_literal, size)), np.flatnonzero(slots)
+    return np.r_[enough, some], np.r_[typed[enough], _runs(plain, size)[some]], np.r_[slots[enough] > 0, np.zeros(len(some), bool)]
 
 
 def _slots(at: np.ndarray, placeholder: np.ndarray, start: int, size: int, tokens: Tokens) -> list[str]:
@@ -162,11 +175,11 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["id"], pdf["text"]):
-                h, placeholder, at = canonical(text, tokens)
+                h, placeholder, at, plain = canonical(text, tokens)
                 size = min(window, len(h))
                 if size >= min(min_tokens, window):
-                    for p, x in zip(*windows(h, placeholder, size, min_literal)):
-                        rows.append((item, size, int(p), int(x.view(np.int64)), _slots(at, placeholder, p, size, tokens)))
+                    for p, x, typed in zip(*windows(h, placeholder, plain, size, min_literal)):
+                        rows.append((item, size, int(p), int(x.view(np.int64)), _slots(at, placeholder, p, size, tokens) if typed else []))
             yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
 
     known = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -205,12 +218,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["id"], pdf["text"]):
-                h, placeholder, at = canonical(text, tokens)
+                h, placeholder, at, plain = canonical(text, tokens)
                 for size in sizes:
-                    pos, hashes = windows(h, placeholder, size, min_literal)
+                    pos, hashes, typed = windows(h, placeholder, plain, size, min_literal)
                     bit = (hashes & np.uint64(filter_bits - 1)).view(np.int64)
                     hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-                    rows += [(doc, size, int(pos[i]), int(hashes[i].view(np.int64)), _slots(at, placeholder, pos[i], size, tokens)) for i in hit]
+                    rows += [(doc, size, int(pos[i]), int(hashes[i].view(np.int64)), _slots(at, placeholder, pos[i], size, tokens) if typed[i] else []) for i in hit]
             yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
