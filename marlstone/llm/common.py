@@ -58,11 +58,12 @@ def fanout_join(left: DataFrame, right: DataFrame, key: str, salt: Column, how:
     ``right`` has at most one row a key and is repeated ``salts`` times, so a key
     that holds a third of ``left`` never meets in one task. ``salt`` is any
     well-spread expression over ``left``; it must be deterministic, so that a
-    task run again deals its rows alike.
+    task run again deals its rows alike. The join is a sort-merge join: the
+    repeated side is not broadcast, for its size has no bound.
     """
     a = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     b = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def crc_held_out(doc_id: str = "doc_id") -> Column:

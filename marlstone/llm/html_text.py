@@ -13,7 +13,7 @@ reaches the threshold, these elements are the region.
 
 Defined cases: a null or empty html has the text ''. Character references are
 decoded; white space in a block becomes one blank; a line break is white space;
-blocks are joined by an empty line. Unclosed elements end with their parent;
+blocks are joined by an empty line. Unclosed elements end with their parent; a page that ends inside a tag loses it;
 a header inside an article is part of it; an article inside a form is kept.
 """
 
@@ -47,6 +47,7 @@ NAMES = frozenset(
 )
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
+_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -154,6 +155,8 @@ def content_lines(lines: list[tuple[str, int, int, int, bool]]) -> list[str]:
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
+    if _CUT_TAG.match(parser.rawdata):  # the page ends inside a tag
+        parser.rawdata = ""
     parser.close()
     parser.cut()
     return "\n\n".join(content_lines(parser.lines))

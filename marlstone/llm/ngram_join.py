@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fanout_join, materialise
 from marlstone.llm.components import UnionFind, components
 
-N, PERCENT, BLOCK, SETS_BLOCK, CACHE_WORDS = 3, 90, 2048, 512, 200_000
+N, PERCENT, BLOCK, SETS_BLOCK, CACHE_WORDS = 3, 90, 512, 512, 200_000
 BASE_WORDS, MAX_WORDS = 4, 256
 
 
