@@ -36,7 +36,7 @@ def sigmoid(x: Column) -> Column:
 
 def recency(age_days: Column) -> Column:
     """1 now, falling to 0.1 over a year; 0.5 for a null date."""
-    return F.coalesce(F.least(F.greatest(1.0 - age_days / 365.0, F.lit(0.1)), F.lit(1.0)), F.lit(0.5))
+    return F.when(age_days.isNull(), 0.5).otherwise(F.least(F.greatest(1.0 - age_days / 365.0, F.lit(0.1)), F.lit(1.0)))
 
 
 def boosted(raw: Column, recency_value: Column, proximity: Column, alpha: float = 0.2) -> Column:

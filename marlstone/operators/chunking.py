@@ -150,7 +150,7 @@ def header_quality(text: str, least: int = 2, coverage: float = 0.5, gap: float
         return False
     starts = [h[0] for h in found] + [len(text)]
     spans = [b - a for a, b in zip(starts, starts[1:])]
-    return (len(text) - starts[0]) / len(text) >= coverage and max([starts[0], *spans]) / len(text) <= max(gap, 1 / len(found)) and sum(spans) / len(spans) / 4 <= tokens
+    return (len(text) - starts[0]) / len(text) >= coverage and max([starts[0], *spans]) / len(text) <= max(gap, 1.5 / len(found)) and sum(spans) / len(spans) / 4 <= tokens
 
 
 def covered(spans: list[tuple[int, int]], length: int) -> float:
