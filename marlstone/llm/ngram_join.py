@@ -13,8 +13,8 @@ links, found without ever making all pairs of a group.
    parity bitmaps of their sets must not prove too many differences: every bit
    that differs stands for an n-gram in one set only. A meeting emits a spanning
    forest of such pairs, not the pairs. All links lie inside the forests' components.
-3. Prefix-tree join: the sets of a component (in pairs of blocks if it is large)
-   are stored in a trie in global order, equal beginnings once. Each set walks the
+3. Prefix-tree join: the sets of a component (in blocks if it is large, see
+   ``exact_components``) are stored in a trie in global order, equal beginnings once. Each set walks the
    trie; the overlap with a path is counted once for all sets below it, and a
    subtree ends the walk when even its whole remaining length, or the walker's,
    could not lift the overlap to the threshold. A subtree whose sets are already
@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import fanout_join, materialise
 from marlstone.llm.components import UnionFind, components
+from marlstone.operators.filters import top_per_group
 
-N, PERCENT, BLOCK, SETS_BLOCK, CACHE_WORDS = 3, 90, 512, 512, 200_000
+N, PERCENT, BLOCK, SETS_BLOCK, SAMPLE, CACHE_WORDS = 3, 90, 512, 256, 8, 200_000
 BASE_WORDS, MAX_WORDS = 4, 256
 
 
@@ -284,9 +285,14 @@ class PrefixTree:
                 at = end
         return top
 
-    def links(self, percent: int, allowed) -> Iterator[tuple[int, int]]:
-        """A spanning forest of the linked pairs (numbers of the caller's sets); ``allowed(i, j)`` may rule out pairs."""
-        found = UnionFind(len(self.sets))
+    def links(self, percent: int, label: list | None = None, allowed=lambda i, j: True) -> Iterator[tuple[int, int]]:
+        """A spanning forest of the linked pairs (numbers of the caller's sets).
+
+        Sets of one label count as linked already; ``allowed(i, j)`` may rule out pairs.
+        """
+        found, first = UnionFind(len(self.sets)), {}
+        for k, i in enumerate(self.order if label else ()):
+            found.union(first.setdefault(label[i], k), k)
         least, most = (np.array([f(self.sizes[lo:hi]) for lo, hi, *_ in self.nodes]) for f in (np.min, np.max))
         whole: list[int] = []
         stale = True
@@ -325,19 +331,54 @@ class PrefixTree:
 
 
 def _exact_links(percent: int):
+    """Links of groups (component, pair): not between rows of one label, nor, in a pair of blocks, of one side."""
+
     def run(batches: Iterator[pd.DataFrame]):
         for rows in whole_groups(batches, ["component", "pair"]):
             out = []
             for _, part in rows.groupby(["component", "pair"], sort=False):
-                rep, side = part["rep"].tolist(), part["side"].tolist()
-                tree = PrefixTree([np.frombuffer(s, np.uint64) for s in part["grams"]])
-                two = any(side)
-                out += [(rep[i], rep[j]) for i, j in tree.links(percent, lambda i, j: not two or side[i] != side[j])]
+                rep, side, label = part["rep"].tolist(), part["side"].tolist(), part["label"].tolist()
+                tree, two = PrefixTree([np.frombuffer(s, np.uint64) for s in part["grams"]]), any(side)
+                out += [(rep[i], rep[j]) for i, j in tree.links(percent, label, lambda i, j: not two or side[i] != side[j])]
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
+def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
+    dealt = rows.select("component", "pair", "side", "rep", "label", "grams").repartition("component", "pair").sortWithinPartitions("component", "pair")
+    return dealt.mapInPandas(_exact_links(percent), "a long, b long")
+
+
+def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFrame:
+    """(id, component) of all links inside candidate components; ``sets`` is (rep, component, members, grams).
+
+    Blocks are joined in themselves first, and then a few sets of each part found
+    of a component of several blocks. Near copies, however many, are one part by
+    then; only components that still fall into parts have their blocks joined
+    pairwise, and there only sets of different parts are compared.
+    """
+    nb = F.ceil(F.col("members") / sets_block).cast("int")
+    alone = sets.withColumns({"pair": F.pmod(F.xxhash64("rep"), nb).cast("int"), "side": F.lit(0), "label": F.col("rep")})
+    links = materialise(_tree_join(alone, percent), "set-links")
+    large = sets.where(F.col("members") > sets_block)
+    if large.isEmpty():
+        return components(links)
+
+    def labelled(found: DataFrame) -> DataFrame:
+        parts = components(found).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        return large.join(parts, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+    few = top_per_group(labelled(links), ["component", "label"], [F.asc("rep")], SAMPLE)
+    count = few.groupBy("component").agg(F.count("*").alias("n"))
+    few = _blocks(few.join(count, "component"), "n", sets_block, "rep")
+    links = materialise(links.unionByName(_tree_join(few, percent)), "set-links")
+    left = labelled(links)
+    split = left.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component")
+    rest = _blocks(left.join(split, "component", "left_semi"), "members", sets_block, "rep")
+    return components(links.unionByName(_tree_join(rest, percent)))
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -366,9 +407,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"rep": pdf["rep"], "component": pdf["component"], "members": pdf["members"], "grams": [ngram_set(t, n, words).tobytes() for t in pdf["text"]]})
 
     sets = again.mapInPandas(read, "rep long, component long, members long, grams binary").where(F.length("grams") > 0)
-    sets = _blocks(sets, "members", sets_block, "rep").select("component", "pair", "side", "rep", "grams")
-    sets = sets.repartition("component", "pair").sortWithinPartitions("component", "pair")
-    linked = components(sets.mapInPandas(_exact_links(percent), "a long, b long"))
+    linked = exact_components(materialise(sets, "candidate-sets"), percent, sets_block)
 
     of_class = classes.select("key", "rep", "copies").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.where("copies > 1 OR component IS NOT NULL").select("key", F.coalesce("component", "rep").alias("component"))

@@ -84,7 +84,7 @@ def test_one_of_each_group_stays_with_its_columns(spark):
 def test_prefix_tree_finds_every_component(sets, percent):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     found = J.UnionFind(len(sets))
-    for i, j in J.PrefixTree(arrays).links(percent, lambda i, j: True):
+    for i, j in J.PrefixTree(arrays).links(percent):
         assert 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
         found.union(i, j)
     for i, a in enumerate(sets):
