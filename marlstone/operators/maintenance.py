@@ -152,3 +152,9 @@ def pass_rates(checks: DataFrame) -> DataFrame:
     n = {s: F.count_if(F.col("status") == s) for s in ("pass", "fail", "skip", "error")}
     asked = n["pass"] + n["fail"] + n["error"]
     return checks.groupBy("group").agg(*[c.alias(f"n_{s}") for s, c in n.items()], F.when(asked > 0, n["pass"] / asked).alias("rate"))
+
+
+def retry(queue: DataFrame) -> DataFrame:
+    """Dead letters are pending again, with a fresh count."""
+    dead = F.col("status") == "dead_letter"
+    return queue.withColumns({"retry_count": F.when(dead, 0).otherwise(F.col("retry_count")), "status": F.when(dead, "pending").otherwise(F.col("status"))})
