@@ -217,3 +217,29 @@ def merge_spans(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
         else:
             out.append([a, b, label])
     return [(a, b, label, text[a:b].strip()) for a, b, label in out]
+
+
+def match_header(title: str, text: str, start: int = 0) -> int:
+    """Where a header given by its title stands in a text: as a line equal to it regardless
+    of case, marks and blanks, from ``start`` on; -1 if nowhere."""
+
+    def bare(s: str) -> str:
+        return re.sub(r"[\W_]+", "", s).lower()
+
+    want, at = bare(title), start
+    if not want:
+        return -1
+    for line in text[start:].splitlines(keepends=True):
+        if bare(line) == want:
+            return at
+        at += len(line)
+    return -1
+
+
+def merge_headers(found: list[tuple[int, int, str]], near: int = 10) -> list[tuple[int, int, str]]:
+    """Headers (start, level, title) in order; of two within ``near`` characters the first stays."""
+    out: list[tuple[int, int, str]] = []
+    for h in sorted(found):
+        if not out or h[0] - out[-1][0] > near:
+            out.append(h)
+    return out

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from marlstone.plans import documents, graph, ingest, more, registry, retrieval, upkeep  # noqa: F401
+from marlstone.plans import documents, extras, graph, ingest, more, registry, retrieval, upkeep  # noqa: F401
 
 QUERIES, ORACLES, FLAGSHIP = registry.QUERIES, registry.ORACLES, registry.FLAGSHIP
