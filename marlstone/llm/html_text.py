@@ -39,6 +39,8 @@ BLOCKS = frozenset(
 #: Elements that are kept on the stack: they hold blocks, or text that is no content.
 HOLDERS = SKIPPED | frozenset("article main section div header body table td ul ol dl figure blockquote details center fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without an end tag of their own end where one of these begins.
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer footers masthead topbar toolbar "
@@ -88,6 +90,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
             self.links = 0
+            while self.stack and tag in ENDED_BY.get(self.stack[-1][0], ()):
+                self.stack.pop()
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":

@@ -19,6 +19,7 @@ LONG = "This is a long paragraph of the article with enough words to count as te
         ("<article><header><h1>Own</h1></header><p>p</p></article>", "Own\n\np"),
         ("<header>site</header><main>m</main>", "m"),
         ("plain words", "plain words"),
+        ("<article><p class=ad>ad<p>text<ul><li class=promo>x<li>y</ul><p>z</article>", "text\n\ny\n\nz"),
         ("<p>cut off in a <b", "cut off in a"),
         ("", ""),
         (None, ""),
