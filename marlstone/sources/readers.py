@@ -12,7 +12,6 @@ from marlstone.operators.filters import top_per_group
 
 FORMATS = ("parquet", "orc", "csv", "json", "text", "xml", "binaryFile")
 NOTE_FILES = ("NOTE.md", "README.md", "index.md")
-_ASSETS = r"!\[\[([^\]|]+)(?:\|[^\]]*)?\]\]|!\[[^\]]*\]\(([^)\s]+)[^)]*\)"
 
 
 def read(spark: SparkSession, path: str | list[str], kind: str = "parquet", schema=None, **options: str) -> DataFrame:
