@@ -1,9 +1,11 @@
 """Connected components of a distributed edge table.
 
 Alternating large-star and small-star rounds (logarithmic in practice), each a
-grouped minimum and a join that is dealt over salts, so neither a hub nor a huge
-component meets in one task. Before the rounds each partition replaces its edges
-by a spanning forest of them, which only shortens the table.
+grouped minimum and a join. Where a node has over ``HUB`` edges the joins are
+dealt over salts, so neither a hub nor a huge component meets in one task. Before
+the rounds each partition replaces its edges
+by a spanning forest of them, which only shortens the table; up to ``ONE_TASK``
+edges that are left are finished in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fanout_join, materialise
 
 
+HUB, ONE_TASK = 20_000, 200_000
+
+
 class UnionFind:
     """Sets of the numbers 0 .. n-1; the smallest is the root."""
 
@@ -50,11 +55,26 @@ def _forest(batches):
         yield pd.DataFrame({"a": ids[moved], "b": ids[root[moved]]})
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _whole(batches):
+    """(id, component) of all nodes of one task's edges."""
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *(pdf[["a", "b"]].to_numpy(np.int64) for pdf in batches)])
+    ids, ends = np.unique(pairs.ravel(), return_inverse=True)
+    found = UnionFind(len(ids))
+    for i, j in ends.reshape(-1, 2).tolist():
+        found.union(i, j)
+    root = np.fromiter((found.find(i) for i in range(len(ids))), np.int64, len(ids))
+    yield pd.DataFrame({"id": ids, "component": ids[root]})
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _star(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """One large-star or small-star step over edges (a, b), b < a."""
-    near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
+    near = _both(edges) if large else edges
     least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    met = fanout_join(near, least, "a", F.col("b"), "inner")
+    met = fanout_join(near, least, "a", F.col("b"), "inner") if hubs else near.join(least, "a")
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -66,6 +86,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable, for every id that has an edge to another."""
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b")
     state = materialise(pairs.mapInPandas(_forest, "a long, b long").distinct(), "edges")
+    if state.count() <= ONE_TASK:
+        return materialise(state.coalesce(1).mapInPandas(_whole, "id long, component long"), "components")
     mark = F.xxhash64("a", "b").cast("decimal(38,0)")
     before = None
     while True:
@@ -73,4 +95,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before or not now[0]:
             return state.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         before = now
-        state = materialise(_star(_star(state, True), False), "edges")
+        # Neither step gives a node more edges to smaller ones than it has neighbours now.
+        degree = _both(state).groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        state = materialise(_star(_star(state, True, degree > HUB), False, degree > HUB), "edges")

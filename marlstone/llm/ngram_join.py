@@ -30,6 +30,7 @@ texts are one class. A lone very long text is one row with its set.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fanout_join, materialise
+from marlstone.llm.common import fanout_join, materialise, trimmed
 from marlstone.llm.components import UnionFind, components
 from marlstone.operators.filters import top_per_group
 
-N, PERCENT, BLOCK, SETS_BLOCK, SAMPLE, CACHE_WORDS = 3, 90, 512, 256, 8, 200_000
-BASE_WORDS, MAX_WORDS = 4, 256
+N, PERCENT, BLOCK, SETS_BLOCK, SAMPLE, CACHE_WORDS = 3, 90, 512, 256, 8, 100_000
+BASE_WORDS, MAX_WORDS, SLICE = 4, 256, 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 # ---------------------------------------------------------------- sets
@@ -55,6 +57,16 @@ class WordHashes(dict):
         return h
 
 
+def _slices(data: bytes) -> Iterator[bytes]:
+    """Parts of about SLICE bytes, cut at white space, so that few words are held as objects at once."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + SLICE)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end
+
+
 def ngram_set(text: str | None, n: int, words: WordHashes) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text.
 
@@ -62,10 +74,11 @@ def ngram_set(text: str | None, n: int, words: WordHashes) -> np.ndarray:
     """
     if len(words) > CACHE_WORDS:
         words.clear()
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    parts = [np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)) for tokens in map(bytes.split, _slices(data))]
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(h):
+        return h
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -347,7 +360,7 @@ def _exact_links(percent: int):
 
 def _tree_join(rows: DataFrame, percent: int) -> DataFrame:
     dealt = rows.select("component", "pair", "side", "rep", "label", "grams").repartition("component", "pair").sortWithinPartitions("component", "pair")
-    return dealt.mapInPandas(_exact_links(percent), "a long, b long")
+    return dealt.mapInPandas(trimmed(_exact_links(percent)), "a long, b long")
 
 
 def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFrame:
@@ -366,6 +379,7 @@ def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFram
         return components(links)
 
     def labelled(found: DataFrame) -> DataFrame:
+        found = found.join(large.select(F.col("rep").alias("a")), "a", "left_semi")  # links lie inside a component
         parts = components(found).select(F.col("id").alias("rep"), F.col("component").alias("label"))
         return large.join(parts, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
@@ -385,7 +399,7 @@ def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFram
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, block: int = BLOCK, sets_block: int = SETS_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text: null ids keep longs exact
-    made = narrow.mapInPandas(_signatures(n, percent), "id string, n long, key binary, prefix array<long>, bits array<long>")
+    made = narrow.mapInPandas(trimmed(_signatures(n, percent)), "id string, n long, key binary, prefix array<long>, bits array<long>")
     made = materialise(made.withColumn("id", F.col("id").cast("long")), "ngram-sets")
     classes = made.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = materialise(classes, "ngram-classes")
@@ -394,7 +408,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     met = _blocks(grams.join(common, "gram"), "df", block, "rep").select("gram", "pair", "side", "rep")
     met = met.join(classes.select("rep", "n", "bits"), "rep").repartition("gram", "pair").sortWithinPartitions("gram", "pair")
-    edges = met.select("gram", "pair", "side", "rep", "n", "bits").mapInPandas(_candidates(percent), "a long, b long")
+    edges = met.select("gram", "pair", "side", "rep", "n", "bits").mapInPandas(trimmed(_candidates(percent)), "a long, b long")
     groups = materialise(components(edges), "ngram-groups")
 
     count = groups.groupBy("component").agg(F.count("*").alias("members"))
@@ -406,7 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             yield pd.DataFrame({"rep": pdf["rep"], "component": pdf["component"], "members": pdf["members"], "grams": [ngram_set(t, n, words).tobytes() for t in pdf["text"]]})
 
-    sets = again.mapInPandas(read, "rep long, component long, members long, grams binary").where(F.length("grams") > 0)
+    sets = again.mapInPandas(trimmed(read), "rep long, component long, members long, grams binary").where(F.length("grams") > 0)
     linked = exact_components(materialise(sets, "candidate-sets"), percent, sets_block)
 
     of_class = classes.select("key", "rep", "copies").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")

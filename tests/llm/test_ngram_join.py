@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.llm import ngram_join as J
+from marlstone.llm import components as C
 from marlstone.llm.components import components
 
 
@@ -104,7 +105,18 @@ def test_bitmaps_never_rule_out_a_link():
         assert bits.may_link(np.array([0]), np.array([1]), np.array([J.most_differences(len(a), len(b), 90)]))[0]
 
 
-def test_connected_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize(("hub", "one_task"), [(20_000, 200_000), (20_000, 0), (3, 0)])
+def test_connected_components_of_chains_and_stars(spark, hub, one_task, monkeypatch):
+    monkeypatch.setattr(C, "HUB", hub)
+    monkeypatch.setattr(C, "ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 200)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}}
+
+
+def test_slices_do_not_change_sets(monkeypatch):
+    text = " ".join(f"w{i % 700}\t" for i in range(5000)) + "x" * 900
+    whole = J.ngram_set(text, 3, J.WordHashes())
+    monkeypatch.setattr(J, "SLICE", 97)
+    assert J.ngram_set(text, 3, J.WordHashes()).tolist() == whole.tolist()
+    assert len(J.ngram_set(" \n " * 100, 3, J.WordHashes())) == 0
