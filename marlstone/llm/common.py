@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where intermediate tables go when the session names no shared folder (tests).
 FALLBACK_DIR = "/tmp/checkpoints/marlstone"
+#: Folders made by this process, for ``release``.
+_PATHS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def materialise(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
@@ -43,15 +49,31 @@ def materialise(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_paths(spark: SparkSession, paths: list[str]) -> None:
-    """Delete intermediate folders through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate folders made so far; tables that are still read from them must not be used after."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def trimmed(work: Callable) -> Callable:
+    """A worker function that gives its memory back when its partition ends: Python
+    workers live on, and what they keep counts against the executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def fanout_join(left: DataFrame, right: DataFrame, key: str, salt: Column, how: str = "left", salts: int = 16) -> DataFrame:
     """Equi-join on ``key`` that spreads each key of ``left`` over ``salts`` tasks.
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marlstone.llm.common import trimmed
 from marlstone.llm.labelled import training_rows
 
 BUCKETS, DIM, GRAMS, REPEATS, EPOCHS, RATE, MAX_TRAIN, SLICE = 1 << 16, 16, (3, 4), (1, 2, 3, 4), 5, 1.0, 4000, 1 << 18
@@ -144,8 +145,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "te
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        values = held.value
-        for texts in batches:
-            yield pd.Series([raw_score(t, values, bias) for t in texts], dtype="float64")
+        def work(parts):
+            values = held.value
+            for texts in parts:
+                yield pd.Series([raw_score(t, values, bias) for t in texts], dtype="float64")
+
+        yield from trimmed(work)(batches)
 
     return docs.withColumn(score_col, score(text_col)).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
