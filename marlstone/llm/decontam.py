@@ -30,19 +30,17 @@ each reported.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fanout_join, materialise
+from marlstone.llm.common import fanout_join, materialise, trimmed
 
 WINDOW, MIN_LITERAL, MIN_TOKENS, MIN_COVER = 8, 4, 4, 0.5
-FILTER_BITS, BROADCAST_ROWS, CACHE_WORDS = 1 << 23, 100_000, 150_000
+FILTER_BITS, BROADCAST_ROWS = 1 << 23, 100_000
 
 # Word lists.
 NUMBERS = frozenset(
@@ -55,77 +53,164 @@ GIVEN_NAMES = frozenset(
     "alice bob carol dave david emma john mary james anna maria tom sarah michael susan peter paul lisa mark laura janet julia kevin jack jane george henry kate mike sam ben lucy natalia weng betty randy tina ken joy carlos hans marie pierre juan".split()
 )
 
-NUM, UNIT, NAME, CAPITAL, ENDS, EMPTY = 1, 2, 4, 8, 16, 32
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_PLACE = {k: np.uint64(xxhash.xxh64_intdigest(f"<{k}>")) for k in (NUM, UNIT, NAME)}
+SLICE = 1 << 16
+NUM, UNIT, NAME = 1, 2, 4
+_QUOTES = frozenset("\"')]*")
 
 
-class Tokens(dict):
-    """Raw token -> row of its (hash, flags); ``words`` has the plain forms."""
+def _table(test) -> np.ndarray:
+    """A truth value for each code point of the basic plane, and one for all above."""
+    return np.array([*(test(chr(i)) for i in range(0x10000)), test(chr(0x20000))], bool)
+
+
+class Characters:
+    """Properties of characters as tables; made once a worker."""
 
     def __init__(self) -> None:
-        self.hashes, self.flags, self.words = [], [], []
-        self.h, self.f = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-
-    def __missing__(self, token: str) -> int:
-        plain = token.isalpha()
-        bare = token if plain else _EDGE.sub("", token)
-        low = bare.lower()
-        flags = 0 if plain else ENDS * token.rstrip("\"')]*").endswith((".", "!", "?", ":")) | EMPTY * (not bare)
-        if low in NUMBERS or not (plain or bare.isalpha()) and any(map(str.isdigit, bare)):
-            flags |= NUM
-        elif low in UNITS:
-            flags |= UNIT
-        elif low != bare and bare[0].isupper():
-            if low in GIVEN_NAMES:
-                flags |= NAME
-            elif not (len(bare) > 1 and bare.isupper()):
-                flags |= CAPITAL
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        self.flags.append(flags)
-        self.words.append(low)
-        self[token] = at = len(self.words) - 1
-        return at
-
-    def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self.__init__()
-
-    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.words) > len(self.h):
-            more = len(self.words) + 4096
-            self.h, self.f = np.resize(np.array(self.hashes, np.uint64), more), np.resize(np.array(self.flags, np.uint8), more)
-        elif len(self.words) > (n := getattr(self, "filled", 0)):
-            self.h[n : len(self.words)], self.f[n : len(self.words)] = self.hashes[n:], self.flags[n:]
-        self.filled = len(self.words)
-        return at, self.h[at], self.f[at]
-
-
-def canonical(text: str | None, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the placeholder or word, whether a placeholder, row in ``tokens``, hash of the word) of each token of a text."""
-    tokens.trim()
-    at, h, f = tokens.look_up((text or "").split())
-    starts = np.ones(len(f), bool)
-    starts[1:] = (f[:-1] & ENDS) > 0
-    capital = (f & CAPITAL) > 0
-    names = capital & ~starts
-    if names.any():
-        small = (f & (CAPITAL | NAME | NUM | UNIT | EMPTY)) == 0
-        names &= ~np.isin(h, h[small])
-        names |= capital & np.isin(h, h[names])
-    names |= (f & NAME) > 0
-    kind = np.where(names, NAME, f & (NUM | UNIT)).astype(np.uint8)
-    placeholder, plain = kind > 0, h
-    if placeholder.any():
-        h = h.copy()
-        for k, value in _PLACE.items():
-            h[kind == k] = value
-    if (f & EMPTY).any():
-        real = (f & EMPTY) == 0
-        return h[real], placeholder[real], at[real], plain[real]
-    return h, placeholder, at, plain
+        self.space, self.alnum, self.digit, self.upper, self.small = map(_table, (str.isspace, str.isalnum, str.isdigit, str.isupper, str.islower))
+        self.quote, self.stop = _table(_QUOTES.__contains__), _table(frozenset(".!?:").__contains__)
+        self.power = np.random.default_rng(29).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.numbers, self.units, self.given = (np.unique(self.tokens(" ".join(sorted(w)))[0]) for w in (NUMBERS, UNITS, GIVEN_NAMES))
+        self.place = {k: self.tokens(f"placeholder{k}")[0][0] ^ np.uint64(0x5555) for k in (NUM, UNIT, NAME)}
+
+    def tokens(self, text: str) -> tuple[np.ndarray, ...]:
+        """(hash, first character, past the last, digit, capital, small, ends a sentence) of each token of a text.
+
+        ``lead`` tells whether signs before the first token end a sentence.
+        """
+        self.lead = False
+        low = text.lower()
+        if len(low) != len(text):  # a few letters have more than one in lower case
+            low = "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+        c, o = (np.minimum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), 0x10000) for t in (low, text))
+        exact = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        space = self.space[c]
+        edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        inside = np.flatnonzero(self.alnum[c])
+        if not len(inside) or not len(starts):
+            return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, bool, bool, bool, bool))
+        at, last = np.searchsorted(inside, starts), np.searchsorted(inside, ends) - 1
+        real = at <= last
+        # A token of signs alone vanishes, but it may end the sentence before it.
+        mark = ends - 1
+        for _ in range(3):
+            mark = np.where((mark > starts) & self.quote[c[mark]], mark - 1, mark)
+        stop = self.stop[c[mark]]
+        owner = np.cumsum(real) - 1
+        closes = np.zeros(max(1, int(real.sum())), bool)
+        closes[owner[stop & (owner >= 0)]] = True
+        self.lead = bool((stop & (owner < 0)).any())
+        first, past = inside[at[real]], inside[last[real]] + 1
+        length = len(c)
+        place = np.arange(length) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, length]))
+        weight = self.power[place & 63] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1))
+        sums = np.r_[np.uint64(0), np.cumsum((exact.astype(np.uint64) + np.uint64(1)) * weight, dtype=np.uint64)]
+        h = sums[past] - sums[first]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+        def count(table: np.ndarray) -> np.ndarray:
+            run = np.r_[0, np.cumsum(table[o], dtype=np.int64)]
+            return run[past] - run[first]
+
+        upper, small = count(self.upper), count(self.small)
+        capital = self.upper[o[first]] & ((small > 0) | (past - first == 1))
+        return h, first, past, count(self.digit) > 0, capital, (upper == 0) & (small > 0), closes[: len(first)]
+
+
+class Texts:
+    """The canonical tokens of a list of texts, one after the other.
+
+    ``h`` has placeholders, ``plain`` has not; ``of`` is each token's text, ``begin``
+    each text's first token. Short texts are read together, long ones in slices.
+    """
+
+    def __init__(self, texts: list[str | None], chars: Characters) -> None:
+        made, self.parts, of, held = [], [], [], []
+
+        def read(part: str, offsets: list[int], numbers: list[int]) -> None:
+            found = chars.tokens(part)
+            if chars.lead and made and len(made[-1][6]):  # a sentence that ended with the slice before
+                made[-1][6][-1] = True
+            made.append(found)
+            self.parts.append(part)
+            of.append(np.asarray(numbers)[np.searchsorted(offsets, found[1], side="right") - 1] if len(found[1]) else np.zeros(0, int))
+
+        def flush() -> None:
+            if held:
+                offsets = np.r_[0, np.cumsum([len(t) + 1 for _, t in held])][:-1]
+                read("\n".join(t for _, t in held), offsets.tolist(), [k for k, _ in held])
+                held.clear()
+
+        size = 0
+        for k, text in enumerate(texts):
+            text = text or ""
+            if len(text) > SLICE:
+                flush()
+                for part in _slices(text):
+                    read(part, [0], [k])
+            else:
+                held.append((k, text))
+            size = size + len(text) if held else 0
+            if size > SLICE:
+                flush()
+                size = 0
+        flush()
+        if not made:
+            read("", [0], [0])
+        h, self.first, self.past, digit, capital, small, closes = (np.concatenate(x) for x in zip(*made))
+        self.part, self.of = np.repeat(np.arange(len(made)), [len(m[0]) for m in made]), np.concatenate(of)
+        self.begin = np.searchsorted(self.of, np.arange(len(texts) + 1))
+        starts = np.ones(len(h), bool)
+        starts[1:] = closes[:-1] | (np.diff(self.of) > 0)
+        number, unit, given = digit | np.isin(h, chars.numbers), np.isin(h, chars.units), np.isin(h, chars.given)
+        capital &= ~number & ~unit
+        names = capital & ~starts & ~given
+        if names.any():
+            mine = h ^ (self.of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a word of one text
+            names[names] = ~np.isin(mine[names], mine[small])
+            names |= capital & np.isin(mine, mine[names])
+        names |= capital & given
+        kind = np.where(names, NAME, np.where(number, NUM, np.where(unit, UNIT, 0)))
+        self.plain, self.placeholder, self.h = h, kind > 0, h
+        if self.placeholder.any():
+            self.h = h.copy()
+            for k, value in chars.place.items():
+                self.h[kind == k] = value
+
+    def word(self, i: int) -> str:
+        return self.parts[self.part[i]][self.first[i] : self.past[i]].lower()
+
+    def slots(self, start: int, size: int) -> list[str]:
+        return [self.word(i) for i in range(start, start + size) if self.placeholder[i]]
+
+    def windows(self, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, hash, whether typed) of the windows of each text: templates with enough
+        literal tokens, and those with placeholders also in their own words."""
+        n = len(self.h) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        whole = self.of[size - 1 :] == self.of[:n]
+        typed = _runs(self.h, size)
+        if not self.placeholder.any():
+            at = np.flatnonzero(whole)
+            return at, typed[at], np.zeros(len(at), bool)
+        slots = np.r_[0, np.cumsum(self.placeholder)]
+        slots = slots[size:] - slots[:-size]
+        enough, some = np.flatnonzero(whole & (size - slots >= min(min_literal, size))), np.flatnonzero(whole & (slots > 0))
+        return np.r_[enough, some], np.r_[typed[enough], _runs(self.plain, size)[some]], np.r_[slots[enough] > 0, np.zeros(len(some), bool)]
+
+
+def _slices(text: str) -> Iterator[str]:
+    """Parts of at most SLICE characters, cut at a blank where there is one."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + SLICE)
+        if end < len(text):
+            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
+            end = cut if cut > at else end
+        yield text[at:end]
+        at = end
 
 
 def _runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -145,25 +230,6 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def windows(h: np.ndarray, placeholder: np.ndarray, plain: np.ndarray, size: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, whether typed) of a text's windows: templates with enough literal
-    tokens, and those with placeholders also in their own words."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    typed = _runs(h, size)
-    if not placeholder.any():
-        return np.arange(n), typed, np.zeros(n, bool)
-    slots = np.r_[0, np.cumsum(placeholder)]
-    slots = slots[size:] - slots[:-size]
-    enough, some = np.flatnonzero(size - slots >= min(min_literal, size)), np.flatnonzero(slots)
-    return np.r_[enough, some], np.r_[typed[enough], _runs(plain, size)[some]], np.r_[slots[enough] > 0, np.zeros(len(some), bool)]
-
-
-def _slots(at: np.ndarray, placeholder: np.ndarray, start: int, size: int, tokens: Tokens) -> list[str]:
-    return [tokens.words[at[i]] for i in range(start, start + size) if placeholder[i]]
-
-
 _WINDOW_ROWS = "id long, size int, pos int, h long, slots array<string>"
 
 
@@ -171,15 +237,15 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_
     """(item_id, size, ipos, h, islots, n_windows) of the benchmark."""
 
     def cut(batches):
-        tokens = Tokens()
+        chars = Characters()
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["id"], pdf["text"]):
-                h, placeholder, at, plain = canonical(text, tokens)
-                size = min(window, len(h))
+                t = Texts([text], chars)
+                size = min(window, len(t.h))
                 if size >= min(min_tokens, window):
-                    for p, x, typed in zip(*windows(h, placeholder, plain, size, min_literal)):
-                        rows.append((item, size, int(p), int(x.view(np.int64)), _slots(at, placeholder, p, size, tokens) if typed else []))
+                    for p, x, typed in zip(*t.windows(size, min_literal)):
+                        rows.append((item, size, int(p), int(x.view(np.int64)), t.slots(p, size) if typed else []))
             yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
 
     known = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -214,20 +280,22 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     held = docs.sparkSession.sparkContext.broadcast(_filter_bits(table, filter_bits))
 
     def probe(batches):
-        tokens, bits = Tokens(), held.value
+        chars, bits = Characters(), held.value
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
-                h, placeholder, at, plain = canonical(text, tokens)
+            rows, ids = [], pdf["id"].tolist()
+            for at in range(0, len(ids), 200):
+                t = Texts(pdf["text"].iloc[at : at + 200].tolist(), chars)
                 for size in sizes:
-                    pos, hashes, typed = windows(h, placeholder, plain, size, min_literal)
+                    first, hashes, typed = t.windows(size, min_literal)
                     bit = (hashes & np.uint64(filter_bits - 1)).view(np.int64)
                     hit = np.flatnonzero((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-                    rows += [(doc, size, int(pos[i]), int(hashes[i].view(np.int64)), _slots(at, placeholder, pos[i], size, tokens) if typed[i] else []) for i in hit]
+                    for i in hit:
+                        k = int(t.of[first[i]])
+                        rows.append((ids[at + k], size, int(first[i] - t.begin[k]), int(hashes[i].view(np.int64)), t.slots(first[i], size) if typed[i] else []))
             yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
 
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hits = known.mapInPandas(probe, _WINDOW_ROWS).select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("dpos"), F.col("slots").alias("dslots"))
+    hits = known.mapInPandas(trimmed(probe), _WINDOW_ROWS).select(F.col("id").alias("doc_id"), "h", F.col("pos").alias("dpos"), F.col("slots").alias("dslots"))
     if table.count() <= broadcast_rows:
         met = hits.join(F.broadcast(table), "h")
     else:

@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from marlstone.llm import decontam as D
 
@@ -57,8 +60,49 @@ def test_filter_keeps_clean_rows_and_their_columns(spark):
 
 
 def test_window_hashes_do_not_depend_on_what_surrounds_them():
-    tokens = D.Tokens()
-    h, p, _, w = D.canonical("aa bb cc dd ee ff gg hh ii jj kk ll", tokens)
-    h2, p2, _, w2 = D.canonical("xx yy aa bb cc dd ee ff gg hh ii jj kk ll zz", tokens)
+    chars = D.Characters()
+    a, b = D.Texts(["aa bb cc dd ee ff gg hh ii jj kk ll"], chars), D.Texts(["pp qq rr", "xx yy aa bb cc dd ee ff gg hh ii jj kk ll zz", "aa"], chars)
     for size in (1, 3, 5, 8):
-        assert D.windows(h, p, w, size, 1)[1].tolist() == D.windows(h2, p2, w2, size, 1)[1].tolist()[2 : 2 + len(h) - size + 1]
+        hashes = b.windows(size, 1)
+        mine = [h for p, h in zip(hashes[0].tolist(), hashes[1].tolist()) if b.begin[1] <= p < b.begin[2]]
+        assert a.windows(size, 1)[1].tolist() == mine[2 : 2 + len(a.h) - size + 1]
+        assert all(p + size <= b.begin[k + 1] for p in hashes[0] for k in [b.of[p]])
+
+
+def by_hand(text):
+    """(word, kind) of each token, read one by one."""
+    raw = [(t, re.sub(r"^[\W_]+|[\W_]+$", "", t)) for t in text.split()]
+    closes, out = [], []
+    for t, bare in raw:
+        end = t.rstrip("\"')]*").endswith((".", "!", "?", ":"))
+        if bare:
+            out.append(bare)
+            closes.append(end)
+        elif out:
+            closes[-1] = closes[-1] or end
+    small = {w.lower() for w in out if w.islower()}
+    kinds = []
+    for i, w in enumerate(out):
+        low = w.lower()
+        number, unit = any(map(str.isdigit, w)) or low in D.NUMBERS, low in D.UNITS
+        capital = w[0].isupper() and (len(w) == 1 or not w.isupper()) and not number and not unit
+        kinds.append((low, number, unit, capital, i == 0 or closes[i - 1]))
+    inner = {k[0] for k in kinds if k[3] and not k[4] and k[0] not in D.GIVEN_NAMES and k[0] not in small}
+    return [(low, D.NAME if capital and (low in inner or low in D.GIVEN_NAMES) else D.NUM if number else D.UNIT if unit else 0) for low, number, unit, capital, _ in kinds]
+
+
+@pytest.mark.parametrize("size", [1 << 16, 300, 40])
+def test_tokens_are_those_read_by_hand(size, monkeypatch):
+    monkeypatch.setattr(D, "SLICE", size)
+    r, chars = random.Random(8), D.Characters()
+    words = "the cat Alice bob Bob Zebra zebra Zürich 12 3.5kg km KM five IT It éa ÉA -- ... (x) \"Quoted\" end. End! who? a_b _c_ don't Straße \u4e2d\u6587 I".split()
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    t, by_word = D.Texts([*texts, None], chars), {}
+    for k, text in enumerate(texts):
+        want, mine = by_hand(text), range(t.begin[k], t.begin[k + 1])
+        assert [t.word(i) for i in mine] == [w for w, _ in want], text
+        assert t.placeholder[mine].tolist() == [kind > 0 for _, kind in want], (text, want)
+        for i, (w, kind) in zip(mine, want):
+            assert t.h[i] == (chars.place[kind] if kind else t.plain[i])
+            assert by_word.setdefault(w, t.plain[i]) == t.plain[i]
+    assert len(set(by_word.values())) == len(by_word)
