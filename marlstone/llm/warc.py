@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import fanout_join, fresh_path, materialise
 
-MIN_REVISIT, FILE_BYTES, CHUNK = 100, 256 << 20, 1 << 20
+MIN_REVISIT, FILE_BYTES, CHUNK, MAX_TASKS = 100, 256 << 20, 1 << 20, 10_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -212,7 +212,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pd.DataFrame(rows, columns=["archive", "offset", "length", "record_id", "record_type"])
 
-    spread = archives.select("archive").repartition("archive")
+    # A number of its own keeps the planner from putting these few, small rows into one task.
+    spread = archives.select("archive").repartition(max(1, min(archives.count(), MAX_TASKS)), "archive")
     return materialise(spread.mapInPandas(rewrite, INDEX), "warc-index")
 
 
