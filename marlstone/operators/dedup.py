@@ -56,10 +56,12 @@ def duplicate_facts(new: DataFrame, stored: DataFrame, window_hours: int = 2 * W
     s = stored.select(F.col("unit_id").alias("old_id"), F.col("text").alias("old_text"), F.col("embedding").alias("old_vector"), "event_date", bucket_hours(F.col("event_date"), half).alias("bucket"))
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     from_start = F.timestamp_diff("MICROSECOND", origin, F.col("event_date")) / 3600e6 - F.col("start")
-    met = n.join(s, "bucket").where((F.abs(from_start) <= half) & (F.col("unit_id") != F.col("old_id")))
-    exact = F.col("text") == F.col("old_text")
-    near = F.coalesce(vector.cosine_distance(F.col("embedding"), F.col("old_vector")) < distance, F.lit(False))
-    return met.where(exact | near).groupBy("unit_id").agg(F.when(F.max(exact), "exact").otherwise("near").alias("kind"))
+    close = (F.abs(from_start) <= half) & (F.col("unit_id") != F.col("old_id"))
+    # Equal texts meet by text and bucket; only rows with vectors meet by bucket alone.
+    exact = n.join(s, (n["bucket"] == s["bucket"]) & (n["text"] == s["old_text"])).where(close).select("unit_id", F.lit(True).alias("exact"))
+    near = n.where("embedding IS NOT NULL").join(s.where("old_vector IS NOT NULL"), "bucket").where(close)
+    near = near.where(vector.cosine_distance(F.col("embedding"), F.col("old_vector")) < distance).select("unit_id", F.lit(False).alias("exact"))
+    return exact.unionByName(near).groupBy("unit_id").agg(F.when(F.max("exact"), "exact").otherwise("near").alias("kind"))
 
 
 def similar_facts(left: DataFrame, right: DataFrame, least: float = SIMILAR, k: int = 5) -> DataFrame:
