@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from marlstone.llm.common import materialise
+from marlstone.llm.common import materialise, trimmed
 from marlstone.llm.labelled import training_rows
 
-MAX_TRAIN, THRESHOLD, CACHE_WORDS, NEAR, CLUSTER = 20_000, 0.5, 150_000, 6, 20
+MAX_TRAIN, THRESHOLD, CACHE_WORDS, NEAR, CLUSTER = 20_000, 0.5, 100_000, 6, 20
 MAX_LEARNED, LEARN_DOCS, LEARN_ODDS, FOLDS = 5000, 3, 2.0, 3
 TREES, DEPTH, BINS, RATE, L2, MIN_ROWS = 80, 3, 32, 0.15, 1.0, 10
 
@@ -72,9 +72,10 @@ INSULT, PROFANE, THREAT, SECOND, CAPS, HIDDEN, MIXED, STRETCHED = (1 << k for k
 def word_bits(token: str) -> int:
     """What a token between blanks is, as bits."""
     low = token.lower()
-    bare = _EDGE.sub("", low)
+    plain = low.isalpha()
+    bare = low if plain else _EDGE.sub("", low)
     bits = 0
-    letters = sum(map(str.isalpha, bare))
+    letters = len(bare) if plain else sum(map(str.isalpha, bare))
     if letters > 1 and token.isupper():
         bits |= CAPS
     if 0 < letters < len(bare):
@@ -88,9 +89,9 @@ def word_bits(token: str) -> int:
     found = kind(bare) or (kind(bare[:-1]) if bare.endswith("s") else 0)
     if not found and len(token) <= 40:
         # Spelled with signs or digits for letters, with signs between letters, or with letters doubled.
-        swapped = low.strip(".,;:?\"'()").translate(LEET)
-        forms = {_NOT_LETTER.sub("", swapped), _NOT_LETTER.sub("", swapped.rstrip("i")), _NOT_LETTER.sub("", low), _SQUEEZE.sub(r"\1", bare)} - {bare}
-        found = max(map(kind, forms), default=0)
+        swapped = "" if plain else low.strip(".,;:?\"'()").translate(LEET)
+        forms = {_SQUEEZE.sub(r"\1", bare)} if plain else {_NOT_LETTER.sub("", swapped), _NOT_LETTER.sub("", swapped.rstrip("i")), _NOT_LETTER.sub("", low), _SQUEEZE.sub(r"\1", bare)}
+        found = max(map(kind, forms - {bare}), default=0)
         if found:
             bits |= HIDDEN
     if bare in SECOND_PERSON:
@@ -279,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [dense_features(t, caches[k]).tolist() for t, k in zip(pdf["text"], pdf["fold"])], "y": pdf["y"]})
 
-    got = sample.mapInPandas(extract, "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id", kind="stable")
+    got = sample.mapInPandas(trimmed(extract), "doc_id long, x array<double>, y int").toPandas().sort_values("doc_id", kind="stable")
     order = np.random.default_rng(3).permutation(len(got))
     data = np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES))[order]
     return train(data, got["y"].to_numpy(float)[order]), lexicons[-1]
@@ -290,10 +291,13 @@ def scored(docs: DataFrame, model: tuple[Forest, dict[str, float]], text_col: st
 
     @pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        forest, learned = held.value
-        cache = WordCache(learned)
-        for texts in batches:
-            data = np.array([dense_features(t, cache) for t in texts]).reshape(len(texts), len(NAMES))
-            yield pd.Series(forest.score(data), dtype="float64")
+        def work(parts):
+            forest, learned = held.value
+            cache = WordCache(learned)
+            for texts in parts:
+                data = np.array([dense_features(t, cache) for t in texts]).reshape(len(texts), len(NAMES))
+                yield pd.Series(forest.score(data), dtype="float64")
+
+        yield from trimmed(work)(batches)
 
     return docs.withColumn(score_col, score(text_col)).withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
