@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of stretches of 50 words and more; documents stay, if with an empty text."""
-    return dedup_lines(docs)
+    """Deletes later copies of whole runs of 50 words and more; documents stay, if with an empty text."""
+    return dedup_lines(docs, whole_runs=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ equals, line for line, one at an earlier place; places are ordered by
 (doc_id, text digest, line). Lines that the earlier copy itself covers
 (self-overlap in one document) stay.
 
+With ``whole_runs`` a line occurrence with words is deleted iff it lies in any run of lines
+with ``min_words`` words or more that equals one at an earlier place: the fewest
+lines that hold ``min_words`` words and *end* at a line are compared as well, so
+the tail of a longer run goes too. The SQL, and so the query, are without it.
+
 Plan
 1. Lines are exploded as (document, position, md5, words); texts stay behind.
 2. Winnowing: each line's stretch of ``gram_words`` words is hashed; of those
@@ -49,12 +54,15 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def line_grams(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram_words: int, window_words: int) -> DataFrame:
+def line_grams(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram_words: int, window_words: int, whole_runs: bool = False) -> DataFrame:
     """(doc, tk, pos, c, end, key, gram, fp): a row for each line with words.
 
     c: words before the line; key, end: digest and last line of its stretch of
     ``min_words`` words (key null if the document ends before); gram: hash of its
-    stretch of ``gram_words`` words; fp: whether winnowing selects it.
+    stretch of ``gram_words`` words; fp: whether winnowing selects it. With
+    ``whole_runs`` also past: words up to the line's end, and back, back_key: first
+    line and digest of the stretch that ends there (null where it is the stretch of
+    its first line, too).
     """
     lines = (
         docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
@@ -68,8 +76,14 @@ def line_grams(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram
     lines = lines.withColumn("c", F.sum("w").over(by_line.rowsBetween(W.unboundedPreceding, 0)) - F.col("w"))
     by_word = W.partitionBy("doc", "tk").orderBy("c")
     stretch, gram, window = (by_word.rangeBetween(0, n - 1) for n in (min_words, gram_words, window_words))
+    backward = []
+    if whole_runs:
+        lines = lines.withColumn("past", F.col("c") + F.col("w"))
+        behind = W.partitionBy("doc", "tk").orderBy("past").rangeBetween(-(min_words - 1), 0)
+        longer = F.sum("w").over(behind) - F.col("w") >= min_words
+        backward = ["past", F.min("pos").over(behind).alias("back"), F.when(longer, F.md5(F.array_join(F.collect_list("h").over(behind), ""))).alias("back_key")]
     hashed = lines.select(
-        "doc", "tk", "pos", "c",
+        "doc", "tk", "pos", "c", *backward,
         F.max("pos").over(stretch).alias("end"),
         F.when(F.sum("w").over(stretch) >= min_words, F.md5(F.array_join(F.collect_list("h").over(stretch), ""))).alias("key"),
         F.when(F.sum("w").over(gram) >= gram_words, F.xxhash64(F.collect_list("h").over(gram))).alias("gram"),
@@ -81,22 +95,22 @@ def line_grams(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram
     return chosen.withColumn("fp", F.array_contains(F.collect_set("at").over(back), F.col("c")) & F.col("gram").isNotNull()).drop("at")
 
 
-def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
+def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc, tk, cut): for each document touched, its merged [first, last] line intervals to delete."""
     if gram_words + window_words - 1 > min_words:
         raise ValueError("gram_words + window_words - 1 must not exceed min_words, or repeats are missed")
-    grams = materialise(line_grams(docs, id_col, text_col, min_words, gram_words, window_words), "line-grams")
+    grams = materialise(line_grams(docs, id_col, text_col, min_words, gram_words, window_words, whole_runs), "line-grams")
     prints = grams.where("fp").select("doc", "tk", "c", "gram")
     shared = prints.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     matched = fanout_join(prints, shared, "gram", F.struct("doc", "c"), "inner").select("doc", "tk", "c", F.lit(True).alias("hit"))
     ahead = W.partitionBy("doc", "tk").orderBy("c").rangeBetween(0, window_words - 1)
-    near = (
-        grams.select("doc", "tk", "pos", "c", "end", "key")
-        .join(matched, ["doc", "tk", "c"], "left")
-        .withColumn("near", F.max("hit").over(ahead))
-        .where("near AND key IS NOT NULL")
-        .select("doc", "tk", "pos", "end", "key")
-    )
+    marked = grams.drop("gram", "fp").join(matched, ["doc", "tk", "c"], "left").withColumn("near", F.max("hit").over(ahead))
+    if whole_runs:  # equal stretches share a fingerprint, so a match inside is enough
+        behind = W.partitionBy("doc", "tk").orderBy("past").rangeBetween(-(min_words - 1), 0)
+        forward, backward = (F.struct(F.col(lo).alias("pos"), F.col(hi).alias("end"), F.col(key).alias("key")) for lo, hi, key in (("pos", "end", "key"), ("back", "pos", "back_key")))
+        both = F.array(F.when(F.col("near"), forward), F.when(F.max("hit").over(behind), backward))
+        marked = marked.select("doc", "tk", both.alias("both")).select("doc", "tk", F.inline("both")).withColumn("near", F.lit(True))
+    near = marked.where("near AND key IS NOT NULL").select("doc", "tk", "pos", "end", "key")
     near = materialise(near, "line-stretches")
     first = near.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tk", "pos", "end")).alias("first")).where("n > 1")
     later = fanout_join(near, first, "key", F.struct("doc", "pos"), "inner").where(F.struct("doc", "tk", "pos") > F.struct("first.doc", "first.tk", "first.pos"))
@@ -109,9 +123,9 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return merged.groupBy("doc", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("cut"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS, counts: bool = False, whole_runs: bool = False) -> DataFrame:
     """``docs`` with later repeated stretches deleted; with ``counts`` also n_lines_removed."""
-    cuts = repeated_intervals(docs, id_col, text_col, min_words, gram_words, window_words)
+    cuts = repeated_intervals(docs, id_col, text_col, min_words, gram_words, window_words, whole_runs)
     cuts = cuts.select(F.col("doc").alias("_ld_doc"), F.col("tk").alias("_ld_tk"), F.col("cut").alias("_ld_cut"))
     joined = docs.withColumn("_ld_key", _text_key(F.col(text_col))).join(cuts, (F.col(id_col) == F.col("_ld_doc")) & (F.col("_ld_key") == F.col("_ld_tk")), "left")
     lines = F.split(F.col(text_col), "\n", -1)

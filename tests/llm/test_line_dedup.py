@@ -54,3 +54,34 @@ def test_against_sql_over_every_stretch(spark):
 def test_settings_that_would_miss_repeats_are_refused(spark):
     with pytest.raises(ValueError):
         L.repeated_intervals(spark.createDataFrame([(1, "x")], "doc_id long, text string"), min_words=20)
+
+
+def test_whole_runs_go_to_their_last_line(spark):
+    got = run(spark, [(1, f"x\n{A}\n{B}\ny"), (2, f"{A}\n{B}\nother"), (3, f"{C}\n{B}"), (4, f"{A}\n{B}")], whole_runs=True)
+    assert [got[i].text for i in range(1, 5)] == [f"x\n{A}\n{B}\ny", "other", f"{C}\n{B}", ""]
+    assert [got[i].n_lines_removed for i in range(1, 5)] == [0, 2, 0, 2]
+
+
+def all_runs(data, min_words=50):
+    """The lines with words left after comparing every run of lines that holds enough words."""
+    first, gone = {}, {}
+    for doc, text in data:
+        lines = [(i, x) for i, x in enumerate(text.split("\n")) if x.split()]
+        gone[doc] = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                run = tuple(x for _, x in lines[a : b + 1])
+                if sum(len(x.split()) for x in run) >= min_words:
+                    at, end = first.setdefault(run, ((doc, a), lines[b][0]))
+                    if at != (doc, a):
+                        gone[doc] |= set(range(max(lines[a][0], end + 1) if at[0] == doc else lines[a][0], lines[b][0] + 1))
+    return {doc: [x for i, x in enumerate(text.split("\n")) if x.split() and i not in gone[doc]] for doc, text in data}
+
+
+def test_whole_runs_against_every_run(spark):
+    r = random.Random(10)
+    pool = [" ".join(r.choice("abcdef") * r.randint(1, 3) for _ in range(r.choice([0, 1, 5, 12, 26, 30, 55, 60]))) for _ in range(20)]
+    data = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(150)]
+    data += [(150 + i, "\n".join(data[i][1].split("\n")[1:] + pool[:2])) for i in range(40)]
+    left = [{i: [x for x in row.text.split("\n") if x.split()] for i, row in run(spark, data, whole_runs=whole).items()} for whole in (True, False)]
+    assert left[0] == all_runs(data) and left[1] != left[0]
