@@ -18,8 +18,9 @@ found whatever its case.
 4. Matches of a document and an item at one offset are an alignment. Its slots
    must be consistent: each value of the item stands for one value in the
    document, and back. Consistent alignments with the same values are verbatim,
-   others are the question with new parameters.
-5. A document is contaminated by an item if consistent alignments cover at least
+   others are the question with new parameters. Of an inconsistent alignment only
+   the windows with the same values count.
+5. A document is contaminated by an item if the windows that count cover at least
    ``min_cover`` of the item's windows.
 
 Defined cases: null or empty texts match nothing; items of fewer than
@@ -303,12 +304,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         met = fanout_join(hits, by_hash, "h", F.struct("doc_id", "dpos"), "inner").select("*", F.inline("in")).drop("in")
     met = met.withColumn("offset", F.col("dpos") - F.col("ipos"))
     aligned = met.groupBy("doc_id", "item_id", "offset").agg(
-        F.collect_set("ipos").alias("at"),
+        F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("islots") == F.col("dslots"), F.col("ipos"))).alias("own"),
         F.array_distinct(F.flatten(F.collect_list(F.zip_with("islots", "dslots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))))).alias("slots"),
         F.first("n_windows").alias("n_windows"), F.first("size").alias("size"),
     )
     ways = [F.size(F.array_distinct(F.col("slots")[k])) == F.size("slots") for k in ("i", "d")]
-    aligned = aligned.where(ways[0] & ways[1]).withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"]))
+    aligned = aligned.withColumn("at", F.when(ways[0] & ways[1], F.col("at")).otherwise(F.col("own"))).where(F.size("at") > 0)
+    aligned = aligned.withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"]))
     per_pair = aligned.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched_windows"),
         F.first("n_windows").alias("n_windows"), F.min("same").alias("verbatim"),

@@ -28,6 +28,17 @@ def test_slots_must_be_consistent(spark):
     assert run(spark, [(1, BROKEN)], [(7, ITEM)]) == {}
 
 
+def test_windows_in_their_own_words_count_beside_an_inconsistent_slot(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    item, doc = words.copy(), words.copy()
+    item[5] = item[50] = doc[5] = "2"
+    doc[50] = "3"  # 2 stands for 2 and for 3
+    got = run(spark, [(1, " ".join(doc)), (2, " ".join(words[:20]))], [(7, " ".join(item))])
+    assert set(got) == {(1, 7)}
+    assert got[1, 7].matched_windows == 44 and not got[1, 7].verbatim  # 52 less the eight that hold the change
+    assert set(run(spark, [(1, " ".join(doc))], [(7, " ".join(item))], broadcast_rows=0)) == {(1, 7)}
+
+
 def test_short_items_and_edge_cases(spark):
     items = [(1, "what is the capital of france"), (2, "too short"), (3, None), (4, ""), (None, ITEM), (5, ITEM), (5, ITEM), (6, ITEM)]
     docs = [(1, "so: What is the capital of France? nobody knows"), (2, None), (3, ""), (None, ITEM), (4, ITEM), (4, ITEM)]
