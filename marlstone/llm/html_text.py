@@ -5,12 +5,19 @@ The standard library's parser streams events; block boundaries cut them into
 unlinked text to tags of each line is smoothed by a Gaussian kernel, and lines
 at or above a threshold between the page's mean and deviation form the content
 clusters. A cluster selects the region it lies in: the outermost article or main
-element around it, or where there is none the smallest container that has the
-line. A selected region gives all its lines, so short paragraphs stay; what is
+element around it, or where there is none the smallest container that has all
+clusters. A selected region gives all its lines, so short paragraphs stay; what is
 by name or role a menu, header, footer, sidebar, notice, advert, form, script,
 style or comment section gives none. If no line of an article or main element
 reaches the threshold, these elements are the region.
 
+The class or id of a wrapper may name what is beside the content ('layout
+sidebar-right'). A main element is kept, so named itself or inside a div or section. An
+article there counts where no article or main element is kept and it has more
+unlinked text than all that is kept; an article in what is named for
+comments or related pages counts only where nothing else has text.
+Names like with-, has-, no-sidebar or share-enabled say nothing of a container.
+
 Defined cases: a null or empty html has the text ''. Character references are
 decoded; white space in a block becomes one blank; a line break is white space;
 blocks are joined by an empty line. Unclosed elements end with their parent; a page that ends inside a tag loses it;
@@ -47,41 +54,60 @@ NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion "
     "widget widgets skip search searchbox copyright disclaimer".split()
 )
+#: Names of what holds articles that are not the page's.
+OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion".split())
+#: Containers whose names may tell of what is beside their content.
+WRAPPERS = frozenset("div section article main".split())
+_STATE = re.compile(r"(?:with|has|no|without)[-_].*|.*[-_](?:enabled|disabled)", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
 _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _named_away(attrs: list[tuple[str, str | None]]) -> bool:
-    """True if an element's class, id, role or style says that it is no content."""
+#: How an element is kept from the text: not at all, as a form, by a name, by the name of other articles, in any case.
+KEPT, FORM, NAMED, OTHER, AWAY = range(5)
+
+
+def _named_away(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """KEPT, or how an element's class, id, role or style says that it is no content."""
+    level = KEPT
     for k, v in attrs:
         if k in ("hidden", "inert") or k == "aria-hidden" and v == "true":
-            return True
+            return AWAY
         if not v:
             continue
         if k == "role" and v.lower() in ROLES or k == "style" and _HIDDEN.search(v):
-            return True
-        if k in ("class", "id") and not NAMES.isdisjoint(w.lower() for w in _WORD.findall(v)):
-            return True
-    return False
+            return AWAY
+        if k in ("class", "id"):
+            if tag in WRAPPERS:
+                v = " ".join(x for x in v.split() if not _STATE.fullmatch(x))
+            words = {w.lower() for w in _WORD.findall(v)}
+            if not NAMES.isdisjoint(words):
+                level = max(level, NAMED if OTHERS.isdisjoint(words) else OTHER)
+    return level if tag in WRAPPERS else AWAY if level else KEPT
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, region, semantic) of a page's lines."""
+    """Collects (text, tags, linked characters, region, semantic, rank) of a page's lines.
+
+    ``parents`` has the region around each region; rank is how an article that
+    counts only for want of others was kept from the text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # tag, skipped, region, semantic
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.stack: list[tuple[str, int, int, bool, int]] = []  # tag, level, region, semantic, rank
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.regions = 0
+        self.parents = [0]
+        self.tags = self.linked = self.links = 0
 
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, _, region, semantic = self.stack[-1] if self.stack else ("", False, 0, False)
-            self.lines.append((text, self.tags, self.linked, region, semantic))
+            _, _, region, semantic, rank = self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT)
+            self.lines.append((text, self.tags, self.linked, region, semantic, rank))
             self.tags = self.linked = 0
         self.parts = []
 
@@ -96,23 +122,25 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         elif tag == "a":
             self.links = 1
-        if tag in HOLDERS or attrs and tag not in VOID and _named_away(attrs):
-            _, skipped, region, semantic = self.stack[-1] if self.stack else ("", False, 0, False)
-            main = tag in ("article", "main") or ("role", "main") in attrs
-            away = tag in SKIPPED or bool(attrs) and tag not in ("body", "html") and _named_away(attrs)
-            if main and not away and {t for t, own in self.away if own} <= {"form"}:
-                skipped = False
+        if tag in HOLDERS or attrs and tag not in VOID and _named_away(tag, attrs):
+            _, outer, region, semantic, rank = self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT)
+            only = tag == "main" or ("role", "main") in attrs
+            main = only or tag == "article"
+            away = FORM if tag == "form" else AWAY if tag in SKIPPED else KEPT
+            if attrs and tag not in ("body", "html"):
+                away = max(away, _named_away(tag, attrs))
+            if only and tag in WRAPPERS and away < AWAY:
+                away = KEPT
+            if main and not away and (outer == FORM or outer < AWAY and not semantic):
+                if outer > FORM and not only:
+                    rank = outer
+                outer = KEPT
             elif tag == "header" and not semantic:
-                away = True
-            self.regions += 1
-            inner = region if semantic else self.regions
-            self.stack.append((tag, skipped or away, inner, semantic or main))
-
-    @property
-    def away(self) -> list[tuple[str, bool]]:
-        """The open elements, and whether each is skipped in its own right."""
-        outer = [False, *(x[1] for x in self.stack)]
-        return [(x[0], x[1] and not before) for x, before in zip(self.stack, outer)]
+                away = AWAY
+            if not semantic:
+                self.parents.append(region)
+                region = len(self.parents) - 1
+            self.stack.append((tag, max(outer, away), region, semantic or main and not max(outer, away), rank))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -142,18 +170,35 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
-def content_lines(lines: list[tuple[str, int, int, int, bool]]) -> list[str]:
+def _counting(lines: list[tuple[str, int, int, int, bool, int]]) -> list[tuple[str, int, int, int, bool, int]]:
+    """The lines that no name keeps from the text, or those of articles in wrappers that count for want of others."""
+    kept, wrapped = ([x for x in lines if x[5] == rank] for rank in (KEPT, NAMED))
+    if not any(semantic for *_, semantic, _ in kept) and sum(len(x[0]) - x[2] for x in wrapped) > sum(len(x[0]) - x[2] for x in kept):
+        return wrapped
+    return kept or wrapped or lines
+
+
+def content_lines(lines: list[tuple[str, int, int, int, bool, int]], parents: list[int]) -> list[str]:
     """The lines of the regions that the clusters select."""
+    lines = _counting(lines)
     if not lines:
         return []
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in lines])
+    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, *_ in lines])
     k = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
     padded = np.pad(ratio, RADIUS, mode="edge")
     smooth = np.convolve(padded, k / k.sum(), mode="valid")
     chosen = smooth >= min(smooth.mean(), smooth.std() if smooth.std() > 0 else smooth.mean())
-    regions = {r for (_, _, _, r, s), c in zip(lines, chosen) if s and c} or {r for _, _, _, r, s in lines if s}
-    regions = regions or {r for (_, _, _, r, _), c in zip(lines, chosen) if c}
-    return [t for t, _, _, r, _ in lines if r in regions]
+    regions = {x[3] for x, c in zip(lines, chosen) if x[4] and c} or {x[3] for x in lines if x[4]}
+    if not regions:
+        regions = {x[3] for x, c in zip(lines, chosen) if c}
+        while len(regions) > 1:  # a container is numbered before what it holds
+            inner = max(regions)
+            regions = regions - {inner} | {parents[inner]}
+        top = min(regions)
+        for r in range(top + 1, len(parents)):
+            if parents[r] in regions:
+                regions.add(r)
+    return [x[0] for x in lines if x[3] in regions]
 
 
 def main_text(html: str | None) -> str:
@@ -163,7 +208,7 @@ def main_text(html: str | None) -> str:
         parser.rawdata = ""
     parser.close()
     parser.cut()
-    return "\n\n".join(content_lines(parser.lines))
+    return "\n\n".join(content_lines(parser.lines, parser.parents))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

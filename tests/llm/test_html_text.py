@@ -19,6 +19,16 @@ LONG = "This is a long paragraph of the article with enough words to count as te
         ("<article><header><h1>Own</h1></header><p>p</p></article>", "Own\n\np"),
         ("<header>site</header><main>m</main>", "m"),
         ("plain words", "plain words"),
+        ("<div class='layout with-sidebar'><article><p>a</p></article></div>", "a"),
+        (f"<div class='page sidebar-right'><div><article><p>{LONG}</p><div class=sidebar>s</div></article></div></div><div>b</div>", LONG.strip()),
+        ("<section class=sidebar-page><main><p>m</p></main><aside><article>x</article></aside></section>", "m"),
+        ("<article class='post no-comments'><p>a</p></article>", "a"),
+        ("<article class=share-enabled><p>a</p></article>", "a"),
+        ("<main class='layout-sidebar'><p>a</p></main>", "a"),
+        (f"<div class=content><p>{LONG}</p></div><section id=comments><article>{LONG}{LONG}</article></section>", LONG.strip()),
+        ("<article>a</article><div class=related><article>b</article></div>", "a"),
+        (f"<div hidden><article>{LONG}</article></div><p>shown</p>", "shown"),
+        (f"<div class=content><p>{LONG}{LONG}</p><h2>H</h2><ul><li>one</li><li>two</li></ul><table><tr><td>t</td></tr></table><blockquote>q</blockquote><p>{LONG}</p></div><div>out</div>", f"{(LONG * 2).strip()}\n\nH\n\none\n\ntwo\n\nt\n\nq\n\n{LONG.strip()}"),
         ("<article><p class=ad>ad<p>text<ul><li class=promo>x<li>y</ul><p>z</article>", "text\n\ny\n\nz"),
         ("<p>cut off in a <b", "cut off in a"),
         ("", ""),
