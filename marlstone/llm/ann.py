@@ -12,7 +12,8 @@ bucket (tables x axes numbers, so bounded) set how many chunks a group is cut
 into, hence no task gets more than about ``chunk_rows`` vectors. A group of
 equal vectors is kept whole but for copies that cannot matter: of each distinct
 vector only the k + 1 smallest ids can be among any query's k nearest, so others
-are set aside before hashing (they still are queries). Queries that find fewer
+are set aside before hashing (they still are queries). Ids are counted, not rows:
+repeated rows go first, and every cut to k takes an id once. Queries that find fewer
 than k then probe every axis of one table, which is a full search in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
@@ -79,8 +80,11 @@ def _score_bucket(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray
     """(row of q, row of v) of every pair that may be among a query's k best here, ties included."""
     near = q @ v.T
     near[qid[:, None] == vid[None, :]] = -np.inf
-    if near.shape[1] > k:
-        limit = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    order = np.argsort(vid, kind="stable")
+    starts = np.r_[0, np.flatnonzero(np.diff(vid[order])) + 1]
+    best = near if len(starts) == len(vid) else np.maximum.reduceat(near[:, order], starts, axis=1)  # a column an id
+    if best.shape[1] > k:
+        limit = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
     else:
         limit = np.full(len(q), -np.inf)
     return np.nonzero((near >= (limit - SLACK)[:, None]) & (near > -np.inf))
@@ -95,6 +99,10 @@ def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    order = np.lexsort((-score, vec, query))
+    query, vec, score = query[order], vec[order], score[order]
+    once = np.r_[True, (np.diff(query) != 0) | (np.diff(vec) != 0)] if len(query) else np.zeros(0, bool)
+    query, vec, score = query[once], vec[once], score[once]
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
     starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1] if len(query) else np.zeros(0, int)
@@ -168,7 +176,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     usable = usable.where(F.size("v") == dim)
     queries = usable.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
     copies = W.partitionBy("v").orderBy("id")
-    index = materialise(usable.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "ann-index")
+    index = materialise(usable.distinct().withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "ann-index")
     cp = CrossPolytope(dim, tables)
     top = materialise(_top(_search(index, queries, cp, range(tables), min(probes, cp.axes), groups, chunk_rows, k), k), "ann-top")
     found = top.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))

@@ -43,6 +43,15 @@ def test_copies_ties_and_few_vectors(spark):
     assert {q: [j for j, _ in v] for q, v in run(spark, few, k=20).items()} == {i: [j for j, _ in brute(few, (i, v), 20)] for i, v in few}
 
 
+def test_repeated_rows_and_several_vectors_of_an_id_count_once(spark):
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(30)] + [(100, [0.0, 1.0, 0.0]), (101, [0.9, 0.1, 0.0])]
+    want = {i: brute(rows, (i, dict(rows)[i]), 20) for i in dict(rows)}
+    assert run(spark, rows * 2, k=20) == want and run(spark, rows * 3, k=20, chunk_rows=8) == want
+    # Ids 0 to 9 have five vectors each, all nearer to the query than those of the others.
+    many = [(i, [1.0, 0.001 * j, 0.0]) for i in range(10) for j in range(5)] + [(i, [0.5, 0.001 * i, 0.0]) for i in range(20, 40)] + [(999, [1.0, 0.0, 0.0])]
+    assert [j for j, _ in run(spark, many, every=999, k=20)[999]] == [*range(10), *range(20, 30)]
+
+
 def test_vectors_that_take_no_part(spark):
     nan = float("nan")
     rows = [(1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [float("inf"), 0.0]), (5, [1.0, None]), (6, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [1.0, 1.0])]
