@@ -3,16 +3,20 @@
 Similar texts are linked; the result is the component of each document under
 links, found without ever making all pairs of a group.
 
-1. Each text becomes a set of n-gram hashes. All sets have one global order, that
-   of the hashes. Equal sets are one class; its least id stands for it.
-2. Prefix filter: sets that are similar enough share one of their first
-   n - ceil(t n) + 1 n-grams. These n-grams are counted (combined before the
-   shuffle) and those of one class only dropped. Classes meet at each n-gram they
-   share; an n-gram with more than ``block`` classes is cut into blocks that meet
-   pairwise, so a task holds two blocks at most. Pairs must fit in length, and the
+1. Each text becomes a set of n-gram hashes. Equal sets are one class; its least id
+   stands for it.
+2. Prefix filter: in any order common to all sets, sets that are similar enough share
+   one of their first n - ceil(t n) + 1 n-grams. The order is that of the hashes with
+   the common n-grams last (``common_grams``), so a passage that many texts share
+   brings none of them together. N-grams of the prefixes are counted (combined before
+   the shuffle) and those of one class only dropped. Classes meet at each n-gram they
+   share. Pairs must fit in length, and the
    parity bitmaps of their sets must not prove too many differences: every bit
    that differs stands for an n-gram in one set only. A meeting emits a spanning
    forest of such pairs, not the pairs. All links lie inside the forests' components.
+   Only sets made of common n-grams nearly throughout, such as near copies in their
+   thousands, still meet at common ones; ``common_edges`` brings them together in
+   ranges of size, then in blocks of at most ``block``, then by a few of each part.
 3. Prefix-tree join: the sets of a component (in blocks if it is large, see
    ``exact_components``) are stored in a trie in global order, equal beginnings once. Each set walks the
    trie; the overlap with a path is counted once for all sets below it, and a
@@ -30,232 +34,20 @@ texts are one class. A lone very long text is one row with its set.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.candidates import blocks_between_parts, blocks_of, candidate_components, whole_groups
 from marlstone.llm.common import fanout_join, materialise, trimmed
 from marlstone.llm.components import UnionFind, components
+from marlstone.llm.ngram_sets import sets_of, signatures
 from marlstone.operators.filters import top_per_group
 
-N, PERCENT, BLOCK, SETS_BLOCK, SAMPLE, CACHE_WORDS = 3, 90, 512, 256, 8, 100_000
-BASE_WORDS, MAX_WORDS, SLICE = 4, 256, 1 << 20
-_BLANK = re.compile(rb"[\x20\x09-\x0D]")
-
-
-# ---------------------------------------------------------------- sets
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _slices(data: bytes) -> Iterator[bytes]:
-    """Parts of about SLICE bytes, cut at white space, so that few words are held as objects at once."""
-    at = 0
-    while at < len(data):
-        found = _BLANK.search(data, at + SLICE)
-        end = found.start() if found else len(data)
-        yield data[at:end]
-        at = end
-
-
-def ngram_set(text: str | None, n: int, words: WordHashes) -> np.ndarray:
-    """The sorted distinct n-gram hashes of a text.
-
-    Bytes are lower-cased and split as ASCII, as the contract's word rule says.
-    """
-    if len(words) > CACHE_WORDS:
-        words.clear()
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
-    parts = [np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)) for tokens in map(bytes.split, _slices(data))]
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    if not len(h):
-        return h
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + len(out)]
-    return np.unique((out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB))
-
-
-def prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
-
-
-def most_differences(a, b, percent: int):
-    """Upper bound of the symmetric difference of linked sets of these sizes."""
-    return (a + b) * (100 - percent) // (100 + percent)
-
-
-def bitmap_words(size: int, percent: int) -> int:
-    """Words of 64 bits that tell sets of this size apart: unlike sets differ in about half
-    of the bits, which must be well over the most differences of linked sets."""
-    need = 2.8 * most_differences(size, size, percent) / 64
-    words = BASE_WORDS
-    while words < min(need, MAX_WORDS):
-        words *= 2
-    return words
-
-
-def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """The same parity over fewer bits."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def bitmap(grams: np.ndarray, words: int) -> np.ndarray:
-    """Parity of the set's hashes over 64 * words bits."""
-    at = (grams >> np.uint64(7)).astype(np.int64) % (64 * words)
-    odd = np.bincount(at, minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _signatures(n: int, percent: int):
-    def make(batches):
-        words = WordHashes()
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
-                grams = ngram_set(text, n, words)
-                key = xxhash.xxh128(grams.tobytes()).digest() if len(grams) else None
-                prefix = grams[: prefix_length(len(grams), percent)].view(np.int64).tolist() if len(grams) else []
-                rows.append((doc, len(grams), key, prefix, bitmap(grams, bitmap_words(len(grams), percent)).tolist()))
-            yield pd.DataFrame(rows, columns=["id", "n", "key", "prefix", "bits"])
-
-    return make
-
-
-# ---------------------------------------------------------------- candidates
-
-
-def _forest_pairs(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs (i, j) of row numbers."""
-    nodes, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
-    found, keep = UnionFind(len(nodes)), []
-    for k, (a, b) in enumerate(zip(ends[: len(i)].tolist(), ends[len(i) :].tolist())):
-        if found.union(a, b):
-            keep.append(k)
-    return rep[i[keep]], rep[j[keep]]
-
-
-class Bitmaps:
-    """Bitmaps of unequal lengths: compared folded to the base length first, then, where
-    both are longer, folded to the shorter of the two."""
-
-    def __init__(self, bits) -> None:
-        self.whole = [np.asarray(b, np.int64).view(np.uint64) for b in bits]
-        self.base = np.stack([folded(b, BASE_WORDS) for b in self.whole])
-        self.words = np.array([len(b) for b in self.whole])
-
-    def take(self, rows: np.ndarray) -> Bitmaps:
-        out = object.__new__(Bitmaps)
-        out.whole, out.base, out.words = [self.whole[i] for i in rows], self.base[rows], self.words[rows]
-        return out
-
-    def may_link(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(self.base[i] ^ self.base[j]).sum(1, dtype=np.int64) <= most
-        for k in np.flatnonzero(ok & (np.minimum(self.words[i], self.words[j]) > BASE_WORDS)):
-            a, b = self.whole[i[k]], self.whole[j[k]]
-            words = min(len(a), len(b))
-            ok[k] = np.bitwise_count(folded(a, words) ^ folded(b, words)).sum() <= most[k]
-        return ok
-
-
-def _meet(rep: np.ndarray, n: np.ndarray, bits: Bitmaps, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate forest of one meeting. side: 0 and 1 in a pair of blocks (only pairs across count), all 0 otherwise."""
-    order = np.argsort(n, kind="stable")
-    rep, n, bits, side = rep[order], n[order], bits.take(order), side[order]
-    two = side.any()
-    # Row k meets the rows before it that are long enough.
-    first = np.searchsorted(100 * n, percent * n, side="left")
-    left, right = [], []
-    for at in range(0, len(n), 256):
-        stop = min(len(n), at + 256)
-        low = int(first[at])
-        i, j = np.meshgrid(np.arange(low, stop), np.arange(at, stop), indexing="xy")
-        fit = (i < j) & (i >= first[at:stop, None])
-        if two:
-            fit &= side[i] != side[j]
-        i, j = i[fit], j[fit]
-        for part in range(0, len(i), 1 << 18):
-            a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
-            ok = bits.may_link(a, b, most_differences(n[a], n[b], percent))
-            left.append(a[ok])
-            right.append(b[ok])
-    i, j = np.concatenate(left or [np.zeros(0, int)]), np.concatenate(right or [np.zeros(0, int)])
-    return _forest_pairs(rep, i, j) if len(i) else (rep[:0], rep[:0])
-
-
-def _candidates(percent: int):
-    """Forests of meetings; rows come sorted by (gram, pair), a meeting after the other."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        gram, pair, rep, n, side = (rows[c].to_numpy() for c in ("gram", "pair", "rep", "n", "side"))
-        bits = Bitmaps(rows["bits"])
-        edge = np.flatnonzero((np.diff(gram) != 0) | (np.diff(pair) != 0)) + 1
-        starts = np.r_[0, edge]
-        sizes = np.diff(np.r_[starts, len(gram)])
-        out = []
-        small = sizes <= 8
-        two = np.repeat(np.add.reduceat(side, starts) > 0, sizes)
-        for offset in range(1, 8):  # small meetings all at once
-            at = np.concatenate([starts[small & (sizes > offset + k)] + k for k in range(8 - offset)])
-            i, j = at, at + offset
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            fit = (100 * low >= percent * high) & (~two[i] | (side[i] != side[j]))
-            i, j, low, high = i[fit], j[fit], low[fit], high[fit]
-            ok = bits.may_link(i, j, most_differences(low, high, percent))
-            out.append((rep[i[ok]], rep[j[ok]]))
-        for s, m in zip(starts[~small].tolist(), sizes[~small].tolist()):
-            out.append(_meet(rep[s : s + m], n[s : s + m], bits.take(np.arange(s, s + m)), side[s : s + m], percent))
-        return pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])}).drop_duplicates()
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for rows in whole_groups(batches, ["gram", "pair"]):
-            yield work(rows)
-
-    return run
-
-
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Sorted batches cut anew, so that no group of equal keys is divided."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        last = np.ones(len(pdf), bool)
-        for k in keys:
-            last &= (pdf[k] == pdf[k].iat[-1]).to_numpy()
-        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        if cut:
-            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
-            held = [pdf.iloc[cut:]]
-        else:
-            if held and any(held[-1][k].iat[-1] != pdf[k].iat[0] for k in keys):
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(pdf)
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _blocks(rows: DataFrame, count: str, block: int, id_col: str) -> DataFrame:
-    """Adds pair and side: which meetings of two blocks a row takes part in (one, numbered 0, for small groups)."""
-    nb = F.ceil(F.col(count) / block).cast("int")
-    mine = F.pmod(F.xxhash64(id_col), nb).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), nb - 1), lambda o: F.struct((F.least(mine, o) * nb + F.greatest(mine, o) + 1).alias("pair"), (mine > o).cast("int").alias("side")))
-    alone = F.array(F.struct(F.lit(0).alias("pair"), F.lit(0).alias("side")))
-    return rows.select("*", F.inline(F.when(nb <= 1, alone).otherwise(pairs)))
-
+N, PERCENT, BLOCK, SETS_BLOCK, SAMPLE = 3, 90, 512, 256, 8
 
 # ---------------------------------------------------------------- prefix tree
 
@@ -368,8 +160,8 @@ def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFram
 
     Blocks are joined in themselves first, and then a few sets of each part found
     of a component of several blocks. Near copies, however many, are one part by
-    then; only components that still fall into parts have their blocks joined
-    pairwise, and there only sets of different parts are compared.
+    then; in components that still fall into parts the blocks of the smaller parts are
+    joined with those of all, and there only sets of different parts are compared.
     """
     nb = F.ceil(F.col("members") / sets_block).cast("int")
     alone = sets.withColumns({"pair": F.pmod(F.xxhash64("rep"), nb).cast("int"), "side": F.lit(0), "label": F.col("rep")})
@@ -385,11 +177,10 @@ def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFram
 
     few = top_per_group(labelled(links), ["component", "label"], [F.asc("rep")], SAMPLE)
     count = few.groupBy("component").agg(F.count("*").alias("n"))
-    few = _blocks(few.join(count, "component"), "n", sets_block, "rep")
+    few = blocks_of(few.join(count, "component"), "n", sets_block, "rep")
     links = materialise(links.unionByName(_tree_join(few, percent)), "set-links")
     left = labelled(links)
-    split = left.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("component")
-    rest = _blocks(left.join(split, "component", "left_semi"), "members", sets_block, "rep")
+    rest = blocks_between_parts(materialise(left, "set-parts"), "component", sets_block)
     return components(links.unionByName(_tree_join(rest, percent)))
 
 
@@ -399,28 +190,16 @@ def exact_components(sets: DataFrame, percent: int, sets_block: int) -> DataFram
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, block: int = BLOCK, sets_block: int = SETS_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of ``docs``."""
     narrow = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # as text: null ids keep longs exact
-    made = narrow.mapInPandas(trimmed(_signatures(n, percent)), "id string, n long, key binary, prefix array<long>, bits array<long>")
+    made = narrow.mapInPandas(trimmed(signatures(n, percent)), "id string, n long, key binary, first array<long>, bits array<long>")
     made = materialise(made.withColumn("id", F.col("id").cast("long")), "ngram-sets")
-    classes = made.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = made.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "bits")])
     classes = materialise(classes, "ngram-classes")
-
-    grams = classes.select("rep", F.explode("prefix").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    met = _blocks(grams.join(common, "gram"), "df", block, "rep").select("gram", "pair", "side", "rep")
-    met = met.join(classes.select("rep", "n", "bits"), "rep").repartition("gram", "pair").sortWithinPartitions("gram", "pair")
-    edges = met.select("gram", "pair", "side", "rep", "n", "bits").mapInPandas(trimmed(_candidates(percent)), "a long, b long")
-    groups = materialise(components(edges), "ngram-groups")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    groups = candidate_components(texts, classes, n, percent, block)
 
     count = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = fanout_join(groups, count, "component", F.col("id"), "inner").select(F.col("id").alias("rep"), "component", "members")
-    again = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(members, "rep")
-
-    def read(batches):
-        words = WordHashes()
-        for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["rep"], "component": pdf["component"], "members": pdf["members"], "grams": [ngram_set(t, n, words).tobytes() for t in pdf["text"]]})
-
-    sets = again.mapInPandas(trimmed(read), "rep long, component long, members long, grams binary").where(F.length("grams") > 0)
+    sets = sets_of(texts, members, n).where(F.length("grams") > 0)
     linked = exact_components(materialise(sets, "candidate-sets"), percent, sets_block)
 
     of_class = classes.select("key", "rep", "copies").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")

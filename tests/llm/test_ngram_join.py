@@ -5,8 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import ngram_join as J
+from marlstone.llm import candidates as K
 from marlstone.llm import components as C
+from marlstone.llm import ngram_join as J
+from marlstone.llm import ngram_sets as G
 from marlstone.llm.components import components
 
 
@@ -99,10 +101,10 @@ def test_bitmaps_never_rule_out_a_link():
     for size in (10, 300, 5000, 40_000):
         a = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64))
         b = np.unique(np.concatenate([a[: int(size * 0.97)], r.integers(0, 1 << 63, size // 50, dtype=np.uint64)]))
-        bits = J.Bitmaps([J.bitmap(x, J.bitmap_words(len(x), 90)) for x in (a, b)])
+        bits = K.Bitmaps([G.bitmap(x, G.bitmap_words(len(x), 90)) for x in (a, b)])
         inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         assert 100 * inter >= 90 * union
-        assert bits.may_link(np.array([0]), np.array([1]), np.array([J.most_differences(len(a), len(b), 90)]))[0]
+        assert bits.may_link(np.array([0]), np.array([1]), np.array([G.most_differences(len(a), len(b), 90)]))[0]
 
 
 @pytest.mark.parametrize(("hub", "one_task"), [(20_000, 200_000), (20_000, 0), (3, 0)])
@@ -116,7 +118,55 @@ def test_connected_components_of_chains_and_stars(spark, hub, one_task, monkeypa
 
 def test_slices_do_not_change_sets(monkeypatch):
     text = " ".join(f"w{i % 700}\t" for i in range(5000)) + "x" * 900
-    whole = J.ngram_set(text, 3, J.WordHashes())
-    monkeypatch.setattr(J, "SLICE", 97)
-    assert J.ngram_set(text, 3, J.WordHashes()).tolist() == whole.tolist()
-    assert len(J.ngram_set(" \n " * 100, 3, J.WordHashes())) == 0
+    whole = G.ngram_set(text, 3, G.WordHashes())
+    monkeypatch.setattr(G, "SLICE", 97)
+    assert G.ngram_set(text, 3, G.WordHashes()).tolist() == whole.tolist()
+    assert len(G.ngram_set(" \n " * 100, 3, G.WordHashes())) == 0
+
+
+def shared_passages(seed, n):
+    """A third of the texts hold one passage, for some it is nearly all they are; n // 3 near copies of one text; mixtures of two passages."""
+    r = random.Random(seed)
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(4)]
+    text = [f"t{i}" for i in range(90)]
+    out = []
+    for i in range(n):
+        if i % 3 == 0:
+            w = [f"o{r.randint(0, 10**6)}" for _ in range(r.choice([3, 8, 20, 90]))] + passages[0]
+        elif i % 3 == 1:
+            w = list(text)
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = f"e{r.randint(0, 999)}"
+        else:
+            a, b = r.sample(passages, 2)
+            w = a[: r.randint(50, 60)] + b[: r.randint(50, 60)]
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "percent", "block"), [(3, 90, 20), (5, 80, 12)])
+def test_common_passages_and_large_groups_of_near_copies(spark, n, percent, block):
+    data = shared_passages(block, 420)
+    assert run(spark, data, n=n, percent=percent, block=block, sets_block=16) == brute_force(data, n, percent)
+
+
+def test_common_ngrams_go_last(spark, monkeypatch):
+    common = np.array([3, 5], np.uint64)
+    grams = np.arange(1, 21, dtype=np.uint64)
+    rare, last = G.prefix(grams, 20, 90, common)
+    assert rare.tolist() == [1, 2, 4] and last.tolist() == []
+    assert G.prefix(np.array([3, 5], np.uint64), 2, 50, common)[1].tolist() == [3, 5]
+    assert G.prefix(grams[:3], 20, 90, common) is None
+    df = spark.createDataFrame([(g,) for g in [7] * 9 + [8] * 5 + [-1] * 40 + [2]], "gram long")
+    assert K.common_grams(df, 4, common).tolist() == [3, 5, 7, 8, 2**64 - 1]
+    monkeypatch.setattr(K, "MAX_COMMON", 2)
+    assert K.common_grams(df, 4, common[:0]).tolist() == [7, 2**64 - 1]
+    monkeypatch.setattr(K, "MAX_COMMON", 0)
+    assert len(K.common_grams(df, 4, common[:0])) == 0
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_a_bounded_list_of_common_ngrams_loses_no_link(spark, monkeypatch, most):
+    monkeypatch.setattr(K, "MAX_COMMON", most)
+    data = shared_passages(3, 150)
+    assert run(spark, data, block=10, sets_block=8) == brute_force(data, 3, 90)
