@@ -33,6 +33,8 @@ from marlstone.operators.filters import top_per_group
 SAMPLE = 8
 #: Most n-grams that are moved to the end of the order at once: 8 MB in each task.
 MAX_COMMON = 1 << 20
+#: N-grams that a task counts before it gives counts out.
+COUNTED = 1 << 20
 
 
 # ---------------------------------------------------------------- meetings
@@ -183,10 +185,10 @@ def blocks_between_parts(rows: DataFrame, group: str, block: int) -> DataFrame:
 # ---------------------------------------------------------------- order
 
 
-def common_grams(grams: DataFrame, block: int, known: np.ndarray) -> np.ndarray:
-    """The n-grams of more than ``block`` rows, sorted, ``known`` ones included: at most
-    ``MAX_COMMON`` new ones, those above the least power of two that leaves no more."""
-    df = materialise(grams.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > block), "common-grams")
+def common_grams(df: DataFrame, block: int, known: np.ndarray) -> np.ndarray:
+    """The n-grams of a table (gram, df) that are in more than ``block`` sets, sorted, ``known`` ones
+    included: at most ``MAX_COMMON`` new ones, those above the least power of two that leaves no more."""
+    df = materialise(df.where(F.col("df") > block), "common-grams")
     level = F.floor(F.log2("df")).cast("int").alias("level")
     found, least = 0, None
     for row in df.groupBy(level).agg(F.count("*").alias("grams")).orderBy(F.desc("level")).collect():  # a row a power of two
@@ -225,24 +227,41 @@ def ordered_prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int,
         return rows.mapInPandas(_ordered(percent, context.broadcast(common), whole), schema)
 
     rows = classes.select("rep", "n", "first")
-    common = common_grams(rows.select(F.explode("first").alias("gram")), block, np.zeros(0, np.uint64))
+    counts = rows.select(F.explode("first").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    common = common_grams(counts, block, np.zeros(0, np.uint64))
     if not len(common):
         return arrange(rows, common), False
     short = materialise(arrange(rows, common).where("rare IS NULL").select("rep", "n"), "short-prefixes")
     if not short.isEmpty():
-        sets = sets_of(docs, short, n)
-        numbers = sets.mapInPandas(_numbers, "gram long")
-        common = common_grams(numbers, block, common)
+        counted = sets_of(docs, short, n).select("grams").mapInPandas(trimmed(_counted), "gram long, df long")
+        common = common_grams(counted.groupBy("gram").agg(F.sum("df").alias("df")), block, common)
     made = materialise(arrange(rows, common), "ngram-prefixes")
     rest = made.where("rare IS NULL").select("rep", "n")
     whole = arrange(sets_of(docs, rest, n).withColumnRenamed("grams", "first"), common, True)
     return materialise(made.where("rare IS NOT NULL").unionByName(whole), "ngram-prefixes"), True
 
 
-def _numbers(batches: Iterator[pd.DataFrame]):
+def _counted(batches: Iterator[pd.DataFrame]):
+    """Counts of the n-grams of a partition's sets, given out whenever there are many: sets that are alike are few n-grams."""
+    held, size = [], 0
+
+    def out():
+        gram, place = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+        return gram, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
     for pdf in batches:
-        for grams in pdf["grams"]:
-            yield pd.DataFrame({"gram": np.frombuffer(grams, np.int64)})
+        grams = np.frombuffer(b"".join(pdf["grams"]), np.int64)
+        held.append((grams, np.ones(len(grams), np.int64)))
+        size += len(grams)
+        if size >= COUNTED:
+            held = [out()]
+            size = len(held[0][0])
+            if size >= COUNTED // 2:
+                yield pd.DataFrame({"gram": held[0][0], "df": held[0][1]})
+                held, size = [], 0
+    if held:
+        gram, n = out()
+        yield pd.DataFrame({"gram": gram, "df": n})
 
 
 # ---------------------------------------------------------------- candidates
@@ -260,7 +279,7 @@ def candidate_components(docs: DataFrame, classes: DataFrame, n: int, percent: i
     counts = rare.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     edges = meet(blocks_of(rare.join(counts, "gram"), "df", 2 * block, "rep").withColumn("label", F.col("rep")))
     if some:
-        edges = common_edges(prefixes.select("rep", "n", F.explode("common").alias("gram")), materialise(edges, "candidates"), meet, percent, block)
+        edges = common_edges(prefixes.select("rep", "n", F.explode("common").alias("gram")), edges, meet, percent, block)
     return materialise(components(edges), "ngram-groups")
 
 
@@ -272,21 +291,24 @@ def common_edges(rows: DataFrame, edges: DataFrame, meet, percent: int, block: i
     counts = keyed.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
     rows = materialise(fanout_join(keyed, counts, "gram", F.col("rep"), "inner"), "common-rows")
     mine = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / block)).cast("int")
-    edges = materialise(edges.unionByName(meet(rows.select("rep", "gram", mine.alias("pair"), F.lit(0).alias("side"), F.col("rep").alias("label")))), "candidates")
+    alone = rows.select("rep", "gram", mine.alias("pair"), F.lit(0).alias("side"), F.col("rep").alias("label"))
+    edges = edges.unionByName(meet(alone))
     large = rows.where(F.col("m") > block)
     if large.isEmpty():
         return edges
+    # From here on, what has been found is kept as an edge from each set to its component.
+    found = components(edges).select(F.col("id").alias("a"), F.col("component").alias("b"))
 
     def labelled() -> DataFrame:
-        parts = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+        parts = found.select(F.col("a").alias("rep"), F.col("b").alias("label"))
         return materialise(large.join(parts, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "common-parts")
 
     few = top_per_group(labelled().drop("m"), ["gram", "label"], [F.asc("rep")], SAMPLE)
     apart = few.groupBy("gram").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("gram", "m")
     few = fanout_join(few, apart, "gram", F.col("rep"), "inner")
-    edges = materialise(edges.unionByName(meet(blocks_of(few, "m", block, "rep"))), "candidates")
+    found = components(found.unionByName(meet(blocks_of(few, "m", block, "rep")))).select(F.col("id").alias("a"), F.col("component").alias("b"))
     # Where no part has more sets than have met, all pairs have been looked at.
     parts = labelled()
     more = parts.groupBy("gram", "label").agg(F.count("*").alias("sets")).groupBy("gram").agg(F.max("sets").alias("most")).where(F.col("most") > SAMPLE).select("gram")
     rest = fanout_join(parts, more, "gram", F.col("rep"), "inner")
-    return edges.unionByName(meet(blocks_between_parts(rest, "gram", block)))
+    return found.unionByName(meet(blocks_between_parts(rest, "gram", block)))

@@ -3,7 +3,7 @@
 Alternating large-star and small-star rounds (logarithmic in practice), each a
 grouped minimum and a join. Where a node has over ``HUB`` edges the joins are
 dealt over salts, so neither a hub nor a huge component meets in one task. Before
-the rounds each partition replaces its edges
+the rounds repeated edges are dropped and each partition replaces its edges
 by a spanning forest of them, which only shortens the table; up to ``ONE_TASK``
 edges that are left are finished in one task.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import fanout_join, materialise
 
 
-HUB, ONE_TASK = 20_000, 200_000
+HUB, ONE_TASK, FOREST = 20_000, 200_000, 200_000
 
 
 class UnionFind:
@@ -42,9 +42,22 @@ class UnionFind:
         return True
 
 
-def _forest(batches):
-    """Edges to the least node of each component, batch by batch."""
+def gathered(batches, rows: int):
+    """Batches put together until they have so many rows."""
+    held, n = [], 0
     for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _forest(batches):
+    """Edges to the least node of each component, of about FOREST edges at a time."""
+    for pdf in gathered(batches, FOREST):
         ids, ends = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
         ends = ends.reshape(-1, 2)
         found = UnionFind(len(ids))
@@ -85,7 +98,7 @@ def _star(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the least id reachable, for every id that has an edge to another."""
     pairs = edges.select(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b")).where("a <> b")
-    state = materialise(pairs.mapInPandas(_forest, "a long, b long").distinct(), "edges")
+    state = materialise(pairs.distinct().mapInPandas(_forest, "a long, b long").distinct(), "edges")
     if state.count() <= ONE_TASK:
         return materialise(state.coalesce(1).mapInPandas(_whole, "id long, component long"), "components")
     mark = F.xxhash64("a", "b").cast("decimal(38,0)")

@@ -157,7 +157,7 @@ def test_common_ngrams_go_last(spark, monkeypatch):
     assert rare.tolist() == [1, 2, 4] and last.tolist() == []
     assert G.prefix(np.array([3, 5], np.uint64), 2, 50, common)[1].tolist() == [3, 5]
     assert G.prefix(grams[:3], 20, 90, common) is None
-    df = spark.createDataFrame([(g,) for g in [7] * 9 + [8] * 5 + [-1] * 40 + [2]], "gram long")
+    df = spark.createDataFrame([(7, 9), (8, 5), (-1, 40), (2, 1)], "gram long, df long")
     assert K.common_grams(df, 4, common).tolist() == [3, 5, 7, 8, 2**64 - 1]
     monkeypatch.setattr(K, "MAX_COMMON", 2)
     assert K.common_grams(df, 4, common[:0]).tolist() == [7, 2**64 - 1]
@@ -170,3 +170,14 @@ def test_a_bounded_list_of_common_ngrams_loses_no_link(spark, monkeypatch, most)
     monkeypatch.setattr(K, "MAX_COMMON", most)
     data = shared_passages(3, 150)
     assert run(spark, data, block=10, sets_block=8) == brute_force(data, 3, 90)
+
+
+def test_counts_of_a_partition_are_whole(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(K, "COUNTED", 16)
+    r = random.Random(1)
+    sets = [sorted(r.sample(range(40), r.randint(1, 9))) for _ in range(60)]
+    batches = (pd.DataFrame({"grams": [np.array(s, np.int64).tobytes() for s in sets[i : i + 3]]}) for i in range(0, 60, 3))
+    got = pd.concat(K._counted(batches)).groupby("gram")["df"].sum().to_dict()
+    assert got == {g: n for g in range(40) if (n := sum(g in s for s in sets))}
