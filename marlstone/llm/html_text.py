@@ -16,7 +16,10 @@ sidebar-right'). A main element is kept, so named itself or inside a div or sect
 article there counts where no article or main element is kept and it has more
 unlinked text than all that is kept; an article in what is named for
 comments or related pages counts only where nothing else has text.
-Names like with-, has-, no-sidebar or share-enabled say nothing of a container.
+Names like with-, has-, no-sidebar or share-enabled say nothing of a container. On pages
+without a kept article or main element, a div or section that holds more than three quarters of
+the text is a wrapper too, whatever its name. Names of elements within a line, such
+as links, take words away only if the line has no others.
 
 Defined cases: a null or empty html has the text ''. Character references are
 decoded; white space in a block becomes one blank; a line break is white space;
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-SIGMA, RADIUS = 1.0, 3
+SIGMA, RADIUS, WRAPPER_SHARE = 1.0, 3, 0.75
 
 # Element and class names.
 SKIPPED = frozenset("head script style noscript template nav footer aside form button select textarea option iframe object svg math canvas audio video dialog menu map datalist".split())
@@ -65,8 +68,8 @@ _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-#: How an element is kept from the text: not at all, as a form, by a name, by the name of other articles, in any case.
-KEPT, FORM, NAMED, OTHER, AWAY = range(5)
+#: How an element is kept from the text: not at all, as a form, by a name, by the name of other articles, in any case; or by a name within a line.
+KEPT, FORM, NAMED, OTHER, AWAY, INLINE = range(6)
 
 
 def _named_away(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -85,31 +88,50 @@ def _named_away(tag: str, attrs: list[tuple[str, str | None]]) -> int:
             words = {w.lower() for w in _WORD.findall(v)}
             if not NAMES.isdisjoint(words):
                 level = max(level, NAMED if OTHERS.isdisjoint(words) else OTHER)
-    return level if tag in WRAPPERS else AWAY if level else KEPT
+    if not level:
+        return KEPT
+    return level if tag in WRAPPERS else AWAY if tag in BLOCKS or tag in SKIPPED else INLINE
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, linked characters, region, semantic, rank) of a page's lines.
+    """Collects the lines of a page: (text, tags, linked characters, region, semantic, rank, named).
 
     ``parents`` has the region around each region; rank is how an article that
-    counts only for want of others was kept from the text.
+    counts only for want of others was kept from the text; named is the innermost element around
+    the line that a name keeps from the text (0: none), and ``wrappers`` has the next such element around each.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
-        self.stack: list[tuple[str, int, int, bool, int]] = []  # tag, level, region, semantic, rank
+        self.lines: list[tuple[str, int, int, int, bool, int, int]] = []
+        self.stack: list[tuple[str, int, int, bool, int, int]] = []  # tag, level, region, semantic, rank, named
+        self.open: dict[str, int] = {}  # elements on the stack by tag
         self.parts: list[str] = []
-        self.parents = [0]
+        self.parents, self.wrappers = [0], [0]
         self.tags = self.linked = self.links = 0
+        self.aside = 0  # open inline elements on the stack whose name keeps them from the text
+        self.own = False  # whether the line has words outside of these
+
+    def top(self) -> tuple[str, int, int, bool, int, int]:
+        return self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT, 0)
+
+    def push(self, item: tuple[str, int, int, bool, int, int]) -> None:
+        self.stack.append(item)
+        self.open[item[0]] = self.open.get(item[0], 0) + 1
+
+    def pop(self) -> None:
+        tag, level = self.stack.pop()[:2]
+        self.open[tag] -= 1
+        if level == INLINE:
+            self.aside -= 1
 
     def cut(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+        text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.own else ""
         if text:
-            _, _, region, semantic, rank = self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT)
-            self.lines.append((text, self.tags, self.linked, region, semantic, rank))
+            _, _, region, semantic, rank, named = self.top()
+            self.lines.append((text, self.tags, self.linked, region, semantic, rank, named))
             self.tags = self.linked = 0
-        self.parts = []
+        self.parts, self.own = [], False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -117,30 +139,43 @@ class Lines(HTMLParser):
             self.cut()
             self.links = 0
             while self.stack and tag in ENDED_BY.get(self.stack[-1][0], ()):
-                self.stack.pop()
+                self.pop()
         elif tag == "br":
             self.parts.append(" ")
         elif tag == "a":
             self.links = 1
-        if tag in HOLDERS or attrs and tag not in VOID and _named_away(tag, attrs):
-            _, outer, region, semantic, rank = self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT)
+        named_away = _named_away(tag, attrs) if attrs and tag not in VOID and tag not in ("body", "html") else KEPT
+        if named_away == INLINE:
+            _, outer, region, semantic, rank, named = self.top()
+            if not KEPT < outer < INLINE and outer != AWAY:
+                self.push((tag, INLINE, region, semantic, rank, named))
+                self.aside += 1
+                return
+            named_away = AWAY
+        if tag in HOLDERS or named_away:
+            _, outer, region, semantic, rank, named = self.top()
+            outer = KEPT if outer == INLINE else outer
             only = tag == "main" or ("role", "main") in attrs
             main = only or tag == "article"
-            away = FORM if tag == "form" else AWAY if tag in SKIPPED else KEPT
-            if attrs and tag not in ("body", "html"):
-                away = max(away, _named_away(tag, attrs))
+            away = max(FORM if tag == "form" else AWAY if tag in SKIPPED else KEPT, named_away)
             if only and tag in WRAPPERS and away < AWAY:
                 away = KEPT
             if main and not away and (outer == FORM or outer < AWAY and not semantic):
                 if outer > FORM and not only:
                     rank = outer
-                outer = KEPT
+                outer, named = KEPT, 0
             elif tag == "header" and not semantic:
                 away = AWAY
             if not semantic:
                 self.parents.append(region)
                 region = len(self.parents) - 1
-            self.stack.append((tag, max(outer, away), region, semantic or main and not max(outer, away), rank))
+            level = max(outer, away)
+            if level == NAMED and FORM in (outer, away):
+                level = OTHER
+            if level == NAMED == away:
+                self.wrappers.append(named)
+                named = len(self.wrappers) - 1
+            self.push((tag, level, region, semantic or main and not level, rank, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -155,32 +190,57 @@ class Lines(HTMLParser):
             self.cut()
         if tag == "a":
             self.links = 0
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag not in BLOCKS and self.stack[i][1]:
-                    self.parts.append(" ")
-                del self.stack[i:]
-                break
+        if not self.open.get(tag):
+            return
+        while True:  # what is passed over ends here, so each element is looked at once
+            last, level = self.stack[-1][:2]
+            if last == tag and tag not in BLOCKS and level not in (KEPT, INLINE):
+                self.parts.append(" ")
+            self.pop()
+            if last == tag:
+                return
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][1]:
+        if self.top()[1] not in (KEPT, NAMED, INLINE):
             return
         self.parts.append(data)
+        if not self.aside and not self.own:
+            self.own = not data.isspace()
         if self.links:
             self.linked += len(data)
 
 
-def _counting(lines: list[tuple[str, int, int, int, bool, int]]) -> list[tuple[str, int, int, int, bool, int]]:
+Line = tuple[str, int, int, int, bool, int, int]
+
+
+def _unwrapped(lines: list[Line], wrappers: list[int]) -> list[Line]:
+    """The lines that no name keeps from the text; without an article or main among them, those of wrappers, too."""
+    kept = [x for x in lines if not x[6]]
+    if len(kept) == len(lines) or any(x[4] and x[5] == KEPT for x in kept):
+        return kept
+    inside = [0] * len(wrappers)
+    for text, _, linked, *_, named in lines:
+        inside[named] += len(text) - linked
+    for i in range(len(wrappers) - 1, 0, -1):  # an element is numbered before what it holds
+        inside[wrappers[i]] += inside[i]
+    free = {0}
+    for i in range(1, len(wrappers)):
+        if wrappers[i] in free and inside[i] > WRAPPER_SHARE * inside[0]:
+            free.add(i)
+    return [x for x in lines if x[6] in free]
+
+
+def _counting(lines: list[Line]) -> list[Line]:
     """The lines that no name keeps from the text, or those of articles in wrappers that count for want of others."""
     kept, wrapped = ([x for x in lines if x[5] == rank] for rank in (KEPT, NAMED))
-    if not any(semantic for *_, semantic, _ in kept) and sum(len(x[0]) - x[2] for x in wrapped) > sum(len(x[0]) - x[2] for x in kept):
+    if not any(x[4] for x in kept) and sum(len(x[0]) - x[2] for x in wrapped) > sum(len(x[0]) - x[2] for x in kept):
         return wrapped
     return kept or wrapped or lines
 
 
-def content_lines(lines: list[tuple[str, int, int, int, bool, int]], parents: list[int]) -> list[str]:
+def content_lines(lines: list[Line], parents: list[int], wrappers: list[int]) -> list[str]:
     """The lines of the regions that the clusters select."""
-    lines = _counting(lines)
+    lines = _counting(_unwrapped(lines, wrappers))
     if not lines:
         return []
     ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, *_ in lines])
@@ -208,7 +268,7 @@ def main_text(html: str | None) -> str:
         parser.rawdata = ""
     parser.close()
     parser.cut()
-    return "\n\n".join(content_lines(parser.lines, parser.parents))
+    return "\n\n".join(content_lines(parser.lines, parser.parents, parser.wrappers))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
