@@ -38,3 +38,17 @@ def h1_title(markdown: Column) -> Column:
     """The first top-level header, or null."""
     found = F.trim(F.regexp_extract(markdown, r"(?m)^#[ \t]+(.+)$", 1))
     return F.when(found != "", found)
+
+
+def with_json_tags(json: Column, tags: Column) -> Column:
+    """A JSON object with its ``tags`` set, all else as it was; a null one counts as empty."""
+    fields = F.coalesce(F.from_json(json, "map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
+    rest = F.map_filter(fields, lambda k, _: k != "tags")
+    return F.to_json(F.map_concat(rest, F.create_map(F.lit("tags"), F.to_variant_object(tags))))
+
+
+def parsed_time(text: Column) -> Column:
+    """The UTC time of an ISO 8601 text; one without an offset is UTC, what is none is null."""
+    plain = F.regexp_replace(F.trim(text), r"(?:Z|z)$", "+00:00")
+    zoned = F.when(plain.rlike(r"[+-]\d\d:?\d\d$"), plain).otherwise(F.concat(plain, F.lit("+00:00")))
+    return F.when(plain.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:[+-]\d\d:?\d\d)?)?$"), F.to_utc_timestamp(F.try_to_timestamp(F.when(F.length(plain) == 10, F.concat(plain, F.lit("T00:00:00+00:00"))).otherwise(zoned)), F.lit("UTC"))).cast("timestamp_ntz")

@@ -48,12 +48,6 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(stemmed, lambda w: ~w.isin(*EDGE_STOPWORDS)))
 
 
-def keyword_score(doc_tokens: Column, query_tokens: Column) -> Column:
-    """Matched query words, damped by the logarithm of the text's length (any match counts)."""
-    matched = F.size(F.array_intersect(doc_tokens, query_tokens))
-    return matched / (1.0 + F.log(1.0 + F.size(doc_tokens)))
-
-
 def host(url: Column) -> Column:
     return F.parse_url(url, F.lit("HOST"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def l2_distance(a: Column, b: Column) -> Column:
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+
+
+def unit_vectors(rows: DataFrame, col: str) -> DataFrame:
+    """``rows`` with the vectors of ``col`` at length 1, so that a pair costs one product; null for
+    null and zero vectors and for NaN or infinite components."""
+    length = norm(F.col(col))
+    ok = (length > 0) & ~F.isnan(length) & (length < float("inf"))
+    with_length = rows.withColumn("_length", F.when(ok, length))
+    scaled = F.when(F.col("_length").isNotNull(), F.transform(col, lambda x: x.cast("double") / F.col("_length")))
+    return with_length.withColumn(col, scaled).drop("_length")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 CHUNK_SIZE, LINE_WIDTH, HARD_LIMIT = 2000, 80, 3
 _HEADER = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t#]*$", re.M)
@@ -41,13 +42,13 @@ def protected_lines(lines: list[str]) -> list[bool]:
 def stable_chunks(text: str, size: int = CHUNK_SIZE, protect: bool = True) -> list[str]:
     """Chunks whose borders depend on the lines near them, so an edit moves few borders.
 
-    A line may end a chunk of at least size/4 if its digest falls on the divisor;
-    it must at ``size``, unless a list or fenced block goes on (up to three sizes).
+    A line that is not blank may end a chunk of at least size/4 if its digest falls on the divisor;
+    it must where the chunk is over ``size``, unless a list or fenced block goes on (up to three sizes).
     Joined, the chunks are the text.
     """
     lines = text.splitlines(keepends=True)
     shield = protected_lines(lines) if protect else [False] * len(lines)
-    divisor = max(1, size // LINE_WIDTH)
+    divisor = max(2, size // LINE_WIDTH)
     out, held, length = [], [], 0
     front = bool(lines) and lines[0].strip() == "---" and any(x.strip() == "---" for x in lines[1:])
     for line, kept_whole in zip(lines, shield):
@@ -63,8 +64,8 @@ def stable_chunks(text: str, size: int = CHUNK_SIZE, protect: bool = True) -> li
         if front:
             front = not (line.strip() == "---" and len(held) > 1)
             continue
-        natural = length >= size // 4 and _boundary(line, divisor)
-        if (natural or length >= size) and not kept_whole or length >= HARD_LIMIT * size:
+        natural = length >= size // 4 and bool(line.strip()) and _boundary(line, divisor)
+        if (natural or length > size) and not kept_whole or length >= HARD_LIMIT * size:
             out.append("".join(held))
             held, length = [], 0
     if held:
@@ -153,20 +154,48 @@ def header_quality(text: str, least: int = 2, coverage: float = 0.5, gap: float
     return (len(text) - starts[0]) / len(text) >= coverage and max([starts[0], *spans]) / len(text) <= max(gap, 1.5 / len(found)) and sum(spans) / len(spans) / 4 <= tokens
 
 
-def covered(spans: list[tuple[int, int]], length: int) -> float:
-    """Share of a text under the union of intervals."""
-    total, reach = 0, 0
-    for a, b in sorted(spans):
-        a, b = max(a, reach, 0), min(b, length)
-        total += max(0, b - a)
-        reach = max(reach, b)
-    return total / length if length else 0.0
+def union_length(spans: DataFrame, group: list[str]) -> DataFrame:
+    """(group, covered): length of the union of each group's intervals (lo, hi)."""
+    reach = F.max("hi").over(W.partitionBy(*group).orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    own = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(reach, F.col("lo"))), F.lit(0))
+    return spans.withColumn("_own", own).groupBy(*group).agg(F.sum("_own").cast("long").alias("covered"))
 
 
-def scan_slices(length: int, size: int, overlap: int = 200) -> list[tuple[int, int]]:
-    """Overlapping slices that cover a text."""
-    step = max(1, size - overlap)
-    return [(a, min(length, a + size)) for a in range(0, max(1, length - overlap), step)] if length else []
+def slice_table(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(id, a, b): overlapping slices that cover each text; empty texts have none."""
+    n = F.length(text_col)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), n - overlap) - 1, F.lit(max(1, size - overlap)))
+    rows = docs.where(n > 0).select(F.col(id_col).alias("id"), n.alias("n"), F.explode(starts).alias("a"))
+    return rows.select("id", F.col("a").cast("long").alias("a"), F.least(F.col("a") + size, F.col("n")).cast("long").alias("b"))
+
+
+def subtree_totals(tree: DataFrame, group: list[str], value: str = "tokens") -> DataFrame:
+    """(group, seq, total) of a table of nodes (group, seq, parent, value): the sum of each node with all
+    below it. Sums move up a level a round until none has a parent, so a round shuffles what is left only."""
+    parents = tree.select(*group, F.col("seq").alias("at"), "parent")
+    level = tree.select(*group, F.col("seq").alias("at"), F.col(value).alias("total"))
+    out = level
+    while True:
+        level = level.join(parents, [*group, "at"]).where("parent IS NOT NULL").groupBy(*group, F.col("parent").alias("at")).agg(F.sum("total").alias("total"))
+        if level.isEmpty():
+            return out.groupBy(*group, F.col("at").alias("seq")).agg(F.sum("total").alias("total"))
+        out = out.unionByName(level)
+
+
+def located_headers(docs: DataFrame, id_col: str, text_col: str, titles_col: str, near: int = 10) -> DataFrame:
+    """(id, title, start) of the proposed titles (an array) that stand in each text as lines of
+    their own; of two within ``near`` characters the first stays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, text, titles in zip(pdf["id"], pdf["text"], pdf["titles"]):
+                found = [(match_header(t, text or ""), 0, t) for t in ([] if titles is None else titles) if t]
+                rows += [(i, t, at) for at, _, t in merge_headers([f for f in found if f[0] >= 0], near)]
+            yield pd.DataFrame(rows, columns=["id", "title", "start"])
+
+    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(titles_col).alias("titles"))
+    return narrow.mapInPandas(run, "id long, title string, start long")
 
 
 def _map_text(docs: DataFrame, id_col: str, text_col: str, make, schema: str) -> DataFrame:

@@ -45,22 +45,26 @@ def bucket_hours(at: Column, hours: int = WINDOW_HOURS) -> Column:
     return (F.floor(h / hours) * hours).cast("long")
 
 
-def duplicate_facts(new: DataFrame, stored: DataFrame, window_hours: int = 2 * WINDOW_HOURS, distance: float = NEAR_DISTANCE) -> DataFrame:
+def duplicate_facts(new: DataFrame, stored: DataFrame, window_hours: int = 2 * WINDOW_HOURS, distance: float = NEAR_DISTANCE, scope: tuple[str, ...] = ("vault_id",), salts: int = 8) -> DataFrame:
     """(unit_id, kind) of new facts that a stored fact within half the window around their bucket's start repeats.
 
-    kind: exact for equal text, near for a vector distance under ``distance``. The
-    range join is an equi-join on buckets: half a window spans three of them.
+    kind: exact for equal text, near for a vector distance under ``distance``. Only facts
+    that agree in the ``scope`` columns are compared; with none, all vaults are. The
+    range join is an equi-join on buckets: half a window spans three of them. Stored
+    vectors of a bucket are dealt over ``salts``, for which the new ones, a batch, are repeated.
     """
     half = window_hours // 2
-    n = new.select("unit_id", "text", "embedding", bucket_hours(F.col("event_date"), half).alias("start")).withColumn("bucket", F.explode(F.array(F.col("start") - half, F.col("start"), F.col("start") + half)))
-    s = stored.select(F.col("unit_id").alias("old_id"), F.col("text").alias("old_text"), F.col("embedding").alias("old_vector"), "event_date", bucket_hours(F.col("event_date"), half).alias("bucket"))
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    from_start = F.timestamp_diff("MICROSECOND", origin, F.col("event_date")) / 3600e6 - F.col("start")
-    close = (F.abs(from_start) <= half) & (F.col("unit_id") != F.col("old_id"))
+    start = bucket_hours(F.col("event_date"), half)
+    n = new.select("unit_id", *scope, "text", "embedding", start.alias("start")).withColumn("bucket", F.explode(F.array(F.col("start") - half, F.col("start"), F.col("start") + half)))
+    hour = F.timestamp_diff("MICROSECOND", origin, F.col("event_date")) / 3600e6
+    s = stored.select(F.col("unit_id").alias("old_id"), *scope, F.col("text").alias("old_text"), F.col("embedding").alias("old_vector"), hour.alias("hour"), start.alias("bucket"))
+    close = (F.abs(F.col("hour") - F.col("start")) <= half) & (F.col("unit_id") != F.col("old_id"))
     # Equal texts meet by text and bucket; only rows with vectors meet by bucket alone.
-    exact = n.join(s, (n["bucket"] == s["bucket"]) & (n["text"] == s["old_text"])).where(close).select("unit_id", F.lit(True).alias("exact"))
-    near = n.where("embedding IS NOT NULL").join(s.where("old_vector IS NOT NULL"), "bucket").where(close)
-    near = near.where(vector.cosine_distance(F.col("embedding"), F.col("old_vector")) < distance).select("unit_id", F.lit(False).alias("exact"))
+    exact = n.drop("embedding").join(s.drop("old_vector").withColumnRenamed("old_text", "text"), ["bucket", "text", *scope]).where(close).select("unit_id", F.lit(True).alias("exact"))
+    a = vector.unit_vectors(n.where("embedding IS NOT NULL").drop("text"), "embedding").withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    b = vector.unit_vectors(s.where("old_vector IS NOT NULL").drop("old_text"), "old_vector").withColumn("salt", F.pmod(F.xxhash64("old_id"), F.lit(salts)).cast("int"))
+    near = a.join(b, ["bucket", "salt", *scope]).where(close).where(1.0 - vector.dot(F.col("embedding"), F.col("old_vector")) < distance).select("unit_id", F.lit(False).alias("exact"))
     return exact.unionByName(near).groupBy("unit_id").agg(F.when(F.max("exact"), "exact").otherwise("near").alias("kind"))
 
 
@@ -69,9 +73,9 @@ def similar_facts(left: DataFrame, right: DataFrame, least: float = SIMILAR, k:
     whose vectors must be few (a batch): it is broadcast after a check of its size."""
     from marlstone.operators.strategies import checked_broadcast
 
-    a = checked_broadcast(left.where("embedding IS NOT NULL").select("id", "embedding"))
-    b = right.where("embedding IS NOT NULL").select(F.col("id").alias("other_id"), F.col("embedding").alias("other"))
-    pairs = b.crossJoin(a).where("id <> other_id").withColumn("similarity", vector.cosine(F.col("embedding"), F.col("other"))).where(F.col("similarity") >= least)
+    a = checked_broadcast(vector.unit_vectors(left.where("embedding IS NOT NULL").select("id", "embedding"), "embedding"))
+    b = vector.unit_vectors(right.where("embedding IS NOT NULL").select(F.col("id").alias("other_id"), F.col("embedding").alias("other")), "other")
+    pairs = b.crossJoin(a).where("id <> other_id").withColumn("similarity", vector.dot(F.col("embedding"), F.col("other"))).where(F.col("similarity") >= least)
     return top_per_group(pairs.select("id", "other_id", "similarity"), ["id"], [F.desc("similarity"), F.asc("other_id")], k)
 
 

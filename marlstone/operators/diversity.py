@@ -40,17 +40,20 @@ def similarity_matrix(vectors: list, sets: list) -> np.ndarray:
 
 
 def greedy_units(similar: np.ndarray, dates: list, limit: int, weight: float = LAMBDA_UNITS) -> list[int]:
-    """Rows come in order of relevance, which is (n - i) / n; the first is always kept; among
-    values within EPSILON of the best the newest date wins."""
+    """Rows come in order of relevance, which is (n - i) / n; the first is always kept. Each
+    further one is found in one pass: a row takes the lead if its value is over the leader's by
+    more than EPSILON, or within EPSILON of it and newer."""
     n = len(dates)
     picked, left = ([0], list(range(1, n))) if n else ([], [])
     while left and len(picked) < limit:
-        value = {i: weight * (n - i) / n - (1 - weight) * max(similar[i, j] for j in picked) for i in left}
-        top = max(value.values())
-        near = [i for i in left if value[i] >= top - EPSILON]
-        best = max(near, key=lambda i: (dates[i] is not None, dates[i] or 0, value[i], -i))
-        picked.append(best)
-        left.remove(best)
+        lead, best = left[0], -np.inf
+        for i in left:
+            value = weight * (n - i) / n - (1 - weight) * max(0.0, *(similar[i, j] for j in picked))
+            newer = dates[i] is not None and (dates[lead] is None or dates[i] > dates[lead])
+            if value > best + EPSILON or abs(value - best) <= EPSILON and newer:
+                lead, best = i, value
+        picked.append(lead)
+        left.remove(lead)
     return picked
 
 

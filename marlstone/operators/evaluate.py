@@ -27,3 +27,16 @@ def ordering_checks(results: DataFrame, pairs: DataFrame) -> DataFrame:
     place = {c: F.min(F.when(F.contains(F.lower("text"), F.lower(c)), F.col("place"))) for c in ("before", "after")}
     g = met.groupBy("check_id").agg(place["before"].alias("a"), place["after"].alias("b"))
     return g.select("check_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "skip").when(F.col("a") < F.col("b"), "pass").otherwise("fail").alias("status"))
+
+
+def entity_checks(checks: DataFrame, entities: DataFrame, cooccurrences: DataFrame) -> DataFrame:
+    """checks (entity_id, wanted_type, other_id, least) with found, typed, together and mentioned:
+    the entity is there, has the type, occurs with the other and is mentioned ``least`` times."""
+    known = entities.select("entity_id", "entity_type", "mention_count")
+    pairs = cooccurrences.select("e1", "e2", "n")
+    keyed = checks.withColumns({"e1": F.least("entity_id", "other_id"), "e2": F.greatest("entity_id", "other_id")})
+    met = keyed.join(known, "entity_id", "left").join(pairs, ["e1", "e2"], "left")
+    return met.select(
+        "entity_id", F.col("entity_type").isNotNull().alias("found"), F.coalesce(F.col("entity_type") == F.col("wanted_type"), F.lit(False)).alias("typed"),
+        (F.coalesce("n", F.lit(0)) > 0).alias("together"), (F.coalesce("mention_count", F.lit(0)) >= F.col("least")).alias("mentioned"),
+    )

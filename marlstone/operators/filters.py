@@ -40,6 +40,11 @@ def has_all_tags(tags: Column, wanted: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, wanted)), F.coalesce(tags, F.array().cast("array<string>")))) == 0 if wanted else true()
 
 
+def cites(observations: Column, unit_id: Column) -> Column:
+    """Whether any observation of an array of struct<..., evidence array<struct<unit_id, ...>>> has a unit as evidence."""
+    return F.coalesce(F.exists(observations, lambda o: F.exists(o["evidence"], lambda e: e["unit_id"] == unit_id)), F.lit(False))
+
+
 def not_expired(expires_at: Column, now: Column) -> Column:
     return expires_at.isNull() | (expires_at > now)
 
@@ -69,3 +74,8 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
     from pyspark.sql.window import Window as W
 
     return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")
+
+
+def seeded_sample(rows: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
+    """k rows with the least hashes of seed and id: a uniform sample that does not depend on the order of the input."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col))), id_col).limit(k)

@@ -14,38 +14,56 @@ RECENT_DAYS, OLD_DAYS, RISING, FALLING, ALPHA = 30, 90, 1.5, 0.5, 0.1
 def trend(stamps: Column, now: Column) -> Column:
     """Of an array of evidence timestamps: new, stale, strengthening, weakening or stable.
 
-    Compares evidence a day in the last 30 days with that of the 60 days before them.
+    Evidence of less than 30 days is recent, and a null time counts as now. The rate a day
+    of recent evidence is compared with that of all older evidence, spread over the 60 days before.
     """
-    ages = F.transform(stamps, lambda t: scoring.days_between(now, t))
-    recent = F.size(F.filter(ages, lambda a: a <= RECENT_DAYS))
-    older = F.size(F.filter(ages, lambda a: a > RECENT_DAYS))
-    middle = F.size(F.filter(ages, lambda a: (a > RECENT_DAYS) & (a <= OLD_DAYS)))
-    ratio = (recent / F.lit(float(RECENT_DAYS))) / (F.greatest(middle, F.lit(0)) / F.lit(float(OLD_DAYS - RECENT_DAYS)))
-    return F.when(F.coalesce(F.size(stamps), F.lit(0)) <= 0, "stale").when(recent == 0, "stale").when(older == 0, "new").when((middle == 0) | (ratio > RISING), "strengthening").when(ratio < FALLING, "weakening").otherwise("stable")
+    ages = F.transform(stamps, lambda t: F.coalesce(scoring.days_between(now, t), F.lit(0.0)))
+    recent = F.size(F.filter(ages, lambda a: a < RECENT_DAYS))
+    older = F.size(ages) - recent
+    ratio = (recent / F.lit(float(RECENT_DAYS))) / (older / F.lit(float(OLD_DAYS - RECENT_DAYS)))
+    return F.when(F.coalesce(recent, F.lit(0)) <= 0, "stale").when(older == 0, "new").when(ratio > RISING, "strengthening").when(ratio < FALLING, "weakening").otherwise("stable")
 
 
-def update_confidence(units: DataFrame, verdicts: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """Applies verdicts (unit_id, other_id, relation): reinforce lifts both, weaken lowers the
-    second by alpha, contradict by two; sums are clamped to 0 .. 1."""
-    up = F.lit(alpha)
-    step = F.when(F.col("relation") == "reinforce", up).when(F.col("relation") == "weaken", -up).when(F.col("relation") == "contradict", -2 * up).otherwise(0.0)
-    moved = verdicts.select(F.col("other_id").alias("unit_id"), step.alias("by")).unionByName(verdicts.where("relation = 'reinforce'").select("unit_id", up.alias("by")))
-    total = moved.groupBy("unit_id").agg(F.sum("by").alias("by"))
-    value = F.least(F.greatest(F.col("confidence") + F.coalesce("by", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    return units.join(total, "unit_id", "left").withColumn("confidence", value).drop("by")
+def authority(new_date: Column, existing_date: Column, hint: Column) -> Column:
+    """Which side wins, new or existing: the hint if it is one of these, else the later date; of equal or missing dates the new one."""
+    by_date = F.when(existing_date > new_date, "existing").otherwise("new")
+    return F.when(hint.isin("new", "existing"), hint).otherwise(by_date)
 
 
-def authority(a_date: Column, b_date: Column, hint: Column) -> Column:
-    """Which side wins: a hint, else the newer or equal date of a."""
-    return F.coalesce(hint, F.when(a_date >= b_date, "a").otherwise("b"))
+def update_confidence(units: DataFrame, verdicts: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Applies verdicts (new_id, existing_id, relation, winner, place) to the units' confidence.
+
+    reinforce lifts both units by alpha; weaken lowers the one that lost by alpha, contradict
+    by two. All steps start from the stored value, and of several verdicts on one unit the
+    last (by ``place``, then ids) counts. The result is held to 0 .. 1; other relations do nothing.
+    """
+    relation = F.col("relation")
+    lost = F.when(F.col("winner") == "new", F.col("existing_id")).otherwise(F.col("new_id"))
+    step = F.when(relation == "reinforce", alpha).when(relation == "weaken", -alpha).when(relation == "contradict", -2 * alpha)
+    touched = F.when(relation == "reinforce", F.array("new_id", "existing_id")).otherwise(F.array(lost))
+    moved = verdicts.where(relation.isin("reinforce", "weaken", "contradict")).select(F.explode(touched).alias("unit_id"), step.alias("by"), F.struct("place", "new_id", "existing_id").alias("at"))
+    last = moved.groupBy("unit_id").agg(F.max_by("by", "at").alias("by"))
+    value = F.least(F.greatest(F.col("confidence") + F.coalesce("by", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return units.join(last, "unit_id", "left").withColumn("confidence", value).drop("by")
 
 
 def note_status(low_share: Column) -> Column:
     return F.when(low_share > 0.5, "superseded").when(low_share > 0, "partially_superseded").otherwise("active")
 
 
+#: Kinds of links that contest a unit at either end.
+CONTESTING = ("contradicts", "contradiction", "weakens")
+
+
 def freshness(superseded: Column, contested: Column, confidence: Column, age_days: Column) -> Column:
-    return F.when(superseded | contested, "contested").when(confidence < 0.5, "stale").when(age_days.isNull(), "aging").when(age_days > 30, "stale").when(age_days >= 7, "aging").when(confidence >= 0.7, "fresh").otherwise("aging")
+    """contested, stale, aging or fresh; ages count in whole days."""
+    days = F.floor(age_days)
+    return F.when(superseded | contested, "contested").when(confidence < 0.5, "stale").when(days.isNull(), "aging").when(days > 30, "stale").when(days >= 7, "aging").when(confidence >= 0.7, "fresh").otherwise("aging")
+
+
+def contested_units(links: DataFrame) -> DataFrame:
+    """(unit_id) of both ends of contesting links."""
+    return links.where(F.lower("link_type").isin(*CONTESTING)).select(F.explode(F.array("from_id", "to_id")).alias("unit_id")).distinct()
 
 
 def prune_evidence(models: DataFrame, dead: DataFrame, key: str = "model_id") -> DataFrame:
@@ -63,22 +81,57 @@ def prune_evidence(models: DataFrame, dead: DataFrame, key: str = "model_id") ->
     return packed.select(key, F.transform("o", lambda x: F.struct(x["title"].alias("title"), x["evidence"].alias("evidence"))).alias("observations"))
 
 
+def verify_quotes(evidence: DataFrame, units: DataFrame) -> DataFrame:
+    """``evidence`` (unit_id, quote, ...) with verdict: ok, missing (no such unit) or absent (the unit's text lacks the quote)."""
+    texts = units.select("unit_id", F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    met = evidence.join(texts, "unit_id", "left")
+    verdict = F.when(F.col("_known").isNull(), "missing").when(F.contains("_text", F.col("quote")), "ok").otherwise("absent")
+    return met.withColumn("verdict", verdict).drop("_text", "_known")
+
+
 # ---------------------------------------------------------------- queue
 
 
-def apply_events(queue: DataFrame, events: DataFrame) -> DataFrame:
-    """One row a key: extraction adds evidence and queues, deletion queues with priority 1, retrieval only counts.
+def apply_events(queue: DataFrame, events: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queue, entities) after a batch of events (key, kind, at) on entities.
 
-    ``queue``: key, evidence, retrievals, status, priority. ``events``: key, kind.
+    Extraction adds evidence, deletion makes an item urgent (priority 1) and clears its
+    retries; both create it where there is none and make it pending. Retrieval counts on
+    the entity and renews the priority of an item that is there, without queueing it. The
+    priority is that of the last event that found an item, so only a deletion without
+    later events leaves 1. ``queue``: key, evidence, status, priority, retries;
+    ``entities``: key, mention_count, retrieval_count.
     """
-    n = events.groupBy("key").agg(F.count_if(F.col("kind") == "extraction").alias("ex"), F.count_if(F.col("kind") == "retrieval").alias("re"), F.max(F.col("kind") == "deletion").alias("deleted"))
-    both = queue.join(n, "key", "full")
+    kind, at = F.col("kind"), F.struct("at", "kind")
+    n = events.groupBy("key").agg(
+        F.count_if(kind == "extraction").alias("ex"), F.count_if(kind == "retrieval").alias("re"), F.count_if(kind == "deletion").alias("del"), F.max_by("kind", at).alias("last"),
+    )
+    counted = entities.join(n.select("key", "re"), "key", "left").withColumn("retrieval_count", F.col("retrieval_count") + F.coalesce("re", F.lit(0))).drop("re")
+    both = queue.join(n, "key", "full").join(counted.select("key", "mention_count", "retrieval_count"), "key", "left")
     zero = F.lit(0)
-    evidence, retrievals = (F.coalesce(F.col(a), zero) + F.coalesce(F.col(b), zero) for a, b in (("evidence", "ex"), ("retrievals", "re")))
-    touched = (F.coalesce("ex", zero) > 0) | F.coalesce("deleted", F.lit(False))
-    score = F.when(F.coalesce("deleted", F.lit(False)), 1.0).when(touched, scoring.priority(evidence, F.lit(1), retrievals)).otherwise(F.coalesce("priority", F.lit(0.0)))
-    status = F.when(touched, "pending").otherwise(F.coalesce("status", F.lit("idle")))
-    return both.select("key", evidence.cast("long").alias("evidence"), retrievals.cast("long").alias("retrievals"), status.alias("status"), score.alias("priority"))
+    queued = (F.coalesce("ex", zero) + F.coalesce("del", zero)) > 0
+    both = both.where(F.col("status").isNotNull() | queued).withColumn("evidence", (F.coalesce("evidence", zero) + F.coalesce("ex", zero)).cast("long"))
+    one = F.lit(1)
+    scored = scoring.priority(F.col("evidence"), F.coalesce("mention_count", one), F.coalesce("retrieval_count", one))
+    priority = F.when(F.col("last").isNull(), F.col("priority")).when(F.col("last") == "deletion", 1.0).otherwise(scored)
+    retries = F.when(F.coalesce("del", zero) > 0, 0).otherwise(F.coalesce("retries", zero))
+    return both.select("key", "evidence", F.when(queued, "pending").otherwise(F.col("status")).alias("status"), priority.alias("priority"), retries.cast("long").alias("retries")), counted
+
+
+def stale_cascade(stale_chunks: DataFrame, units: DataFrame, unit_entities: DataFrame, models: DataFrame, queue: DataFrame, entities: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """What follows when chunks (chunk_id) go stale: their units are stale, evidence of these leaves the
+    models (entity_id, observations) of the entities they mention, and the entities whose model lost some are queued as after a deletion."""
+    hit = units.join(stale_chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("unit_id").distinct()
+    status = F.when(F.col("_hit"), "stale").otherwise(F.col("status"))
+    now_stale = units.join(hit.withColumn("_hit", F.lit(True)), "unit_id", "left").withColumn("status", status).drop("_hit")
+    touched = unit_entities.join(hit, "unit_id", "left_semi").select("entity_id").distinct()
+    own = models.join(touched, "entity_id", "left_semi")
+    cited = own.select("entity_id", F.explode("observations").alias("o")).select("entity_id", F.explode("o.evidence.unit_id").alias("unit_id"))
+    lost = cited.join(hit, "unit_id", "left_semi").select("entity_id").distinct()
+    pruned = prune_evidence(own.join(lost, "entity_id", "left_semi"), hit, "entity_id")
+    kept = models.join(lost, "entity_id", "left_anti").select("entity_id", "observations").unionByName(pruned)
+    events = lost.select(F.col("entity_id").alias("key"), F.lit("deletion").alias("kind"), at.alias("at"))
+    return {"units": now_stale, "models": kept, "queue": apply_events(queue, events, entities)[0]}
 
 
 def claim(queue: DataFrame, n: int) -> DataFrame:

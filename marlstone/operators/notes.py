@@ -30,10 +30,13 @@ def rerank(rows: DataFrame, raw: Column, top: int = 30, step: float = 1e-6) -> D
 
 
 def set_status(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Applies (note_id, new_status): superseded_by and appended_to are cleared when a note is active again."""
-    both = notes.join(changes.where(F.col("new_status").isin(*STATUSES)), "note_id", "left")
-    active = F.col("new_status") == "active"
-    return both.withColumns({"status": F.coalesce("new_status", "status"), "superseded_by": F.when(~F.coalesce(active, F.lit(False)), F.col("superseded_by"))}).drop("new_status")
+    """Applies (note_id, new_status, linked_id): a superseded note points to what supersedes it, an appended
+    one to what it went into; a note made active again loses both and its summary version. Unknown states are passed over."""
+    known = changes.where(F.col("new_status").isin(*STATUSES)).select("note_id", "new_status", "linked_id")
+    both, new = notes.join(known, "note_id", "left"), F.col("new_status")
+    pointer = {c: F.when(new == state, F.col("linked_id")).when(new == "active", None).otherwise(F.col(c)) for c, state in (("superseded_by", "superseded"), ("appended_to", "appended"))}
+    version = F.when(new == "active", None).otherwise(F.col("summary_version"))
+    return both.withColumns({**pointer, "summary_version": version, "status": F.coalesce(new, "status")}).drop("new_status", "linked_id")
 
 
 def cascade_status(units: DataFrame, changes: DataFrame) -> DataFrame:
@@ -96,10 +99,11 @@ def summary_tier(tokens: Column, single: int = 8000) -> Column:
     return F.when(tokens <= single, "single").when(tokens <= 10 * single, "batched").otherwise("recursive")
 
 
-TREND_WEIGHTS = {"strengthening": 3.0, "new": 2.0, "stable": 1.5, "weakening": 0.5, "stale": 0.0}
+# What a trend weighs in a briefing.
+TREND_WEIGHTS = {"new": 3.0, "strengthening": 2.0, "weakening": 1.5, "stable": 0.5, "stale": 0.0}
 
 
 def briefing_importance(trends: Column) -> Column:
-    """Sum of the weights of an array of trends."""
+    """Sum of the weights of an array of trends; a missing or unknown one counts as stable."""
     weights = F.create_map(*[x for k, v in TREND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
-    return F.aggregate(trends, F.lit(0.0), lambda s, t: s + F.coalesce(weights[t], F.lit(0.0)))
+    return F.aggregate(trends, F.lit(0.0), lambda s, t: s + F.coalesce(weights[F.coalesce(t, F.lit("stable"))], F.lit(TREND_WEIGHTS["stable"])))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scoring, text, vector
 from marlstone.operators.filters import top_per_group, valid_at
 
-POOL, MAX_BROADCAST_QUERIES, SEEDS, SEED_WEIGHT, CAUSAL_LEAST = 60, 10_000, 5, 0.7, 0.3
+POOL, MAX_BROADCAST_QUERIES, MAX_PATTERN_WORDS, SEEDS, SEED_WEIGHT, CAUSAL_LEAST = 60, 10_000, 200, 5, 0.7, 0.3
 
 
 def checked_broadcast(queries: DataFrame) -> DataFrame:
@@ -22,35 +22,47 @@ def checked_broadcast(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if small else queries
 
 
-def semantic(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id") -> DataFrame:
-    """Cosine distance, nearest first; units without a vector are no candidates."""
-    pairs = units.where("embedding IS NOT NULL").select(id_col, "embedding").crossJoin(checked_broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.select("query_id", F.col(id_col).alias("id"), vector.cosine_distance(F.col("embedding"), F.col("query_vector")).alias("score")).where("score IS NOT NULL")
-    return top_per_group(scored, ["query_id"], [F.asc("score"), F.asc("id")], pool)
+def semantic(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Cosine distance, nearest first; units without a vector are no candidates. ``by``
+    names columns of the units, such as the fact type, each value of which has a pool of its own."""
+    known = vector.unit_vectors(units.where("embedding IS NOT NULL"), "embedding").select(F.col(id_col).alias("id"), *by, "embedding")
+    asked = checked_broadcast(vector.unit_vectors(queries.select("query_id", "query_vector"), "query_vector"))
+    scored = known.crossJoin(asked).select("query_id", "id", *by, (1.0 - vector.dot(F.col("embedding"), F.col("query_vector"))).alias("score")).where("score IS NOT NULL")
+    return top_per_group(scored, ["query_id", *by], [F.asc("score"), F.asc("id")], pool)
 
 
-def keyword(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", text_col: str = "text") -> DataFrame:
-    """Any query word matches; postings of words are joined, so units without a match are never paired."""
-    docs = units.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("words"))
-    postings = docs.select("id", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("word"))
-    hits = postings.join(checked_broadcast(asked), "word").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
-    scored = hits.select("query_id", "id", (F.col("n") / (1.0 + F.log(1.0 + F.col("n_words")))).alias("score"))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], pool)
-
+def keyword(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """Any query word matches; postings of words are joined, so units without a match are never paired.
 
-def temporal(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id") -> DataFrame:
+    Units that hold none of the batch's words even as a part of a word are left out before they are cut into words.
+    """
+    asked = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("word"))
+    rows = units.select(F.col(id_col).alias("id"), *by, F.col(text_col).alias("_text"))
+    words = [r["word"] for r in asked.select("word").distinct().limit(MAX_PATTERN_WORDS + 1).collect()]  # of the request, not of the data
+    if len(words) <= MAX_PATTERN_WORDS:
+        rows = rows.where(F.lower("_text").rlike("|".join(sorted(words)))) if words else rows.limit(0)
+    docs = rows.select("id", *by, text.tokens(F.col("_text")).alias("words"))
+    postings = docs.select("id", *by, F.size("words").alias("n_words"), F.explode("words").alias("word"))
+    hits = postings.join(checked_broadcast(asked), "word").groupBy("query_id", "id", *by).agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
+    scored = hits.select("query_id", "id", *by, (F.col("n") / (1.0 + F.log(1.0 + F.col("n_words")))).alias("score"))
+    return top_per_group(scored, ["query_id", *by], [F.desc("score"), F.asc("id")], pool)
+
+
+def temporal(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", by: tuple[str, ...] = ()) -> DataFrame:
     """The newest units, the same for every query; cut to the pool before queries join."""
     score = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', event_date)") / 1e6
-    newest = units.select(F.col(id_col).alias("id"), score.alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(pool)
-    return newest.crossJoin(checked_broadcast(queries.select("query_id"))).select("query_id", "id", "score")
+    dated = units.select(F.col(id_col).alias("id"), *by, score.alias("score"))
+    order = [F.desc("score"), F.asc("id")]
+    newest = top_per_group(dated, list(by), order, pool) if by else dated.orderBy(*order).limit(pool)
+    return newest.crossJoin(checked_broadcast(queries.select("query_id"))).select("query_id", "id", *by, "score")
 
 
 def semantic_seeds(units: DataFrame, unit_entities: DataFrame, queries: DataFrame, k: int = SEEDS) -> DataFrame:
     """Entities of each query's nearest active units in its vault."""
     near = units.where("status = 'active' AND embedding IS NOT NULL").select("unit_id", "vault_id", "embedding")
-    pairs = near.join(checked_broadcast(queries.select("query_id", "query_vector", F.col("query_vault").alias("vault_id"))), "vault_id")
-    scored = pairs.select("query_id", "unit_id", vector.cosine_distance(F.col("embedding"), F.col("query_vector")).alias("score"))
+    asked = vector.unit_vectors(queries.select("query_id", "query_vector", F.col("query_vault").alias("vault_id")), "query_vector")
+    pairs = vector.unit_vectors(near, "embedding").join(checked_broadcast(asked), "vault_id")
+    scored = pairs.select("query_id", "unit_id", (1.0 - vector.dot(F.col("embedding"), F.col("query_vector"))).alias("score"))
     top = top_per_group(scored, ["query_id"], [F.asc_nulls_last("score"), F.asc("unit_id")], k)
     return unit_entities.select("unit_id", "entity_id").join(top, "unit_id").select("query_id", "entity_id").distinct().withColumn("weight", F.lit(SEED_WEIGHT))
 
@@ -82,8 +94,11 @@ def _dated(hits: DataFrame, units: DataFrame, base: Column, now: Column) -> Data
 
 
 def cooccurrence_graph(units: DataFrame, unit_entities: DataFrame, entities: DataFrame, cooccurrences: DataFrame, seeds: DataFrame, now: Column, as_of: Column | None = None, pool: int = POOL) -> DataFrame:
-    """First order: units of the seeds, seed weight plus decay. Second: units of their
-    neighbours, link strength times one half. Rows of one unit are not merged."""
+    """First order: units of the seeds, seed weight plus decay. Second: units of each
+    seed's neighbours by the strength of that link. A row a path; rows of one unit are not merged.
+
+    All units of a neighbour score alike on one path, so of each entity the ``pool`` first ids are enough.
+    """
     seeds = seeds.select("query_id", "entity_id", "weight")
     first = unit_entities.select("unit_id", "entity_id").join(seeds, "entity_id")
     first = _dated(first, units, F.col("weight"), now)
@@ -91,9 +106,9 @@ def cooccurrence_graph(units: DataFrame, unit_entities: DataFrame, entities: Dat
     if as_of is not None:
         edges = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
     reached = edges.join(seeds.select("query_id", "entity_id"), "entity_id").join(entities.select(F.col("entity_id").alias("other_id"), "mention_count"), "other_id")
-    reached = reached.groupBy("query_id", "other_id").agg(F.max(scoring.link_strength(F.col("n"), F.col("mention_count"))).alias("strength"))
-    second = unit_entities.select("unit_id", F.col("entity_id").alias("other_id")).join(reached, "other_id").select("query_id", F.col("unit_id").alias("id"), (F.col("strength") * 0.5).alias("score"))
-    second = second.join(units.select(F.col("unit_id").alias("id")), "id", "left_semi").select("query_id", "id", "score")
+    reached = reached.select("query_id", "other_id", scoring.link_strength(F.col("n"), F.col("mention_count")).alias("score"))
+    live = unit_entities.select("unit_id", F.col("entity_id").alias("other_id")).join(units.select("unit_id"), "unit_id", "left_semi")
+    second = top_per_group(live, ["other_id"], [F.asc("unit_id")], pool).join(reached, "other_id").select("query_id", F.col("unit_id").alias("id"), "score")
     return top_per_group(first.unionByName(second), ["query_id"], [F.desc("score"), F.asc("id")], pool)
 
 
@@ -108,19 +123,24 @@ def causal_graph(units: DataFrame, unit_entities: DataFrame, links: DataFrame, s
     return top_per_group(best, ["query_id"], [F.desc("score"), F.asc("id")], pool)
 
 
-def link_expansion(unit_entities: DataFrame, links: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = ("causes", "caused_by", "enables", "prevents"), pool: int = POOL) -> DataFrame:
-    """From seed units (query_id, unit_id): tanh of shared entities, best semantic link
-    either way and best causal link forth, summed for each unit that is no seed."""
-    seeds = seeds.select("query_id", "unit_id").distinct()
-    mine = unit_entities.select("unit_id", "entity_id").join(seeds, "unit_id").select("query_id", "entity_id").distinct()
-    by_entity = unit_entities.select(F.col("unit_id").alias("id"), "entity_id").join(mine, "entity_id").groupBy("query_id", "id").agg(scoring.entity_overlap(F.countDistinct("entity_id")).alias("score"))
-    near = links.where("link_type = 'semantic'")
-    both = near.select(F.col("from_id").alias("unit_id"), F.col("to_id").alias("id"), "weight").unionByName(near.select(F.col("to_id").alias("unit_id"), F.col("from_id").alias("id"), "weight"))
-    by_meaning = both.join(seeds, "unit_id").groupBy("query_id", "id").agg(F.max("weight").alias("score"))
-    cause = links.where(F.col("link_type").isin(*kinds) & (F.col("weight") >= CAUSAL_LEAST))
-    by_cause = cause.select(F.col("from_id").alias("unit_id"), F.col("to_id").alias("id"), "weight").join(seeds, "unit_id").groupBy("query_id", "id").agg(F.max("weight").alias("score"))
-    total = by_entity.unionByName(by_meaning).unionByName(by_cause).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
-    total = total.join(seeds.withColumnRenamed("unit_id", "id"), ["query_id", "id"], "left_anti")
+def link_expansion(links: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = ("causes", "caused_by", "enables", "prevents"), pool: int = POOL) -> DataFrame:
+    """From seed units (query_id, unit_id): tanh of half the number of distinct entities of
+    entity links forth, plus the best semantic link either way, plus every causal link of
+    weight 0.3 and more forth. Seeds may be reached, and a seed given twice counts its causal links twice.
+
+    ``links``: from_id, to_id, link_type, weight, entity_id.
+    """
+    seeds = seeds.select("query_id", "unit_id")
+    once = seeds.distinct()
+    forth = links.select(F.col("from_id").alias("unit_id"), F.col("to_id").alias("id"), "link_type", "weight", "entity_id")
+    by_entity = forth.where("link_type = 'entity' AND entity_id IS NOT NULL").join(once, "unit_id").groupBy("query_id", "id").agg(scoring.entity_overlap(F.countDistinct("entity_id")).alias("score"))
+    near = forth.where("link_type = 'semantic'").select("unit_id", "id", "weight")
+    both = near.unionByName(near.select(F.col("id").alias("unit_id"), F.col("unit_id").alias("id"), "weight"))
+    by_meaning = both.join(once, "unit_id").groupBy("query_id", "id").agg(F.max("weight").alias("score"))
+    cause = forth.where(F.col("link_type").isin(*kinds) & (F.col("weight") >= CAUSAL_LEAST))
+    by_cause = cause.join(seeds, "unit_id").select("query_id", "id", F.col("weight").alias("score"))
+    # Rounded, so that equal sums stay equal in whatever order they are added.
+    total = by_entity.unionByName(by_meaning).unionByName(by_cause).groupBy("query_id", "id").agg(F.round(F.sum("score"), 9).alias("score"))
     return top_per_group(total, ["query_id"], [F.desc("score"), F.asc("id")], pool)
 
 

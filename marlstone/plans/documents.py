@@ -26,16 +26,41 @@ def chunk_reuse(spark, d):
     return a.join(b, ["id", "hash"], "left_semi").groupBy("id").agg(F.count("*").alias("kept"))
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS title, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents WHERE text <> '')
-  SELECT doc_id AS id, seq, title, CAST(1 AS INT) AS level FROM m WHERE trim(title) <> ''""")
-def markdown_sections(spark, d):
-    """Each line of a document as a header of its own: sections by the header parser."""
+#: Documents with a markdown header before every fifth line, at levels 1 to 3; what the texts hold of marks is blanked.
+MARKED = """lines0 AS (SELECT doc_id, unnest(string_split(translate(text, '#`~', '   '), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents WHERE text <> ''),
+  marked AS (SELECT doc_id, seq, CASE WHEN seq % 5 = 0 THEN ((doc_id + seq // 5 * 2 + seq // 15) % 3) + 1 END AS lvl, line FROM lines0)"""
+
+
+def marked_documents(spark, d):
     docs = table(spark, d, "documents").where("text <> ''")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.trim("line") != "")
-    # The parser sees one header a line; its seq counts headers, ``at`` counts lines.
-    marked = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: F.concat(F.lit("# L"), x["at"].cast("string"))), "\n").alias("text"))
-    found = chunking.section_table(marked, "doc_id").select("id", "level", F.substring("title", 2, 12).cast("long").alias("seq"))
-    return found.join(lines.select(F.col("doc_id").alias("id"), F.col("at").cast("long").alias("seq"), F.col("line").alias("title")), ["id", "seq"]).select("id", "seq", "title", "level")
+
+    def level(k):
+        return (F.col("doc_id") + F.floor(k / 5) * 2 + F.floor(k / 15)) % 3 + 1
+
+    lines = F.split(F.translate("text", "#`~", "   "), "\n", -1)
+    made = F.transform(lines, lambda x, k: F.when(k % 5 == 0, F.concat(F.repeat(F.lit("#"), level(k).cast("int")), F.lit(" Part "), k, F.lit("\n"), x)).otherwise(x))
+    return docs.select("doc_id", F.array_join(made, "\n").alias("text"))
+
+
+@query(f"""WITH {MARKED}, piece AS (SELECT doc_id, seq, lvl, CASE WHEN lvl IS NOT NULL THEN repeat('#', lvl::INT) || ' Part ' || seq || chr(10) || line ELSE line END AS t FROM marked),
+  placed AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY seq) - length(t) - 1 AS start, sum(length(t) + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM piece),
+  h AS (SELECT doc_id, seq, lvl, start, row_number() OVER w - 1 AS n, coalesce(lead(start) OVER w, total) AS own_end, total FROM placed WHERE lvl IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  nxt AS (SELECT a.doc_id, a.n, min(b.n) AS stop FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.n > a.n AND b.lvl <= a.lvl GROUP BY 1, 2),
+  par AS (SELECT a.doc_id, a.n, max(b.n) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.n < a.n AND b.lvl < a.lvl GROUP BY 1, 2),
+  tok AS (SELECT a.doc_id, a.n, sum((b.own_end - b.start) // 4) AS tokens, max(b.own_end) AS fin FROM nxt a JOIN h b ON a.doc_id = b.doc_id AND b.n >= a.n AND (stop IS NULL OR b.n < stop) GROUP BY 1, 2)
+  SELECT h.doc_id AS id, h.n AS seq, parent, h.lvl::INT AS level, 'Part ' || h.seq AS title, h.start::BIGINT AS start, fin::BIGINT AS fin, tokens::BIGINT AS tokens FROM h JOIN par USING (doc_id, n) JOIN tok USING (doc_id, n)""")
+def markdown_sections(spark, d):
+    """The table of contents of marked documents: levels, parents, extents, and tokens of whole subtrees."""
+    return chunking.section_table(marked_documents(spark, d), "doc_id").withColumnRenamed("end", "fin")
+
+
+@query(f"""WITH {MARKED}, piece AS (SELECT doc_id, seq, lvl, CASE WHEN lvl IS NOT NULL THEN repeat('#', lvl::INT) || ' Part ' || seq || chr(10) || line ELSE line END AS t FROM marked),
+  placed AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY seq) - length(t) - 1 AS start FROM piece)
+  SELECT doc_id AS id, CASE seq WHEN 0 THEN 'PART 0' ELSE '**Part 5**' END AS title, start::BIGINT AS start FROM placed WHERE seq = 0 OR (seq = 5 AND start > 10)""")
+def header_positions(spark, d):
+    """Where proposed headers stand in marked documents; what is nowhere is dropped."""
+    docs = marked_documents(spark, d).withColumn("titles", F.array(*map(F.lit, ("PART 0", "**Part 5**", "Part none"))))
+    return chunking.located_headers(docs, "doc_id", "text", "titles")
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
@@ -47,22 +72,15 @@ def page_titles(spark, d):
 @query("SELECT doc_id, CAST(a AS BIGINT) AS a, CAST(least(a + 1000, len(text)) AS BIGINT) AS b FROM documents, unnest(range(0, greatest(1, len(text) - 200), 800)) t(a) WHERE len(text) > 0")
 def scan_slices(spark, d):
     """Overlapping slices of 1000 characters, 200 shared."""
-    docs = table(spark, d, "documents").where("length(text) > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.length("text") - 200) - 1, F.lit(800))
-    rows = docs.select("doc_id", F.length("text").alias("n"), F.explode(starts).alias("a"))
-    return rows.select("doc_id", F.col("a").cast("long").alias("a"), F.least(F.col("a") + 1000, F.col("n")).cast("long").alias("b"))
+    return chunking.slice_table(table(spark, d, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
 
 
 @query(sql("""WITH s AS (SELECT note_id, seq, seq * 100 AS lo, seq * 100 + 60 + (seq % 3) * 40 AS hi FROM chunks WHERE seq % 4 < 3), o AS (SELECT *, max(hi) OVER (PARTITION BY note_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
   SELECT note_id, CAST(sum(greatest(hi - greatest(lo, coalesce(reach, lo)), 0)) AS BIGINT) AS covered FROM o GROUP BY 1""", "chunks"))
 def interval_coverage(spark, d):
     """Length of the union of each note's intervals."""
-    from pyspark.sql.window import Window as W
-
     c = views.chunks(spark, d).where("seq % 4 < 3").select("note_id", (F.col("seq") * 100).alias("lo"), (F.col("seq") * 100 + 60 + (F.col("seq") % 3) * 40).alias("hi"))
-    reach = F.max("hi").over(W.partitionBy("note_id").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
-    own = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(reach, F.col("lo"))), F.lit(0))
-    return c.withColumn("own", own).groupBy("note_id").agg(F.sum("own").cast("long").alias("covered"))
+    return chunking.union_length(c, ["note_id"])
 
 
 @query(sql("SELECT unit_id, concat_ws(' | ', event_type, 'When: ' || strftime(event_date, '%Y-%m-%d'), 'Where: ' || context) AS line FROM facts", "facts"))

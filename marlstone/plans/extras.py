@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import formats, scoring
+from marlstone.functions import formats, scoring, text
 from marlstone.operators import dedup, evaluate, filters, fusion
 from marlstone.plans import views
+from marlstone.plans.documents import MARKED, marked_documents
 from marlstone.plans.ingest import COSINE
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import SEMANTIC, _pools
@@ -29,10 +30,15 @@ def merged_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(F.array_sort(tags), ", "), F.lit("]")).alias("tags"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text[1:300], source) THEN text[1:300] ELSE text[1:300] || '; ' || source END[1:200] AS description FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN contains(text, source) THEN text ELSE text || '; ' || source END[1:200] AS description FROM documents WHERE text <> ''")
 def merged_descriptions(spark, d):
     docs = table(spark, d, "documents").where("text <> ''")
-    return docs.select("doc_id", formats.merged_description(F.substring("text", 1, 300), F.col("source")).alias("description"))
+    return docs.select("doc_id", formats.merged_description(F.col("text"), F.col("source")).alias("description"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text FROM documents")
+def truncated_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.truncate(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '([A-Z][a-z]+(?: [A-Z][a-z]+){0,3})', 1))) AS names FROM documents WHERE lang = 'en'")
@@ -41,10 +47,10 @@ def capitalised_names(spark, d):
     return docs.select("doc_id", F.size(formats.capitalised_names(F.col("text"))).cast("long").alias("names"))
 
 
-@query("SELECT doc_id, trim(regexp_extract('# ' || text[1:60], '(?m)^#[ \\t]+(.+)$', 1)) AS title FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''")
+@query(f"WITH {MARKED}, h AS (SELECT doc_id, min(seq) AS seq FROM marked WHERE lvl = 1 GROUP BY 1) SELECT doc_id, 'Part ' || seq AS title FROM (SELECT DISTINCT doc_id FROM marked) LEFT JOIN h USING (doc_id)")
 def h1_titles(spark, d):
-    docs = table(spark, d, "documents").where(F.trim(F.element_at(F.split("text", "\n"), 1)) != "")
-    return docs.select("doc_id", formats.h1_title(F.concat(F.lit("# "), F.substring("text", 1, 60))).alias("title"))
+    """The first top-level header of each marked document."""
+    return marked_documents(spark, d).select("doc_id", formats.h1_title(F.col("text")).alias("title"))
 
 
 @query(sql("SELECT entity_id, name FROM entities WHERE name ILIKE '%person%' ORDER BY mention_count DESC, entity_id LIMIT 1", "entities"))
@@ -67,12 +73,12 @@ def vault_lookup(spark, d):
     return n.crossJoin(F.broadcast(name)).where((F.col("n_name") == F.col("wanted")) | (F.col("n_nationkey") == 4)).select(F.col("n_nationkey").alias("vault_id"))
 
 
-@query(sql(f"""WITH v AS (SELECT unit_id AS id, embedding FROM facts WHERE embedding IS NOT NULL AND status = 'active'), p AS (SELECT a.id, b.id AS other_id, {COSINE} AS similarity FROM v a, v b WHERE a.id % 51 = 0 AND a.id <> b.id)
+@query(sql(f"""WITH v AS (SELECT unit_id AS id, embedding FROM facts WHERE embedding IS NOT NULL AND status = 'active'), p AS (SELECT a.id, b.id AS other_id, {COSINE} AS similarity FROM v a, v b WHERE a.id % 100 = 1 AND a.id <> b.id)
   SELECT id, other_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS nth FROM p WHERE similarity >= 0.1) WHERE nth <= 10""", "facts"))
 def evidence_hunt(spark, d):
-    """Ten active facts for each observation's vector, from a least similarity on."""
+    """Ten active facts for the vector of each of a batch of observations (a hundredth of the ids), from a least similarity on."""
     v = views.facts(spark, d).where("status = 'active'").select(F.col("unit_id").alias("id"), "embedding")
-    rows = dedup.similar_facts(v.where("id % 51 = 0"), v, least=0.1, k=10)
+    rows = dedup.similar_facts(v.where("id % 100 = 1"), v, least=0.1, k=10)
     return rows.select("id", "other_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -103,6 +109,17 @@ def ordering_checks(spark, d):
     return evaluate.ordering_checks(_results(spark, d), pairs)
 
 
+@query(sql("""WITH c AS (SELECT entity_id, 'person' AS wanted_type, entity_id % 40 + 100 AS other_id, entity_id % 5 * 400 AS least FROM entities UNION ALL SELECT 999, 'person', 100, 0),
+  k AS (SELECT c.*, e.entity_type, e.mention_count, o.n FROM c LEFT JOIN entities e USING (entity_id) LEFT JOIN cooccurrences o ON o.e1 = least(c.entity_id, c.other_id) AND o.e2 = greatest(c.entity_id, c.other_id))
+  SELECT entity_id, entity_type IS NOT NULL AS found, coalesce(entity_type = wanted_type, false) AS typed, coalesce(n, 0) > 0 AS together, coalesce(mention_count, 0) >= least AS mentioned FROM k""", "entities", "cooccurrences"))
+def entity_checks(spark, d):
+    """Whether entities are there, of the type wanted, seen with another, and mentioned often enough."""
+    e = views.entities(spark, d)
+    checks = e.select("entity_id", F.lit("person").alias("wanted_type"), (F.col("entity_id") % 40 + 100).alias("other_id"), (F.col("entity_id") % 5 * 400).alias("least"))
+    missing = spark.range(999, 1000).select(F.col("id").alias("entity_id"), F.lit("person").alias("wanted_type"), F.lit(100).cast("long").alias("other_id"), F.lit(0).cast("long").alias("least"))
+    return evaluate.entity_checks(checks.unionByName(missing), e, views.cooccurrences(spark, d))
+
+
 @query("SELECT event_id, round(CASE WHEN (epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) <= 0 THEN 1.0 ELSE pow(2.0::DOUBLE, greatest(-(epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) / 86400e6 / 7.0, -996.0)) END, 6) AS decay FROM events")
 def half_life_decay(spark, d):
     at = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")

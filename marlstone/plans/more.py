@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.functions import text, vector
-from marlstone.operators import filters, fusion, maintenance, notes, strategies
+from marlstone.functions import formats, text, vector
+from marlstone.operators import chunking, filters, links, maintenance, notes, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import BASE, CAUSAL, COS, GRAPH, SEEDS, SEMANTIC, _active, _pools
+from marlstone.plans.retrieval import BASE, CAUSAL, COS, GRAPH, LINKED, MODEL, SEEDS, SEMANTIC, _active, _linked, _models, _pools
 from marlstone.plans.retrieval import semantic_entity_seeds as _seeds
 from marlstone.plans.views import now, sql, table
 
@@ -33,12 +33,11 @@ def chunk_causal_graph(spark, d):
     return _chunk_query(spark, d, hits, True)
 
 
-MODEL = "models AS (SELECT DISTINCT user_id % 50 AS entity_id, (user_id % 50) * 3 AS vec_id, user_id % 50 AS model_id FROM events), mv AS (SELECT model_id AS unit_id, embedding::DOUBLE[] AS embedding FROM models JOIN embeddings USING (vec_id))"
-
-
-def _models(spark, d):
-    m = table(spark, d, "events").select((F.col("user_id") % 50).alias("model_id")).distinct().withColumn("vec_id", F.col("model_id") * 3)
-    return m.join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select(F.col("model_id").alias("unit_id"), "embedding")
+@query(sql(f"WITH {SEEDS}, {LINKED.format(pool=120)} " + CHUNKED.format(agg="", end="", hits="linked", group="").replace("USING (note_id)", "USING (note_id) WHERE chunks.status = 'active'"), "facts", "search_queries", "fact_entities", "entity_links", "chunks"))
+def chunk_link_expansion(spark, d):
+    """Link expansion at twice the pool, carried from units through notes to active chunks; rows are not merged."""
+    rows = notes.to_chunks(_linked(spark, d, 120), views.facts(spark, d).select("unit_id", "note_id"), views.chunks(spark, d).where("status = 'active'"), False)
+    return rows.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(sql(f"WITH {MODEL}, s AS (SELECT query_id, unit_id AS id, {COS} AS score FROM mv, search_queries) SELECT query_id, id, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS nth FROM s) WHERE nth <= 20", "search_queries"))
@@ -61,23 +60,26 @@ def note_rerank(spark, d):
     return notes.rerank(rows, ((F.col("id") % 11) - 5) / 2.0).select("query_id", "id", F.col("place").cast("long").alias("place"), F.round("reranked", 6).alias("reranked"))
 
 
-CHANGES = "ch AS (SELECT note_id, CASE note_id % 4 WHEN 0 THEN 'superseded' WHEN 1 THEN 'archived' WHEN 2 THEN 'active' ELSE 'appended' END AS new_status FROM notes WHERE note_id % 3 = 0)"
+CHANGES = "ch AS (SELECT note_id, CASE note_id % 4 WHEN 0 THEN 'superseded' WHEN 1 THEN 'archived' WHEN 2 THEN 'active' ELSE 'appended' END AS new_status, note_id + 7 AS linked_id FROM notes WHERE note_id % 3 = 0)"
 
 
 def _changes(spark, d):
     i = F.col("note_id") % 4
-    return views.notes(spark, d).where("note_id % 3 = 0").select("note_id", F.when(i == 0, "superseded").when(i == 1, "archived").when(i == 2, "active").otherwise("appended").alias("new_status"))
+    return views.notes(spark, d).where("note_id % 3 = 0").select("note_id", F.when(i == 0, "superseded").when(i == 1, "archived").when(i == 2, "active").otherwise("appended").alias("new_status"), (F.col("note_id") + 7).alias("linked_id"))
 
 
-@query(sql(f"WITH {CHANGES} SELECT note_id, coalesce(new_status, status) AS status, CASE WHEN coalesce(new_status, '') <> 'active' AND status = 'superseded' THEN note_id + 1 END AS superseded_by FROM notes LEFT JOIN ch USING (note_id)", "notes"))
+@query(sql(f"""WITH {CHANGES} SELECT note_id, coalesce(new_status, status) AS status, CASE WHEN new_status = 'superseded' THEN linked_id WHEN new_status = 'active' THEN NULL WHEN status = 'superseded' THEN note_id + 1 END AS superseded_by,
+  CASE WHEN new_status = 'appended' THEN linked_id WHEN new_status = 'active' THEN NULL WHEN note_id % 2 = 0 THEN note_id + 2 END AS appended_to, CASE WHEN new_status = 'active' THEN NULL ELSE summary_version END AS summary_version FROM notes LEFT JOIN ch USING (note_id)""", "notes"))
 def note_status_changes(spark, d):
-    n = views.notes(spark, d).select("note_id", "status", F.when(F.col("status") == "superseded", F.col("note_id") + 1).alias("superseded_by"))
-    return notes.set_status(n, _changes(spark, d)).select("note_id", "status", "superseded_by")
+    """Status and the pointers that go with it."""
+    i = F.col("note_id")
+    n = views.notes(spark, d).select(i, "status", "summary_version", F.when(F.col("status") == "superseded", i + 1).alias("superseded_by"), F.when(i % 2 == 0, i + 2).alias("appended_to"))
+    return notes.set_status(n, _changes(spark, d)).select("note_id", "status", "superseded_by", "appended_to", "summary_version")
 
 
 @query(sql(f"WITH {CHANGES} SELECT unit_id, CASE WHEN new_status IN ('superseded', 'archived') THEN 'stale' WHEN new_status = 'active' THEN 'active' ELSE status END AS status FROM facts LEFT JOIN ch USING (note_id)", "facts", "notes"))
 def note_status_cascade(spark, d):
-    return notes.cascade_status(views.facts(spark, d).select("unit_id", "note_id", "status"), _changes(spark, d)).select("unit_id", "status")
+    return notes.cascade_status(views.facts(spark, d).select("unit_id", "note_id", "status"), _changes(spark, d).select("note_id", "new_status")).select("unit_id", "status")
 
 
 @query(sql("SELECT unit_id, event_date + CASE WHEN publish_date IS NOT NULL THEN created_at - publish_date ELSE to_days(0) END AS event_date FROM facts LEFT JOIN notes USING (note_id)", "facts", "notes"))
@@ -139,17 +141,13 @@ def summary_tiers(spark, d):
     return g.withColumn("tier", notes.summary_tier(F.col("tokens")))
 
 
-WEIGHT = "CASE event_type WHEN 'purchase' THEN 3.0 WHEN 'signup' THEN 2.0 WHEN 'click' THEN 1.5 WHEN 'view' THEN 0.5 ELSE 0.0 END"
-
-
-@query(f"SELECT user_id, round(sum({WEIGHT}), 6) AS importance FROM events GROUP BY 1 ORDER BY importance DESC, user_id LIMIT 20")
+@query("""SELECT user_id, sum(CASE event_type WHEN 'purchase' THEN 2.0::DOUBLE WHEN 'signup' THEN 3.0 WHEN 'click' THEN 0.5 WHEN 'view' THEN 1.5 ELSE CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE 0.5 END END) AS importance FROM events GROUP BY 1 ORDER BY importance DESC, user_id LIMIT 20""")
 def session_briefing(spark, d):
-    """Models by trend-weighted importance (kinds of events stand for trends)."""
+    """Models by trend-weighted importance (kinds of events stand for trends, and some have none)."""
     e = F.col("event_type")
-    trend = F.when(e == "purchase", "strengthening").when(e == "signup", "new").when(e == "click", "stable").when(e == "view", "weakening").otherwise("stale")
-    g = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(trend).alias("trends"))
-    rows = g.select("user_id", F.round(notes.briefing_importance(F.col("trends")), 6).alias("importance"))
-    return rows.orderBy(F.desc("importance"), F.asc("user_id")).limit(20)
+    trend = F.when(e == "purchase", "strengthening").when(e == "signup", "new").when(e == "click", "stable").when(e == "view", "weakening").when(F.col("event_id") % 2 == 0, "stale")
+    g = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(trend.alias("trend"))).alias("o"))
+    return g.select("user_id", notes.briefing_importance(F.col("o.trend")).alias("importance")).orderBy(F.desc("importance"), F.asc("user_id")).limit(20)
 
 
 TREE = "tree AS (SELECT note_id, seq, CASE WHEN seq > 0 THEN (seq - 1) // 3 END AS parent, len(text) // 4 AS tokens FROM (SELECT note_id, text, row_number() OVER (PARTITION BY note_id ORDER BY seq) - 1 AS seq FROM chunks))"
@@ -163,19 +161,8 @@ def _tree(spark, d):
 
 @query(sql(f"WITH {TREE}, up AS (SELECT note_id, seq AS node, seq AS anc, tokens FROM tree UNION ALL SELECT u.note_id, u.node, t.parent, u.tokens FROM up u JOIN tree t ON t.note_id = u.note_id AND t.seq = u.anc WHERE t.parent IS NOT NULL) SELECT note_id, anc AS seq, CAST(sum(tokens) AS BIGINT) AS tokens FROM up GROUP BY 1, 2", "chunks", recursive=True))
 def subtree_tokens(spark, d):
-    """Tokens of each section with all below it: ancestors level by level, pre-summed on the way up."""
-    tree = _tree(spark, d)
-    level = tree.select("note_id", F.col("seq").alias("anc"), "tokens")
-    out, parents = level, tree.select("note_id", F.col("seq").alias("anc"), F.col("parent"))
-    for _ in range(10):  # sections nest at most six levels; three children a node here
-        level = level.join(parents, ["note_id", "anc"]).where("parent IS NOT NULL").groupBy("note_id", F.col("parent").alias("anc")).agg(F.sum("tokens").alias("tokens"))
-        out = out.unionByName(level)
-    return out.groupBy("note_id", F.col("anc").alias("seq")).agg(F.sum("tokens").alias("tokens"))
-
-
-@query(sql(f"WITH {TREE} SELECT note_id, seq FROM tree WHERE parent IS NULL OR parent = 0", "chunks"))
-def toc_two_levels(spark, d):
-    return _tree(spark, d).where("parent IS NULL OR parent = 0").select("note_id", "seq")
+    """Tokens of each section with all below it: pre-summed on the way up."""
+    return chunking.subtree_totals(_tree(spark, d), ["note_id"]).select("note_id", "seq", F.col("total").alias("tokens"))
 
 
 @query(sql("SELECT unit_id, md5(lower(trim(text))) AS fingerprint FROM facts WHERE length(text) > 0", "facts"))
@@ -183,10 +170,11 @@ def fingerprints(spark, d):
     return views.facts(spark, d).where("length(text) > 0").select("unit_id", F.md5(F.lower(F.trim("text"))).alias("fingerprint"))
 
 
-@query()
+@query("""WITH n AS (SELECT DISTINCT user_id || ':' || event_type AS name FROM events), h AS (SELECT name, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(name)) AS h FROM n)
+  SELECT name, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', (('0x' || h[17:18])::INT & 63) | 128) || h[19:20] || '-' || h[21:32] AS id FROM h""")
 def virtual_observations(spark, d):
-    """Observations of models as rows of their own, with version-5 UUIDs of model and title (checked against Python)."""
-    f = views.facts(spark, d).where("unit_id % 3 = 0").select(F.concat(F.col("user_id"), F.lit(":"), F.col("event_type")).alias("name")).distinct()
+    """Observations of models as rows of their own, with version-5 UUIDs of model and title."""
+    f = views.facts(spark, d).select(F.concat(F.col("user_id"), F.lit(":"), F.col("event_type")).alias("name")).distinct()
     return f.select("name", notes.uuid_of(F.col("name")).alias("id"))
 
 
@@ -198,16 +186,61 @@ def temporal_fallback(spark, d):
     return (live if ranged.isEmpty() else ranged).select("unit_id", "fact_type")
 
 
-@query(sql("WITH n AS (SELECT unit_id FROM fact_entities WHERE entity_id IN (SELECT entity_id FROM fact_entities WHERE unit_id = 5)), c AS (SELECT unit_id, fact_type, event_date FROM facts WHERE unit_id IN (SELECT unit_id FROM n) AND unit_id <> 5), t AS (SELECT unit_id, fact_type, row_number() OVER (PARTITION BY fact_type ORDER BY event_date DESC, unit_id) AS turn FROM c), p AS (SELECT unit_id, row_number() OVER (ORDER BY turn, fact_type) AS place FROM t) SELECT unit_id, place FROM p WHERE place <= 15", "facts", "fact_entities"))
+@query(sql("""WITH fl AS (SELECT unit_id, vault_id, embedding FROM facts WHERE unit_id % 100 = 0), sh AS (SELECT DISTINCT fl.unit_id, o.unit_id AS other_id FROM fl JOIN fact_entities m ON m.unit_id = fl.unit_id JOIN fact_entities o ON o.entity_id = m.entity_id AND o.vault_id = fl.vault_id JOIN facts f ON f.unit_id = o.unit_id AND f.status = 'active'),
+  ne AS (SELECT unit_id, other_id FROM (SELECT fl.unit_id, f.unit_id AS other_id, list_inner_product(fl.embedding, f.embedding) / (sqrt(list_inner_product(fl.embedding, fl.embedding)) * sqrt(list_inner_product(f.embedding, f.embedding))) AS c, row_number() OVER (PARTITION BY fl.unit_id ORDER BY c DESC, f.unit_id) AS nth FROM fl JOIN facts f ON f.vault_id = fl.vault_id AND f.status = 'active' AND f.embedding IS NOT NULL AND fl.embedding IS NOT NULL AND f.unit_id <> fl.unit_id WHERE c > 0.3) WHERE nth <= 30),
+  ev AS (SELECT * FROM sh UNION SELECT * FROM ne), t AS (SELECT ev.unit_id, other_id, f.note_id, row_number() OVER (PARTITION BY ev.unit_id, f.note_id ORDER BY other_id) AS turn FROM ev JOIN facts f ON f.unit_id = other_id WHERE ev.unit_id <> other_id)
+  SELECT unit_id, other_id, place FROM (SELECT unit_id, other_id, row_number() OVER (PARTITION BY unit_id ORDER BY turn, note_id) AS place FROM t) WHERE place <= 15""", "facts", "fact_entities"))
 def contradiction_candidates(spark, d):
-    """Facts that share an entity with a new one; types take turns, 15 at most."""
-    ue = views.fact_entities(spark, d)
-    mine = ue.where("unit_id = 5").select("entity_id").distinct()
-    near = ue.join(mine, "entity_id", "left_semi").where("unit_id <> 5").select("unit_id").distinct()
-    rows = views.facts(spark, d).select("unit_id", "fact_type", "event_date").join(near, "unit_id", "left_semi").withColumn("of", F.lit(5))
-    # Before the turns, each type is cut to what it can contribute.
-    rows = filters.top_per_group(rows, ["of", "fact_type"], [F.desc("event_date"), F.asc("unit_id")], 15)
-    return fusion.round_robin(rows, ["of"], "fact_type", [F.desc("event_date"), F.asc("unit_id")], 15).select("unit_id", F.col("place").cast("long").alias("place"))
+    """Fifteen facts for each flagged one (ids divisible by 100) that share an entity or are near in meaning; notes take turns."""
+    f = views.facts(spark, d).select("unit_id", "vault_id", "note_id", "status", "embedding")
+    rows = links.contradiction_candidates(f.where("unit_id % 100 = 0"), f, views.fact_entities(spark, d), threshold=0.3)
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+@query(sql("""WITH st AS (SELECT unit_id, note_id, (unit_id % 20 IN (3, 4)) AS hit FROM facts), te AS (SELECT DISTINCT entity_id FROM fact_entities fe JOIN st USING (unit_id) WHERE hit), ob AS (SELECT user_id % 50 AS entity_id, event_type AS title, unit_id FROM facts),
+  lost AS (SELECT DISTINCT entity_id FROM ob JOIN st USING (unit_id) JOIN te USING (entity_id) WHERE hit), le AS (SELECT entity_id, count(*) AS n FROM ob JOIN st USING (unit_id) WHERE NOT (hit AND entity_id IN (SELECT entity_id FROM lost)) GROUP BY 1)
+  SELECT entity_id, coalesce(n, 0) AS evidence_left, CASE WHEN entity_id IN (SELECT entity_id FROM lost) THEN 'pending' END AS status, CASE WHEN entity_id IN (SELECT entity_id FROM lost) THEN 1.0::DOUBLE END AS priority, (SELECT count(*) FROM st WHERE hit) AS stale_units
+  FROM (SELECT DISTINCT entity_id FROM ob) LEFT JOIN le USING (entity_id)""", "facts", "fact_entities"))
+def stale_cascade(spark, d):
+    """Chunks go stale, and with them their facts, the evidence of these in models, and the models' place in the queue."""
+    f = views.facts(spark, d)
+    units = f.select("unit_id", F.lit("active").alias("status"), F.when(F.col("unit_id") % 20 < 3, 0).when(F.col("unit_id") % 20 < 5, 1).otherwise(2).alias("chunk_id"))
+    obs = f.groupBy((F.col("user_id") % 50).alias("entity_id"), F.col("event_type").alias("title")).agg(F.collect_list(F.struct("unit_id")).alias("evidence"))
+    models = obs.groupBy("entity_id").agg(F.collect_list(F.struct("title", "evidence")).alias("observations"))
+    entities = views.entities(spark, d).select(F.col("entity_id").alias("key"), "mention_count", "retrieval_count")
+    queue = entities.limit(0).select("key", F.lit(0).alias("evidence"), F.lit("").alias("status"), F.lit(0.0).alias("priority"), F.lit(0).alias("retries"))
+    stale = spark.range(1, 2).select(F.col("id").cast("int").alias("chunk_id"))
+    out = maintenance.stale_cascade(stale, units, views.fact_entities(spark, d), models, queue, entities, F.lit(1))
+    n = out["models"].select("entity_id", F.inline_outer("observations")).groupBy("entity_id").agg(F.sum(F.coalesce(F.size("evidence"), F.lit(0))).cast("long").alias("evidence_left"))
+    n = models.select("entity_id").join(n, "entity_id", "left").withColumn("evidence_left", F.coalesce("evidence_left", F.lit(0)))
+    gone = out["units"].where("status = 'stale'").agg(F.count("*").alias("stale_units"))  # one row
+    return n.join(out["queue"].select(F.col("key").alias("entity_id"), "status", "priority"), "entity_id", "left").crossJoin(F.broadcast(gone)).select("entity_id", "evidence_left", "status", "priority", "stale_units")
+
+
+@query(sql("SELECT user_id AS model_id, count(*) AS observations FROM (SELECT user_id, event_type, list(unit_id) AS ids FROM facts GROUP BY 1, 2) GROUP BY 1 HAVING bool_or(list_contains(ids, 300) OR list_contains(ids, 77))", "facts"))
+def models_citing_units(spark, d):
+    """Models with an observation that has one of two units as evidence: a test of existence in nested arrays."""
+    obs = views.facts(spark, d).groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("title")).agg(F.collect_list(F.struct("unit_id")).alias("evidence"))
+    models = obs.groupBy("model_id").agg(F.collect_list(F.struct("title", "evidence")).alias("observations"))
+    hit = filters.cites(F.col("observations"), F.lit(300)) | filters.cites(F.col("observations"), F.lit(77))
+    return models.where(hit).select("model_id", F.size("observations").cast("long").alias("observations"))
+
+
+@query("SELECT event_id, '{\"k\":' || CASE WHEN event_id % 3 = 0 THEN '1' ELSE '2' END || ',\"tags\":[\"' || event_type || '\",\"u' || (user_id % 3) || '\"]}' AS props FROM events")
+def json_tags_set(spark, d):
+    """The tags of a JSON object replaced; its other fields stay."""
+    e = table(spark, d, "events")
+    old = F.concat(F.lit('{"tags":["old"],"k":'), F.when(F.col("event_id") % 3 == 0, "1").otherwise("2"), F.lit("}"))
+    return e.select("event_id", formats.with_json_tags(old, F.array(F.col("event_type"), F.concat(F.lit("u"), F.col("user_id") % 3))).alias("props"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('day', ts) END AS at FROM events")
+def parsed_times(spark, d):
+    """ISO texts with Z, with an offset, as a bare day, and some that are none."""
+    e, i = table(spark, d, "events"), F.col("event_id") % 4
+    base = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
+    text_of = F.when(i == 0, F.concat(base, F.lit("Z"))).when(i == 1, F.concat(base, F.lit("+02:00"))).when(i == 2, F.date_format(F.col("ts"), "yyyy-MM-dd")).otherwise(F.lit("soon"))
+    return e.select("event_id", formats.parsed_time(text_of).alias("at"))
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), c AS (SELECT label, count(*) AS n, round(avg(list_inner_product(e, e)), 6) AS energy FROM v GROUP BY 1) SELECT * FROM c")
@@ -229,17 +262,17 @@ def orders_by_nation(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(sql("SELECT unit_id, status = 'active' AND confidence BETWEEN 0 AND 1 AND fact_type IN ('world', 'event', 'observation') AND event_date IS NOT NULL AS ok FROM facts WHERE unit_id % 10 < 3", "facts"))
+@query(sql("SELECT unit_id, status = 'active' AND confidence BETWEEN 0 AND 1 AND fact_type IN ('world', 'event', 'observation') AND event_date IS NOT NULL AS ok FROM facts", "facts"))
 def invariants(spark, d):
     """Checks that the stored rows keep their rules."""
     ok = (F.col("status") == "active") & F.col("confidence").between(0, 1) & F.col("fact_type").isin("world", "event", "observation") & F.col("event_date").isNotNull()
-    return views.facts(spark, d).where("unit_id % 10 < 3").select("unit_id", ok.alias("ok"))
+    return views.facts(spark, d).select("unit_id", ok.alias("ok"))
 
 
-@query()
+@query(sql("SELECT unit_id FROM facts ORDER BY md5('42:' || unit_id), unit_id LIMIT 20", "facts"))
 def random_sample(spark, d):
     """A seeded sample of 20 facts: the least hashes, the same whatever the order of the input."""
-    return views.facts(spark, d).select("unit_id").orderBy(F.xxhash64("unit_id", F.lit(42)), "unit_id").limit(20)
+    return filters.seeded_sample(views.facts(spark, d).select("unit_id"), "unit_id", 20, 42)
 
 
 @query("WITH q AS (SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'dead_letter' ELSE 'completed' END AS status, c_custkey % 4 AS retry_count FROM customer) SELECT key, CASE WHEN status = 'dead_letter' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'dead_letter' THEN 0 ELSE retry_count END AS retry_count FROM q")

@@ -31,8 +31,8 @@ SEEDS = f"""near5 AS (SELECT query_id, unit_id FROM (SELECT query_id, unit_id, r
 ACTIVE = "act AS (SELECT unit_id, event_date FROM facts WHERE status = 'active')"
 EDGES = "edges AS (SELECT e1 AS entity_id, e2 AS other_id, n, valid_from, valid_to FROM cooccurrences UNION ALL SELECT e2, e1, n, valid_from, valid_to FROM cooccurrences)"
 GRAPH = f"""{ACTIVE}, {EDGES}, g1 AS (SELECT query_id, unit_id AS id, weight + {DECAY} AS score FROM fact_entities fe JOIN seeds USING (entity_id) JOIN act a USING (unit_id)),
-  reached AS (SELECT query_id, other_id, max(ln(n + 1.0::DOUBLE) / ln(mention_count + 2.0::DOUBLE)) AS strength FROM edges JOIN seeds USING (entity_id) JOIN (SELECT entity_id AS other_id, mention_count FROM entities) USING (other_id) {{asof}} GROUP BY 1, 2),
-  g2 AS (SELECT query_id, unit_id AS id, strength * 0.5 AS score FROM fact_entities fe JOIN reached r ON fe.entity_id = r.other_id WHERE unit_id IN (SELECT unit_id FROM act)),
+  reached AS (SELECT query_id, other_id, ln(n + 1.0::DOUBLE) / ln(mention_count + 2.0::DOUBLE) AS strength FROM edges JOIN seeds USING (entity_id) JOIN (SELECT entity_id AS other_id, mention_count FROM entities) USING (other_id) {{asof}}),
+  g2 AS (SELECT query_id, unit_id AS id, strength AS score FROM fact_entities fe JOIN reached r ON fe.entity_id = r.other_id WHERE unit_id IN (SELECT unit_id FROM act)),
   graph AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2)) WHERE nth <= 60)"""
 # g1 joins fact_entities, which has an event_date too: the date meant is the unit's.
 GRAPH = GRAPH.replace(DECAY, DECAY.replace("event_date", "a.event_date"))
@@ -126,7 +126,7 @@ def merged_seeds(spark, d):
 
 @query(sql(f"WITH {SEEDS}, {GRAPH.format(asof='')} SELECT query_id, id, round(score, 6) AS score FROM graph", *BASE))
 def cooccurrence_expansion(spark, d):
-    """First and second order over co-occurring entities; rows are not merged."""
+    """First and second order over co-occurring entities, a row a path."""
     return _pools(spark, d, ("graph",))["graph"].select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -155,20 +155,25 @@ def causal_expansion(spark, d):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-LINKED = f"""{SEMANTIC}, sd AS (SELECT query_id, id AS unit_id FROM sem WHERE nth <= 5), mine AS (SELECT DISTINCT query_id, entity_id FROM sd JOIN fact_entities USING (unit_id)),
-  l1 AS (SELECT query_id, fe.unit_id AS id, tanh(0.5 * count(DISTINCT entity_id)) AS score FROM fact_entities fe JOIN mine USING (entity_id) GROUP BY 1, 2),
-  bothw AS (SELECT from_id AS unit_id, to_id AS id, weight FROM fact_links WHERE link_type = 'semantic' UNION ALL SELECT to_id, from_id, weight FROM fact_links WHERE link_type = 'semantic'),
-  l2 AS (SELECT query_id, id, max(weight) AS score FROM bothw JOIN sd USING (unit_id) GROUP BY 1, 2),
-  l3 AS (SELECT query_id, to_id AS id, max(weight) AS score FROM fact_links JOIN sd ON from_id = unit_id WHERE link_type IN ('causes', 'caused_by', 'enables', 'prevents') AND weight >= 0.3 GROUP BY 1, 2),
-  l AS (SELECT query_id, id, sum(score) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) x WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.query_id = x.query_id AND sd.unit_id = x.id) GROUP BY 1, 2)"""
+LINKED = f"""{ACTIVE}, sd AS (SELECT query_id, unit_id FROM fact_entities JOIN seeds USING (entity_id) WHERE unit_id IN (SELECT unit_id FROM act)),
+  l1 AS (SELECT query_id, to_id AS id, tanh(0.5 * count(DISTINCT entity_id)) AS score FROM entity_links JOIN sd ON from_id = unit_id WHERE link_type = 'entity' AND entity_id IS NOT NULL GROUP BY 1, 2),
+  l2 AS (SELECT query_id, id, max(weight) AS score FROM (SELECT from_id AS unit_id, to_id AS id, weight FROM entity_links WHERE link_type = 'semantic' UNION ALL SELECT to_id, from_id, weight FROM entity_links WHERE link_type = 'semantic') JOIN sd USING (unit_id) GROUP BY 1, 2),
+  l3 AS (SELECT query_id, to_id AS id, weight AS score FROM entity_links JOIN sd ON from_id = unit_id WHERE link_type IN ('causes', 'caused_by', 'enables', 'prevents') AND weight >= 0.3),
+  l AS (SELECT query_id, id, round(sum(score), 9) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1, 2),
+  linked AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM l) WHERE nth <= {{pool}})"""
 
 
-@query(sql(f"WITH {LINKED} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS nth FROM l) WHERE nth <= 60", "facts", "search_queries", "fact_entities", "fact_links"))
+def _linked(spark, d, pool):
+    """Hits of link expansion from the active units of each query's seed entities; a unit of two seeds is given twice."""
+    live = _active(spark, d).select("unit_id")
+    seeds = views.fact_entities(spark, d).select("unit_id", "entity_id").join(semantic_entity_seeds(spark, d).select("query_id", "entity_id"), "entity_id").join(live, "unit_id", "left_semi")
+    return strategies.link_expansion(views.entity_links(spark, d), seeds, pool=pool)
+
+
+@query(sql(f"WITH {SEEDS}, {LINKED.format(pool=60)} SELECT query_id, id, round(score, 6) AS score FROM linked", "facts", "search_queries", "fact_entities", "entity_links"))
 def three_signal_links(spark, d):
-    """Shared entities, semantic and causal links from each query's five nearest units."""
-    seeds = filters.top_per_group(_pools(spark, d, ("semantic",))["semantic"], ["query_id"], [F.asc("score"), F.asc("id")], 5).withColumnRenamed("id", "unit_id")
-    hits = strategies.link_expansion(views.fact_entities(spark, d), views.fact_links(spark, d), seeds)
-    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
+    """Entity, semantic and causal links from the units of each query's seed entities."""
+    return _linked(spark, d, 60).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 TWO = f"{SEMANTIC}, {TEMPORAL}, {FUSED.format(parts=_part('semantic', 1.0, 'ASC') + ' UNION ALL ' + _part('temporal', 1.0, 'DESC'))}"
@@ -191,18 +196,32 @@ def rrf_debug(spark, d):
     return rows.select("query_id", "id", "p.strategy", F.col("p.rank").cast("long").alias("rank"), "p.part")
 
 
-TYPED = """typed AS (SELECT p.query_id, p.id, f.fact_type AS kind, p.score, p.strategy FROM (SELECT query_id, id, score, 'semantic' AS strategy FROM sem UNION ALL SELECT query_id, id, score, 'temporal' FROM tmp) p JOIN facts f ON f.unit_id = p.id),
-  rk AS (SELECT *, CASE WHEN strategy = 'semantic' THEN rank() OVER (PARTITION BY query_id, kind, strategy ORDER BY score) ELSE rank() OVER (PARTITION BY query_id, kind, strategy ORDER BY score DESC) END AS rank FROM typed),
+KIND_ORDER = ["world", "event", "observation"]
+TYPED = f"""tp AS (SELECT * FROM (SELECT query_id, unit_id AS id, fact_type AS kind, {COS} AS score, row_number() OVER (PARTITION BY query_id, fact_type ORDER BY {COS}, unit_id) AS nth FROM facts, search_queries WHERE embedding IS NOT NULL AND status = 'active') WHERE nth <= 60),
+  tn AS (SELECT query_id, id, kind, score FROM (SELECT unit_id AS id, fact_type AS kind, epoch_us(event_date) / 1e6 AS score, row_number() OVER (PARTITION BY fact_type ORDER BY epoch_us(event_date) / 1e6 DESC, unit_id) AS nth FROM facts WHERE status = 'active') n, search_queries WHERE nth <= 60),
+  rk AS (SELECT query_id, kind, id, rank() OVER (PARTITION BY query_id, kind ORDER BY score) AS rank FROM tp UNION ALL SELECT query_id, kind, id, rank() OVER (PARTITION BY query_id, kind ORDER BY score DESC) FROM tn),
   fz AS (SELECT query_id, kind, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM rk GROUP BY 1, 2, 3),
-  turn AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS turn FROM fz),
-  placed AS (SELECT query_id, id, kind, row_number() OVER (PARTITION BY query_id ORDER BY turn, kind) AS place FROM turn WHERE turn <= 20)"""
+  mm AS (SELECT query_id, 'mental_model' AS kind, unit_id AS id, {COS} AS score FROM mv, search_queries),
+  turn AS (SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS turn FROM fz UNION ALL SELECT query_id, kind, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) FROM mm),
+  cut AS (SELECT *, list_position(['world', 'event', 'observation', 'mental_model'], kind) AS bucket FROM turn WHERE turn <= 20),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY turn, bucket) AS seen FROM cut) WHERE seen = 1),
+  placed AS (SELECT query_id, id, kind, row_number() OVER (PARTITION BY query_id ORDER BY turn, bucket) AS place FROM once)"""
+#: Mental models: one for each of fifty entities, with ids of their own.
+MODEL = "models AS (SELECT DISTINCT (user_id % 50) * 3 AS vec_id, user_id % 50 AS model_id FROM events), mv AS (SELECT -1 - model_id AS unit_id, embedding::DOUBLE[] AS embedding FROM models JOIN embeddings USING (vec_id))"
+
+
+def _models(spark, d):
+    m = views.table(spark, d, "events").select((F.col("user_id") % 50).alias("model_id")).distinct().withColumn("vec_id", F.col("model_id") * 3)
+    return m.join(views.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select((-1 - F.col("model_id")).alias("unit_id"), "embedding")
 
 
-@query(sql(f"WITH {SEMANTIC}, {TEMPORAL}, {TYPED} SELECT * FROM placed WHERE place <= 30", "facts", "search_queries"))
+@query(sql(f"WITH {MODEL}, {TYPED} SELECT * FROM placed WHERE place <= 40", "facts", "search_queries"))
 def partitioned_rrf(spark, d):
-    """Fusion by fact type, then types take turns."""
-    kinds = views.facts(spark, d).select(F.col("unit_id").alias("id"), F.col("fact_type").alias("kind"))
-    return fusion.fuse_partitioned(_pools(spark, d, ("semantic", "temporal")), kinds, 20, 30).withColumn("place", F.col("place").cast("long"))
+    """Each type of fact has its own pools and fusion; types and mental models then take turns."""
+    units, asked = _active(spark, d).withColumnRenamed("fact_type", "kind"), views.search_queries(spark, d)
+    pools = {"semantic": strategies.semantic(units, asked, by=("kind",)), "temporal": strategies.temporal(units, asked, by=("kind",))}
+    models = strategies.semantic(_models(spark, d), asked)
+    return fusion.fuse_partitioned(pools, KIND_ORDER, 20, 40, models=models).withColumn("place", F.col("place").cast("long"))
 
 
 VARIANTS = f"""{SEMANTIC}, {TEMPORAL}, v AS (SELECT query_id, 2.0::DOUBLE AS weight, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) - 1 AS position FROM sem UNION ALL SELECT query_id, 1.0, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 FROM tmp),

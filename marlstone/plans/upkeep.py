@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text, vector
-from marlstone.operators import filters, fusion, maintenance, strategies
+from marlstone.operators import filters, fusion, maintenance, notes, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import TOKS
+from marlstone.plans.retrieval import BASE, COS, GRAPH, SEEDS, TOKS, _pools
 from marlstone.plans.views import NOW_SQL, now, sql, table
 
 LATER = "TIMESTAMP '2024-01-28'"
@@ -73,23 +73,29 @@ def note_status_by_confidence(spark, d):
     return low.withColumn("state", maintenance.note_status(F.col("low")))
 
 
-@query(sql(f"""SELECT unit_id, CASE WHEN unit_id IN (SELECT to_id FROM fact_links WHERE link_type = 'contradicts') THEN 'contested' WHEN confidence < 0.5 THEN 'stale' WHEN age > 30 THEN 'stale' WHEN age >= 7 THEN 'aging' WHEN confidence >= 0.7 THEN 'fresh' ELSE 'aging' END AS flag
-  FROM (SELECT *, (epoch_us({LATER}) - epoch_us(event_date)) / 86400e6 AS age FROM facts)""", "facts", "fact_links"))
+@query(sql(f"""WITH hit AS (SELECT from_id AS unit_id FROM fact_links WHERE link_type IN ('contradicts', 'weakens') UNION SELECT to_id FROM fact_links WHERE link_type IN ('contradicts', 'weakens'))
+  SELECT unit_id, CASE WHEN unit_id % 23 = 0 OR unit_id IN (SELECT unit_id FROM hit) THEN 'contested' WHEN confidence < 0.5 THEN 'stale' WHEN day IS NULL THEN 'aging' WHEN day > 30 THEN 'stale' WHEN day >= 7 THEN 'aging' WHEN confidence >= 0.7 THEN 'fresh' ELSE 'aging' END AS flag
+  FROM (SELECT unit_id, confidence, CASE WHEN unit_id % 29 > 0 THEN floor((epoch_us({LATER}) - epoch_us(event_date)) / 86400e6) END AS day FROM facts)""", "facts", "fact_links"))
 def freshness_flags(spark, d):
-    hit = views.fact_links(spark, d).where("link_type = 'contradicts'").select(F.col("to_id").alias("unit_id"), F.lit(True).alias("hit")).distinct()
+    """Contested at either end of a link or superseded, else by confidence and age in whole days; some dates are missing here."""
+    hit = maintenance.contested_units(views.fact_links(spark, d)).withColumn("hit", F.lit(True))
     f = views.facts(spark, d).join(hit, "unit_id", "left")
-    flag = maintenance.freshness(F.lit(False), F.coalesce("hit", F.lit(False)), F.col("confidence"), scoring.days_between(_later(), F.col("event_date")))
+    date = F.when(F.col("unit_id") % 29 > 0, F.col("event_date"))
+    flag = maintenance.freshness(F.col("unit_id") % 23 == 0, F.coalesce("hit", F.lit(False)), F.col("confidence"), scoring.days_between(_later(), date))
     return f.select("unit_id", flag.alias("flag"))
 
 
-TREND_NOW = "TIMESTAMP '2024-02-20'"
+TREND_NOW = "TIMESTAMP '2024-02-14'"
 
 
-@query(f"""WITH a AS (SELECT user_id, (epoch_us({TREND_NOW}) - epoch_us(ts)) / 86400e6 AS age FROM events WHERE event_id % 9 = 0), c AS (SELECT user_id, count(*) FILTER (WHERE age <= 30) AS r, count(*) FILTER (WHERE age > 30) AS o, count(*) FILTER (WHERE age > 30 AND age <= 90) AS m FROM a GROUP BY 1)
-  SELECT user_id, CASE WHEN r = 0 THEN 'stale' WHEN o = 0 THEN 'new' WHEN m = 0 OR (r / 30.0) / (m / 60.0) > 1.5 THEN 'strengthening' WHEN (r / 30.0) / (m / 60.0) < 0.5 THEN 'weakening' ELSE 'stable' END AS trend FROM c""")
+@query(f"""WITH a AS (SELECT user_id, CASE WHEN event_id % 31 > 0 THEN (epoch_us({TREND_NOW}) - epoch_us(ts)) / 86400e6 ELSE 0 END AS age FROM events), c AS (SELECT user_id, count(*) FILTER (WHERE age < 30) AS recent, count(*) FILTER (WHERE age >= 30 AND age <= 90) AS middle, count(*) FILTER (WHERE age > 90) AS old FROM a GROUP BY 1)
+  SELECT user_id, CASE WHEN recent = 0 THEN 'stale' WHEN old + middle = 0 THEN 'new' WHEN (recent / 30.0::DOUBLE) / ((old + middle) / 60.0::DOUBLE) > 1.5 THEN 'strengthening' WHEN (recent / 30.0::DOUBLE) / ((old + middle) / 60.0::DOUBLE) < 0.5 THEN 'weakening' ELSE 'stable' END AS trend FROM c""")
 def evidence_trends(spark, d):
-    e = table(spark, d, "events").where("event_id % 9 = 0").groupBy("user_id").agg(F.collect_list("ts").alias("stamps"))
-    return e.select("user_id", maintenance.trend(F.col("stamps"), F.lit("2024-02-20 00:00:00").cast("timestamp_ntz")).alias("trend"))
+    """Evidence a day of the last 30 days against that of all older evidence over 60; a missing time counts as now."""
+    at = F.when(F.col("event_id") % 31 > 0, F.col("ts"))
+    # collect_list drops nulls, so the times are held in structs.
+    e = table(spark, d, "events").groupBy("user_id").agg(F.collect_list(F.struct(at.alias("at"))).alias("evidence"))
+    return e.select("user_id", maintenance.trend(F.col("evidence.at"), F.lit("2024-02-14 00:00:00").cast("timestamp_ntz")).alias("trend"))
 
 
 @query(sql("SELECT entity_id, round(0.5 * (mention_count % 7) + 0.2 * log10(greatest(mention_count, 1)) + 0.3 * log10(greatest(retrieval_count, 1)), 4) AS priority FROM entities", "entities"))
@@ -97,44 +103,57 @@ def reflection_priority(spark, d):
     return views.entities(spark, d).select("entity_id", scoring.priority(F.col("mention_count") % 7, F.col("mention_count"), F.col("retrieval_count")).alias("priority"))
 
 
-VERDICTS = "verdicts AS (SELECT unit_id, unit_id + 1 AS other_id, CASE unit_id % 3 WHEN 0 THEN 'reinforce' WHEN 1 THEN 'weaken' ELSE 'contradict' END AS relation FROM facts WHERE unit_id % 4 < 2), moved AS (SELECT other_id AS unit_id, CASE relation WHEN 'reinforce' THEN 0.1::DOUBLE WHEN 'weaken' THEN -0.1::DOUBLE ELSE -0.2::DOUBLE END AS step FROM verdicts UNION ALL SELECT unit_id, 0.1::DOUBLE FROM verdicts WHERE relation = 'reinforce')"
+DATED = "dated AS (SELECT unit_id, confidence, CASE WHEN unit_id % 13 > 0 THEN event_date END AS at FROM facts)"
+VERDICTS = f"""{DATED}, v0 AS (SELECT to_id AS new_id, from_id AS existing_id, from_id AS place, CASE from_id % 3 WHEN 0 THEN 'reinforce' WHEN 1 THEN 'weaken' ELSE 'contradict' END AS relation, CASE from_id % 4 WHEN 0 THEN 'existing' WHEN 1 THEN 'new' WHEN 2 THEN 'neither' END AS hint FROM fact_links WHERE link_type IN ('semantic', 'causes')),
+  v AS (SELECT v0.*, CASE WHEN hint IN ('new', 'existing') THEN hint WHEN n.at IS NOT NULL AND e.at IS NOT NULL AND n.at < e.at THEN 'existing' ELSE 'new' END AS winner FROM v0 JOIN dated n ON n.unit_id = new_id JOIN dated e ON e.unit_id = existing_id)"""
 
 
-@query(sql(f"WITH {VERDICTS} SELECT unit_id, round(least(greatest(confidence + coalesce(step, 0.0), 0.0), 1.0), 6) + 0.0 AS confidence FROM facts LEFT JOIN (SELECT unit_id, sum(step) AS step FROM moved GROUP BY 1) USING (unit_id)", "facts"))
+def _verdicts(spark, d):
+    """(new_id, existing_id, place, relation, winner) for semantic and causal links, with the dates of the two units decided on."""
+    f = views.facts(spark, d).select("unit_id", F.when(F.col("unit_id") % 13 > 0, F.col("event_date")).alias("at"))
+    i = F.col("from_id")
+    relation = F.when(i % 3 == 0, "reinforce").when(i % 3 == 1, "weaken").otherwise("contradict")
+    hint = F.when(i % 4 == 0, "existing").when(i % 4 == 1, "new").when(i % 4 == 2, "neither")
+    v = views.fact_links(spark, d).where("link_type IN ('semantic', 'causes')").select(F.col("to_id").alias("new_id"), i.alias("existing_id"), i.alias("place"), relation.alias("relation"), hint.alias("hint"))
+    v = v.join(f.toDF("new_id", "new_at"), "new_id").join(f.toDF("existing_id", "existing_at"), "existing_id")
+    return v.withColumn("winner", maintenance.authority(F.col("new_at"), F.col("existing_at"), F.col("hint")))
+
+
+@query(sql(f"""WITH {VERDICTS}, moved AS (SELECT unnest([new_id, existing_id]) AS unit_id, 0.1::DOUBLE AS step, place, new_id, existing_id FROM v WHERE relation = 'reinforce'
+    UNION ALL SELECT CASE WHEN winner = 'new' THEN existing_id ELSE new_id END, CASE relation WHEN 'weaken' THEN -0.1::DOUBLE ELSE -0.2::DOUBLE END, place, new_id, existing_id FROM v WHERE relation <> 'reinforce'),
+  last AS (SELECT unit_id, step FROM (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY place DESC, new_id DESC, existing_id DESC) AS nth FROM moved) WHERE nth = 1)
+  SELECT unit_id, round(CASE WHEN step > 0 THEN least(confidence + step, 1.0) WHEN step < 0 THEN greatest(confidence + step, 0.0) ELSE confidence END, 6) + 0.0 AS confidence FROM dated LEFT JOIN last USING (unit_id)""", "facts", "fact_links"))
 def confidence_updates(spark, d):
+    """Verdicts on pairs of units: the loser is lowered, a reinforced pair is lifted, each from its stored value."""
     f = views.facts(spark, d).select("unit_id", "confidence")
-    kind = F.when(F.col("unit_id") % 3 == 0, "reinforce").when(F.col("unit_id") % 3 == 1, "weaken").otherwise("contradict")
-    v = f.where("unit_id % 4 < 2").select("unit_id", (F.col("unit_id") + 1).alias("other_id"), kind.alias("relation"))
-    return maintenance.update_confidence(f, v).select("unit_id", (F.round("confidence", 6) + 0.0).alias("confidence"))
+    return maintenance.update_confidence(f, _verdicts(spark, d)).select("unit_id", (F.round("confidence", 6) + 0.0).alias("confidence"))
 
 
-@query(sql("SELECT a.unit_id, b.unit_id AS other_id, CASE WHEN a.unit_id % 5 = 0 THEN 'b' WHEN a.event_date >= b.event_date THEN 'a' ELSE 'b' END AS winner FROM facts a JOIN fact_links l ON l.from_id = a.unit_id JOIN facts b ON b.unit_id = l.to_id WHERE link_type = 'contradicts'", "facts", "fact_links"))
+@query(sql(f"WITH {VERDICTS} SELECT new_id, existing_id, relation, winner FROM v", "facts", "fact_links"))
 def contradiction_authority(spark, d):
-    f = views.facts(spark, d).select("unit_id", "event_date")
-    m = views.fact_links(spark, d).where("link_type = 'contradicts'").select(F.col("from_id").alias("unit_id"), F.col("to_id").alias("other_id")).join(f, "unit_id").join(f.toDF("other_id", "other_date"), "other_id")
-    hint = F.when(F.col("unit_id") % 5 == 0, "b")
-    return m.select("unit_id", "other_id", maintenance.authority(F.col("event_date"), F.col("other_date"), hint).alias("winner"))
+    """Which unit of a pair stands: by the hint, or by date, of which either may be missing."""
+    return _verdicts(spark, d).select("new_id", "existing_id", "relation", "winner")
 
 
-@query(sql(f"""WITH o AS (SELECT user_id AS model_id, event_type AS title, list(unit_id ORDER BY unit_id) AS ids FROM facts WHERE unit_id % 3 = 0 GROUP BY 1, 2)
+@query(sql(f"""WITH o AS (SELECT user_id AS model_id, event_type AS title, list(unit_id ORDER BY unit_id) AS ids FROM facts GROUP BY 1, 2)
   SELECT model_id, title, len(list_filter(ids, lambda x: x % 10 <> 0)) AS left_over FROM o WHERE len(list_filter(ids, lambda x: x % 10 <> 0)) > 0""", "facts"))
 def evidence_pruning(spark, d):
     """Evidence of stale units leaves the models, then the observations it empties."""
     f = views.facts(spark, d)
-    obs = f.where("unit_id % 3 = 0").groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("title")).agg(F.collect_list(F.struct("unit_id")).alias("evidence"))
+    obs = f.groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("title")).agg(F.collect_list(F.struct("unit_id")).alias("evidence"))
     models = obs.groupBy("model_id").agg(F.collect_list(F.struct("title", "evidence")).alias("observations"))
     rows = maintenance.prune_evidence(models, f.where("status = 'stale'").select("unit_id")).select("model_id", F.inline("observations"))
     return rows.select("model_id", "title", F.size("evidence").cast("long").alias("left_over"))
 
 
-CITED = "obs AS (SELECT user_id AS model_id, event_type AS title, unit_id FROM facts WHERE unit_id % 3 = 0)"
+CITED = "obs AS (SELECT user_id AS model_id, event_type AS title, unit_id FROM facts)"
 
 
 @query(sql(f"WITH {CITED} SELECT model_id, title, list(unit_id ORDER BY unit_id)::VARCHAR AS cited FROM obs WHERE unit_id % 2 = 0 GROUP BY 1, 2", "facts"))
 def citations(spark, d):
     """Evidence of each observation that is in a result set."""
     f = views.facts(spark, d)
-    obs = f.where("unit_id % 3 = 0").groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("title")).agg(F.collect_list("unit_id").alias("ids")).select("model_id", "title", F.explode("ids").alias("unit_id"))
+    obs = f.groupBy(F.col("user_id").alias("model_id"), F.col("event_type").alias("title")).agg(F.collect_list("unit_id").alias("ids")).select("model_id", "title", F.explode("ids").alias("unit_id"))
     back = f.where("unit_id % 2 = 0").select("unit_id")
     g = obs.join(back, "unit_id", "left_semi").groupBy("model_id", "title").agg(F.sort_array(F.collect_list("unit_id")).alias("ids"))
     return g.select("model_id", "title", F.concat(F.lit("["), F.array_join(F.transform("ids", lambda x: x.cast("string")), ", "), F.lit("]")).alias("cited"))
@@ -156,14 +175,14 @@ def diverse_round_robin(spark, d):
 # ---------------------------------------------------------------- note search
 
 CHUNK_TERMS = f"terms AS (SELECT unnest({TOKS.format(chr(39) + 'the thanea retion ondible licensed' + chr(39)) }) AS word), post AS (SELECT chunk_id, note_id, len({TOKS.format('text')}) AS nw, unnest({TOKS.format('text')}) AS word FROM chunks), kw AS (SELECT chunk_id, note_id, count(*) / (1.0::DOUBLE + ln(1.0::DOUBLE + any_value(nw))) AS score FROM post JOIN terms USING (word) GROUP BY 1, 2)"
-NOTE_HITS = f"{CHUNK_TERMS}, k60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT * FROM kw ORDER BY score DESC, chunk_id LIMIT 60)), t60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT chunk_id, c.note_id, epoch_us(created_at) / 1e6 AS score FROM chunks c JOIN notes n ON n.note_id = c.note_id ORDER BY score DESC, chunk_id LIMIT 60)), f AS (SELECT chunk_id, note_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, note_id, 1.0::DOUBLE AS w, rank FROM k60 UNION ALL SELECT chunk_id, note_id, 0.5, rank FROM t60) GROUP BY 1, 2)"
+NOTE_HITS = f"{CHUNK_TERMS}, k60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT * FROM kw ORDER BY score DESC, chunk_id LIMIT 60)), t60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT chunk_id, c.note_id, epoch_us(c.created_at) / 1e6 AS score FROM chunks c ORDER BY score DESC, chunk_id LIMIT 60)), f AS (SELECT chunk_id, note_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, note_id, 1.0::DOUBLE AS w, rank FROM k60 UNION ALL SELECT chunk_id, note_id, 0.5, rank FROM t60) GROUP BY 1, 2)"
 
 
 def _note_pools(spark, d):
-    c, n = views.chunks(spark, d), views.notes(spark, d)
+    """Pools of chunks by words and by date; the cut to a pool comes before anything is joined."""
+    c = views.chunks(spark, d)
     asked = spark.range(1).select(F.lit(1).cast("long").alias("query_id"), F.lit("the thanea retion ondible licensed").alias("query_text"))
-    dated = c.select("chunk_id", "note_id").join(n.select("note_id", F.col("created_at").alias("event_date")), "note_id")
-    return {"keyword": strategies.keyword(c, asked, id_col="chunk_id"), "temporal": strategies.temporal(dated, asked, id_col="chunk_id")}
+    return {"keyword": strategies.keyword(c, asked, id_col="chunk_id"), "temporal": strategies.temporal(c.withColumnRenamed("created_at", "event_date"), asked, id_col="chunk_id")}
 
 
 @query(sql(f"WITH {NOTE_HITS} SELECT chunk_id, round(score, 9) AS score FROM f", "chunks", "notes"))
@@ -174,11 +193,48 @@ def chunk_fusion(spark, d):
 
 @query(sql(f"WITH {NOTE_HITS}, g AS (SELECT note_id, max(score) AS score, count(*) AS chunks FROM f GROUP BY 1) SELECT note_id, round(score, 9) AS score, chunks FROM g JOIN notes USING (note_id) WHERE coalesce(publish_date, created_at) >= TIMESTAMP '2023-12-10' AND list_contains(tags, 'en')", "chunks", "notes"))
 def note_search(spark, d):
-    """Best chunk of each note; date and tag filters come after fusion."""
-    hits = fusion.fuse(_note_pools(spark, d), 1000, {"keyword": 1.0, "temporal": 0.5}).withColumnRenamed("id", "chunk_id")
-    g = hits.join(views.chunks(spark, d).select("chunk_id", "note_id"), "chunk_id").groupBy("note_id").agg(F.max("score").alias("score"), F.count("*").alias("chunks"))
+    """Best chunk of each note; date and tag filters come after fusion. A chunk's id tells its note."""
+    hits = fusion.fuse(_note_pools(spark, d), 1000, {"keyword": 1.0, "temporal": 0.5})
+    g = hits.groupBy(views.note_of(F.col("id")).alias("note_id")).agg(F.max("score").alias("score"), F.count("*").alias("chunks"))
     n = views.notes(spark, d).where((filters.note_date() >= F.lit("2023-12-10 00:00:00").cast("timestamp_ntz")) & filters.has_all_tags(F.col("tags"), ["en"]))
-    return g.join(n.select("note_id"), "note_id").select("note_id", F.round("score", 9).alias("score"), "chunks")
+    return n.select("note_id").join(g, "note_id").select("note_id", F.round("score", 9).alias("score"), "chunks")
+
+
+#: Chunk vectors: the first chunk of a note has the vector of the note's number.
+CHUNK_VECTORS = "cv AS (SELECT chunk_id, note_id, embedding::DOUBLE[] AS embedding FROM chunks JOIN embeddings ON vec_id = note_id WHERE seq = 0)"
+BRANCHES = f"""{CHUNK_VECTORS}, cs AS (SELECT * FROM (SELECT query_id, chunk_id AS id, {COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COS}, chunk_id) AS nth FROM cv, search_queries) WHERE nth <= 60),
+  words AS (SELECT query_id, unnest({TOKS.format("query_text || ' ondible licensed retion'")}) AS word FROM search_queries), cpost AS (SELECT chunk_id, len({TOKS.format('text')}) AS nw, unnest({TOKS.format('text')}) AS word FROM chunks),
+  ck0 AS (SELECT query_id, chunk_id AS id, count(*) / (1.0::DOUBLE + ln(1.0::DOUBLE + any_value(nw))) AS score FROM cpost JOIN words USING (word) GROUP BY 1, 2), ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ck0) WHERE nth <= 60),
+  ct AS (SELECT query_id, id, score FROM (SELECT chunk_id AS id, epoch_us(created_at) / 1e6 AS score FROM chunks ORDER BY score DESC, id LIMIT 60), search_queries),
+  gc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM (SELECT query_id, chunk_id AS id, h.score FROM graph h JOIN facts ON unit_id = h.id JOIN chunks USING (note_id))) WHERE nth <= 60),
+  br AS (SELECT query_id, id, 1.0::DOUBLE AS w, rank() OVER (PARTITION BY query_id ORDER BY score) AS rank FROM cs UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM ck
+    UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM gc UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM ct),
+  bf AS (SELECT query_id, id, sum(w / (60 + rank)) AS score FROM br GROUP BY 1, 2)"""
+
+
+@query(sql(f"""WITH {SEEDS}, {GRAPH.format(asof='')}, {BRANCHES}, best AS (SELECT query_id, id // 100000000 AS note_id, max(round(score, 9)) AS score FROM bf GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS place FROM best)
+  SELECT query_id, place, note_id, title, score, (SELECT string_agg(text, chr(10) || chr(10) ORDER BY seq) FROM bf JOIN chunks c ON c.chunk_id = bf.id WHERE bf.query_id = top.query_id AND c.note_id = top.note_id) AS text FROM top JOIN notes USING (note_id) WHERE place <= 10""", *BASE, "chunks"))
+def note_search_branches(spark, d):
+    """Semantic, keyword, graph and date branches over chunks; the ten best notes of each query with the text of the chunks found, in order."""
+    from pyspark.sql.window import Window as W
+
+    c, asked = views.chunks(spark, d), views.search_queries(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("note_id"), "embedding")
+    first = c.where("seq = 0").select("chunk_id", "note_id").join(vectors, "note_id")
+    worded = asked.withColumn("query_text", F.concat("query_text", F.lit(" ondible licensed retion")))
+    pools = {
+        "semantic": strategies.semantic(first, asked, id_col="chunk_id"),
+        "keyword": strategies.keyword(c, worded, id_col="chunk_id"),
+        "graph": notes.to_chunks(_pools(spark, d, ("graph",))["graph"], views.facts(spark, d).select("unit_id", "note_id"), c.select("note_id", "chunk_id"), False),
+        "temporal": strategies.temporal(c.withColumnRenamed("created_at", "event_date"), asked, id_col="chunk_id"),
+    }
+    hits = fusion.fuse(pools, 4 * strategies.POOL).withColumn("note_id", views.note_of(F.col("id"))).withColumn("score", F.round("score", 9))
+    best = hits.groupBy("query_id", "note_id").agg(F.max("score").alias("score"), F.collect_list("id").alias("ids"))
+    top = best.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "note_id")).cast("long")).where("place <= 10")
+    found = top.select("query_id", "note_id", F.explode("ids").alias("chunk_id")).distinct().join(c.select("chunk_id", "seq", "text"), "chunk_id")
+    text_of = found.groupBy("query_id", "note_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+    rows = top.drop("ids").join(text_of, ["query_id", "note_id"]).join(views.notes(spark, d).select("note_id", "title"), "note_id")
+    return rows.select("query_id", "place", "note_id", "title", "score", F.array_join("parts.text", "\n\n").alias("text"))
 
 
 @query(sql("SELECT note_id, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM chunks WHERE status = 'active' GROUP BY 1", "chunks"))
@@ -208,10 +264,14 @@ def neighbour_context(spark, d):
     return views.chunks(spark, d).where("seq % 4 = 1").select("chunk_id", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
 
 
-@query(sql("SELECT unit_id, text, contains(text, 'user ' || (user_id % 40) || ' did') AS verified FROM facts WHERE unit_id % 6 = 0", "facts"))
+@query(sql("""WITH ev AS (SELECT user_id AS model_id, event_id AS n, CASE WHEN event_id % 17 = 0 THEN event_id + 100000000 ELSE event_id END AS unit_id, 'user ' || user_id || ' did ' || CASE WHEN event_id % 6 = 0 THEN 'nothing' ELSE event_type END AS quote FROM events)
+  SELECT model_id, n, CASE WHEN f.unit_id IS NULL THEN 'missing' WHEN contains(f.text, quote) THEN 'ok' ELSE 'absent' END AS verdict FROM ev LEFT JOIN facts f USING (unit_id)""", "facts"))
 def quote_verification(spark, d):
-    f = views.facts(spark, d).where("unit_id % 6 = 0")
-    return f.select("unit_id", "text", F.contains(F.col("text"), F.concat(F.lit("user "), F.col("user_id") % 40, F.lit(" did"))).alias("verified"))
+    """Quotes that models give as evidence, looked up in the units they cite."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    quote = F.concat(F.lit("user "), F.col("user_id"), F.lit(" did "), F.when(i % 6 == 0, "nothing").otherwise(F.col("event_type")))
+    evidence = e.select(F.col("user_id").alias("model_id"), i.alias("n"), F.when(i % 17 == 0, i + 100_000_000).otherwise(i).alias("unit_id"), quote.alias("quote"))
+    return maintenance.verify_quotes(evidence, views.facts(spark, d)).select("model_id", "n", "verdict")
 
 
 # ---------------------------------------------------------------- key-value store, queue, changes
@@ -252,14 +312,23 @@ def kv_semantic_search(spark, d):
     return rows.orderBy("dist", "vec_id").limit(10).select("vec_id", F.round("dist", 6).alias("distance"))
 
 
-@query("""WITH e AS (SELECT user_id AS key, CASE WHEN event_type IN ('purchase', 'signup') THEN 'extraction' WHEN event_type = 'error' THEN 'deletion' ELSE 'retrieval' END AS kind FROM events WHERE event_id % 8 = 0), n AS (SELECT key, count(*) FILTER (WHERE kind = 'extraction') AS ex, count(*) FILTER (WHERE kind = 'retrieval') AS re, bool_or(kind = 'deletion') AS deleted FROM e GROUP BY 1)
-  SELECT key, ex AS evidence, re AS retrievals, CASE WHEN ex > 0 OR deleted THEN 'pending' ELSE 'idle' END AS status, CASE WHEN deleted THEN 1.0 WHEN ex > 0 THEN round(0.5 * ex + 0.3 * log10(greatest(re, 1)), 4) ELSE 0.0 END AS priority FROM n""")
+EVENTS_SQL = """ev AS (SELECT user_id AS key, event_id AS nth, CASE WHEN event_type IN ('purchase', 'signup') THEN 'extraction' WHEN event_type = 'error' THEN 'deletion' ELSE 'retrieval' END AS kind FROM events WHERE user_id % 5 > 0),
+  ent AS (SELECT DISTINCT user_id AS key, user_id % 90 + 1 AS mention_count, user_id % 7 AS retrieval_count FROM events), q0 AS (SELECT DISTINCT user_id AS key, user_id % 6 AS evidence, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'dead_letter' END AS status, 0.25::DOUBLE AS priority, user_id % 4 AS retries FROM events WHERE user_id % 3 = 0)"""
+
+
+@query(f"""WITH {EVENTS_SQL}, n AS (SELECT key, count(*) FILTER (WHERE kind = 'extraction') AS ex, count(*) FILTER (WHERE kind = 'retrieval') AS re, count(*) FILTER (WHERE kind = 'deletion') AS del, arg_max(kind, nth) AS last_kind FROM ev GROUP BY 1),
+  b AS (SELECT key, coalesce(q0.evidence, 0) + coalesce(ex, 0) AS evidence, status, priority, retries, coalesce(ex, 0) + coalesce(del, 0) > 0 AS queued, coalesce(del, 0) AS del, last_kind, mention_count, retrieval_count + coalesce(re, 0) AS seen FROM q0 FULL JOIN n USING (key) LEFT JOIN ent USING (key))
+  SELECT key, evidence, CASE WHEN queued THEN 'pending' ELSE status END AS status, CASE WHEN last_kind IS NULL THEN priority WHEN last_kind = 'deletion' THEN 1.0 ELSE round(0.5 * evidence + 0.2 * log10(greatest(mention_count, 1)) + 0.3 * log10(greatest(seen, 1)), 4) END AS priority, CASE WHEN del > 0 THEN 0 ELSE coalesce(retries, 0) END AS retries
+  FROM b WHERE status IS NOT NULL OR queued""")
 def queue_events(spark, d):
-    """A queue from scratch after a batch of events."""
+    """A queue after a batch of extractions, deletions and retrievals; retrievals alone make no item."""
+    e, u = table(spark, d, "events"), F.col("user_id")
     kind = F.when(F.col("event_type").isin("purchase", "signup"), "extraction").when(F.col("event_type") == "error", "deletion").otherwise("retrieval")
-    e = table(spark, d, "events").where("event_id % 8 = 0").select(F.col("user_id").alias("key"), kind.alias("kind"))
-    empty = spark.createDataFrame([], "key long, evidence long, retrievals long, status string, priority double")
-    return maintenance.apply_events(empty, e)
+    users = e.select("user_id").distinct()
+    entities = users.select(u.alias("key"), (u % 90 + 1).alias("mention_count"), (u % 7).alias("retrieval_count"))
+    queue = users.where("user_id % 3 = 0").select(u.alias("key"), (u % 6).alias("evidence"), F.when(u % 2 == 0, "completed").otherwise("dead_letter").alias("status"), F.lit(0.25).alias("priority"), (u % 4).alias("retries"))
+    events = e.where("user_id % 5 > 0").select(u.alias("key"), kind.alias("kind"), F.col("event_id").alias("at"))
+    return maintenance.apply_events(queue, events, entities)[0]
 
 
 @query("WITH q AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'pending' ELSE 'completed' END AS status, c_acctbal AS priority FROM customer) SELECT key, 'processing' AS status FROM q WHERE status = 'pending' ORDER BY priority DESC, key LIMIT 25")
@@ -324,11 +393,11 @@ def conversation_roles(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
 
 
-@query(sql("SELECT unit_id FROM facts ANTI JOIN (SELECT event_id AS unit_id FROM events WHERE user_id % 2 = 0) USING (unit_id) WHERE unit_id % 5 = 0", "facts"))
+@query(sql("SELECT unit_id FROM facts ANTI JOIN (SELECT event_id AS unit_id FROM events WHERE user_id % 2 = 0) USING (unit_id)", "facts"))
 def session_dedup(spark, d):
     """Results that the session has not seen."""
     seen = table(spark, d, "events").where("user_id % 2 = 0").select(F.col("event_id").alias("unit_id"))
-    return filters.without_ids(views.facts(spark, d).where("unit_id % 5 = 0").select("unit_id"), seen, "unit_id")
+    return filters.without_ids(views.facts(spark, d).select("unit_id"), seen, "unit_id")
 
 
 @query(sql("WITH u AS (SELECT DISTINCT unit_id, note_id, len(text) // 4 AS cost, event_date FROM facts WHERE unit_id % 4 = 0 OR unit_id % 6 = 0), b AS (SELECT *, sum(cost) OVER (ORDER BY event_date DESC, unit_id) AS used FROM u) SELECT note_id, count(*) AS facts FROM b WHERE used <= 2000 GROUP BY 1", "facts"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: More lines than a text can have in a row of Parquet that fits a task.
+MAX_LINES = 100_000_000
 NOW_TEXT = "2024-02-01 00:00:00"
 NOW_SQL = f"TIMESTAMP '{NOW_TEXT}'"
 
@@ -64,6 +66,15 @@ def fact_links(spark: SparkSession, d: str) -> DataFrame:
     return temporal.unionByName(causal).unionByName(semantic)
 
 
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    """Typed links with their entity: each fact with the next of an entity, both ways, and the other kinds without one."""
+    nxt = F.lead("unit_id").over(W.partitionBy("entity_id").orderBy("event_date", "unit_id"))
+    near = fact_entities(spark, d).select("entity_id", F.col("unit_id").alias("a"), nxt.alias("b")).where("b IS NOT NULL AND a <> b")
+    both = near.select("entity_id", F.inline(F.array(F.struct(F.col("a").alias("from_id"), F.col("b").alias("to_id")), F.struct(F.col("b").alias("from_id"), F.col("a").alias("to_id")))))
+    own = both.select("from_id", "to_id", F.lit("entity").alias("link_type"), F.lit(1.0).alias("weight"), "entity_id")
+    return own.unionByName(fact_links(spark, d).withColumn("entity_id", F.lit(None).cast("long")))
+
+
 def notes(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     made = F.expr("timestampadd(HOUR, CAST(doc_id % 1000 AS INT), TIMESTAMP_NTZ'2023-12-20 00:00:00')")
@@ -77,7 +88,11 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
-    return n.select("note_id", "vault_id", "status", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text")).where("text <> ''").withColumn("chunk_id", F.col("note_id") * 100_000 + F.col("seq"))
+    return n.select("note_id", "vault_id", "status", "created_at", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text")).where("text <> ''").withColumn("chunk_id", F.col("note_id") * MAX_LINES + F.col("seq"))
+
+
+def note_of(chunk_id: Column) -> Column:
+    return F.floor(chunk_id / MAX_LINES).cast("long")
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -104,15 +119,17 @@ SQL = {
     "fact_links": """SELECT * FROM (SELECT event_id AS from_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_id, 'temporal' AS link_type, 1.0::DOUBLE AS weight FROM events) WHERE to_id IS NOT NULL
       UNION ALL SELECT event_id, event_id + 3, CASE event_id % 3 WHEN 0 THEN 'causes' WHEN 1 THEN 'enables' ELSE 'contradicts' END, (event_id % 10) / 10.0::DOUBLE FROM events WHERE event_id % 7 = 0 AND event_id + 3 <= (SELECT max(event_id) FROM events)
       UNION ALL SELECT event_id, event_id + 8, 'semantic', 0.7::DOUBLE + (event_id % 30) / 100.0::DOUBLE FROM events WHERE event_id % 5 = 0 AND event_id + 8 <= (SELECT max(event_id) FROM events)""",
+    "entity_links": """SELECT from_id, to_id, link_type, weight, CAST(NULL AS BIGINT) AS entity_id FROM fact_links UNION ALL
+      SELECT unnest([a, b]), unnest([b, a]), 'entity', 1.0::DOUBLE, entity_id FROM (SELECT entity_id, unit_id AS a, lead(unit_id) OVER (PARTITION BY entity_id ORDER BY event_date, unit_id) AS b FROM fact_entities) WHERE b IS NOT NULL AND a <> b""",
     "notes": """SELECT doc_id AS note_id, doc_id % 3 AS vault_id, text[1:40] AS title, text,
       CASE WHEN doc_id % 11 = 0 THEN 'archived' WHEN doc_id % 13 = 0 THEN 'superseded' ELSE 'active' END AS status, [lang, source] AS tags, 'template' || (doc_id % 4) AS template,
       TIMESTAMP '2023-12-20 00:00:00' + to_hours(doc_id % 1000) AS created_at, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2023-12-01 00:00:00' + to_days((doc_id % 30)::INT) END AS publish_date, doc_id % 4 AS summary_version FROM documents""",
-    "chunks": """SELECT note_id, vault_id, status, seq, text, note_id * 100000 + seq AS chunk_id FROM (
-      SELECT note_id, vault_id, status, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM notes) WHERE text <> ''""",
+    "chunks": """SELECT note_id, vault_id, status, created_at, seq, text, note_id * 100000000 + seq AS chunk_id FROM (
+      SELECT note_id, vault_id, status, created_at, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM notes) WHERE text <> ''""",
     "search_queries": """SELECT vec_id // 7 AS query_id, embedding::DOUBLE[] AS query_vector, 'which pages did user ' || vec_id || ' purchase or click on page ' || (vec_id % 40) AS query_text, vec_id % 3 AS query_vault
       FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 56""",
 }
-NEEDS = {"entities": ["fact_entities"], "cooccurrences": ["fact_entities"], "chunks": ["notes"]}
+NEEDS = {"entities": ["fact_entities"], "cooccurrences": ["fact_entities"], "chunks": ["notes"], "entity_links": ["fact_links", "fact_entities"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:

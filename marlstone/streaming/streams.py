@@ -28,26 +28,24 @@ def once(events: DataFrame, key: str, time_col: str, late: str = "1 day") -> Dat
     return events.withWatermark(time_col, late).dropDuplicatesWithinWatermark([key])
 
 
-def queue_writer(events: DataFrame, queue_path: str, checkpoint: str):
-    """A query that folds each batch of (key, kind) into the queue table.
+QUEUE_SCHEMA = "key long, evidence long, status string, priority double, retries long"
 
-    The last batch's number is stored with the rows, so a batch that is run again
-    after a failure changes nothing.
+
+def queue_writer(events: DataFrame, path: str, entities: DataFrame, checkpoint: str):
+    """A query that folds each batch of (key, kind, at) into the tables ``path``/queue and ``path``/entities.
+
+    ``entities`` (key, mention_count, retrieval_count) is where counting starts. A batch
+    makes the version of its number from the newest version under that number, so a batch that is
+    run again after a failure, at whatever point, gives the same two tables.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(queue_path)
-        fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(jvm_path):
-            stored = spark.read.parquet(queue_path)
-            last = stored.agg(F.max("batch_id")).first()[0]
-            if last is not None and last >= batch_id:
-                return
-        else:
-            stored = spark.createDataFrame([], "key long, evidence long, retrievals long, status string, priority double, batch_id long")
-        rows = maintenance.apply_events(stored.drop("batch_id"), batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        sinks.replace(rows, queue_path)
+        queue = sinks.read_version(spark, f"{path}/queue", before=batch_id)
+        known = sinks.read_version(spark, f"{path}/entities", before=batch_id)
+        queue, known = maintenance.apply_events(spark.createDataFrame([], QUEUE_SCHEMA) if queue is None else queue, batch, entities if known is None else known)
+        sinks.write_version(queue, f"{path}/queue", batch_id)
+        sinks.write_version(known, f"{path}/entities", batch_id)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode("update")
 

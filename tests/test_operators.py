@@ -1,4 +1,6 @@
+import math
 import random
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -6,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, dedup, diversity, fusion, graph, maintenance, resolve
+from marlstone.operators import chunking, dedup, diversity, fusion, graph, links, maintenance, notes, resolve, strategies
 
 # ---------------------------------------------------------------- fusion
 
@@ -77,16 +79,26 @@ def test_sections_and_tokens():
     assert [s["title"] for s in chunking.thin(tree, 2)] == ["A", "C"]
 
 
-def test_packing_coverage_and_slices():
+def test_packing_spans_and_headers():
     assert chunking.pack_blocks([3, 3, 5, 9, 1], 6) == [0, 0, 1, 2, 3]
     assert chunking.split_batches([1, 1, 1, 5], 5, 2) == [0, 0, 1, 2]
-    assert chunking.covered([(0, 5), (3, 8), (20, 30)], 40) == pytest.approx(0.45)
-    spans = chunking.scan_slices(1000, 400)
-    assert spans[0][0] == 0 and spans[-1][1] == 1000 and all(a[1] - b[0] == 200 for a, b in zip(spans, spans[1:]) if a[1] < 1000)
     assert chunking.merge_spans("New York City x", [(0, 3, "L"), (4, 8, "L"), (9, 13, "P")]) == [(0, 8, "L", "New York"), (9, 13, "P", "City")]
     assert chunking.header_quality("# A\n" + "x" * 50 + "\n# B\n" + "y" * 50) and not chunking.header_quality("no headers")
 
 
+def test_slices_cover_a_text(spark):
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, "ab"), (3, ""), (4, None)], "id long, text string")
+    spans = {}
+    for r in chunking.slice_table(docs, "id", size=400, overlap=200).orderBy("id", "a").collect():
+        spans.setdefault(r.id, []).append((r.a, r.b))
+    assert spans == {1: [(0, 400), (200, 600), (400, 800), (600, 1000)], 2: [(0, 2)]}
+
+
+def test_subtree_totals_of_a_deep_tree(spark):
+    tree = spark.createDataFrame([(1, i, i - 1 if i else None, 1) for i in range(14)], "g long, seq long, parent long, tokens long")
+    assert {r.seq: r.total for r in chunking.subtree_totals(tree, ["g"]).collect()} == {i: 14 - i for i in range(14)}
+
+
 # ---------------------------------------------------------------- upkeep
 
 
@@ -98,19 +110,125 @@ def test_pruning_drops_only_newly_empty_observations(spark):
 
 
 def test_queue_events(spark):
-    queue = spark.createDataFrame([(1, 2, 1, "completed", 1.3)], "key long, evidence long, retrievals long, status string, priority double")
-    events = spark.createDataFrame([(1, "retrieval"), (2, "extraction"), (2, "extraction"), (3, "deletion")], "key long, kind string")
-    got = {r.key: (r.evidence, r.retrievals, r.status, r.priority) for r in maintenance.apply_events(queue, events).collect()}
-    assert got == {1: (2, 2, "completed", 1.3), 2: (2, 0, "pending", 1.0), 3: (0, 0, "pending", 1.0)}
+    queue = spark.createDataFrame([(1, 2, "completed", 1.3, 2), (4, 0, "completed", 0.2, 3)], "key long, evidence long, status string, priority double, retries long")
+    entities = spark.createDataFrame([(k, 100, 9) for k in range(1, 7)], "key long, mention_count long, retrieval_count long")
+    events = [(1, "retrieval", 1), (2, "extraction", 1), (2, "extraction", 2), (3, "deletion", 1), (4, "deletion", 1), (4, "retrieval", 2), (5, "retrieval", 1)]
+    rows, counted = maintenance.apply_events(queue, spark.createDataFrame(events, "key long, kind string, at long"), entities)
+    got = {r.key: (r.evidence, r.status, r.priority, r.retries) for r in rows.collect()}
+    # 0.5 evidence + 0.2 * 2 + 0.3 * log10(9 or 10); a retrieval renews it and queues nothing, not even after a deletion.
+    assert got == {1: (2, "completed", 1.7, 2), 2: (2, "pending", 1.6863, 0), 3: (0, "pending", 1.0, 0), 4: (0, "pending", 0.7, 0)}
+    assert {r.key: r.retrieval_count for r in counted.collect()} == {1: 10, 2: 9, 3: 9, 4: 10, 5: 10, 6: 9}
 
 
-@pytest.mark.parametrize(("ages", "want"), [([], "stale"), ([100, 50], "stale"), ([1, 2], "new"), ([1, 2, 3, 4, 40], "strengthening"), ([10, 40, 45, 50, 60, 70, 80], "weakening"), ([5, 10, 40, 50, 60, 70], "stable"), ([1, 200], "strengthening")])
+@pytest.mark.parametrize(("ages", "want"), [([], "stale"), ([100, 50], "stale"), ([1, 2], "new"), ([1, 2, 3, 4, 40], "strengthening"), ([10, 40, 45, 50, 60, 70, 80], "weakening"), ([5, 10, 40, 50, 60, 70], "stable"), ([1, 200], "strengthening"), ([1, 200, 201, 202, 203, 204], "weakening"), ([30], "stale")])
 def test_trends(spark, ages, want):
     now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     stamps = F.array(*[F.expr(f"timestampadd(DAY, -{a}, TIMESTAMP_NTZ'2024-06-01 00:00:00')") for a in ages]) if ages else F.array().cast("array<timestamp_ntz>")
     assert spark.range(1).select(maintenance.trend(stamps, now).alias("t")).first().t == want
 
 
+def test_a_missing_time_of_evidence_counts_as_now(spark):
+    at = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    assert spark.range(1).select(maintenance.trend(F.array(F.lit(None).cast("timestamp_ntz")), at).alias("t")).first().t == "new"
+
+
+def test_authority_and_confidence(spark):
+    units = spark.createDataFrame([(i, 0.5) for i in range(1, 6)], "unit_id long, confidence double")
+    schema = "new_id long, existing_id long, relation string, new_at date, existing_at date, hint string, place int"
+    rows = [(1, 2, "weaken", date(2024, 1, 1), date(2024, 2, 1), None, 0), (3, 4, "contradict", None, date(2024, 2, 1), "x", 1), (3, 5, "reinforce", None, None, None, 2), (5, 2, "agree", None, None, None, 3)]
+    v = spark.createDataFrame(rows, schema).withColumn("winner", maintenance.authority(F.col("new_at"), F.col("existing_at"), F.col("hint")))
+    assert [r.winner for r in v.orderBy("place").collect()] == ["existing", "new", "new", "new"]
+    got = {r.unit_id: round(r.confidence, 6) for r in maintenance.update_confidence(units, v).collect()}
+    assert got == {1: 0.4, 2: 0.5, 3: 0.6, 4: 0.3, 5: 0.6}
+
+
+def test_freshness_counts_whole_days_and_both_ends(spark):
+    rows = [(1, 30.9, 0.9), (2, 31.0, 0.9), (3, 6.9, 0.9), (4, None, 0.9), (5, 1.0, 0.4), (6, 1.0, 0.9)]
+    df = spark.createDataFrame(rows, "unit_id long, age double, confidence double")
+    links = spark.createDataFrame([(6, 9, "weakens")], "from_id long, to_id long, link_type string")
+    df = df.join(maintenance.contested_units(links).withColumn("hit", F.lit(True)), "unit_id", "left")
+    flag = maintenance.freshness(F.lit(False), F.coalesce("hit", F.lit(False)), F.col("confidence"), F.col("age"))
+    assert {r.unit_id: r.f for r in df.select("unit_id", flag.alias("f")).collect()} == {1: "aging", 2: "stale", 3: "fresh", 4: "aging", 5: "stale", 6: "contested"}
+
+
+def test_graph_paths_are_neither_damped_nor_merged(spark):
+    units = spark.createDataFrame([(1, None), (2, None)], "unit_id long, event_date timestamp_ntz")
+    ue = spark.createDataFrame([(1, 10), (2, 20)], "unit_id long, entity_id long")
+    entities = spark.createDataFrame([(10, 1), (11, 1), (20, 6)], "entity_id long, mention_count long")
+    pairs = spark.createDataFrame([(10, 20, 7), (11, 20, 3)], "e1 long, e2 long, n long")
+    seeds = spark.createDataFrame([(0, 10, 1.0), (0, 11, 1.0)], "query_id long, entity_id long, weight double")
+    rows = strategies.cooccurrence_graph(units, ue, entities, pairs, seeds, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    assert sorted(round(r.score, 6) for r in rows.where("id = 2").collect()) == [round(math.log(4) / math.log(8), 6), 1.0]
+
+
+def test_link_expansion_adds_causes_and_may_reach_seeds(spark):
+    links = [(1, 3, "causes", 0.5, None), (2, 3, "enables", 0.4, None), (1, 4, "causes", 0.2, None), (1, 2, "entity", 1.0, 7), (1, 2, "entity", 1.0, 8), (5, 1, "semantic", 0.9, None), (1, 5, "semantic", 0.8, None)]
+    df = spark.createDataFrame(links, "from_id long, to_id long, link_type string, weight double, entity_id long")
+    seeds = spark.createDataFrame([(0, 1), (0, 2), (0, 2)], "query_id long, unit_id long")
+    got = {r.id: round(r.score, 6) for r in strategies.link_expansion(df, seeds).collect()}
+    assert got == {3: 1.3, 2: round(math.tanh(1.0), 6), 5: 0.9}
+
+
+def test_partitioned_fusion_gives_rare_kinds_a_pool(spark):
+    rows = [(0, i, "world", float(i)) for i in range(30)] + [(0, 100, "event", 99.0)]
+    pool = spark.createDataFrame(rows, "query_id long, id long, kind string, score double")
+    models = spark.createDataFrame([(0, -1, 0.5)], "query_id long, id long, score double")
+    got = fusion.fuse_partitioned({"keyword": pool, "graph": pool}, ["world", "event", "observation"], 3, 10, models=models).orderBy("place").collect()
+    assert [(r.id, r.kind) for r in got] == [(29, "world"), (100, "event"), (-1, "mental_model"), (28, "world"), (27, "world")]
+
+
+def test_statuses_and_pointers(spark):
+    notes_ = spark.createDataFrame([(i, "active", 9, 8, 2) for i in range(1, 6)], "note_id long, status string, superseded_by long, appended_to long, summary_version long")
+    changes = spark.createDataFrame([(1, "superseded", 5), (2, "appended", 5), (3, "active", None), (4, "lost", 5)], "note_id long, new_status string, linked_id long")
+    got = {r.note_id: (r.status, r.superseded_by, r.appended_to, r.summary_version) for r in notes.set_status(notes_, changes).collect()}
+    assert got == {1: ("superseded", 5, 8, 2), 2: ("appended", 9, 5, 2), 3: ("active", None, None, None), 4: ("active", 9, 8, 2), 5: ("active", 9, 8, 2)}
+
+
+def test_closest_in_time_against_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    hour = [r.choice([r.randint(0, 60), 7, 7.5]) for _ in range(150)]
+    at = [datetime(2024, 1, 1) + timedelta(hours=h) for h in hour]
+    df = spark.createDataFrame(list(enumerate(at)), "unit_id long, event_date timestamp_ntz")
+    want = set()
+    for i, t in enumerate(at):
+        if i % 3 == 0:
+            near = sorted((abs((t - u).total_seconds()), j) for j, u in enumerate(at) if j != i and abs((t - u).total_seconds()) <= 5 * 3600)
+            want |= {(i, j) for _, j in near[:4]}
+    got = links.within_hours(df.where("unit_id % 3 = 0"), df, hours=5, k=4, slots=5).collect()
+    assert {(x.from_id, x.to_id) for x in got} == want
+
+
+def test_contradiction_candidates_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    units = [(i, r.randint(0, 1), r.choice([None, *range(9)]), r.choice(["active", "active", "stale"]), [r.gauss(0, 1) for _ in range(4)] if i % 4 else None) for i in range(120)]
+    ue = [(i, r.randint(0, 3), units[i][1]) for i in range(120)] + [(i, 9, units[i][1]) for i in range(0, 120, 2)]
+    u = spark.createDataFrame(units, "unit_id long, vault_id int, note_id int, status string, embedding array<double>")
+    e = spark.createDataFrame(ue, "unit_id long, entity_id int, vault_id int")
+    got = {}
+    for x in links.contradiction_candidates(u.where("unit_id % 10 = 1"), u, e, k=5, threshold=0.5, near=7).orderBy("place").collect():
+        got.setdefault(x.unit_id, []).append(x.other_id)
+
+    def cos(a, b):
+        return sum(p * q for p, q in zip(a, b)) / math.sqrt(sum(p * p for p in a) * sum(q * q for q in b))
+
+    for i in range(1, 120, 10):
+        mine = {k for j, k, _ in ue if j == i}
+        found = {j for j, k, v in ue if k in mine and v == units[i][1]}
+        if units[i][4]:
+            near = sorted((-cos(units[i][4], x[4]), x[0]) for x in units if x[0] != i and x[1] == units[i][1] and x[3] == "active" and x[4] and cos(units[i][4], x[4]) > 0.5)
+            found |= {j for _, j in near[:7]}
+        by_note = {}
+        for j in sorted(found - {i}):
+            if units[j][3] == "active":
+                by_note.setdefault(-1 if units[j][2] is None else units[j][2], []).append(j)
+        order = [(t, n, j) for n, js in by_note.items() for t, j in enumerate(js)]
+        assert got.get(i, []) == [j for _, _, j in sorted(order)[:5]]
+
+
 def test_upsert_and_cascade(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k long, v string, at long")
     new = spark.createDataFrame([(1, "c", 1), (2, "d", 4), (3, "e", 1)], "k long, v string, at long")
@@ -126,11 +244,16 @@ def test_block_diff(spark):
     assert {(r.hash, r.change) for r in dedup.block_diff(a, b, ["note_id"]).collect()} == {("x", "removed"), ("y", "retained"), ("z", "added")}
 
 
-def test_phonetic_candidates(spark):
-    inputs = spark.createDataFrame([("robert smith",)], "normal string")
-    known = spark.createDataFrame([(1, "Rupert"), (2, "Zed")], "entity_id long, name string")
-    got = {r.entity_id: r.phonetic for r in resolve.candidates(inputs, known.where("entity_id = 2").unionByName(spark.createDataFrame([(3, "Robert Smyth")], "entity_id long, name string")), known.limit(0)).collect()}
-    assert got.get(3) is not None and 2 not in got
+def test_candidates_and_context(spark):
+    inputs = spark.createDataFrame([("robert smith", "Robert Smith", ["ann lee", "bob"], datetime(2024, 1, 31))], "normal string, name string, nearby array<string>, event_date timestamp_ntz")
+    known = spark.createDataFrame([(1, "Zed", 5, datetime(2024, 1, 1)), (3, "Rupert", 2, datetime(2024, 1, 1)), (4, "Ann Lee", 14, None)], "entity_id long, name string, mention_count long, last_seen timestamp_ntz")
+    aliases = spark.createDataFrame([(1, "robert smith jr")], "entity_id long, name string")
+    got = {(r.entity_id, r.phonetic): r.name_score for r in resolve.candidates(inputs, known, aliases).collect()}
+    assert set(got) == {(1, False), (3, True)} and got[1, False] > 0.7 and got[3, True] == 0.45  # Rupert sounds alike
+    pairs = spark.createDataFrame([(1, 4, 2)], "e1 long, e2 long, n long")
+    score = resolve.scored_candidates(inputs, known, aliases, pairs).where("entity_id = 1").first().score
+    # One of two nearby names is a known neighbour, of 14 mentions: 1 / log2(16) / 2 = 1/8; a month has passed.
+    assert score == pytest.approx(0.5 * got[1, False] + 0.3 / 8 + 0.2 / 2)
 
 
 def test_lineage_limits_children(spark):

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -54,9 +55,11 @@ def test_sinks(spark, base):
     df = spark.createDataFrame([(1, "a")], "id long, s string")
     sinks.write_ndjson(df, f"{base}/nd")
     assert spark.read.json(f"{base}/nd").first().s == "a"
-    sinks.replace(df, f"{base}/t")
-    sinks.replace(spark.read.parquet(f"{base}/t").withColumn("s", F.lit("b")), f"{base}/t")
-    assert [r.s for r in spark.read.parquet(f"{base}/t").collect()] == ["b"]
+    assert sinks.read_version(spark, f"{base}/t") is None
+    for s in "xyb":
+        sinks.replace(df.withColumn("s", F.lit(s)) if s == "x" else sinks.read_version(spark, f"{base}/t").withColumn("s", F.lit(s)), f"{base}/t")
+    assert [r.s for r in sinks.read_version(spark, f"{base}/t").collect()] == ["b"]
+    assert sinks.versions(spark, f"{base}/t") == [2, 3]
     for _ in range(2):
         sinks.append_once(df.unionByName(df), f"{base}/once", "id")
     assert spark.read.parquet(f"{base}/once").count() == 1
@@ -69,16 +72,44 @@ def run_all(writer):
     assert q.exception() is None
 
 
+def test_a_crash_while_a_version_is_written_keeps_the_one_before(spark, base):
+    df = spark.createDataFrame([(1, "a")], "id long, s string")
+    sinks.replace(df, f"{base}/crash")
+    df.withColumn("s", F.lit("half")).write.parquet(f"{base}/crash/version-2")
+    os.remove(f"{base}/crash/version-2/_SUCCESS".removeprefix("file://"))  # what a crash before the commit leaves
+    assert sinks.read_version(spark, f"{base}/crash").first().s == "a"
+    sinks.replace(df.withColumn("s", F.lit("b")), f"{base}/crash")
+    assert [r.s for r in sinks.read_version(spark, f"{base}/crash").collect()] == ["b"]
+
+
 def test_queue_stream_folds_batches_once(spark, base):
-    schema = "key long, kind string"
-    spark.createDataFrame([(1, "extraction"), (1, "extraction")], schema).write.parquet(f"{base}/in/0")
+    schema = "key long, kind string, at long"
+    entities = spark.createDataFrame([(1, 100, 9), (2, 1, 0), (3, 1, 0)], "key long, mention_count long, retrieval_count long")
+    spark.createDataFrame([(1, "extraction", 1), (1, "extraction", 2)], schema).write.parquet(f"{base}/in/0")
     source = streams.file_stream(spark, f"{base}/in/*", schema)
-    run_all(streams.queue_writer(source, f"{base}/queue", f"{base}/cp"))
-    spark.createDataFrame([(1, "retrieval"), (2, "deletion")], schema).write.parquet(f"{base}/in/1")
-    run_all(streams.queue_writer(source, f"{base}/queue", f"{base}/cp"))
-    run_all(streams.queue_writer(source, f"{base}/queue", f"{base}/cp"))
-    got = {r.key: (r.evidence, r.retrievals, r.status) for r in spark.read.parquet(f"{base}/queue").collect()}
-    assert got == {1: (2, 1, "pending"), 2: (0, 0, "pending")}
+
+    def run():
+        run_all(streams.queue_writer(source, f"{base}/state", entities, f"{base}/cp"))
+
+    run()
+    spark.createDataFrame([(1, "retrieval", 3), (2, "deletion", 4), (3, "retrieval", 5)], schema).write.parquet(f"{base}/in/1")
+    run()
+    run()
+
+    def state():
+        queue = {r.key: (r.evidence, r.status, r.priority) for r in sinks.read_version(spark, f"{base}/state/queue").collect()}
+        return queue, {r.key: r.retrieval_count for r in sinks.read_version(spark, f"{base}/state/entities").collect()}
+
+    want = {1: (2, "pending", 1.7), 2: (0, "pending", 1.0)}, {1: 10, 2: 0, 3: 1}
+    assert state() == want
+    # Killed between its two tables, the last batch is run again: it starts from the version before.
+    last = max(sinks.versions(spark, f"{base}/state/queue"))
+    local = base.removeprefix("file://")
+    os.remove(f"{local}/state/entities/version-{last}/_SUCCESS")
+    for name in (f"{last}", f".{last}.crc"):
+        os.remove(f"{local}/cp/commits/{name}")
+    run()
+    assert state() == want
 
 
 def test_windows_and_duplicates(spark, base):
