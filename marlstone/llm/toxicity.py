@@ -12,8 +12,8 @@ quarter of the sample, unseen by the trees, calibrates their sum by isotonic
 regression, read off by linear interpolation.
 
 Only the feature rows of a bounded sample (``max_train``) reach the driver. Texts
-are read word by word through a cache of bounded size, so a long text costs no
-more memory than its words' numbers.
+are read in slices, word by word through a cache of bounded size, so of a long text no
+more is held than a slice's words and the places of listed ones.
 
 Defined cases: null and empty texts have all features 0 and are scored as such.
 Labels, lang, source and ids are no inputs. With no rows or one class in the
@@ -23,6 +23,7 @@ sample every score is that class's share (0.5 if none).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql.functions import pandas_udf
 from marlstone.llm.common import materialise, trimmed
 from marlstone.llm.labelled import training_rows
 
-MAX_TRAIN, THRESHOLD, CACHE_WORDS, NEAR, CLUSTER = 20_000, 0.5, 100_000, 6, 20
+MAX_TRAIN, THRESHOLD, CACHE_WORDS, SLICE, NEAR, CLUSTER = 20_000, 0.5, 200_000, 1 << 18, 6, 20
 MAX_LEARNED, LEARN_DOCS, LEARN_ODDS, FOLDS = 5000, 3, 2.0, 3
 TREES, DEPTH, BINS, RATE, L2, MIN_ROWS = 80, 3, 32, 0.15, 1.0, 10
 
@@ -63,103 +64,165 @@ NAMES = (
 ).split()
 
 _EDGE = re.compile(r"^\W+|\W+$")
+_TWICE = re.compile(r"(.)\1")
 _STRETCH = re.compile(r"(.)\1\1")
 _SQUEEZE = re.compile(r"(.)\1+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+_BLANK = re.compile(r"\s")
 INSULT, PROFANE, THREAT, SECOND, CAPS, HIDDEN, MIXED, STRETCHED = (1 << k for k in range(8))
+BAD = INSULT | PROFANE | THREAT
+#: What each listed word is.
+KINDS = {w: INSULT * (w in INSULTS) | PROFANE * (w in PROFANITY) | THREAT * (w in THREATS) for w in INSULTS | PROFANITY | THREATS}
+
+
+def _found(bare: str) -> int:
+    return KINDS.get(bare, 0) or (KINDS.get(bare[:-1], 0) if bare.endswith("s") else 0)
+
+
+def _hidden(forms: set[str]) -> int:
+    return max((KINDS.get(f, 0) for f in forms), default=0)
+
+
+def _of_letters(word: str, low: str, length: int, stop: bool) -> tuple[int, str, int, int, int]:
+    """Traits of a token that is a word of letters, with one stop after it or none: most tokens, so in few steps."""
+    bits = SECOND if low in SECOND_PERSON else 0
+    upper = 0
+    if low != word:
+        upper = sum(map(str.isupper, word))
+        if len(low) > 1 and word.isupper():
+            bits |= CAPS
+    found = KINDS.get(low, 0) or (KINDS.get(low[:-1], 0) if low[-1] == "s" else 0)
+    if stop and not found and low[-1] == "i" and length <= 40 and (found := KINDS.get(low.rstrip("i"), 0)):
+        bits |= HIDDEN
+    if _TWICE.search(low):
+        if _STRETCH.search(low):
+            bits |= STRETCHED
+        # Spelled with letters doubled.
+        if not found and length <= 40 and (found := KINDS.get(_SQUEEZE.sub(r"\1", low), 0)):
+            bits |= HIDDEN
+    return bits | found, low, upper, len(word), stop
 
 
-def word_bits(token: str) -> int:
-    """What a token between blanks is, as bits."""
+def word_traits(token: str) -> tuple[int, str, int, int, int]:
+    """(bits, plain form, letters in upper case, letters, signs) of a token between blanks."""
+    stop = token[-1] in ".,;:?"
+    word = token[:-1] if stop else token
+    if word.isalpha() and (low := word.lower()).isalpha():
+        return _of_letters(word, low, len(token), stop)
     low = token.lower()
-    plain = low.isalpha()
-    bare = low if plain else _EDGE.sub("", low)
-    bits = 0
-    letters = len(bare) if plain else sum(map(str.isalpha, bare))
-    if letters > 1 and token.isupper():
+    bare = _EDGE.sub("", low)
+    upper, letters = sum(map(str.isupper, token)), sum(map(str.isalpha, token))
+    signs = len(token) - letters - sum(map(str.isdigit, token))
+    if bare and bare.isalpha():
+        bare_letters = len(bare)
+    else:
+        bare_letters = sum(map(str.isalpha, bare))
+    bits = SECOND if bare in SECOND_PERSON else 0
+    if bare_letters > 1 and upper and token.isupper():
         bits |= CAPS
-    if 0 < letters < len(bare):
+    if 0 < bare_letters < len(bare):
         bits |= MIXED
     if _STRETCH.search(bare):
         bits |= STRETCHED
-
-    def kind(word: str) -> int:
-        return INSULT * (word in INSULTS) | PROFANE * (word in PROFANITY) | THREAT * (word in THREATS)
-
-    found = kind(bare) or (kind(bare[:-1]) if bare.endswith("s") else 0)
-    if not found and len(token) <= 40:
+    found = _found(bare)
+    if not found and letters and len(token) <= 40:
         # Spelled with signs or digits for letters, with signs between letters, or with letters doubled.
-        swapped = "" if plain else low.strip(".,;:?\"'()").translate(LEET)
-        forms = {_SQUEEZE.sub(r"\1", bare)} if plain else {_NOT_LETTER.sub("", swapped), _NOT_LETTER.sub("", swapped.rstrip("i")), _NOT_LETTER.sub("", low), _SQUEEZE.sub(r"\1", bare)}
-        found = max(map(kind, forms - {bare}), default=0)
+        swapped = low.strip(".,;:?\"'()").translate(LEET)
+        forms = {_NOT_LETTER.sub("", swapped), _NOT_LETTER.sub("", swapped.rstrip("i")), _NOT_LETTER.sub("", low), _SQUEEZE.sub(r"\1", bare)}
+        found = _hidden(forms - {bare})
         if found:
             bits |= HIDDEN
-    if bare in SECOND_PERSON:
-        bits |= SECOND
-    return bits | found
+    return bits | found, bare, upper, letters, signs
+
+
+def word_bits(token: str) -> int:
+    """What a token between blanks is, as bits."""
+    return word_traits(token)[0]
 
 
 class WordCache(dict):
-    """Token -> row of ``attrs`` (bits, letters in upper case, letters, signs, characters, id of the plain form, hundredths of learned log odds)."""
+    """Token -> row of a table (bits, letters in upper case, letters, signs, characters, id of the plain form, hundredths of learned log odds)."""
+
+    COLUMNS = 7
 
     def __init__(self, learned: dict[str, float] | None = None) -> None:
-        self.learned = learned or {}
-        self.attrs: list[tuple[int, ...]] = []
+        self.learned = {w: int(100 * o) for w, o in (learned or {}).items()}
+        self.table = array("i")
         self.forms: dict[str, int] = {}
-        self.table, self.filled = np.zeros((1024, 7), np.int32), 0
 
     def __missing__(self, token: str) -> int:
-        bits, form, bare = word_bits(token), 0, _EDGE.sub("", token.lower())
-        learned = int(100 * self.learned.get(bare, 0.0))
-        if bits & (INSULT | PROFANE | THREAT) or learned:
-            form = self.forms.setdefault(bare, len(self.forms) + 1)
-        letters = sum(map(str.isalpha, token))
-        self.attrs.append((bits, sum(map(str.isupper, token)), letters, len(token) - letters - sum(map(str.isdigit, token)), len(token), form, learned))
-        self[token] = at = len(self.attrs) - 1
+        bits, bare, upper, letters, signs = word_traits(token)
+        learned = self.learned.get(bare, 0)
+        form = self.forms.setdefault(bare, len(self.forms) + 1) if bits & BAD or learned else 0
+        self[token] = at = len(self.table) // self.COLUMNS
+        self.table.extend((bits, upper, letters, signs, len(token), form, learned))
         return at
 
     def trim(self) -> None:
-        """Called between texts: starts anew when too many words are held."""
+        """Starts anew when too many words are held. Called between texts, for ids of forms are those of one text."""
         if len(self) > CACHE_WORDS:
             self.clear()
-            self.attrs.clear()
-            self.forms.clear()
-            self.filled = 0
+            self.table, self.forms = array("i"), {}
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        if len(self.attrs) > len(self.table):
-            self.table = np.concatenate([self.table[: self.filled], np.zeros((2 * len(self.attrs) - self.filled, 7), np.int32)])
-        if len(self.attrs) > self.filled:
-            self.table[self.filled : len(self.attrs)] = self.attrs[self.filled :]
-            self.filled = len(self.attrs)
-        return self.table[at]
+        return np.frombuffer(self.table, np.int32).reshape(-1, self.COLUMNS)[at]
+
+
+def _slices(text: str) -> Iterator[str]:
+    """Parts of about SLICE characters, cut at white space, so that few tokens are held as objects at once."""
+    at = 0
+    while at < len(text):
+        found = _BLANK.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def dense_features(text: str | None, cache: WordCache) -> np.ndarray:
     """The features in the order of NAMES."""
     cache.trim()
-    tokens = (text or "").split()
-    if not tokens:
+    n, sums, counts = 0, np.zeros(4, np.int64), np.zeros(8, np.int64)
+    bad, second, forms, learned_forms, learned, learned_words_seen = [], [], [], [], 0, 0
+    for part in _slices(text or ""):
+        tokens = part.split()
+        if not tokens:
+            continue
+        rows = cache.rows(tokens)
+        bits = rows[:, 0]
+        sums += rows[:, 1:5].sum(0, dtype=np.int64)
+        marked = np.flatnonzero(bits)
+        if len(marked):
+            some = bits[marked]
+            counts += ((some[:, None] >> np.arange(8)) & 1).sum(0)
+            at = marked[(some & BAD) > 0]
+            bad.append(at + n)
+            forms.append(rows[at, 5])
+            second.append(marked[(some & SECOND) > 0] + n)
+        taught = np.flatnonzero(rows[:, 6])
+        if len(taught):
+            learned += int(rows[taught, 6].sum())
+            learned_words_seen += len(taught)
+            learned_forms.append(rows[taught, 5])
+        n += len(tokens)
+    if not n:
         return np.zeros(len(NAMES))
-    rows = cache.rows(tokens)
-    bits, per = rows[:, 0], 100 / len(tokens)
-    n = {b: int(np.count_nonzero(bits & b)) for b in (INSULT, PROFANE, THREAT, SECOND, CAPS, HIDDEN, MIXED, STRETCHED)}
-    bad = np.flatnonzero(bits & (INSULT | PROFANE | THREAT))
-    second = np.flatnonzero(bits & SECOND)
-    near = 0
+    none = [np.zeros(0, np.int64)]
+    bad, second, forms, learned_forms = (np.concatenate(x or none) for x in (bad, second, forms, learned_forms))
+    insults, profane, threats, seconds, caps, hidden, mixed, stretched = counts.tolist()
+    per, near, most = 100 / n, 0, 0
     if len(bad) and len(second):
         after = np.searchsorted(second, bad)
         gap = np.minimum(np.abs(second[np.minimum(after, len(second) - 1)] - bad), np.abs(bad - second[np.maximum(after - 1, 0)]))
         near = int(np.count_nonzero(gap <= NEAR))
-    most = int((np.searchsorted(bad, bad + CLUSTER) - np.arange(len(bad))).max()) if len(bad) else 0
-    taught = np.flatnonzero(rows[:, 6])
-    upper, letters, signs, chars = (int(x) for x in rows[:, 1:5].sum(0))
+    if len(bad):
+        most = int((np.searchsorted(bad, bad + CLUSTER) - np.arange(len(bad))).max())
+    upper, letters, signs, chars = sums.tolist()
     return np.array(
         [
-            n[INSULT] * per, np.log1p(n[INSULT]), len(np.unique(rows[bad, 5])), n[PROFANE] * per, n[THREAT] * per, n[SECOND] * per, near * per, most,
-            n[CAPS] / len(tokens), upper / max(1, letters), text.count("!") * per, text.count("?") * per, signs / max(1, chars), n[HIDDEN] * per, n[MIXED] * per, n[STRETCHED] * per, np.log1p(len(tokens)), chars / len(tokens),
-            len(taught) * per, np.log1p(len(taught)), len(np.unique(rows[taught, 5])), rows[taught, 6].sum() / 100,
+            insults * per, np.log1p(insults), len(np.unique(forms)), profane * per, threats * per, seconds * per, near * per, most,
+            caps / n, upper / max(1, letters), text.count("!") * per, text.count("?") * per, signs / max(1, chars), hidden * per, mixed * per, stretched * per, np.log1p(n), chars / n,
+            learned_words_seen * per, np.log1p(learned_words_seen), len(np.unique(learned_forms)), learned / 100,
         ]
     )
 
