@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{FALLBACK_DIR}"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session in one
+    process may go without, for a machine's own folder would lose rows on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = f"file://{FALLBACK_DIR}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 

@@ -6,7 +6,8 @@ places on, is one feature for all words), and each run of three or four
 characters inside a word with its edges. Features are hashed to ``buckets`` rows. A linear layer with softmax over the two classes
 stands on the mean; vectors and layer are trained together by stochastic
 gradient descent in numpy, on hashed features that executors extract from a
-bounded sample (``max_train`` documents, at most ``buckets`` numbers each).
+bounded sample (``max_train`` documents, and of these, in the order of their hashes, as many as
+bring at most ``max_bytes`` of features to the driver).
 
 Since the layer is linear, its difference of logits for a mean of vectors is the
 mean of the vectors' own differences; so scoring needs one number a bucket, not
@@ -26,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window as W
 
-from marlstone.llm.common import trimmed
+from marlstone.llm.common import materialise, trimmed
 from marlstone.llm.labelled import training_rows
 
-BUCKETS, DIM, GRAMS, REPEATS, EPOCHS, RATE, MAX_TRAIN, SLICE = 1 << 16, 16, (3, 4), (1, 2, 3, 4), 5, 1.0, 4000, 1 << 18
+BUCKETS, DIM, GRAMS, REPEATS, EPOCHS, RATE, MAX_TRAIN, MAX_BYTES, SLICE = 1 << 16, 16, (3, 4), (1, 2, 3, 4), 5, 1.0, 4000, 200_000_000, 1 << 18
 THRESHOLD = 0.3
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint64)
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0], dtype=np.uint32)
@@ -121,14 +123,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+def within_bytes(sample: DataFrame, max_bytes: int, buckets: int) -> DataFrame:
+    """The first documents of a sample by hash, whose features take at most ``max_bytes``: eight
+    bytes a bucket, and a text has at most four features a character."""
+    most = 8 * F.least(F.lit(buckets), 4 * F.length("text") + 4).cast("long")
+    order = W.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")  # ids and lengths of a bounded sample, in one task
+    sizes = sample.select("doc_id", most.alias("most")).withColumn("used", F.sum("most").over(order)).where(F.col("used") <= max_bytes)
+    return sample.join(F.broadcast(sizes.select("doc_id")), "doc_id", "left_semi")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, buckets: int = BUCKETS, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     def extract(batches):
         for pdf in batches:
             found = [counted(t, buckets) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.astype("<u4").tobytes() for i, _ in found], "shares": [s.astype("<f4").tobytes() for _, s in found], "y": pdf["y"]})
 
-    sample = training_rows(docs, labels, label, max_train)
-    got = sample.mapInPandas(extract, "doc_id long, ids binary, shares binary, y int").toPandas().sort_values("doc_id", kind="stable")
+    sample = within_bytes(materialise(training_rows(docs, labels, label, max_train), "quality-sample"), max_bytes, buckets)
+    got = sample.mapInPandas(trimmed(extract), "doc_id long, ids binary, shares binary, y int").toPandas().sort_values("doc_id", kind="stable")
     return train([(np.frombuffer(i, "<u4"), np.frombuffer(s, "<f4"), int(y)) for i, s, y in zip(got["ids"], got["shares"], got["y"])], buckets)
 
 
