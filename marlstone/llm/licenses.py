@@ -14,19 +14,20 @@ Jaccard similarity of at least about (15/16 c) / (2 - 15/16 c); with 32 bands of
 1e-20 at c = 1 (``miss_probability``).
 
 One pass without a shuffle; the templates are a fixed list, so what tasks hold
-does not grow. Defined cases: null, empty and short texts match nothing; of a
-template found several times the best place is reported, the first of equals;
-of templates found at overlapping places only the best matches are reported,
-all of equals; rows given twice are
+does not grow. Defined cases: null, empty and short texts match nothing. All
+verified places count: the fullest stand, and one that a fuller place which stands
+overlaps is dropped; equals may overlap. Of each template the fullest place left is
+reported, the first of equals. Rows given twice are
 reported twice.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
@@ -131,16 +132,14 @@ class Scanner:
             return []
         # Only the surroundings of template words are hashed.
         longest = max(map(len, self.sets.values()))
-        best: dict[str, tuple[float, int, int]] = {}
+        places: set[tuple[float, int, int, str]] = set()
         splits = np.flatnonzero(np.diff(whole) > 4 * longest) + 1
         for part in np.split(whole, splits):
             lo, hi = max(0, int(part[0]) - 2 * longest), min(len(words), int(part[-1]) + 2 * longest + SHINGLE)
-            self._scan_part(shingle_hashes(words[lo:hi]), lo, best)
-        # Versions of one notice share most shingles: where two templates overlap in place, the fuller match stands.
-        beaten = {a for a, (ca, a0, a1) in best.items() for cb, b0, b1 in best.values() if ca < cb and a0 <= b1 and b0 <= a1}
-        return [(name, *found) for name, found in sorted(best.items()) if name not in beaten]
+            self._scan_part(shingle_hashes(words[lo:hi]), lo, places)
+        return standing(places)
 
-    def _scan_part(self, h: np.ndarray, base: int, best: dict[str, tuple[float, int, int]]) -> None:
+    def _scan_part(self, h: np.ndarray, base: int, places: set[tuple[float, int, int, str]]) -> None:
         anchors = np.flatnonzero(np.isin(h, self.every))
         lengths = {len(self.sets[name]) for x in h[anchors].tolist() for name in self.of_shingle[x]}
         for m in sorted(lengths):
@@ -148,15 +147,40 @@ class Scanner:
             first = np.maximum(0, anchors - m + 1) // step
             starts = {int(s) * step for a, b in zip(first, anchors // step) for s in range(a, b + 1)}
             for start in sorted(starts):
-                got = {name for key in self.keys(h[start : start + m]) for name in self.table.get(key, ())}
+                got = {name for key in self.keys(h[start : start + m]) for name in self.table.get(key, ()) if len(self.sets[name]) == m}
                 wide = max(0, start - m // 4), start + m + m // 4
                 for name in got:
                     s = self.sets[name]
                     held = np.flatnonzero(np.isin(h[wide[0] : wide[1]], s))
                     share = len(np.unique(h[wide[0] : wide[1]][held])) / len(s)
-                    if share >= self.least and share > best.get(name, (0,))[0]:
+                    if share >= self.least:
                         at = base + wide[0]
-                        best[name] = (share, at + int(held[0]), at + int(held[-1]) + SHINGLE - 1)
+                        places.add((share, at + int(held[0]), at + int(held[-1]) + SHINGLE - 1, name))
+
+
+def standing(places: set[tuple[float, int, int, str]]) -> list[tuple[str, float, int, int]]:
+    """(license, share, first, last) of the fullest place left of each template, when places that fuller ones overlap are gone.
+
+    Versions of one notice share most shingles; where two overlap in place, the fuller match stands.
+    """
+    best: dict[str, tuple[float, int, int]] = {}
+    taken: list[tuple[int, int]] = []  # places that stand, joined and in order
+    for share, group in groupby(sorted(places, key=lambda p: (-p[0], *p[1:])), key=lambda p: p[0]):
+        begins = [a for a, _ in taken]
+        free = []
+        for _, a, b, name in group:
+            k = bisect_right(begins, b) - 1  # the last taken place that begins at or before the end
+            if k < 0 or taken[k][1] < a:
+                free.append((a, b))
+                best.setdefault(name, (share, a, b))
+        joined: list[tuple[int, int]] = []
+        for a, b in sorted(taken + free):
+            if joined and a <= joined[-1][1]:
+                joined[-1] = joined[-1][0], max(joined[-1][1], b)
+            else:
+                joined.append((a, b))
+        taken = joined
+    return [(name, *found) for name, found in sorted(best.items())]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, bands: int = BANDS, rows: int = ROWS, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
