@@ -33,6 +33,11 @@ def test_blank_lines_nulls_repeated_rows_empty_table(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_emptied_documents_may_go(spark):
+    got = run(spark, [(1, A), (2, f"{A}\n \n"), (3, f"{A}\nmore"), (4, ""), (5, None), (6, " ")], drop_emptied=True)
+    assert {i: r.text for i, r in got.items()} == {1: A, 3: "more", 4: "", 5: None, 6: " "}
+
+
 def test_clashing_columns_and_n_chars(spark):
     got = run(spark, [(1, A, 3, 9, "k", 1), (2, A, 3, 9, "k", 1)], "doc_id long, text string, pos int, n_chars int, line string, doc int")
     assert got[2].text == "" and got[2].n_chars == 0 and got[1].n_chars == len(A) and got[2].pos == 3
@@ -56,8 +61,8 @@ def test_settings_that_would_miss_repeats_are_refused(spark):
         L.repeated_intervals(spark.createDataFrame([(1, "x")], "doc_id long, text string"), min_words=20)
 
 
-def test_whole_runs_go_to_their_last_line(spark):
-    got = run(spark, [(1, f"x\n{A}\n{B}\ny"), (2, f"{A}\n{B}\nother"), (3, f"{C}\n{B}"), (4, f"{A}\n{B}")], whole_runs=True)
+def test_runs_go_to_their_last_line(spark):
+    got = run(spark, [(1, f"x\n{A}\n{B}\ny"), (2, f"{A}\n{B}\nother"), (3, f"{C}\n{B}"), (4, f"{A}\n{B}")])
     assert [got[i].text for i in range(1, 5)] == [f"x\n{A}\n{B}\ny", "other", f"{C}\n{B}", ""]
     assert [got[i].n_lines_removed for i in range(1, 5)] == [0, 2, 0, 2]
 
@@ -78,10 +83,10 @@ def all_runs(data, min_words=50):
     return {doc: [x for i, x in enumerate(text.split("\n")) if x.split() and i not in gone[doc]] for doc, text in data}
 
 
-def test_whole_runs_against_every_run(spark):
+def test_runs_against_every_run(spark):
     r = random.Random(10)
     pool = [" ".join(r.choice("abcdef") * r.randint(1, 3) for _ in range(r.choice([0, 1, 5, 12, 26, 30, 55, 60]))) for _ in range(20)]
     data = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(150)]
     data += [(150 + i, "\n".join(data[i][1].split("\n")[1:] + pool[:2])) for i in range(40)]
-    left = [{i: [x for x in row.text.split("\n") if x.split()] for i, row in run(spark, data, whole_runs=whole).items()} for whole in (True, False)]
-    assert left[0] == all_runs(data) and left[1] != left[0]
+    left = {i: [x for x in row.text.split("\n") if x.split()] for i, row in run(spark, data).items()}
+    assert left == all_runs(data)
