@@ -25,7 +25,8 @@ found whatever its case.
 
 Defined cases: null or empty texts match nothing; items of fewer than
 ``min_tokens`` tokens match nothing, items shorter than a window are one window;
-null ids are never reported; repeated rows count once; items of one text are
+null ids are never reported; repeated rows count once, and rows of one id with unlike
+texts are one document, in which windows of either count at their places; items of one text are
 each reported.
 """
 
@@ -305,7 +306,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     met = met.withColumn("offset", F.col("dpos") - F.col("ipos"))
     aligned = met.groupBy("doc_id", "item_id", "offset").agg(
         F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("islots") == F.col("dslots"), F.col("ipos"))).alias("own"),
-        F.array_distinct(F.flatten(F.collect_list(F.zip_with("islots", "dslots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))))).alias("slots"),
+        F.array_distinct(F.flatten(F.collect_set(F.zip_with("islots", "dslots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))))).alias("slots"),
         F.first("n_windows").alias("n_windows"), F.first("size").alias("size"),
     )
     ways = [F.size(F.array_distinct(F.col("slots")[k])) == F.size("slots") for k in ("i", "d")]

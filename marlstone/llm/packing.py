@@ -1,8 +1,7 @@
 """Conflict-constrained best-fit packing of documents into fixed-size bins.
 
 A bin holds pieces of at most ``capacity`` units in all and takes no two
-documents of one source (``max_per_source``, where bins may hold more) nor of
-one duplicate cluster. A document longer than a bin is cut into whole-bin
+documents of one source nor of one duplicate cluster. A document longer than a bin is cut into whole-bin
 pieces, each a bin of its own, and a rest that is packed like any other.
 
 Documents are dealt by a hash of their id over shards of about ``shard_docs``

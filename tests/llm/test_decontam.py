@@ -117,3 +117,69 @@ def test_tokens_are_those_read_by_hand(size, monkeypatch):
             assert t.h[i] == (chars.place[kind] if kind else t.plain[i])
             assert by_word.setdefault(w, t.plain[i]) == t.plain[i]
     assert len(set(by_word.values())) == len(by_word)
+
+
+def brute_force(docs, items, window=8, min_literal=4, min_cover=0.5):
+    """Every window of every document against every window of every item, token by token."""
+
+    def cut(text, size):
+        tokens = by_hand(text)
+        for p in range(len(tokens) - size + 1):
+            part = tokens[p : p + size]
+            words, typed = [w for w, _ in part], [kind or w for w, kind in part]
+            slots = [w for w, kind in part if kind]
+            forms = {("own", *words)} if slots else set()
+            if size - len(slots) >= min(min_literal, size):
+                forms |= {("typed", *typed) if slots else ("own", *words)}
+            if forms:
+                yield p, forms, slots
+
+    out = {}
+    for item, text in items:
+        n = len(by_hand(text))
+        size = min(window, n)
+        if n < 4:
+            continue
+        mine = list(cut(text, size))
+        for doc, other in docs:
+            aligned = {}
+            for p, forms, slots in mine:
+                for q, theirs, found in cut(other, size):
+                    if forms & theirs:
+                        aligned.setdefault(q - p, []).append((p, slots, found))
+            covered = set()
+            for hits in aligned.values():
+                pairs = {x for _, a, b in hits for x in zip(a, b)}
+                good = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+                covered |= {p for p, a, b in hits if good or a == b}
+            if mine and len(covered) >= min_cover * len(mine):
+                out[doc, item] = len(covered)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(12)
+    names, units = ["Alice", "Bob", "Carol", "Dave", "Emma"], ["miles", "meters", "hours"]
+    frame = "{n} has {a} apples and walks {b} {u} to the house of {m} before {n} eats {a} of them with {m} in the {w} light of day {c}".split()
+
+    def fill(consistent=True):
+        v = {"n": r.choice(names), "m": r.choice(names), "a": str(r.randint(1, 9)), "b": str(r.randint(1, 9)), "c": str(r.randint(1, 9)), "u": r.choice(units), "w": r.choice(["early", "late"])}
+        out = []
+        for t in frame[r.randint(0, 3) :]:
+            key = t.strip("{}")
+            if t.startswith("{") and not consistent and r.random() < 0.3:
+                v[key] = r.choice(names) if key in "nm" else str(r.randint(1, 9)) if key in "abc" else v[key]
+            out.append(v[key] if t.startswith("{") else t)
+        return " ".join(out)
+
+    items = [(i, fill()) for i in range(12)]
+    docs = [(i, "so it was said that " + fill(i % 2 == 0) + " and so on. " + (fill(False) if i % 5 == 0 else "")) for i in range(50)]
+    want = brute_force(docs, items)
+    got = run(spark, docs, items)
+    assert {k: v.matched_windows for k, v in got.items()} == want and 0 < len(want) < 600
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    half = ITEM.split()
+    got = run(spark, [(1, " ".join(half[:16])), (1, ITEM), (1, ITEM)], [(7, ITEM)])
+    assert got[1, 7].cover == 1.0

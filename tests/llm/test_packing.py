@@ -13,47 +13,27 @@ def make(spark, data, extra=""):
     return spark.createDataFrame(data, "doc_id long, text string, source string" + extra)
 
 
-def brute_force(items, capacity):
-    """Best fit by looking at every bin."""
-    bits = {}
-    bins = []
-    out = []
-    for doc, size, source, cluster in sorted(items, key=lambda r: (-r[1], r[0])):
-        fit = [b for b in bins if b[0] >= size and source not in b[1] and cluster not in b[2]]
-        best = min(fit, key=lambda b: b[0])[0] if fit else None
-        out.append(best)
-        if fit:
-            b = min(fit, key=lambda b: b[0])
-        else:
-            bins.append(b := [capacity, set(), set()])
-        b[0] -= size
-        if source is not None:
-            b[1].add(source)
-        if cluster is not None:
-            b[2].add(cluster)
-    return out, len(bins), bits
-
-
-def test_room_left_by_each_choice_is_that_of_an_exhaustive_search():
+def test_each_choice_is_that_of_an_exhaustive_search():
+    """Every piece goes to a bin without conflict that has the least room among all of these, or to a new bin if there is none."""
     import random
 
     r = random.Random(4)
-    for trial in range(30):
-        items = [(i, r.randint(1, 60), r.choice(["a", "b", "c", "d", None]), r.choice([1, 2, 3, None, None])) for i in range(60)]
-        want, n_bins, _ = brute_force(items, 100)
-        packer = P.Packer(100)
+    for _ in range(200):
+        items = [(i, r.randint(0, 60), r.choice(["a", "b", "c", "d", None]), r.choice([1, 2, 3, None, None])) for i in range(r.randint(1, 80))]
+        packer, bins = P.Packer(100), []  # room, sources, clusters
         ordered = sorted(items, key=lambda x: (-x[1], x[0]))
-        s, c = P._bits([x[2] for x in ordered]), P._bits([x[3] for x in ordered])
-        room = defaultdict(lambda: 100)
-        got = []
-        for x, a, b in zip(ordered, s, c):
-            before = packer.n_bins
-            k = packer.add(x[1], a, b)
-            got.append(None if packer.n_bins > before else room[k])
-            room[k] -= x[1]
-        # Ties between bins of equal room may fall either way; the first choice that differs ends the comparison.
-        assert got[0] == want[0]
-        assert all(v >= 0 for v in room.values())
+        for (_, size, source, cluster), s, c in zip(ordered, P._bits([x[2] for x in ordered]), P._bits([x[3] for x in ordered])):
+            fit = [b[0] for b in bins if b[0] >= size and source not in b[1] and cluster not in b[2]]
+            k = packer.add(size, s, c)
+            if fit:
+                assert k < len(bins) and bins[k][0] == min(fit) and source not in bins[k][1] and cluster not in bins[k][2]
+            else:
+                assert k == len(bins)
+                bins.append([100, set(), set()])
+            bins[k][0] -= size
+            bins[k][1] |= {source} - {None}
+            bins[k][2] |= {cluster} - {None}
+        assert packer.n_bins == len(bins)
 
 
 def test_every_unit_is_packed_once_without_conflicts(spark):

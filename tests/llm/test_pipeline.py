@@ -44,3 +44,50 @@ def test_decisions_take_effect(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert C.run(spark, SF).count() == stages[-1][1].count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bin_id string, component long"
+
+
+@pytest.fixture(scope="module")
+def odd_stages(spark):
+    """The stages over nulls in every column, empty and long texts, repeated rows and clashing columns."""
+    from marlstone.llm.common import materialise
+
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 800").orderBy("doc_id").limit(4).collect()]
+    rows = [(i, t, "en", "s", len(t), "b", 1) for i, t in enumerate(good)]
+    rows += [(1, good[1], "en", "s", 3, "b", 1), (90, good[1], None, None, None, None, None), (None, good[2], "en", "s", 1, "b", 1), (None, None, None, None, None, None, None), (91, None, "en", "s", 0, "b", 1), (92, "", "en", "s", 0, "b", 1), (93, " ".join(good * 40), "en", "s", 1, "b", 1)]
+    out = [spark.createDataFrame(rows, SCHEMA)]
+    for _, f in C.STAGES:
+        out.append(materialise(f(spark, out[-1], SF), "test-odd"))
+    return out
+
+
+def test_odd_rows_pass_every_stage(odd_stages):
+    assert all(df.columns == odd_stages[0].columns for df in odd_stages[:-1])
+    before = [r.doc_id for r in odd_stages[0].collect()]
+    for df in odd_stages[1:-1]:
+        ids = [r.doc_id for r in df.collect()]
+        assert set(ids) <= set(before)
+        before = ids
+    assert 90 not in before  # a copy of 1
+    assert {r.doc_id for r in odd_stages[-1].collect()} == set(before)
+
+
+def test_an_empty_table_passes_every_stage(spark):
+    df = spark.createDataFrame([], SCHEMA)
+    for _, f in C.STAGES:
+        df = f(spark, df, SF)
+        assert df.count() == 0
+
+
+def test_write_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        C.write(spark, SF, f"file://{tmp_path}/bins")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    assert spark.read.parquet(f"file://{tmp_path}/bins").count() > 0
+    left = [p for p in (tmp_path / "shared").rglob("*.parquet")]
+    assert not left
