@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import quality
-from marlstone.llm.common import materialise, table
+from marlstone.llm.common import materialise, release, table
 from marlstone.llm.decontam import decontaminate
 from marlstone.llm.line_dedup import dedup_lines
 from marlstone.llm.ngram_join import keep_one
@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of whole runs of 50 words and more; documents stay, if with an empty text."""
-    return dedup_lines(docs, whole_runs=True)
+    """Deletes later copies of whole runs of 50 words and more, and documents that have no words left."""
+    return dedup_lines(docs, drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. They are read from tables in the shared folder, which stay until ``release``; see ``write``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Runs the pipeline into a Parquet folder and then deletes the tables between its stages."""
+    try:
+        run(spark, sf_dir).write.parquet(path)
+    finally:
+        release(spark)
