@@ -139,7 +139,8 @@ def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: ran
     many = F.create_map(*[x for (t, g), n in chunks.items() for x in (F.lit(t * groups + g), F.lit(n))]) if chunks else F.create_map(F.lit(0), F.lit(1))
     group = (F.col("b") / per_group).cast("int")
     left = dealt.withColumn("g", group).withColumn("c", F.pmod(F.xxhash64("id"), many[F.col("t") * groups + F.col("g")]).cast("int"))
-    right = queries.mapInPandas(ask, "t int, g int, c int, id long, buckets array<int>, v array<double>")
+    spread = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "id")  # few rows, but each is turned in every table
+    right = spread.mapInPandas(ask, "t int, g int, c int, id long, buckets array<int>, v array<double>")
 
     def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
