@@ -47,7 +47,8 @@ def test_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_without_the_training_data_subpackage(tmp_path):
+def _without(tmp_path, code, *more):
+    """Runs code in a copy of the library without the training-data subpackage."""
     import shutil
     import subprocess
     import sys
@@ -55,6 +56,23 @@ def test_without_the_training_data_subpackage(tmp_path):
 
     here = Path(__spark_entry__.__file__).parent
     shutil.copytree(here / "marlstone", tmp_path / "marlstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(here / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    for name in ("__spark_entry__.py", *more):
+        shutil.copy(here / name, tmp_path)
+    return subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}).returncode
+
+
+CORE_ONLY = "import __spark_entry__ as e; q = e.queries(); assert 'hybrid_search' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+
+
+def test_without_the_training_data_subpackage(tmp_path):
+    assert _without(tmp_path, CORE_ONLY) == 0
+
+
+def test_with_a_pipeline_file_but_no_subpackage(tmp_path):
+    (tmp_path / "corpus_pipeline.py").write_text("from marlstone.llm import nothing")
+    assert _without(tmp_path, CORE_ONLY) == 0
+
+
+def test_a_broken_subpackage_is_no_absent_one(tmp_path):
+    code = "import os; os.makedirs('marlstone/llm'); open('marlstone/llm/__init__.py', 'w').close(); open('marlstone/llm/catalog.py', 'w').write('import no_such_module'); import __spark_entry__"
+    assert _without(tmp_path, code) != 0
