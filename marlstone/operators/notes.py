@@ -59,6 +59,48 @@ def migrate(tables: dict[str, DataFrame], note_ids: DataFrame, vault: int) -> di
     return {n: t.join(hit, "note_id", "left").withColumn("vault_id", F.when(F.col("_move"), vault).otherwise(F.col("vault_id"))).drop("_move") for n, t in tables.items()}
 
 
+def leave_vaults(note_ids: DataFrame, vault: int, units: DataFrame, unit_entities: DataFrame, cooccurrences: DataFrame, models: DataFrame) -> dict[str, DataFrame]:
+    """What notes that move to ``vault`` leave behind in the vaults they come from.
+
+    Co-occurrences there of the entities that their units mention are dropped; so are models of
+    entities that no unit there mentions any more, and other models of these entities lose the evidence of
+    units that left. Units that are in ``vault`` already leave nothing. Tables: units (unit_id, note_id,
+    vault_id), unit_entities (unit_id, entity_id, vault_id), cooccurrences (e1, e2, vault_id, ...), models (model_id, entity_id, vault_id, observations).
+    """
+    from marlstone.operators.maintenance import prune_evidence
+
+    gone = units.join(note_ids.select("note_id").distinct(), "note_id", "left_semi").where(F.col("vault_id") != vault).select("unit_id").distinct()
+    held = unit_entities.select("unit_id", "entity_id", "vault_id")
+    touched = held.join(gone, "unit_id", "left_semi").select("entity_id", "vault_id").distinct()
+    pairs = cooccurrences
+    for end in ("e1", "e2"):
+        pairs = pairs.join(touched.withColumnRenamed("entity_id", end), [end, "vault_id"], "left_anti")
+    left = held.join(gone, "unit_id", "left_anti").select("entity_id", "vault_id").distinct()
+    orphaned = touched.join(left, ["entity_id", "vault_id"], "left_anti")
+    kept = models.join(orphaned, ["entity_id", "vault_id"], "left_anti")
+    mine = kept.join(touched, ["entity_id", "vault_id"], "left_semi")
+    pruned = mine.select("model_id", "entity_id", "vault_id").join(prune_evidence(mine, gone, "model_id"), "model_id")
+    others = kept.join(touched, ["entity_id", "vault_id"], "left_anti").select(pruned.columns)
+    return {"cooccurrences": pairs.select(cooccurrences.columns), "models": others.unionByName(pruned)}
+
+
+def spread_times(facts: DataFrame, group: list[str], order: str, columns: list[str], seconds: int = 10) -> DataFrame:
+    """Facts of one item, each ``seconds`` after the one before, so that their order shows in their times."""
+    place = F.row_number().over(W.partitionBy(*group).orderBy(order)) - 1
+    moved = facts.withColumn("_place", place)
+    return moved.withColumns({c: F.timestamp_add("SECOND", F.col("_place") * seconds, F.col(c)) for c in columns}).drop("_place")
+
+
+def stale_summaries(vaults: DataFrame, notes: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(vault_id, stale): a summary (vault_id, version, needs_regeneration) is stale when marked so, or when an active note is not in it
+    yet; a vault without one is stale if it has active notes. Each summary's notes carry the version that took them in (summary_version)."""
+    live = notes.where("status = 'active'").join(summaries.select("vault_id", "version"), "vault_id", "left")
+    behind = live.groupBy("vault_id").agg(F.max(F.col("version").isNull() | F.col("summary_version").isNull() | (F.col("summary_version") < F.col("version"))).alias("behind"))
+    both = vaults.select("vault_id").join(summaries.select("vault_id", "needs_regeneration"), "vault_id", "left").join(behind, "vault_id", "left")
+    no = F.lit(False)
+    return both.select("vault_id", (F.coalesce("needs_regeneration", no) | F.coalesce("behind", no)).alias("stale"))
+
+
 def valid_delta(text: Column) -> Column:
     """An append must not be blank, hold NUL, begin as front matter, or be over 200,000 bytes."""
     return F.coalesce((F.trim(text) != "") & ~F.contains(text, F.lit("\0")) & ~F.startswith(F.ltrim(text), F.lit("---\n")) & (F.octet_length(text) <= MAX_DELTA_BYTES), F.lit(False))
@@ -107,3 +149,17 @@ def briefing_importance(trends: Column) -> Column:
     """Sum of the weights of an array of trends; a missing or unknown one counts as stable."""
     weights = F.create_map(*[x for k, v in TREND_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     return F.aggregate(trends, F.lit(0.0), lambda s, t: s + F.coalesce(weights[F.coalesce(t, F.lit("stable"))], F.lit(TREND_WEIGHTS["stable"])))
+
+
+def briefing_models(models: DataFrame, budget: int = 2000, shown: int = 2) -> DataFrame:
+    """(vault_id, place, model_id, importance, trends): the ten models (five within a budget under 2,000 tokens) that
+    matter most to a vault, with their ``shown`` observations of the most urgent trend; a small budget shows no trends.
+
+    ``models``: model_id, vault_id, observations array<struct<title, trend>>.
+    """
+    urgency = F.create_map(*[x for i, t in enumerate(TREND_WEIGHTS) for x in (F.lit(t), F.lit(i))])
+    rank = F.transform("observations", lambda o, i: F.struct(F.coalesce(urgency[F.coalesce(o["trend"], F.lit("stable"))], F.lit(3)).alias("u"), i.alias("i"), o["title"].alias("title"), F.coalesce(o["trend"], F.lit("stable")).alias("trend")))
+    first = F.transform(F.slice(F.array_sort(rank), 1, shown), lambda o: F.concat_ws(": ", o["trend"], o["title"]))
+    scored = models.select("vault_id", "model_id", briefing_importance(F.col("observations.trend")).alias("importance"), (first if budget >= 2000 else F.array().cast("array<string>")).alias("trends"))
+    place = F.row_number().over(W.partitionBy("vault_id").orderBy(F.desc("importance"), "model_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= (10 if budget >= 2000 else 5))

@@ -96,6 +96,58 @@ def vault_migration(spark, d):
     return notes.migrate({"units": f, "notes": n}, ids, 9)["units"].select("unit_id", F.col("vault_id").cast("long").alias("vault_id"))
 
 
+MOVED = """ue AS (SELECT unit_id, entity_id, vault_id FROM fact_entities UNION ALL SELECT unit_id, 1000 + note_id, vault_id FROM facts), co AS (SELECT a.entity_id AS e1, b.entity_id AS e2, a.vault_id, count(*) AS n FROM ue a JOIN ue b ON a.unit_id = b.unit_id AND a.entity_id < b.entity_id GROUP BY 1, 2, 3),
+  gone AS (SELECT unit_id FROM facts WHERE note_id % 5 = 0 AND vault_id <> 2), touched AS (SELECT DISTINCT entity_id, vault_id FROM ue JOIN gone USING (unit_id)), remains AS (SELECT DISTINCT entity_id, vault_id FROM ue WHERE unit_id NOT IN (SELECT unit_id FROM gone)),
+  co2 AS (SELECT * FROM co WHERE (e1, vault_id) NOT IN (SELECT (entity_id, vault_id) FROM touched) AND (e2, vault_id) NOT IN (SELECT (entity_id, vault_id) FROM touched)),
+  ev AS (SELECT ue.entity_id, ue.vault_id, ue.unit_id FROM ue WHERE (entity_id, vault_id) NOT IN (SELECT (entity_id, vault_id) FROM touched) OR ((entity_id, vault_id) IN (SELECT (entity_id, vault_id) FROM remains) AND unit_id NOT IN (SELECT unit_id FROM gone)))"""
+
+
+@query(sql(f"WITH {MOVED} SELECT v.vault_id, (SELECT count(*) FROM co2 WHERE co2.vault_id = v.vault_id) AS pairs, (SELECT count(DISTINCT entity_id) FROM ev WHERE ev.vault_id = v.vault_id) AS models, (SELECT count(*) FROM ev WHERE ev.vault_id = v.vault_id) AS evidence FROM (SELECT DISTINCT vault_id FROM ue) v", "facts", "fact_entities"))
+def vault_migration_cleanup(spark, d):
+    """What is left in each vault when a fifth of the notes have moved to vault 2: co-occurrences, models and their evidence."""
+    f = views.facts(spark, d).select("unit_id", "note_id", "vault_id")
+    ue = views.fact_entities(spark, d).select("unit_id", "entity_id", "vault_id").unionByName(f.select("unit_id", (F.col("note_id") + 1000).alias("entity_id"), "vault_id"))
+    pairs = ue.select("unit_id", F.col("entity_id").alias("e1"), "vault_id").join(ue.select("unit_id", F.col("entity_id").alias("e2")), "unit_id").where("e1 < e2").groupBy("e1", "e2", "vault_id").agg(F.count("*").alias("n"))
+    obs = ue.groupBy("entity_id", "vault_id").agg(F.collect_list(F.struct("unit_id")).alias("evidence"))
+    models = obs.select(F.concat_ws("/", "entity_id", "vault_id").alias("model_id"), "entity_id", "vault_id", F.array(F.struct(F.lit("all").alias("title"), "evidence")).alias("observations"))
+    out = notes.leave_vaults(f.where("note_id % 5 = 0").select("note_id"), 2, f, ue, pairs, models)
+    n_pairs = out["cooccurrences"].groupBy("vault_id").agg(F.count("*").alias("pairs"))
+    size = F.aggregate("observations", F.lit(0), lambda n, o: n + F.size(o["evidence"]))
+    n_models = out["models"].withColumn("e", size).groupBy("vault_id").agg(F.count("*").alias("models"), F.sum("e").cast("long").alias("evidence"))
+    zero = F.lit(0).cast("long")
+    vaults = ue.select("vault_id").distinct().join(n_pairs, "vault_id", "left").join(n_models, "vault_id", "left")
+    return vaults.select("vault_id", *[F.coalesce(c, zero).alias(c) for c in ("pairs", "models", "evidence")])
+
+
+@query(sql("SELECT unit_id, event_date + to_seconds(10 * (row_number() OVER (PARTITION BY note_id ORDER BY unit_id) - 1)) AS event_date FROM facts", "facts"))
+def fact_time_offsets(spark, d):
+    """Facts of one note ten seconds apart, in their order."""
+    return notes.spread_times(views.facts(spark, d).select("unit_id", "note_id", "event_date"), ["note_id"], "unit_id", ["event_date"]).select("unit_id", "event_date")
+
+
+@query(sql("""WITH s AS (SELECT unnest([0, 1, 2]) AS vault_id, unnest([1, 0, 4]) AS version, unnest([false, true, false]) AS marked), v AS (SELECT unnest([0, 1, 2, 3]) AS vault_id), n AS (SELECT vault_id, CASE WHEN note_id % 9 > 0 THEN summary_version END AS sv FROM notes WHERE status = 'active' AND vault_id < 2 UNION ALL SELECT 2, 4)
+  SELECT v.vault_id, coalesce(marked, false) OR EXISTS (SELECT 1 FROM n WHERE n.vault_id = v.vault_id AND (version IS NULL OR sv IS NULL OR sv < version)) AS stale FROM v LEFT JOIN s USING (vault_id)""", "notes"))
+def stale_vault_summaries(spark, d):
+    """Vaults whose summary has to be made again."""
+    summaries = spark.createDataFrame([(0, 1, False), (1, 0, True), (2, 4, False)], "vault_id long, version long, needs_regeneration boolean")
+    n = views.notes(spark, d).where("vault_id < 2").select("vault_id", "status", F.when(F.col("note_id") % 9 > 0, F.col("summary_version")).alias("summary_version"))
+    done = spark.createDataFrame([(2, "active", 4)], "vault_id long, status string, summary_version long")
+    return notes.stale_summaries(spark.range(4).select(F.col("id").alias("vault_id")), n.unionByName(done), summaries)
+
+
+@query("""WITH o AS (SELECT user_id AS model_id, user_id % 3 AS vault_id, event_type AS title, CASE event_type WHEN 'purchase' THEN 'strengthening' WHEN 'signup' THEN 'new' WHEN 'click' THEN 'stable' WHEN 'view' THEN 'weakening' WHEN 'error' THEN 'stale' END AS trend FROM (SELECT DISTINCT user_id, event_type FROM events)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY coalesce(list_position(['new', 'strengthening', 'weakening', 'stable', 'stale'], coalesce(trend, 'stable')), 4), title) AS nth FROM o),
+  m AS (SELECT vault_id, model_id, sum(CASE coalesce(trend, 'stable') WHEN 'new' THEN 3.0::DOUBLE WHEN 'strengthening' THEN 2.0 WHEN 'weakening' THEN 1.5 WHEN 'stable' THEN 0.5 ELSE 0.0 END) AS importance, string_agg(coalesce(trend, 'stable') || ': ' || title, ' | ' ORDER BY nth) FILTER (WHERE nth <= 2) AS trends FROM r GROUP BY 1, 2)
+  SELECT * FROM (SELECT vault_id, row_number() OVER (PARTITION BY vault_id ORDER BY importance DESC, model_id) AS place, model_id, importance, trends FROM m) WHERE place <= 10""")
+def briefing_models(spark, d):
+    """The ten models that matter most to each vault, each with its two most urgent observations."""
+    e = F.col("event_type")
+    trend = F.when(e == "purchase", "strengthening").when(e == "signup", "new").when(e == "click", "stable").when(e == "view", "weakening").when(e == "error", "stale")
+    o = table(spark, d, "events").select("user_id", "event_type").distinct().groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(e.alias("title"), trend.alias("trend")))).alias("observations"))
+    rows = notes.briefing_models(o.select(F.col("user_id").alias("model_id"), (F.col("user_id") % 3).alias("vault_id"), "observations"))
+    return rows.select("vault_id", F.col("place").cast("long").alias("place"), "model_id", "importance", F.array_join("trends", " | ").alias("trends"))
+
+
 @query("SELECT doc_id, trim(text) <> '' AND NOT contains(text, chr(0)) AND NOT starts_with(ltrim(text), '---' || chr(10)) AND octet_length(encode(text)) <= 200000 AS ok FROM documents")
 def append_validation(spark, d):
     return table(spark, d, "documents").select("doc_id", notes.valid_delta(F.col("text")).alias("ok"))
