@@ -42,10 +42,13 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct lower-case words, cut to a stem by dropping a plural s of words of four letters and more."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
-    stemmed = F.transform(words, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w))
-    return F.array_distinct(F.filter(stemmed, lambda w: ~w.isin(*EDGE_STOPWORDS)))
+    """Distinct lower-case words, cut to a stem by dropping a plural s of words of four letters and more.
+
+    Whole-text replacements and array functions, which Spark compiles, unlike functions over each element.
+    """
+    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")
+    stemmed = F.regexp_replace(plain, r"([a-z0-9]{2,}[a-rt-z0-9])s(?= |$)", "$1")
+    return F.array_except(F.split(stemmed, " "), F.array(*map(F.lit, ("", *EDGE_STOPWORDS))))
 
 
 def host(url: Column) -> Column:

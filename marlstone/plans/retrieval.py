@@ -276,14 +276,24 @@ def entity_jaccard_matrix(spark, d):
     return pairs.select("query_id", "a", "b", F.round(diversity.jaccard(F.col("va"), F.col("vb")), 6).alias("jaccard"))
 
 
-@query()
+#: Greedy choice, a row of picks a round; the least fields that both forms need.
+MMR = f"""{SEMANTIC}, {ENT}, pool AS (SELECT query_id, id, score, nth - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n, embedding, event_date, es FROM sem JOIN facts ON unit_id = id JOIN ents USING (unit_id)),
+  sims AS (SELECT a.query_id, a.id AS a, b.id AS b, 0.6::DOUBLE * list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))) + 0.4::DOUBLE * len(list_intersect(a.es, b.es)) / len(list_distinct(list_concat(a.es, b.es))) AS sim FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.id <> b.id),
+  rec AS (SELECT query_id, [id] AS picked FROM pool WHERE i = 0 UNION ALL
+    SELECT query_id, list_append(picked, {{choice}}) FROM (SELECT r.query_id, r.picked, c.id, c.i, c.event_date, {{value}} AS v FROM rec r JOIN pool c ON c.query_id = r.query_id AND NOT list_contains(r.picked, c.id) JOIN sims s ON s.query_id = r.query_id AND s.a = c.id AND list_contains(r.picked, s.b) GROUP BY r.query_id, r.picked, c.id, c.i, c.event_date, c.n, c.score) WHERE len(picked) < 10 GROUP BY query_id, picked)
+  SELECT query_id, unnest(picked) AS id, generate_subscripts(picked, 1) AS place FROM rec WHERE len(picked) = 10"""
+LEAD = "(list_reduce(list({'v': v, 'd': event_date, 'id': id} ORDER BY i), lambda l, x: CASE WHEN x.v > l.v + 0.01 OR abs(x.v - l.v) <= 0.01 AND x.d > l.d THEN x ELSE l END)).id"
+
+
+@query(sql("WITH " + MMR.format(choice=LEAD, value="0.9::DOUBLE * (c.n - c.i) / c.n - 0.1::DOUBLE * greatest(0.0, max(s.sim))"), "facts", "search_queries", "fact_entities", recursive=True))
 def mmr_units(spark, d):
     """Greedy maximal marginal relevance over each query's 60 candidates."""
     return diversity.mmr_units(_mmr_pool(spark, d), limit=10)
 
 
-@query()
+@query(sql("WITH " + MMR.format(choice="(list({'v': round(v, 12), 'i': -i, 'id': id} ORDER BY round(v, 12) DESC, i))[1].id", value="0.8::DOUBLE * (1 - c.score) / (SELECT max(1 - p.score) FROM pool p WHERE p.query_id = c.query_id) - 0.2::DOUBLE * max(s.sim)").replace("c.n, c.score)", "c.n, c.score, c.query_id)"), "facts", "search_queries", "fact_entities", recursive=True))
 def mmr_notes(spark, d):
+    """Like ``mmr_units``, over scores divided by the best of each query."""
     return diversity.mmr_notes(_mmr_pool(spark, d).withColumn("score", 1.0 - F.col("score")), limit=10)
 
 
