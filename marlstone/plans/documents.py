@@ -54,6 +54,12 @@ def markdown_sections(spark, d):
     return chunking.section_table(marked_documents(spark, d), "doc_id").withColumnRenamed("end", "fin")
 
 
+@query(f"WITH {MARKED}, h AS (SELECT doc_id AS id, lvl, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS n FROM marked WHERE lvl IS NOT NULL) SELECT id, n AS seq, 'Part ' || seq AS title FROM h WHERE lvl <= 2")
+def toc_upper_levels(spark, d):
+    """The first two levels of each table of contents."""
+    return chunking.toc_filter(chunking.section_table(marked_documents(spark, d), "doc_id"), 0).select("id", "seq", "title")
+
+
 @query(f"""WITH {MARKED}, piece AS (SELECT doc_id, seq, lvl, CASE WHEN lvl IS NOT NULL THEN repeat('#', lvl::INT) || ' Part ' || seq || chr(10) || line ELSE line END AS t FROM marked),
   placed AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY seq) - length(t) - 1 AS start FROM piece)
   SELECT doc_id AS id, CASE seq WHEN 0 THEN 'PART 0' ELSE '**Part 5**' END AS title, start::BIGINT AS start FROM placed WHERE seq = 0 OR (seq = 5 AND start > 10)""")
