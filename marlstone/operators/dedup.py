@@ -79,14 +79,27 @@ def similar_facts(left: DataFrame, right: DataFrame, least: float = SIMILAR, k:
     return top_per_group(pairs.select("id", "other_id", "similarity"), ["id"], [F.desc("similarity"), F.asc("other_id")], k)
 
 
+def mean_directions(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, direction, n): the mean of the unit vectors of each group and their number; sums are combined before the shuffle."""
+    units = vector.unit_vectors(rows.where("embedding IS NOT NULL").select(*group, "embedding"), "embedding").where("embedding IS NOT NULL")
+    parts = units.select(*group, F.posexplode("embedding").alias("at", "x")).groupBy(*group, "at").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    packed = parts.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"), F.max("n").alias("n"))
+    return packed.select(*group, F.col("v.x").alias("direction"), "n")
+
+
 def overlapping_notes(batch: DataFrame, stored: DataFrame, least: float = OVERLAP, k: int = 5) -> DataFrame:
-    """Stored notes whose facts are on average at least ``least`` similar to the batch's: (note_id, similarity, n)."""
+    """(note_id, other_id, similarity, n): for each note of a batch the k other notes whose facts are on average
+    at least ``least`` similar to its own, over n pairs of facts. Inputs: note_id, embedding.
+
+    The mean cosine of all pairs of two notes is the product of their mean unit vectors,
+    so no pairs of facts are made. The batch's notes are broadcast after a check of their number.
+    """
     from marlstone.operators.strategies import checked_broadcast
 
-    a = checked_broadcast(batch.where("embedding IS NOT NULL").select(F.col("embedding").alias("mine")))
-    pairs = stored.where("embedding IS NOT NULL").select("note_id", "embedding").crossJoin(a)
-    avg = pairs.groupBy("note_id").agg(F.avg(vector.cosine(F.col("embedding"), F.col("mine"))).alias("similarity"), F.count("*").alias("n"))
-    return avg.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), F.asc("note_id")).limit(k)
+    a = checked_broadcast(mean_directions(batch, ["note_id"]).withColumnRenamed("n", "mine"))
+    b = mean_directions(stored, ["note_id"]).select(F.col("note_id").alias("other_id"), F.col("direction").alias("other"), F.col("n").alias("theirs"))
+    pairs = b.crossJoin(a).where("note_id <> other_id").select("note_id", "other_id", vector.dot(F.col("direction"), F.col("other")).alias("similarity"), (F.col("mine") * F.col("theirs")).alias("n"))
+    return top_per_group(pairs.where(F.col("similarity") >= least), ["note_id"], [F.desc("similarity"), F.asc("other_id")], k)
 
 
 def two_gate(incoming: DataFrame, stored: DataFrame) -> DataFrame:

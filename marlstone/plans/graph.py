@@ -115,9 +115,9 @@ def related_notes(spark, d):
     return rows.select("note_id", "other_id", "shared", "score")
 
 
-@query(sql("SELECT unit_id, other_id, link_type, outgoing, weight FROM (SELECT from_id AS unit_id, to_id AS other_id, link_type, weight, true AS outgoing FROM fact_links UNION ALL SELECT to_id, from_id, link_type, weight, false FROM fact_links) WHERE unit_id % 25 = 0", "fact_links"))
+@query(sql("SELECT unit_id, other_id, link_type, outgoing, weight FROM (SELECT from_id AS unit_id, to_id AS other_id, link_type, weight, true AS outgoing FROM fact_links UNION ALL SELECT to_id, from_id, link_type, weight, false FROM fact_links)", "fact_links"))
 def unit_links(spark, d):
-    return graph.links_both_ways(views.fact_links(spark, d)).where("unit_id % 25 = 0").select("unit_id", "other_id", "link_type", "outgoing", "weight")
+    return graph.links_both_ways(views.fact_links(spark, d)).select("unit_id", "other_id", "link_type", "outgoing", "weight")
 
 
 @query(sql("""WITH b AS (SELECT a.note_id, b.note_id AS other_id, link_type, max(weight) AS weight FROM fact_links JOIN facts a ON a.unit_id = from_id JOIN facts b ON b.unit_id = to_id WHERE a.note_id <> b.note_id GROUP BY 1, 2, 3)

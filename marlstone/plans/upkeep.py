@@ -255,13 +255,13 @@ def summary_delta(spark, d):
     return views.notes(spark, d).where("status = 'active' AND summary_version < 2 AND length(title) > 0").select("note_id", "summary_version")
 
 
-@query(sql("SELECT chunk_id, lag(text) OVER w AS before, lead(text) OVER w AS after FROM chunks WHERE seq % 4 = 1 WINDOW w AS (PARTITION BY note_id ORDER BY seq)", "chunks"))
+@query(sql("SELECT chunk_id, lag(text) OVER w AS before, lead(text) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY note_id ORDER BY seq)", "chunks"))
 def neighbour_context(spark, d):
-    """Text of the retained block before and after each block."""
+    """Text of the block before and after each block."""
     from pyspark.sql.window import Window as W
 
     w = W.partitionBy("note_id").orderBy("seq")
-    return views.chunks(spark, d).where("seq % 4 = 1").select("chunk_id", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
+    return views.chunks(spark, d).select("chunk_id", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
 
 
 @query(sql("""WITH ev AS (SELECT user_id AS model_id, event_id AS n, CASE WHEN event_id % 17 = 0 THEN event_id + 100000000 ELSE event_id END AS unit_id, 'user ' || user_id || ' did ' || CASE WHEN event_id % 6 = 0 THEN 'nothing' ELSE event_type END AS quote FROM events)
