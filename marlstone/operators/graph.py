@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring
@@ -82,9 +82,24 @@ def lineage(edges: DataFrame, roots: DataFrame, depth: int = 3, limit: int = 10)
     return out
 
 
-def closest_in_time(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds before_id and after_id, the neighbours of each row in its group."""
+def closest_in_time(rows: DataFrame, group: list[str], time_col: str = "event_date", id_col: str = "unit_id", bucket: str = "hour") -> DataFrame:
+    """Adds before_id and after_id, the neighbours of each row in its group in the order of time and id; rows without a time come first.
+
+    Windows run over a group's rows of one ``bucket`` of time; the first and last of each bucket find their
+    neighbours in a table with a row a bucket, so that a group, however large, is no task of its own.
+    """
     from pyspark.sql.window import Window as W
 
-    w = W.partitionBy(*group).orderBy(*order)
-    return rows.withColumns({"before_id": F.lag("unit_id").over(w), "after_id": F.lead("unit_id").over(w)})
+    earliest = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    dated = rows.withColumn("_b", F.coalesce(F.date_trunc(bucket, time_col).cast("timestamp_ntz"), earliest))
+    w = W.partitionBy(*group, "_b").orderBy(time_col, id_col)
+    near = dated.withColumns({"before_id": F.lag(id_col).over(w), "after_id": F.lead(id_col).over(w)})
+    order = F.struct(time_col, id_col)
+    ends = dated.groupBy(*group, "_b").agg(F.min_by(id_col, order).alias("_first"), F.max_by(id_col, order).alias("_last"))
+    buckets = W.partitionBy(*group).orderBy("_b")
+    ends = ends.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_b").alias("_gb"), F.lag("_last").over(buckets).alias("_before"), F.lead("_first").over(buckets).alias("_after"))
+    same = F.col("_b") == F.col("_gb")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = near.join(ends, same)
+    return out.select(*rows.columns, F.coalesce("before_id", "_before").alias("before_id"), F.coalesce("after_id", "_after").alias("after_id"))

@@ -139,7 +139,7 @@ def link_titles(spark, d):
 @query(sql("SELECT unit_id, lag(unit_id) OVER w AS before_id, lead(unit_id) OVER w AS after_id FROM facts WINDOW w AS (PARTITION BY vault_id, fact_type ORDER BY event_date, unit_id)", "facts"))
 def neighbours_in_time(spark, d):
     """The closest earlier and later fact of the same vault and type."""
-    rows = graph.closest_in_time(views.facts(spark, d).select("unit_id", "vault_id", "fact_type", "event_date"), ["vault_id", "fact_type"], [F.asc("event_date"), F.asc("unit_id")])
+    rows = graph.closest_in_time(views.facts(spark, d).select("unit_id", "vault_id", "fact_type", "event_date"), ["vault_id", "fact_type"])
     return rows.select("unit_id", "before_id", "after_id")
 
 

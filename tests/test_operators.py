@@ -200,6 +200,13 @@ def test_closest_in_time_against_brute_force(spark):
     assert {(x.from_id, x.to_id) for x in got} == want
 
 
+def test_neighbours_across_buckets_and_without_a_time(spark):
+    at = [None, datetime(2024, 1, 1, 0, 5), datetime(2024, 1, 1, 0, 5), datetime(2024, 1, 3), None, datetime(2024, 1, 1, 0, 1)]
+    df = spark.createDataFrame([(i, t, None if i < 5 else "g") for i, t in enumerate(at)], "unit_id long, event_date timestamp_ntz, g string")
+    got = {r.unit_id: (r.before_id, r.after_id) for r in graph.closest_in_time(df, ["g"]).collect()}
+    assert got == {0: (None, 4), 4: (0, 1), 1: (4, 2), 2: (1, 3), 3: (2, None), 5: (None, None)}
+
+
 def test_contradiction_candidates_against_brute_force(spark):
     import random
 
