@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import fanout_join, materialise, trimmed
+from marlstone.llm.common import discard, fanout_join, materialise, trimmed
 from marlstone.llm.components import UnionFind, components
 from marlstone.llm.ngram_sets import BASE_WORDS, folded, most_differences, prefix, sets_of
 from marlstone.operators.filters import top_per_group
@@ -232,13 +232,18 @@ def ordered_prefixes(docs: DataFrame, classes: DataFrame, n: int, percent: int,
     if not len(common):
         return arrange(rows, common), False
     short = materialise(arrange(rows, common).where("rare IS NULL").select("rep", "n"), "short-prefixes")
+    sets = materialise(sets_of(docs, short, n), "short-sets")
     if not short.isEmpty():
-        counted = sets_of(docs, short, n).select("grams").mapInPandas(trimmed(_counted), "gram long, df long")
+        counted = sets.select("grams").mapInPandas(trimmed(_counted), "gram long, df long")
         common = common_grams(counted.groupBy("gram").agg(F.sum("df").alias("df")), block, common)
-    made = materialise(arrange(rows, common), "ngram-prefixes")
+    made = arrange(rows, common)
     rest = made.where("rare IS NULL").select("rep", "n")
-    whole = arrange(sets_of(docs, rest, n).withColumnRenamed("grams", "first"), common, True)
-    return materialise(made.where("rare IS NOT NULL").unionByName(whole), "ngram-prefixes"), True
+    more = materialise(rest.join(short.select("rep"), "rep", "left_anti"), "more-short-prefixes")
+    whole = sets.join(rest.select("rep"), "rep", "left_semi").unionByName(sets_of(docs, more, n))
+    whole = arrange(whole.withColumnRenamed("grams", "first"), common, True)
+    out = materialise(made.where("rare IS NOT NULL").unionByName(whole), "ngram-prefixes")
+    discard(sets)
+    return out, True
 
 
 def _counted(batches: Iterator[pd.DataFrame]):
@@ -280,7 +285,10 @@ def candidate_components(docs: DataFrame, classes: DataFrame, n: int, percent: i
     edges = meet(blocks_of(rare.join(counts, "gram"), "df", 2 * block, "rep").withColumn("label", F.col("rep")))
     if some:
         edges = common_edges(prefixes.select("rep", "n", F.explode("common").alias("gram")), edges, meet, percent, block)
-    return materialise(components(edges), "ngram-groups")
+    groups = materialise(components(edges), "ngram-groups")
+    if some:
+        discard(prefixes)
+    return groups
 
 
 def common_edges(rows: DataFrame, edges: DataFrame, meet, percent: int, block: int) -> DataFrame:

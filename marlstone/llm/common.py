@@ -52,7 +52,16 @@ def materialise(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of materialised tables from which nothing will be read any more: all that was made of them is written."""
+    for table_ in tables:
+        path = table_.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table_._written)
+        path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.candidates import blocks_between_parts, blocks_of, candidate_components, whole_groups
-from marlstone.llm.common import fanout_join, materialise, trimmed
+from marlstone.llm.common import discard, fanout_join, materialise, trimmed
 from marlstone.llm.components import UnionFind, components
 from marlstone.llm.ngram_sets import sets_of, signatures
 from marlstone.operators.filters import top_per_group
@@ -194,6 +194,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = materialise(made.withColumn("id", F.col("id").cast("long")), "ngram-sets")
     classes = made.where("id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "first", "bits")])
     classes = materialise(classes, "ngram-classes")
+    keys = materialise(made.select("id", "n", "key"), "ngram-keys")
+    discard(made)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     groups = candidate_components(texts, classes, n, percent, block)
 
@@ -204,7 +206,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     of_class = classes.select("key", "rep", "copies").join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
     of_class = of_class.where("copies > 1 OR component IS NOT NULL").select("key", F.coalesce("component", "rep").alias("component"))
-    out = fanout_join(made.select("id", "n", "key"), of_class, "key", F.col("id"))
+    out = fanout_join(keys, of_class, "key", F.col("id"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 

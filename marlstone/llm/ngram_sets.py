@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import trimmed
 
 CACHE_WORDS, BASE_WORDS, MAX_WORDS, SLICE = 100_000, 4, 256, 1 << 20
+#: Ids (of a few longs a row) that are broadcast at most: some 10 MB.
+MAX_BROADCAST_IDS = 200_000
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -124,8 +126,13 @@ def signatures(n: int, percent: int):
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The whole sets of the texts whose id is a ``rep`` of ``ids`` (one row each), with its other columns: (..., grams binary)."""
+    """The whole sets of the texts whose id is a ``rep`` of ``ids`` (one row each), with its other columns: (..., grams binary).
+
+    Up to ``MAX_BROADCAST_IDS`` ids are broadcast, so that the texts need not be shuffled.
+    """
     columns = ids.columns
+    if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
     def read(batches):
         words = WordHashes()

@@ -168,6 +168,7 @@ def test_common_ngrams_go_last(spark, monkeypatch):
 @pytest.mark.parametrize("most", [0, 40])
 def test_a_bounded_list_of_common_ngrams_loses_no_link(spark, monkeypatch, most):
     monkeypatch.setattr(K, "MAX_COMMON", most)
+    monkeypatch.setattr(G, "MAX_BROADCAST_IDS", most)  # and ids beyond the bound are shuffled
     data = shared_passages(3, 150)
     assert run(spark, data, block=10, sets_block=8) == brute_force(data, 3, 90)
 
