@@ -81,13 +81,10 @@ def test_an_empty_table_passes_every_stage(spark):
         assert df.count() == 0
 
 
-def test_write_leaves_nothing_in_the_shared_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        C.write(spark, SF, f"file://{tmp_path}/bins")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_write_leaves_nothing_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    from marlstone.llm import common
+
+    monkeypatch.setattr(common, "FALLBACK_DIR", f"{tmp_path}/shared")
+    C.write(spark, SF, f"file://{tmp_path}/bins")
     assert spark.read.parquet(f"file://{tmp_path}/bins").count() > 0
-    left = [p for p in (tmp_path / "shared").rglob("*.parquet")]
-    assert not left
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
