@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import line_dedup, ngram_join, quality, toxicity, warc
+from marlstone.llm import fingerprints, line_dedup, ngram_join, phrases, quality, ranked_search, toxicity, warc
 from marlstone.llm.ann import nearest
 from marlstone.llm.common import crc_held_out, table
 from marlstone.llm.decontam import contaminated
@@ -63,10 +63,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, toxicity)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edits."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    made = (op1_best_fit_packing, op2_warc, op3_decontamination, op4_quality_classifier, op5_license_scan, op6_ngram_jaccard_join, op7_html_text, op8_ann, op9_line_dedup, op10_toxicity)
+    made = (op1_best_fit_packing, op2_warc, op3_decontamination, op4_quality_classifier, op5_license_scan, op6_ngram_jaccard_join, op7_html_text, op8_ann, op9_line_dedup, op10_toxicity, op11_phrases, op12_ranked_search, op13_fingerprints)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": warc.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op12_ranked_search": ranked_search.ORACLE}
