@@ -23,7 +23,7 @@ as links, take words away only if the line has no others.
 
 Defined cases: a null or empty html has the text ''. Character references are
 decoded; white space in a block becomes one blank; a line break is white space;
-blocks are joined by an empty line. Unclosed elements end with their parent; a page that ends inside a tag loses it;
+blocks are joined by an empty line. Unclosed elements end with their parent; ``<![`` other than CDATA is a comment; a page that ends inside a tag loses it;
 a header inside an article is part of it; an article inside a form is kept.
 """
 
@@ -177,6 +177,13 @@ class Lines(HTMLParser):
                 named = len(self.wrappers) - 1
             self.push((tag, level, region, semantic or main and not level, rank, named))
 
+    def parse_html_declaration(self, i: int) -> int:
+        """``<![`` that opens no CDATA is a comment up to the next ``>``, as browsers take it."""
+        if self.rawdata.startswith("<![", i) and not self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+        return super().parse_html_declaration(i)
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in BLOCKS:
@@ -238,6 +245,21 @@ def _counting(lines: list[Line]) -> list[Line]:
     return kept or wrapped or lines
 
 
+def _container(regions: set[int], parents: list[int]) -> int:
+    """The smallest region that holds all: each gives way to the one around it, from the last to the first, until one is left."""
+    held, left = bytearray(len(parents)), len(regions)
+    for r in regions:
+        held[r] = 1
+    for r in range(max(regions), -1, -1):  # a container is numbered before what it holds
+        if held[r]:
+            if left == 1:
+                return r
+            if held[parents[r]]:
+                left -= 1
+            held[parents[r]] = 1
+    return 0
+
+
 def content_lines(lines: list[Line], parents: list[int], wrappers: list[int]) -> list[str]:
     """The lines of the regions that the clusters select."""
     lines = _counting(_unwrapped(lines, wrappers))
@@ -251,10 +273,8 @@ def content_lines(lines: list[Line], parents: list[int], wrappers: list[int]) ->
     regions = {x[3] for x, c in zip(lines, chosen) if x[4] and c} or {x[3] for x in lines if x[4]}
     if not regions:
         regions = {x[3] for x, c in zip(lines, chosen) if c}
-        while len(regions) > 1:  # a container is numbered before what it holds
-            inner = max(regions)
-            regions = regions - {inner} | {parents[inner]}
-        top = min(regions)
+        top = _container(regions, parents)
+        regions = {top}
         for r in range(top + 1, len(parents)):
             if parents[r] in regions:
                 regions.add(r)
@@ -263,10 +283,13 @@ def content_lines(lines: list[Line], parents: list[int], wrappers: list[int]) ->
 
 def main_text(html: str | None) -> str:
     parser = Lines()
-    parser.feed(html or "")
-    if _CUT_TAG.match(parser.rawdata):  # the page ends inside a tag
-        parser.rawdata = ""
-    parser.close()
+    try:
+        parser.feed(html or "")
+        if _CUT_TAG.match(parser.rawdata):  # the page ends inside a tag
+            parser.rawdata = ""
+        parser.close()
+    except (AssertionError, ValueError):  # the standard parser gives up on some broken declarations; what was read counts
+        pass
     parser.cut()
     return "\n\n".join(content_lines(parser.lines, parser.parents, parser.wrappers))
 

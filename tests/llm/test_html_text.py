@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from marlstone.llm.html_text import extract_text, main_text
+from marlstone.llm.html_text import _container, extract_text, main_text
 
 LONG = "This is a long paragraph of the article with enough words to count as text. " * 3
 
@@ -49,3 +52,36 @@ def test_table(spark):
 
 def test_deep_nesting_is_no_recursion():
     assert main_text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+
+
+@pytest.mark.parametrize("odd", ["<![ if IE]>", "<![]]>", "<![1]", "see <![foo[", "<![<p>", "<![endif]>", "<![if !IE]>", "<![CDATA[x]]>", "<!", "<!x", "<?", "<!DOCTYPE x>"])
+def test_odd_declarations_crash_nothing(odd):
+    assert main_text(f"<article><p>before</p>{odd}<p>after</p></article>").startswith("before")
+    assert main_text(odd) is not None
+    if odd.endswith("]>"):
+        assert main_text(f"<article><p>before</p>{odd}<p>after</p></article>") == "before\n\nafter"
+
+
+def test_random_markup_crashes_nothing():
+    rng = random.Random(8)
+    for _ in range(10_000):
+        main_text("".join(rng.choices("<!-[]/>&;\"'= ap", k=rng.randrange(1, 40))))
+
+
+@pytest.mark.parametrize("page", ["<div><p>some words of text</p></div>" * 100_000, "<div><p>some words of text</p>" * 100_000])
+def test_many_blocks_take_linear_time(page):
+    began = time.process_time()
+    assert main_text(page)
+    assert time.process_time() - began < 8
+
+
+def test_smallest_container_against_all_paths():
+    rng = random.Random(6)
+    for _ in range(300):
+        parents = [0] + [rng.randrange(i) for i in range(1, 30)]
+        regions = {rng.randrange(30) for _ in range(rng.randrange(1, 5))}
+
+        def path(r):
+            return {r} if r == 0 else {r} | path(parents[r])
+
+        assert _container(regions, parents) == max(set.intersection(*map(path, regions)))
