@@ -41,6 +41,12 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def words(text: Column) -> Column:
+    """All lower-case words in order, with the stems of ``tokens``."""
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    return F.split(F.regexp_replace(plain, r"([a-z0-9]{2,}[a-rt-z0-9])s(?= |$)", "$1"), " ")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-case words, cut to a stem by dropping a plural s of words of four letters and more.
 

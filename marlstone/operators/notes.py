@@ -13,11 +13,18 @@ MAX_DELTA_BYTES = 200_000
 STATUSES = ("active", "superseded", "appended", "archived")
 
 
-def to_chunks(unit_hits: DataFrame, unit_notes: DataFrame, chunks: DataFrame, merge: bool, pool: int = 60) -> DataFrame:
-    """Unit scores carried to the chunks of their notes; ``merge`` keeps the best of each chunk."""
+def with_first_chunk(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Units whose note has one of ``chunks``, with the least of these ids: first_chunk.
+
+    Carried to chunks, each of these units makes at least one row, and that with its first chunk first. So the
+    best rows of chunks are among those of as many units by score and first_chunk.
+    """
+    return units.join(chunks.groupBy("note_id").agg(F.min("chunk_id").alias("first_chunk")), "note_id")
+
+
+def to_chunks(unit_hits: DataFrame, unit_notes: DataFrame, chunks: DataFrame, pool: int = 60) -> DataFrame:
+    """Unit scores carried to the chunks of their notes, a row a path; the pool is cut once, at the end."""
     rows = unit_hits.join(unit_notes.select(F.col("unit_id").alias("id"), "note_id"), "id").join(chunks.select("note_id", "chunk_id"), "note_id").select("query_id", F.col("chunk_id").alias("id"), "score")
-    if merge:
-        rows = rows.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top_per_group(rows, ["query_id"], [F.desc("score"), F.asc("id")], pool)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text, vector
+from marlstone.operators import coverage
 from marlstone.operators.filters import top_per_group, valid_at
 
 POOL, MAX_BROADCAST_QUERIES, MAX_PATTERN_WORDS, SEEDS, SEED_WEIGHT, CAUSAL_LEAST = 60, 10_000, 200, 5, 0.7, 0.3
@@ -31,20 +32,19 @@ def semantic(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str
     return top_per_group(scored, ["query_id", *by], [F.asc("score"), F.asc("id")], pool)
 
 
-def keyword(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """Any query word matches; postings of words are joined, so units without a match are never paired.
+def keyword(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", text_col: str = "text", by: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """By cover density: any word of the query will do, or with ``every`` all are wanted. Postings of words are joined,
+    so units without a match are never paired.
 
     Units that hold none of the batch's words even as a part of a word are left out before they are cut into words.
     """
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("word"))
+    asked = queries.select("query_id", F.explode(text.tokens(F.col("query_text"))).alias("word")).distinct()
     rows = units.select(F.col(id_col).alias("id"), *by, F.col(text_col).alias("_text"))
     words = [r["word"] for r in asked.select("word").distinct().limit(MAX_PATTERN_WORDS + 1).collect()]  # of the request, not of the data
     if len(words) <= MAX_PATTERN_WORDS:
         rows = rows.where(F.lower("_text").rlike("|".join(sorted(words)))) if words else rows.limit(0)
-    docs = rows.select("id", *by, text.tokens(F.col("_text")).alias("words"))
-    postings = docs.select("id", *by, F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    hits = postings.join(checked_broadcast(asked), "word").groupBy("query_id", "id", *by).agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"))
-    scored = hits.select("query_id", "id", *by, (F.col("n") / (1.0 + F.log(1.0 + F.col("n_words")))).alias("score"))
+    found = coverage.places(rows, ["id", *by], "_text", checked_broadcast(asked))
+    scored = coverage.all_words(found, ["id", *by], asked) if every else coverage.any_word(found, ["id", *by])
     return top_per_group(scored, ["query_id", *by], [F.desc("score"), F.asc("id")], pool)
 
 
@@ -88,39 +88,47 @@ def directed(cooccurrences: DataFrame) -> DataFrame:
     return one.unionByName(cooccurrences.select(F.col("e2").alias("entity_id"), F.col("e1").alias("other_id"), *rest))
 
 
-def _dated(hits: DataFrame, units: DataFrame, base: Column, now: Column) -> DataFrame:
+def _dated(hits: DataFrame, units: DataFrame, base: Column, now: Column, tie: str) -> DataFrame:
     age = scoring.days_between(now, F.col("event_date"))
-    return hits.join(units.select("unit_id", "event_date"), "unit_id").select("query_id", F.col("unit_id").alias("id"), (base + scoring.decay(age)).alias("score"))
+    return hits.join(units.select("unit_id", "event_date", F.col(tie).alias("_tie")), "unit_id").select("query_id", F.col("unit_id").alias("id"), (base + scoring.decay(age)).alias("score"), "_tie")
 
 
-def cooccurrence_graph(units: DataFrame, unit_entities: DataFrame, entities: DataFrame, cooccurrences: DataFrame, seeds: DataFrame, now: Column, as_of: Column | None = None, pool: int = POOL) -> DataFrame:
+def _pooled(rows: DataFrame, pool: int) -> DataFrame:
+    return top_per_group(rows, ["query_id"], [F.desc("score"), F.asc("_tie"), F.asc("id")], pool).select("query_id", "id", "score")
+
+
+def cooccurrence_graph(units: DataFrame, unit_entities: DataFrame, entities: DataFrame, cooccurrences: DataFrame, seeds: DataFrame, now: Column, as_of: Column | None = None, pool: int = POOL, tie: str = "unit_id") -> DataFrame:
     """First order: units of the seeds, seed weight plus decay. Second: units of each
     seed's neighbours by the strength of that link. A row a path; rows of one unit are not merged.
 
-    All units of a neighbour score alike on one path, so of each entity the ``pool`` first ids are enough.
+    Of equal scores those with the least ``tie``, a column of the units, come first. All units of a
+    neighbour score alike on one path, so of each entity the ``pool`` first are enough.
     """
     seeds = seeds.select("query_id", "entity_id", "weight")
     first = unit_entities.select("unit_id", "entity_id").join(seeds, "entity_id")
-    first = _dated(first, units, F.col("weight"), now)
+    first = _dated(first, units, F.col("weight"), now, tie)
     edges = directed(cooccurrences)
     if as_of is not None:
         edges = edges.where(valid_at(F.col("valid_from"), F.col("valid_to"), as_of))
     reached = edges.join(seeds.select("query_id", "entity_id"), "entity_id").join(entities.select(F.col("entity_id").alias("other_id"), "mention_count"), "other_id")
     reached = reached.select("query_id", "other_id", scoring.link_strength(F.col("n"), F.col("mention_count")).alias("score"))
-    live = unit_entities.select("unit_id", F.col("entity_id").alias("other_id")).join(units.select("unit_id"), "unit_id", "left_semi")
-    second = top_per_group(live, ["other_id"], [F.asc("unit_id")], pool).join(reached, "other_id").select("query_id", F.col("unit_id").alias("id"), "score")
-    return top_per_group(first.unionByName(second), ["query_id"], [F.desc("score"), F.asc("id")], pool)
+    live = unit_entities.select("unit_id", F.col("entity_id").alias("other_id")).join(units.select("unit_id", F.col(tie).alias("_tie")), "unit_id")
+    second = top_per_group(live, ["other_id"], [F.asc("_tie"), F.asc("unit_id")], pool).join(reached, "other_id").select("query_id", F.col("unit_id").alias("id"), "score", "_tie")
+    return _pooled(first.unionByName(second), pool)
 
 
-def causal_graph(units: DataFrame, unit_entities: DataFrame, links: DataFrame, seeds: DataFrame, now: Column, kinds: tuple[str, ...] = ("causes", "caused_by", "enables", "prevents"), pool: int = POOL) -> DataFrame:
-    """Units of the seeds (1 plus decay) and what causal links of weight 0.3 and more lead to (0.8 weight); best score a unit."""
-    direct = unit_entities.select("unit_id", "entity_id").join(seeds.select("query_id", "entity_id"), "entity_id").select("query_id", "unit_id").distinct()
-    first = _dated(direct, units, F.lit(1.0), now)
+def causal_graph(units: DataFrame, unit_entities: DataFrame, links: DataFrame, seeds: DataFrame, now: Column, kinds: tuple[str, ...] = ("causes", "caused_by", "enables", "prevents"), pool: int = POOL, tie: str = "unit_id", merge: bool = True, sources: DataFrame | None = None) -> DataFrame:
+    """Units of the seeds (1 plus decay) and what causal links of weight 0.3 and more lead to (0.8 weight): the best score of
+    each unit, or with ``merge`` off a row a path, one for each seed that a unit has. ``sources`` are the units that links may start from, if not all."""
+    paths = unit_entities.select("unit_id", "entity_id").join(seeds.select("query_id", "entity_id"), "entity_id").select("query_id", "unit_id")
+    direct = paths.distinct() if merge else paths
+    first = _dated(direct, units, F.lit(1.0), now, tie)
     causal = links.where(F.col("link_type").isin(*kinds) & (F.col("weight") >= CAUSAL_LEAST))
-    second = causal.join(direct, causal.from_id == direct.unit_id).select("query_id", F.col("to_id").alias("id"), (F.col("weight") * 0.8).alias("score"))
-    second = second.join(units.select(F.col("unit_id").alias("id")), "id", "left_semi").select("query_id", "id", "score")
-    best = first.unionByName(second).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_per_group(best, ["query_id"], [F.desc("score"), F.asc("id")], pool)
+    starts = direct if sources is None else direct.join(sources.select("unit_id").distinct(), "unit_id", "left_semi")
+    second = causal.join(starts, causal.from_id == starts.unit_id).select("query_id", F.col("to_id").alias("id"), (F.col("weight") * 0.8).alias("score"))
+    second = second.join(units.select(F.col("unit_id").alias("id"), F.col(tie).alias("_tie")), "id").select("query_id", "id", "score", "_tie")
+    rows = first.unionByName(second)
+    return _pooled(rows.groupBy("query_id", "id").agg(F.max("score").alias("score"), F.first("_tie").alias("_tie")) if merge else rows, pool)
 
 
 def link_expansion(links: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] = ("causes", "caused_by", "enables", "prevents"), pool: int = POOL) -> DataFrame:

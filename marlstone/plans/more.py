@@ -9,34 +9,50 @@ from marlstone.functions import formats, text, vector
 from marlstone.operators import chunking, filters, links, maintenance, notes, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import BASE, CAUSAL, COS, GRAPH, LINKED, MODEL, SEEDS, SEMANTIC, _active, _linked, _models, _pools
+from marlstone.plans.retrieval import BASE, COS, DECAY, EDGES, LINKED, MODEL, SEEDS, SEMANTIC, _linked, _models, _pools
 from marlstone.plans.retrieval import semantic_entity_seeds as _seeds
 from marlstone.plans.views import now, sql, table
 
-CHUNKED = "SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM (SELECT query_id, chunk_id AS id, {agg}score{end} AS score FROM {hits} h JOIN facts ON unit_id = h.id JOIN chunks USING (note_id){group})) WHERE nth <= 60"
-
-
-def _chunk_query(spark, d, hits, merge):
-    rows = notes.to_chunks(hits, views.facts(spark, d).select("unit_id", "note_id"), views.chunks(spark, d), merge)
-    return rows.select("query_id", "id", F.round("score", 6).alias("score"))
-
-
-@query(sql(f"WITH {SEEDS}, {GRAPH.format(asof='')} " + CHUNKED.format(agg="", end="", hits="graph", group=""), *BASE, "chunks"))
+CHUNKED = "SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM (SELECT query_id, chunk_id AS id, score FROM {hits} h JOIN facts ON unit_id = h.id JOIN chunks USING (note_id))) WHERE nth <= 60"
+PATHS = "fact_entities fe JOIN {0} JOIN facts f USING (unit_id) JOIN chunks c USING (note_id)"
+CHUNK_DECAY = DECAY.replace("event_date", "f.event_date")
+#: Entity graphs over chunks: any unit counts, but only active chunks; nothing is merged.
+CHUNK_GRAPH = f"""{EDGES}, reached AS (SELECT query_id, other_id, ln(n + 1.0::DOUBLE) / ln(mention_count + 2.0::DOUBLE) AS strength FROM edges JOIN seeds USING (entity_id) JOIN (SELECT entity_id AS other_id, mention_count FROM entities) USING (other_id)),
+  cg AS (SELECT query_id, chunk_id AS id, weight + {CHUNK_DECAY} AS score FROM {PATHS.format('seeds USING (entity_id)')} WHERE c.status = 'active'
+    UNION ALL SELECT query_id, chunk_id, strength FROM {PATHS.format('reached r ON fe.entity_id = r.other_id')} WHERE c.status = 'active'),
+  gc AS (SELECT query_id, id, score FROM cg QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 60)"""
+CHUNK_CAUSES = f"""mu AS (SELECT query_id, unit_id FROM fact_entities JOIN seeds USING (entity_id) JOIN facts USING (unit_id)),
+  cc AS (SELECT query_id, chunk_id AS id, 1.0 + {CHUNK_DECAY} AS score FROM {PATHS.format('seeds USING (entity_id)')} WHERE c.status = 'active'
+    UNION ALL SELECT query_id, chunk_id, weight * 0.8 FROM fact_links JOIN mu ON from_id = mu.unit_id JOIN facts t ON t.unit_id = to_id JOIN chunks c ON c.note_id = t.note_id
+      WHERE link_type IN ('causes', 'caused_by', 'enables', 'prevents') AND weight >= 0.3 AND c.status = 'active')"""
+
+
+def chunk_graph(spark, d):
+    """Pool of chunks by the entity graph: units of any status, notes, active chunks; a row a path, cut once."""
+    live, f = views.chunks(spark, d).where("status = 'active'").select("note_id", "chunk_id"), views.facts(spark, d)
+    units = notes.with_first_chunk(f.select("unit_id", "note_id", "event_date"), live)
+    hits = strategies.cooccurrence_graph(units, views.fact_entities(spark, d), views.entities(spark, d), views.cooccurrences(spark, d), _seeds(spark, d), now(), tie="first_chunk")
+    return notes.to_chunks(hits, f, live)
+
+
+@query(sql(f"WITH {SEEDS}, {CHUNK_GRAPH} SELECT query_id, id, round(score, 6) AS score FROM gc", *BASE, "chunks"))
 def chunk_cooccurrence_graph(spark, d):
-    """Entity graph carried from units through notes to chunks; rows are not merged."""
-    return _chunk_query(spark, d, _pools(spark, d, ("graph",))["graph"], False)
+    return chunk_graph(spark, d).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(sql(f"WITH {SEEDS}, {CAUSAL} " + CHUNKED.format(agg="max(", end=")", hits="causal", group=" GROUP BY 1, 2"), "facts", "search_queries", "fact_entities", "fact_links", "chunks"))
+@query(sql(f"WITH {SEEDS}, {CHUNK_CAUSES} SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM cc) WHERE nth <= 60", "facts", "search_queries", "fact_entities", "fact_links", "chunks"))
 def chunk_causal_graph(spark, d):
-    hits = strategies.causal_graph(_active(spark, d), views.fact_entities(spark, d), views.fact_links(spark, d), _seeds(spark, d), now())
-    return _chunk_query(spark, d, hits, True)
+    """As chunk_cooccurrence_graph, by causal links; a row a path."""
+    live, f = views.chunks(spark, d).where("status = 'active'").select("note_id", "chunk_id"), views.facts(spark, d)
+    units = notes.with_first_chunk(f.select("unit_id", "note_id", "event_date"), live)
+    hits = strategies.causal_graph(units, views.fact_entities(spark, d), views.fact_links(spark, d), _seeds(spark, d), now(), tie="first_chunk", merge=False, sources=f)
+    return notes.to_chunks(hits, f, live).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(sql(f"WITH {SEEDS}, {LINKED.format(pool=120)} " + CHUNKED.format(agg="", end="", hits="linked", group="").replace("USING (note_id)", "USING (note_id) WHERE chunks.status = 'active'"), "facts", "search_queries", "fact_entities", "entity_links", "chunks"))
+@query(sql(f"WITH {SEEDS}, {LINKED.format(pool=120)} " + CHUNKED.format(hits="linked").replace("USING (note_id)", "USING (note_id) WHERE chunks.status = 'active'"), "facts", "search_queries", "fact_entities", "entity_links", "chunks"))
 def chunk_link_expansion(spark, d):
     """Link expansion at twice the pool, carried from units through notes to active chunks; rows are not merged."""
-    rows = notes.to_chunks(_linked(spark, d, 120), views.facts(spark, d).select("unit_id", "note_id"), views.chunks(spark, d).where("status = 'active'"), False)
+    rows = notes.to_chunks(_linked(spark, d, 120), views.facts(spark, d).select("unit_id", "note_id"), views.chunks(spark, d).where("status = 'active'"))
     return rows.select("query_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -14,14 +14,18 @@ from marlstone.plans.views import NOW_SQL, now, sql
 
 #: Pieces of SQL that several oracles share. ``toks`` gives a text's distinct stems.
 TOKS = "list_distinct(list_filter(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN len(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[1:len(w)-1] ELSE w END), lambda w: w NOT IN ('the','a','an','of','and','in','on','at','to','for')))"
+#: All words in order; rank of a text in which any word will do, from its words' places.
+WORDS = "list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN len(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[1:len(w)-1] ELSE w END)"
+PLACED = "unnest(WORDS) AS word, least(generate_subscripts(WORDS, 1), 16383) AS place".replace("WORDS", WORDS)
+DENSITY = "(SELECT {0}, 0.1::DOUBLE * sum(n) AS score FROM (SELECT {0}, word, least(count(DISTINCT place), 256) AS n FROM {1} GROUP BY ALL) GROUP BY ALL)"
 AGE = f"(epoch_us({NOW_SQL}) - epoch_us(event_date)) / 86400e6"
 DECAY = f"pow(2.0::DOUBLE, greatest(-({AGE}) / 30.0, -996.0))"
 COS = "(1.0::DOUBLE - list_inner_product(embedding, query_vector) / (sqrt(list_inner_product(embedding, embedding)) * sqrt(list_inner_product(query_vector, query_vector))))"
 SEMANTIC = f"""sem AS (SELECT * FROM (SELECT query_id, unit_id AS id, {COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COS}, unit_id) AS nth
   FROM facts, search_queries WHERE embedding IS NOT NULL AND status = 'active') WHERE nth <= 60)"""
-KEYWORD = f"""post AS (SELECT unit_id AS id, len({TOKS.format('text')}) AS nw, unnest({TOKS.format('text')}) AS word FROM facts WHERE status = 'active'),
+KEYWORD = f"""post AS (SELECT unit_id AS id, {PLACED.format('text')} FROM facts WHERE status = 'active'),
   asked AS (SELECT query_id, unnest({TOKS.format('query_text')}) AS word FROM search_queries),
-  kw0 AS (SELECT query_id, id, count(*) / (1.0::DOUBLE + ln(1.0::DOUBLE + any_value(nw))) AS score FROM post JOIN asked USING (word) GROUP BY 1, 2),
+  kw0 AS {DENSITY.format('query_id, id', 'post JOIN asked USING (word)')},
   kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM kw0) WHERE nth <= 60)"""
 TEMPORAL = """newest AS (SELECT unit_id AS id, epoch_us(event_date) / 1e6 AS score FROM facts WHERE status = 'active' ORDER BY score DESC, id LIMIT 60),
   tmp AS (SELECT query_id, id, score FROM newest, search_queries)"""
@@ -86,6 +90,22 @@ def keyword_candidates(spark, d):
     return _pools(spark, d, ("keyword",))["keyword"].select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+ALL_WORDS = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKS.format("array_to_string(" + WORDS.format('text') + "[2:4], ' ')")}) AS word FROM benchmark), wanted AS (SELECT query_id, count(*) AS wanted FROM asked GROUP BY 1),
+  hits AS (SELECT query_id, id, word, place FROM (SELECT note_id AS id, {PLACED.format('text')} FROM notes) JOIN asked USING (word)),
+  ends AS (SELECT query_id, id, e.place AS last, min(l) AS first FROM (SELECT h.query_id, h.id, h.place, x.word, max(x.place) AS l FROM hits h JOIN hits x ON x.query_id = h.query_id AND x.id = h.id AND x.place <= h.place GROUP BY ALL) e
+    JOIN wanted USING (query_id) GROUP BY query_id, id, e.place, wanted HAVING count(*) = wanted),
+  tight AS (SELECT query_id, id, first, min(last) AS last FROM ends GROUP BY ALL),
+  noisy AS (SELECT query_id, id, first, last, last - first + 1 - (SELECT count(*) FROM hits h WHERE h.query_id = t.query_id AND h.id = t.id AND h.place BETWEEN first AND last) AS noise FROM tight t)"""
+
+
+@query(sql(f"WITH {ALL_WORDS} SELECT query_id, id, round(sum(0.1::DOUBLE / (1 + noise)), 6) AS score FROM noisy GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.1::DOUBLE / (1 + noise)), 9) DESC, id) <= 60", "notes"))
+def keyword_all_words(spark, d):
+    """Notes that hold three words of a benchmark item close together: the second to the fourth."""
+    asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.words(F.col("text")), 2, 3), " ").alias("query_text"))
+    hits = strategies.keyword(views.notes(spark, d), asked, pool=1_000_000, id_col="note_id", every=True).withColumn("score", F.round("score", 9))
+    return filters.top_per_group(hits, ["query_id"], [F.desc("score"), F.asc("id")], strategies.POOL).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(sql(f"WITH {TEMPORAL} SELECT query_id, id, round(score, 3) AS score FROM tmp", "facts", "search_queries"))
 def temporal_candidates(spark, d):
     return _pools(spark, d, ("temporal",))["temporal"].select("query_id", "id", F.round("score", 3).alias("score"))

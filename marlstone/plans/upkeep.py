@@ -8,7 +8,8 @@ from marlstone.functions import scoring, text, vector
 from marlstone.operators import filters, fusion, maintenance, notes, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import BASE, COS, GRAPH, SEEDS, TOKS, _pools
+from marlstone.plans.more import CHUNK_GRAPH, chunk_graph
+from marlstone.plans.retrieval import BASE, COS, DENSITY, GRAPH, PLACED, SEEDS, TOKS, _pools
 from marlstone.plans.views import NOW_SQL, now, sql, table
 
 LATER = "TIMESTAMP '2024-01-28'"
@@ -174,7 +175,7 @@ def diverse_round_robin(spark, d):
 
 # ---------------------------------------------------------------- note search
 
-CHUNK_TERMS = f"terms AS (SELECT unnest({TOKS.format(chr(39) + 'the thanea retion ondible licensed' + chr(39)) }) AS word), post AS (SELECT chunk_id, note_id, len({TOKS.format('text')}) AS nw, unnest({TOKS.format('text')}) AS word FROM chunks), kw AS (SELECT chunk_id, note_id, count(*) / (1.0::DOUBLE + ln(1.0::DOUBLE + any_value(nw))) AS score FROM post JOIN terms USING (word) GROUP BY 1, 2)"
+CHUNK_TERMS = f"terms AS (SELECT unnest({TOKS.format(chr(39) + 'the thanea retion ondible licensed' + chr(39)) }) AS word), post AS (SELECT chunk_id, note_id, {PLACED.format('text')} FROM chunks), kw AS {DENSITY.format('chunk_id, note_id', 'post JOIN terms USING (word)')}"
 NOTE_HITS = f"{CHUNK_TERMS}, k60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT * FROM kw ORDER BY score DESC, chunk_id LIMIT 60)), t60 AS (SELECT *, rank() OVER (ORDER BY score DESC) AS rank FROM (SELECT chunk_id, c.note_id, epoch_us(c.created_at) / 1e6 AS score FROM chunks c ORDER BY score DESC, chunk_id LIMIT 60)), f AS (SELECT chunk_id, note_id, sum(w / (60 + rank)) AS score FROM (SELECT chunk_id, note_id, 1.0::DOUBLE AS w, rank FROM k60 UNION ALL SELECT chunk_id, note_id, 0.5, rank FROM t60) GROUP BY 1, 2)"
 
 
@@ -203,19 +204,21 @@ def note_search(spark, d):
 #: Chunk vectors: the first chunk of a note has the vector of the note's number.
 CHUNK_VECTORS = "cv AS (SELECT chunk_id, note_id, embedding::DOUBLE[] AS embedding FROM chunks JOIN embeddings ON vec_id = note_id WHERE seq = 0)"
 BRANCHES = f"""{CHUNK_VECTORS}, cs AS (SELECT * FROM (SELECT query_id, chunk_id AS id, {COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COS}, chunk_id) AS nth FROM cv, search_queries) WHERE nth <= 60),
-  words AS (SELECT query_id, unnest({TOKS.format("query_text || ' ondible licensed retion'")}) AS word FROM search_queries), cpost AS (SELECT chunk_id, len({TOKS.format('text')}) AS nw, unnest({TOKS.format('text')}) AS word FROM chunks),
-  ck0 AS (SELECT query_id, chunk_id AS id, count(*) / (1.0::DOUBLE + ln(1.0::DOUBLE + any_value(nw))) AS score FROM cpost JOIN words USING (word) GROUP BY 1, 2), ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ck0) WHERE nth <= 60),
-  ct AS (SELECT query_id, id, score FROM (SELECT chunk_id AS id, epoch_us(created_at) / 1e6 AS score FROM chunks ORDER BY score DESC, id LIMIT 60), search_queries),
-  gc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM (SELECT query_id, chunk_id AS id, h.score FROM graph h JOIN facts ON unit_id = h.id JOIN chunks USING (note_id))) WHERE nth <= 60),
+  words AS (SELECT query_id, unnest({TOKS.format("query_text || ' ondible licensed retion'")}) AS word FROM search_queries), cpost AS (SELECT chunk_id AS id, {PLACED.format('text')} FROM chunks),
+  ck0 AS {DENSITY.format('query_id, id', 'cpost JOIN words USING (word)')}, ck AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM ck0) WHERE nth <= 60),
+  npost AS (SELECT node_id, block_id, {PLACED.format('text')} FROM nodes WHERE status = 'active'),
+  cn0 AS {DENSITY.format('query_id, node_id, block_id', 'npost JOIN words USING (word)')}, cn AS (SELECT query_id, block_id AS id, score FROM cn0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 60),
+  ct AS (SELECT query_id, id, score FROM (SELECT chunk_id AS id, epoch_us(publish_date) / 1e6 AS score FROM chunks WHERE publish_date IS NOT NULL ORDER BY score DESC, id LIMIT 60), search_queries),
   br AS (SELECT query_id, id, 1.0::DOUBLE AS w, rank() OVER (PARTITION BY query_id ORDER BY score) AS rank FROM cs UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM ck
-    UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM gc UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM ct),
+    UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM cn
+    UNION ALL SELECT query_id, id, 1.0, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM gc UNION ALL SELECT query_id, id, 0.5, rank() OVER (PARTITION BY query_id ORDER BY score DESC) FROM ct),
   bf AS (SELECT query_id, id, sum(w / (60 + rank)) AS score FROM br GROUP BY 1, 2)"""
 
 
-@query(sql(f"""WITH {SEEDS}, {GRAPH.format(asof='')}, {BRANCHES}, best AS (SELECT query_id, id // 100000000 AS note_id, max(round(score, 9)) AS score FROM bf GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS place FROM best)
-  SELECT query_id, place, note_id, title, score, (SELECT string_agg(text, chr(10) || chr(10) ORDER BY seq) FROM bf JOIN chunks c ON c.chunk_id = bf.id WHERE bf.query_id = top.query_id AND c.note_id = top.note_id) AS text FROM top JOIN notes USING (note_id) WHERE place <= 10""", *BASE, "chunks"))
+@query(sql(f"""WITH {SEEDS}, {CHUNK_GRAPH}, {BRANCHES}, best AS (SELECT query_id, id // 100000000 AS note_id, max(round(score, 9)) AS score FROM bf GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) AS place FROM best)
+  SELECT query_id, place, note_id, title, score, (SELECT string_agg(text, chr(10) || chr(10) ORDER BY seq) FROM bf JOIN chunks c ON c.chunk_id = bf.id WHERE bf.query_id = top.query_id AND c.note_id = top.note_id) AS text FROM top JOIN notes USING (note_id) WHERE place <= 10""", *BASE, "chunks", "nodes"))
 def note_search_branches(spark, d):
-    """Semantic, keyword, graph and date branches over chunks; the ten best notes of each query with the text of the chunks found, in order."""
+    """Semantic, keyword (over chunks and over nodes), graph and date branches, of weights 1, 1, 1 and 0.5; the ten best notes of each query with the text of the chunks found, in order."""
     from pyspark.sql.window import Window as W
 
     c, asked = views.chunks(spark, d), views.search_queries(spark, d)
@@ -225,10 +228,11 @@ def note_search_branches(spark, d):
     pools = {
         "semantic": strategies.semantic(first, asked, id_col="chunk_id"),
         "keyword": strategies.keyword(c, worded, id_col="chunk_id"),
-        "graph": notes.to_chunks(_pools(spark, d, ("graph",))["graph"], views.facts(spark, d).select("unit_id", "note_id"), c.select("note_id", "chunk_id"), False),
-        "temporal": strategies.temporal(c.withColumnRenamed("created_at", "event_date"), asked, id_col="chunk_id"),
+        "nodes": strategies.keyword(views.nodes(spark, d).where("status = 'active'"), worded, id_col="node_id", by=()).select("query_id", F.split("id", ":")[0].cast("long").alias("id"), "score"),
+        "graph": chunk_graph(spark, d),
+        "temporal": strategies.temporal(c.where("publish_date IS NOT NULL").withColumnRenamed("publish_date", "event_date"), asked, id_col="chunk_id"),
     }
-    hits = fusion.fuse(pools, 4 * strategies.POOL).withColumn("note_id", views.note_of(F.col("id"))).withColumn("score", F.round("score", 9))
+    hits = fusion.fuse(pools, 5 * strategies.POOL, {"temporal": 0.5}).withColumn("note_id", views.note_of(F.col("id"))).withColumn("score", F.round("score", 9))
     best = hits.groupBy("query_id", "note_id").agg(F.max("score").alias("score"), F.collect_list("id").alias("ids"))
     top = best.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "note_id")).cast("long")).where("place <= 10")
     found = top.select("query_id", "note_id", F.explode("ids").alias("chunk_id")).distinct().join(c.select("chunk_id", "seq", "text"), "chunk_id")

@@ -88,7 +88,13 @@ def notes(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     n = notes(spark, d)
-    return n.select("note_id", "vault_id", "status", "created_at", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text")).where("text <> ''").withColumn("chunk_id", F.col("note_id") * MAX_LINES + F.col("seq"))
+    return n.select("note_id", "vault_id", "status", "created_at", "publish_date", F.posexplode(F.split("text", "\n", -1)).alias("seq", "text")).where("text <> ''").withColumn("chunk_id", F.col("note_id") * MAX_LINES + F.col("seq"))
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections below chunks: the sentences of each, in a block that is the chunk."""
+    c = chunks(spark, d).select(F.col("chunk_id").alias("block_id"), "status", F.posexplode(F.split("text", "[.] ", -1)).alias("nth", "text"))
+    return c.where("text <> ''").withColumn("node_id", F.concat_ws(":", F.lpad(F.col("block_id").cast("string"), 19, "0"), F.lpad(F.col("nth").cast("string"), 9, "0")))
 
 
 def note_of(chunk_id: Column) -> Column:
@@ -124,12 +130,14 @@ SQL = {
     "notes": """SELECT doc_id AS note_id, doc_id % 3 AS vault_id, text[1:40] AS title, text,
       CASE WHEN doc_id % 11 = 0 THEN 'archived' WHEN doc_id % 13 = 0 THEN 'superseded' ELSE 'active' END AS status, [lang, source] AS tags, 'template' || (doc_id % 4) AS template,
       TIMESTAMP '2023-12-20 00:00:00' + to_hours(doc_id % 1000) AS created_at, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2023-12-01 00:00:00' + to_days((doc_id % 30)::INT) END AS publish_date, doc_id % 4 AS summary_version FROM documents""",
-    "chunks": """SELECT note_id, vault_id, status, created_at, seq, text, note_id * 100000000 + seq AS chunk_id FROM (
-      SELECT note_id, vault_id, status, created_at, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM notes) WHERE text <> ''""",
+    "chunks": """SELECT note_id, vault_id, status, created_at, publish_date, seq, text, note_id * 100000000 + seq AS chunk_id FROM (
+      SELECT note_id, vault_id, status, created_at, publish_date, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM notes) WHERE text <> ''""",
+    "nodes": """SELECT block_id, status, text, lpad(block_id::VARCHAR, 19, '0') || ':' || lpad(nth::VARCHAR, 9, '0') AS node_id FROM (
+      SELECT chunk_id AS block_id, status, unnest(string_split(text, '. ')) AS text, generate_subscripts(string_split(text, '. '), 1) - 1 AS nth FROM chunks) WHERE text <> ''""",
     "search_queries": """SELECT vec_id // 7 AS query_id, embedding::DOUBLE[] AS query_vector, 'which pages did user ' || vec_id || ' purchase or click on page ' || (vec_id % 40) AS query_text, vec_id % 3 AS query_vault
       FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 56""",
 }
-NEEDS = {"entities": ["fact_entities"], "cooccurrences": ["fact_entities"], "chunks": ["notes"], "entity_links": ["fact_links", "fact_entities"]}
+NEEDS = {"entities": ["fact_entities"], "cooccurrences": ["fact_entities"], "chunks": ["notes"], "nodes": ["chunks"], "entity_links": ["fact_links", "fact_entities"]}
 
 
 def sql(body: str, *names: str, recursive: bool = False) -> str:
