@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text
+from marlstone.operators import names
 from marlstone.operators.filters import top_per_group
 
 ACCEPT, NAME_SHARE, CONTEXT_SHARE, RECENCY_SHARE, PHONETIC_FLOOR, PHONETIC_SCORE, NEIGHBOURS = 0.65, 0.5, 0.3, 0.2, 0.5, 0.45, 50
@@ -33,19 +34,14 @@ def candidates(inputs: DataFrame, entities: DataFrame, aliases: DataFrame, least
 
     Names and aliases whose trigrams are at least ``least`` similar score by that;
     names with an equal phonetic code score 0.45. An entity may come by several ways.
-    Pairs meet by trigram and by code in equi-joins: no name is compared with all
+    Pairs meet by the set-similarity index (``operators.names``) and by code: no name is compared with all
     others, and of each code only the first k entities can be among the best.
     """
     known = entities.select("entity_id", F.col("name").alias("known"))
     both = known.withColumn("alias", F.lit(False)).unionByName(aliases.select("entity_id", F.col("name").alias("known"), F.lit(True).alias("alias")))
-    names = both.select("entity_id", "known", "alias", text.trigrams(F.col("known")).alias("kg"))
-    asked = inputs.select("normal", text.trigrams(F.col("name")).alias("ag"), F.soundex("name").alias("code"))
-    a = asked.select("normal", F.size("ag").alias("an"), F.explode("ag").alias("gram"))
-    b = names.select("entity_id", "known", "alias", F.size("kg").alias("kn"), F.explode("kg").alias("gram"))
-    # The shared trigrams are counted where they meet; names of too unlike a length can't be similar enough.
-    fits = (F.col("an") >= least * F.col("kn")) & (F.col("kn") >= least * F.col("an"))
-    shared = a.join(b, "gram").where(fits).groupBy("normal", "entity_id", "known", "alias", "an", "kn").agg(F.count("*").alias("n"))
-    by_gram = shared.select("normal", "entity_id", (F.col("n") / (F.col("an") + F.col("kn") - F.col("n"))).alias("name_score"), F.lit(False).alias("phonetic")).where(F.col("name_score") >= least)
+    near = names.similar(inputs.select("normal", "name"), both, least, known_name="known")
+    by_gram = near.select("asked.normal", "known.entity_id", F.col("similarity").alias("name_score"), F.lit(False).alias("phonetic"))
+    asked = inputs.select("normal", F.soundex("name").alias("code"))
     coded = top_per_group(known.select("entity_id", F.soundex("known").alias("code")).where("code IS NOT NULL"), ["code"], [F.asc("entity_id")], k)
     by_code = asked.join(coded, "code").select("normal", "entity_id", F.lit(PHONETIC_SCORE).alias("name_score"), F.lit(True).alias("phonetic"))
     return top_per_group(by_gram.unionByName(by_code), ["normal"], [F.desc("name_score"), F.asc("entity_id"), F.asc("phonetic")], k)

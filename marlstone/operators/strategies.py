@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text, vector
-from marlstone.operators import coverage
+from marlstone.operators import coverage, names
 from marlstone.operators.filters import top_per_group, valid_at
 
 POOL, MAX_BROADCAST_QUERIES, MAX_PATTERN_WORDS, SEEDS, SEED_WEIGHT, CAUSAL_LEAST = 60, 10_000, 200, 5, 0.7, 0.3
@@ -68,13 +68,14 @@ def semantic_seeds(units: DataFrame, unit_entities: DataFrame, queries: DataFram
 
 
 def named_seeds(entities: DataFrame, aliases: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
-    """Entities whose name or alias contains the asked name, or is near it in trigrams (strictly above ``least``)."""
-    names = entities.select("entity_id", "name").unionByName(aliases.select("entity_id", "name"))
-    gram = text.trigrams(F.col("name"))
-    asked = queries.select("query_id", F.col("asked"), text.trigrams(F.col("asked")).alias("asked_grams"))
-    pairs = names.withColumn("grams", gram).crossJoin(checked_broadcast(asked))
-    hit = F.ilike("name", F.concat(F.lit("%"), F.col("asked"), F.lit("%"))) | (text.trigram_similarity(F.col("grams"), F.col("asked_grams")) > least) | (F.lower("name") == F.lower("asked"))
-    return pairs.where(hit).select("query_id", "entity_id").distinct().withColumn("weight", F.lit(1.0))
+    """Entities whose name or alias contains the asked name, or is near it in trigrams (strictly above ``least``).
+
+    Names meet by postings of trigrams and of runs of characters (``operators.names``); equal names contain each other."""
+    known = entities.select("entity_id", "name").unionByName(aliases.select("entity_id", "name"))
+    asked = queries.select("query_id", F.col("asked").alias("name"))
+    near = names.similar(asked, known, least).where(F.col("similarity") > least)
+    hit = near.select("asked.query_id", "known.entity_id").unionByName(names.containing(asked, known).select("asked.query_id", "known.entity_id"))
+    return hit.distinct().withColumn("weight", F.lit(1.0))
 
 
 def merge_seeds(named: DataFrame, semantic_: DataFrame) -> DataFrame:

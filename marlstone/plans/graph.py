@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import filters, graph, strategies
+from marlstone.operators import filters, graph, names, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import EDGES, GRAMS, SIM
@@ -173,5 +173,19 @@ def lineage_up(spark, d):
 
 @query(sql(f"SELECT note_id, title, round({SIM.format(GRAMS.format('title'), GRAMS.format(chr(39) + 'the and attion to thanedble' + chr(39)))}, 6) AS score FROM notes WHERE {SIM.format(GRAMS.format('title'), GRAMS.format(chr(39) + 'the and attion to thanedble' + chr(39)))} >= 0.3", "notes"))
 def fuzzy_title_search(spark, d):
-    score = text.trigram_similarity(text.trigrams(F.col("title")), text.trigrams(F.lit("the and attion to thanedble")))
-    return views.notes(spark, d).withColumn("score", score).where("score >= 0.3").select("note_id", "title", F.round("score", 6).alias("score"))
+    """Titles near a name in trigrams, by the set-similarity index."""
+    asked = spark.createDataFrame([("the and attion to thanedble",)], "name string")
+    hits = names.similar(asked, views.notes(spark, d).select("note_id", "title"), 0.3, known_name="title")
+    return hits.select("known.note_id", "known.title", F.round("similarity", 6).alias("score"))
+
+
+BENCH_NAMES = f"""bi AS (SELECT item_id, text[1:40] AS asked, {GRAMS.format('text[1:40]')} AS ag FROM benchmark), tn AS (SELECT note_id, title, {GRAMS.format('title')} AS tg FROM notes),
+  pairs AS (SELECT item_id, note_id, {SIM.format('ag', 'tg')} AS score FROM bi, tn)"""
+
+
+@query(sql(f"WITH {BENCH_NAMES} SELECT item_id, note_id, round(score, 6) AS score FROM pairs WHERE score >= 0.3", "notes"))
+def similar_titles(spark, d):
+    """All titles near the opening of each benchmark item."""
+    asked = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("name"))
+    hits = names.similar(asked, views.notes(spark, d).select("note_id", "title"), 0.3, known_name="title")
+    return hits.select("asked.item_id", "known.note_id", F.round("similarity", 6).alias("score"))
