@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import vector
 from marlstone.operators.filters import top_per_group
+from marlstone.operators.nearest import nearest
 
 WINDOW_HOURS, NEAR_DISTANCE, SIMILAR, OVERLAP = 12, 0.05, 0.8, 0.85
 
@@ -69,14 +70,11 @@ def duplicate_facts(new: DataFrame, stored: DataFrame, window_hours: int = 2 * W
 
 
 def similar_facts(left: DataFrame, right: DataFrame, least: float = SIMILAR, k: int = 5) -> DataFrame:
-    """(id, other_id, similarity) of the k most similar of ``right`` (id, embedding) for each row of ``left``,
-    whose vectors must be few (a batch): it is broadcast after a check of its size."""
-    from marlstone.operators.strategies import checked_broadcast
-
-    a = checked_broadcast(vector.unit_vectors(left.where("embedding IS NOT NULL").select("id", "embedding"), "embedding"))
-    b = vector.unit_vectors(right.where("embedding IS NOT NULL").select(F.col("id").alias("other_id"), F.col("embedding").alias("other")), "other")
-    pairs = b.crossJoin(a).where("id <> other_id").withColumn("similarity", vector.dot(F.col("embedding"), F.col("other"))).where(F.col("similarity") >= least)
-    return top_per_group(pairs.select("id", "other_id", "similarity"), ["id"], [F.desc("similarity"), F.asc("other_id")], k)
+    """(id, other_id, similarity) of the k most similar of ``right`` (id, embedding) for each row of ``left``: a
+    few go to every task, more are joined in blocks (``operators.nearest``)."""
+    asked = left.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits = nearest(right, asked, k, least=least, other=True)
+    return hits.select(F.col("query_id").alias("id"), F.col("id").alias("other_id"), F.col("score").alias("similarity"))
 
 
 def mean_directions(rows: DataFrame, group: list[str]) -> DataFrame:

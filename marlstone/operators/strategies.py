@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scoring, text, vector
 from marlstone.operators import coverage, names
 from marlstone.operators.filters import top_per_group, valid_at
+from marlstone.operators.nearest import nearest
 
 POOL, MAX_BROADCAST_QUERIES, MAX_PATTERN_WORDS, SEEDS, SEED_WEIGHT, CAUSAL_LEAST = 60, 10_000, 200, 5, 0.7, 0.3
 
@@ -26,10 +27,8 @@ def checked_broadcast(queries: DataFrame) -> DataFrame:
 def semantic(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Cosine distance, nearest first; units without a vector are no candidates. ``by``
     names columns of the units, such as the fact type, each value of which has a pool of its own."""
-    known = vector.unit_vectors(units.where("embedding IS NOT NULL"), "embedding").select(F.col(id_col).alias("id"), *by, "embedding")
-    asked = checked_broadcast(vector.unit_vectors(queries.select("query_id", "query_vector"), "query_vector"))
-    scored = known.crossJoin(asked).select("query_id", "id", *by, (1.0 - vector.dot(F.col("embedding"), F.col("query_vector"))).alias("score")).where("score IS NOT NULL")
-    return top_per_group(scored, ["query_id", *by], [F.asc("score"), F.asc("id")], pool)
+    hits = nearest(units, queries, pool, id_col, by=by)
+    return hits.select("query_id", "id", *by, (1.0 - F.col("score")).alias("score"))
 
 
 def keyword(units: DataFrame, queries: DataFrame, pool: int = POOL, id_col: str = "unit_id", text_col: str = "text", by: tuple[str, ...] = (), every: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from marlstone.functions import text, vector
 from marlstone.operators import dedup, links, resolve
+from marlstone.operators.nearest import nearest
 from marlstone.plans import views
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import GRAMS, SIM
@@ -77,6 +78,15 @@ def similar_facts(spark, d):
     return rows.select("id", "other_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(sql(f"""WITH v AS (SELECT unit_id AS id, embedding FROM facts WHERE embedding IS NOT NULL), p AS (SELECT a.id, b.id AS other_id, {COSINE} AS similarity FROM v a, v b WHERE a.id <> b.id)
+  SELECT id, other_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other_id) AS nth FROM p) WHERE nth <= 3""", "facts"))
+def nearest_of_all_facts(spark, d):
+    """The three most similar other facts of every fact, by the join in blocks."""
+    v = views.facts(spark, d).select(F.col("unit_id").alias("id"), "embedding")
+    hits = nearest(v, v.withColumnsRenamed({"id": "query_id", "embedding": "query_vector"}), 3, other=True, blocked=True)
+    return hits.select(F.col("query_id").alias("id"), F.col("id").alias("other_id"), F.round("score", 6).alias("similarity"))
+
+
 @query(sql(f"""WITH v AS (SELECT note_id, unit_id, embedding FROM facts WHERE embedding IS NOT NULL), s AS (SELECT a.note_id, b.note_id AS other_id, avg({COSINE}) AS similarity, count(*) AS n FROM v a, v b WHERE a.note_id % 100 = 0 AND b.note_id <> a.note_id GROUP BY 1, 2)
   SELECT note_id, other_id, round(similarity, 6) + 0.0 AS similarity, n FROM (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY similarity DESC, other_id) AS nth FROM s WHERE similarity >= -0.5) WHERE nth <= 5""", "facts"))
 def overlapping_notes(spark, d):

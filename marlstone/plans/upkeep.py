@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text, vector
 from marlstone.operators import filters, fusion, maintenance, notes, strategies
+from marlstone.operators.nearest import nearest
 from marlstone.plans import views
 from marlstone.plans.registry import query
 from marlstone.plans.more import CHUNK_GRAPH, chunk_graph
@@ -311,9 +312,8 @@ def kv_upsert(spark, d):
 def kv_semantic_search(spark, d):
     """Nearest by L2 distance."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id = 3").select(F.col("embedding").alias("q"))  # one row
-    rows = v.crossJoin(F.broadcast(q)).withColumn("dist", vector.l2_distance(F.col("embedding"), F.col("q")))
-    return rows.orderBy("dist", "vec_id").limit(10).select("vec_id", F.round("dist", 6).alias("distance"))
+    asked = v.where("vec_id = 3").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vector"))
+    return nearest(v, asked, 10, "vec_id", l2=True).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("distance"))
 
 
 EVENTS_SQL = """ev AS (SELECT user_id AS key, event_id AS nth, CASE WHEN event_type IN ('purchase', 'signup') THEN 'extraction' WHEN event_type = 'error' THEN 'deletion' ELSE 'retrieval' END AS kind FROM events WHERE user_id % 5 > 0),
