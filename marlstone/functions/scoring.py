@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,5 +58,10 @@ def priority(evidence: Column, mentions: Column, retrievals: Column) -> Column:
     return F.round(0.5 * evidence + 0.2 * F.log10(F.greatest(mentions, one)) + 0.3 * F.log10(F.greatest(retrievals, one)), 4)
 
 
+def priority_of(evidence: int, mentions: int, retrievals: int) -> float:
+    """``priority`` of one item, for keyed state."""
+    return round(0.5 * evidence + 0.2 * math.log10(max(mentions, 1)) + 0.3 * math.log10(max(retrievals, 1)), 4)
+
+
 def mention_score(mentions: Column, retrievals: Column, centrality: Column) -> Column:
     return 0.4 * mentions + 0.4 * retrievals + 0.2 * centrality

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def true() -> Column:
@@ -71,7 +72,6 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group; Spark limits each partition before it shuffles."""
-    from pyspark.sql.window import Window as W
 
     return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("_nth") <= k).drop("_nth")
 
@@ -79,3 +79,15 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
 def seeded_sample(rows: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     """k rows with the least hashes of seed and id: a uniform sample that does not depend on the order of the input."""
     return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col))), id_col).limit(k)
+
+
+def unseen_in_session(results: DataFrame, session: str, item: str, at: str, minutes: float = 30) -> DataFrame:
+    """The first row of each item in each run of a session; a run ends where the session rests for longer than ``minutes``.
+
+    Of rows of one time the smaller item comes first. The streaming form is ``streaming.keyed.unseen``.
+    """
+    order = W.partitionBy(session).orderBy(at, item)
+    rest = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(order).cast("timestamp"))
+    rows = results.withColumn("_run", F.sum(F.when(rest > int(minutes * 60_000_000), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    nth = F.row_number().over(W.partitionBy(session, "_run", item).orderBy(at))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_run", "_nth")

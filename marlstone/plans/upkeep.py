@@ -316,6 +316,16 @@ def kv_semantic_search(spark, d):
     return nearest(v, asked, 10, "vec_id", l2=True).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("distance"))
 
 
+@query("""WITH e AS (SELECT user_id AS session_id, event_id % 40 AS item, ts AS seen_at, event_id FROM events),
+  r AS (SELECT *, sum(CASE WHEN epoch_us(seen_at) - epoch_us(before) > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seen_at, item, event_id ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, lag(seen_at) OVER (PARTITION BY session_id ORDER BY seen_at, item, event_id) AS before FROM e))
+  SELECT session_id, item, min(seen_at) AS seen_at FROM r GROUP BY session_id, run, item""")
+def session_dedup_expiring(spark, d):
+    """Pages that users see, each once until they rest for six hours."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.col("event_id") % 40).alias("item"), F.col("ts").alias("seen_at"))
+    return filters.unseen_in_session(e, "session_id", "item", "seen_at", 360)
+
+
 EVENTS_SQL = """ev AS (SELECT user_id AS key, event_id AS nth, CASE WHEN event_type IN ('purchase', 'signup') THEN 'extraction' WHEN event_type = 'error' THEN 'deletion' ELSE 'retrieval' END AS kind FROM events WHERE user_id % 5 > 0),
   ent AS (SELECT DISTINCT user_id AS key, user_id % 90 + 1 AS mention_count, user_id % 7 AS retrieval_count FROM events), q0 AS (SELECT DISTINCT user_id AS key, user_id % 6 AS evidence, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'dead_letter' END AS status, 0.25::DOUBLE AS priority, user_id % 4 AS retries FROM events WHERE user_id % 3 = 0)"""
 
