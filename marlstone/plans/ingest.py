@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from marlstone.functions import text, vector
 from marlstone.operators import dedup, links, resolve
 from marlstone.operators.nearest import nearest
+from marlstone.sources import commits
 from marlstone.plans import views
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import GRAMS, SIM
@@ -252,3 +253,16 @@ def entity_recount(spark, d):
 def vector_measures(spark, d):
     f = views.facts(spark, d).where("embedding IS NOT NULL").withColumn("moved", F.transform("embedding", lambda x: x.cast("double") + 0.01))
     return f.select("unit_id", (F.round(vector.cosine_distance(F.col("embedding"), F.col("moved")), 6) + 0.0).alias("cosine_distance"), F.round(vector.l2_distance(F.col("embedding"), F.col("moved")), 6).alias("l2"))
+
+
+@query("""WITH d AS (SELECT source AS job, doc_id // 100 AS chunk, doc_id > min(doc_id) OVER (PARTITION BY text) AS known FROM documents),
+  p AS (SELECT job, chunk, count(*) FILTER (WHERE NOT known) AS n, count(*) FILTER (WHERE known) AS k FROM d GROUP BY ALL)
+  SELECT job, chunk, CAST(sum(n) OVER w AS BIGINT) AS processed, CAST(sum(k) OVER w AS BIGINT) AS skipped FROM p WINDOW w AS (PARTITION BY job ORDER BY chunk)""")
+def ingest_progress(spark, d):
+    """Cumulative counts after each chunk of each source's documents; texts that an earlier document has are skipped."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("job"), F.floor(F.col("doc_id") / 100).cast("long").alias("chunk"), F.md5("text").alias("fingerprint"))
+    first = docs.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    known = F.col("doc_id") > F.col("first")
+    n = docs.join(first, "fingerprint").groupBy("job", "chunk").agg(F.count_if(~known).alias("processed"), F.count_if(known).alias("skipped"))
+    progress = n.select("job", "chunk", F.lit(1).alias("attempt"), F.lit("done").alias("status"), "processed", "skipped", F.lit(0).alias("failed"))
+    return commits.totals(progress).select("job", "chunk", "processed", "skipped")
