@@ -1,4 +1,4 @@
-"""Content-defined chunks, markdown sections, blocks: per-document algorithms over Arrow batches.
+"""Stable chunks (``operators.stable``), markdown sections, blocks: per-document algorithms over Arrow batches.
 
 Each document is worked on by itself, so these are map-only stages whatever the
 size of the corpus.
@@ -6,7 +6,6 @@ size of the corpus.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,62 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CHUNK_SIZE, LINE_WIDTH, HARD_LIMIT = 2000, 80, 3
-_HEADER = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t#]*$", re.M)
-_FENCE = re.compile(r"^(```|~~~)")
-_ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
-_SENTENCE = re.compile(r"[.!?][\"')\]]*\s")
-
-
-def _boundary(line: str, divisor: int) -> bool:
-    return int(hashlib.sha256(line.strip().encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % divisor == 0
-
-
-def protected_lines(lines: list[str]) -> list[bool]:
-    """True where a cut after the line would split a fenced block or a list."""
-    out, fence = [], ""
-    for i, line in enumerate(lines):
-        mark = _FENCE.match(line.strip())
-        if mark:
-            fence = "" if fence == mark[1] else fence or mark[1]
-        following = lines[i + 1] if i + 1 < len(lines) else ""
-        in_list = bool(_ITEM.match(line)) and bool(_ITEM.match(following) or following.startswith("  "))
-        out.append(bool(fence) or in_list)
-    return out
+from marlstone.operators import stable
 
-
-def stable_chunks(text: str, size: int = CHUNK_SIZE, protect: bool = True) -> list[str]:
-    """Chunks whose borders depend on the lines near them, so an edit moves few borders.
-
-    A line that is not blank may end a chunk of at least size/4 if its digest falls on the divisor;
-    it must where the chunk is over ``size``, unless a list or fenced block goes on (up to three sizes).
-    Joined, the chunks are the text.
-    """
-    lines = text.splitlines(keepends=True)
-    shield = protected_lines(lines) if protect else [False] * len(lines)
-    divisor = max(2, size // LINE_WIDTH)
-    out, held, length = [], [], 0
-    front = bool(lines) and lines[0].strip() == "---" and any(x.strip() == "---" for x in lines[1:])
-    for line, kept_whole in zip(lines, shield):
-        while len(line) > HARD_LIMIT * size:  # a line without end is cut at a sentence, else anywhere
-            cut = max((m.end() for m in _SENTENCE.finditer(line, 0, size)), default=size)
-            if held:
-                out.append("".join(held))
-                held, length = [], 0
-            out.append(line[:cut])
-            line = line[cut:]
-        held.append(line)
-        length += len(line)
-        if front:
-            front = not (line.strip() == "---" and len(held) > 1)
-            continue
-        natural = length >= size // 4 and bool(line.strip()) and _boundary(line, divisor)
-        if (natural or length > size) and not kept_whole or length >= HARD_LIMIT * size:
-            out.append("".join(held))
-            held, length = [], 0
-    if held:
-        out.append("".join(held))
-    return out
+_HEADER = re.compile(r"^(#{1,6})[ \t]+(\S.*?)[ \t#]*$", re.M)
 
 
 def headers(text: str) -> list[tuple[int, int, str]]:
@@ -209,10 +155,11 @@ def _map_text(docs: DataFrame, id_col: str, text_col: str, make, schema: str) ->
     return narrow.mapInPandas(run, f"id long, {schema}")
 
 
-def chunk_table(docs: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK_SIZE) -> DataFrame:
+def chunk_table(docs: DataFrame, id_col: str, text_col: str = "text", size: int = stable.CHUNK_SIZE, markdown: bool = True) -> DataFrame:
     """(id, seq, text, hash) of each document's stable chunks; null and empty texts have none."""
-    rows = _map_text(docs, id_col, text_col, lambda t: enumerate(stable_chunks(t, size)), "seq long, text string")
-    return rows.withColumn("hash", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256))
+    cut = stable.markdown_chunks if markdown else stable.line_chunks
+    rows = _map_text(docs, id_col, text_col, lambda t: enumerate(cut(t, size)), "seq long, text string")
+    return rows.withColumn("hash", F.sha2(F.regexp_replace(F.regexp_replace("text", r"^\s+|\s+$", ""), r"[ \t]+", " "), 256))
 
 
 def section_table(docs: DataFrame, id_col: str, text_col: str = "text", least: int = 0) -> DataFrame:

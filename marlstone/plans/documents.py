@@ -17,6 +17,23 @@ def stable_chunks(spark, d):
     return chunking.chunk_table(table(spark, d, "documents"), "doc_id")
 
 
+#: Recursive over the lines of a document: characters held, number of the chunk.
+LINE_CHUNKS = r"""RECURSIVE lines AS (SELECT doc_id, i, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')) WHERE i < len(l) OR l[i] <> ''),
+  stripped AS (SELECT *, length(line) AS n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM lines),
+  marked AS (SELECT doc_id, i, line, n, s = '' AS blank, CAST('0x' || substr(sha256(regexp_replace(s, '[ \t]+', ' ', 'g')), 1, 8) AS BIGINT) % 25 = 0 AS falls, CASE WHEN s <> '' AND n > 6000 THEN (n + 5999) // 6000 ELSE 0 END AS pieces FROM stripped),
+  walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS seq FROM (SELECT DISTINCT doc_id FROM lines)
+    UNION ALL SELECT w.doc_id, m.i, CASE WHEN cut OR pieces > 0 THEN 0 ELSE has END, w.seq + over, w.seq + over + CASE WHEN cut THEN 1 ELSE pieces END
+    FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.i = w.i + 1, LATERAL (SELECT CASE WHEN NOT blank AND held + n > 6000 AND held > 0 THEN 1 ELSE 0 END AS over), LATERAL (SELECT CASE WHEN over = 1 THEN n ELSE held + n END AS has),
+      LATERAL (SELECT NOT blank AND over = 0 AND pieces = 0 AND (has > 2000 OR has > 500 AND falls) AS cut)),
+  chunked AS (SELECT doc_id AS id, own AS seq, string_agg(line, '' ORDER BY i) AS text FROM (SELECT doc_id, own + k AS own, i, CASE WHEN pieces > 0 THEN substr(line, k * 6000 + 1, 6000) ELSE line END AS line FROM (SELECT *, unnest(range(0, greatest(pieces, 1))) AS k FROM walk JOIN marked USING (doc_id, i))) GROUP BY ALL)"""
+
+
+@query(f"WITH {LINE_CHUNKS} SELECT id, seq, text, sha256(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[ \\t]+', ' ', 'g')) AS hash FROM chunked")
+def line_chunks(spark, d):
+    """Chunks by lines alone. (The SQL cuts lines beyond the hard limit as where they hold no sentence.)"""
+    return chunking.chunk_table(table(spark, d, "documents"), "doc_id", markdown=False)
+
+
 @query()
 def chunk_reuse(spark, d):
     """Chunks that an edited version (its first line dropped) shares with the original."""

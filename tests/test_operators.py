@@ -54,21 +54,6 @@ def test_mmr_picks_distinct_rows(n, limit, r):
 # ---------------------------------------------------------------- chunks
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="ab .#-*\n`", max_size=800), st.integers(20, 200))
-def test_chunks_join_to_the_text(text, size):
-    for protect in (True, False):
-        chunks = chunking.stable_chunks(text, size, protect)
-        assert "".join(chunks) == text and all(chunks)
-
-
-def test_an_edit_moves_few_borders():
-    r = random.Random(1)
-    lines = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(400)]
-    a, b = chunking.stable_chunks("\n".join(lines), 1000), chunking.stable_chunks("\n".join(["new line", *lines]), 1000)
-    assert len(set(a) & set(b)) >= 0.8 * len(a)
-
-
 def test_sections_and_tokens():
     text = "intro\n# A\naaaa aaaa\n## B\nbbbb\n# C\n```\n# no header\n```\n"
     tree = chunking.sections(text)
