@@ -179,9 +179,40 @@ def section_table(docs: DataFrame, id_col: str, text_col: str = "text", least: i
     return rows.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent")))
 
 
-def toc_filter(section_rows: DataFrame, depth: int | None) -> DataFrame:
-    """depth 0: two levels; 1 and more, or None: all."""
-    return section_rows.where("level <= 2") if depth == 0 else section_rows
+def intervals(sections_: DataFrame, group: list[str], value: str = "tokens", levels: int = 7) -> DataFrame:
+    """Adds parent, depth (0 for roots), last and total to a table of contents (group, seq, level, value): ``last`` is the number of the last section
+    below, so what is below a section is the range from seq + 1 to last; ``total`` is the sum of the values from seq to last.
+
+    Sections are in order (pre-order), levels are 0 to ``levels`` - 1. The next section of a level as low
+    closes a section, and the last one of a lower level that nothing has closed holds it: one window forth and
+    one back over each document, without a join for each level.
+    """
+    ahead = W.partitionBy(*group).orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    back = W.partitionBy(*group).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    level = F.col("level")
+    rows = sections_.withColumn("_sum", F.coalesce(F.sum(value).over(back), F.lit(0)))
+    end = F.struct((F.max("seq").over(W.partitionBy(*group)) + 1).alias("seq"), F.sum(value).over(W.partitionBy(*group)).alias("_sum"))
+    closed, parent, depth = F.lit(None), F.lit(None).cast("long"), F.lit(0)
+    for n in range(levels):
+        closed = F.when(level == n, F.min(F.when(level <= n, F.struct("seq", "_sum"))).over(ahead)).otherwise(closed)
+        parent = F.when(level == n, F.max(F.when(level < n, F.col("seq"))).over(back)).otherwise(parent)
+        # The last section of level n is above the current one if it is higher, and no section of a lower level has come since.
+        holds = F.max(F.when(level == n, F.col("seq"))).over(back) > F.coalesce(F.max(F.when(level < n, F.col("seq"))).over(back), F.lit(-1))
+        depth = depth + F.when((level > n) & F.coalesce(holds, F.lit(False)), 1).otherwise(0)
+    rows = rows.select("*", F.coalesce(closed, end).alias("_end"), parent.alias("_parent"), depth.alias("_depth"))
+    kept = [c for c in sections_.columns if c not in ("parent", "depth", "last", "total")]
+    return rows.select(*kept, F.col("_parent").alias("parent"), F.col("_depth").alias("depth"), (F.col("_end.seq") - 1).cast("long").alias("last"), (F.col("_end._sum") - F.col("_sum")).alias("total"))
+
+
+def toc_filter(contents: DataFrame, depth: int | None = None, below: DataFrame | None = None, group: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Sections of ``intervals`` down to the second step of the tree (depth 0) or all (more, or None). With ``below``
+    (group, node) only those below these nodes, steps counted from there; node is added. A node that is not there has nothing below it."""
+    if below is None:
+        return contents.where("depth <= 1") if depth == 0 else contents
+    top = contents.select(*group, F.col("seq").alias("node"), F.col("last").alias("_last"), F.col("depth").alias("_depth"))
+    asked = top.join(below.select(*group, "node").distinct(), [*group, "node"], "left_semi")
+    met = contents.join(asked, list(group)).where((F.col("seq") > F.col("node")) & (F.col("seq") <= F.col("_last")))
+    return (met.where(F.col("depth") <= F.col("_depth") + 2) if depth == 0 else met).drop("_last", "_depth")
 
 
 def merge_spans(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:

@@ -71,10 +71,33 @@ def markdown_sections(spark, d):
     return chunking.section_table(marked_documents(spark, d), "doc_id").withColumnRenamed("end", "fin")
 
 
-@query(f"WITH {MARKED}, h AS (SELECT doc_id AS id, lvl, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS n FROM marked WHERE lvl IS NOT NULL) SELECT id, n AS seq, 'Part ' || seq AS title FROM h WHERE lvl <= 2")
+#: Walks up from each section to its ancestors.
+CONTENTS = f"""RECURSIVE {MARKED}, h AS (SELECT doc_id AS id, lvl, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, 'Part ' || seq AS title FROM marked WHERE lvl IS NOT NULL),
+  par AS (SELECT a.id, a.seq, max(b.seq) AS parent FROM h a LEFT JOIN h b ON b.id = a.id AND b.seq < a.seq AND b.lvl < a.lvl GROUP BY a.id, a.seq),
+  up AS (SELECT id, seq, parent AS anc, 1 AS steps FROM par WHERE parent IS NOT NULL UNION ALL SELECT u.id, u.seq, p.parent, steps + 1 FROM up u JOIN par p ON p.id = u.id AND p.seq = u.anc WHERE p.parent IS NOT NULL)"""
+
+
+def contents(spark, d):
+    return chunking.intervals(chunking.section_table(marked_documents(spark, d), "doc_id").withColumn("tokens", F.lit(1)), ["id"])
+
+
+@query(f"WITH {CONTENTS} SELECT id, seq, title FROM h JOIN par USING (id, seq) WHERE (SELECT count(*) FROM up WHERE up.id = h.id AND up.seq = h.seq) <= 1")
 def toc_upper_levels(spark, d):
-    """The first two levels of each table of contents."""
-    return chunking.toc_filter(chunking.section_table(marked_documents(spark, d), "doc_id"), 0).select("id", "seq", "title")
+    """The roots of each table of contents and what is right below them."""
+    return chunking.toc_filter(contents(spark, d), 0).select("id", "seq", "title")
+
+
+@query(f"WITH {CONTENTS} SELECT h.id, h.seq, par.parent, coalesce(x.steps, 0) AS depth, h.seq + coalesce(y.below, 0) AS last, 1 + coalesce(y.below, 0) AS total FROM h JOIN par USING (id, seq) LEFT JOIN (SELECT id, seq, count(*) AS steps FROM up GROUP BY ALL) x USING (id, seq) LEFT JOIN (SELECT id, anc AS seq, count(*) AS below FROM up GROUP BY ALL) y USING (id, seq)")
+def toc_intervals(spark, d):
+    """Each section with its parent, its depth, the last section below it and the number of sections in it."""
+    return contents(spark, d).select("id", "seq", "parent", F.col("depth").cast("long").alias("depth"), "last", F.col("total").cast("long").alias("total"))
+
+
+@query(f"WITH {CONTENTS} SELECT u.id, u.anc AS node, u.seq, h.title FROM up u JOIN h USING (id, seq) JOIN h top ON top.id = u.id AND top.seq = u.anc WHERE top.lvl = 1 AND u.steps <= 2")
+def toc_below_nodes(spark, d):
+    """What is below each section of the first level, two steps down."""
+    c = contents(spark, d)
+    return chunking.toc_filter(c, 0, c.where("level = 1").select("id", F.col("seq").alias("node"))).select("id", "node", "seq", "title")
 
 
 @query(f"""WITH {MARKED}, piece AS (SELECT doc_id, seq, lvl, CASE WHEN lvl IS NOT NULL THEN repeat('#', lvl::INT) || ' Part ' || seq || chr(10) || line ELSE line END AS t FROM marked),
