@@ -1,10 +1,7 @@
-"""Text expressions: normal forms, trigrams, token overlap, names, keys, dates in words."""
+"""Text expressions: normal forms, trigrams, token overlap, names, keys."""
 
 from __future__ import annotations
 
-import re
-from datetime import datetime, timedelta
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,28 +85,3 @@ def meaningful_name(name: Column) -> Column:
     low = F.lower(F.trim(name))
     bad = low.rlike(r"^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$") | low.rlike(r"^(tmp|temp)[\W_\d]|^(tmp|temp)$") | low.rlike(r"^(untitled|document|file|note|readme|index|download|image|scan)[\W_\d]*$")
     return F.coalesce(~bad & (F.length(low) > 0), F.lit(False))
-
-
-# Month names.
-MONTHS = "january february march april may june july august september october november december".split()
-
-
-def date_range(phrase: str, now: datetime) -> tuple[datetime, datetime] | None:
-    """The range of days that an English phrase names, relative to ``now``; None if it names none."""
-    low, today = phrase.lower(), now.replace(hour=0, minute=0, second=0, microsecond=0)
-    days = {"day": 1, "week": 7, "month": 30, "year": 365}
-    if "yesterday" in low:
-        return today - timedelta(days=1), today - timedelta(microseconds=1)
-    if "today" in low:
-        return today, now
-    if m := re.search(r"\b(\d+)\s+(day|week|month|year)s?\s+ago\b", low):
-        start = today - timedelta(days=int(m[1]) * days[m[2]])
-        return start, start + timedelta(days=days[m[2]]) - timedelta(microseconds=1)
-    if m := re.search(r"\blast\s+(?:(\d+)\s+)?(day|week|month|year)s?\b", low):
-        return today - timedelta(days=int(m[1] or 1) * days[m[2]]), now
-    if m := re.search(rf"\bin\s+({'|'.join(MONTHS)})\s+(\d{{4}})\b", low):
-        month, year = MONTHS.index(m[1]) + 1, int(m[2])
-        return datetime(year, month, 1), datetime(year + month // 12, month % 12 + 1, 1) - timedelta(microseconds=1)
-    if m := re.search(r"\bin\s+(\d{4})\b", low):
-        return datetime(int(m[1]), 1, 1), datetime(int(m[1]) + 1, 1, 1) - timedelta(microseconds=1)
-    return None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import scoring, text, vector
+from marlstone.functions import dates, scoring, text, vector
 from marlstone.operators import filters, fusion, maintenance, notes, strategies
 from marlstone.operators.nearest import nearest
 from marlstone.plans import views
@@ -326,6 +326,18 @@ def session_dedup_expiring(spark, d):
     return filters.unseen_in_session(e, "session_id", "item", "seen_at", 360)
 
 
+@query(f"""WITH q AS (SELECT event_id, event_type, event_id % 30 + 1 AS n, CAST(ts AS DATE) AS day, CAST({NOW_SQL} AS DATE) AS today FROM events),
+  r AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN today - 1 WHEN 'signup' THEN today - n::INT WHEN 'click' THEN date_trunc('month', day)::DATE WHEN 'view' THEN day ELSE today - 7 END AS lo,
+    CASE event_type WHEN 'purchase' THEN today - 1 WHEN 'signup' THEN today - n::INT WHEN 'click' THEN last_day(day) WHEN 'view' THEN day ELSE today END AS hi FROM q)
+  SELECT event_id, lo::TIMESTAMP AS lo, hi::TIMESTAMP + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS hi FROM r""")
+def question_dates(spark, d):
+    """The range that a question about each event means: in words, by days ago, by month, by date."""
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    when = F.when(kind == "purchase", "yesterday").when(kind == "signup", F.concat(F.col("event_id") % 30 + 1, F.lit(" days ago"))).when(kind == "click", F.concat(F.lit("in "), F.date_format("ts", "MMMM yyyy"))).when(kind == "view", F.date_format("ts", "yyyy-MM-dd")).otherwise("last week")
+    asked = F.concat(F.lit("What did user "), F.col("user_id"), F.lit(" do "), when, F.lit("?"))
+    return e.select("event_id", dates.constraint(asked, now()).alias("r")).select("event_id", "r.lo", "r.hi")
+
+
 EVENTS_SQL = """ev AS (SELECT user_id AS key, event_id AS nth, CASE WHEN event_type IN ('purchase', 'signup') THEN 'extraction' WHEN event_type = 'error' THEN 'deletion' ELSE 'retrieval' END AS kind FROM events WHERE user_id % 5 > 0),
   ent AS (SELECT DISTINCT user_id AS key, user_id % 90 + 1 AS mention_count, user_id % 7 AS retrieval_count FROM events), q0 AS (SELECT DISTINCT user_id AS key, user_id % 6 AS evidence, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'dead_letter' END AS status, 0.25::DOUBLE AS priority, user_id % 4 AS retries FROM events WHERE user_id % 3 = 0)"""
 

@@ -42,26 +42,6 @@ def test_decay_clamps_and_futures(spark):
 NOW = datetime(2024, 3, 15, 12)
 
 
-@pytest.mark.parametrize(
-    ("phrase", "start", "end"),
-    [
-        ("what did I do yesterday", datetime(2024, 3, 14), datetime(2024, 3, 14, 23, 59, 59, 999999)),
-        ("today", datetime(2024, 3, 15), NOW),
-        ("last week", datetime(2024, 3, 8), NOW),
-        ("last 2 days", datetime(2024, 3, 13), NOW),
-        ("3 weeks ago", datetime(2024, 2, 23), datetime(2024, 2, 29, 23, 59, 59, 999999)),
-        ("in December 2023", datetime(2023, 12, 1), datetime(2023, 12, 31, 23, 59, 59, 999999)),
-        ("in 2022", datetime(2022, 1, 1), datetime(2022, 12, 31, 23, 59, 59, 999999)),
-    ],
-)
-def test_date_phrases(phrase, start, end):
-    assert text.date_range(phrase, NOW) == (start, end)
-
-
-def test_no_date():
-    assert text.date_range("who is Ada", NOW) is None
-
-
 def test_filters(spark):
     t = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
     null = F.lit(None).cast("timestamp_ntz")
@@ -88,7 +68,3 @@ def test_names(spark):
     assert (r.c0, r.c1, r.c2) == ("user:1:x", True, False)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.text(min_size=0, max_size=60))
-def test_date_range_takes_any_text(phrase):
-    text.date_range(phrase, NOW)
