@@ -16,6 +16,9 @@ sidebar-right'). A main element is kept, so named itself or inside a div or sect
 article there counts where no article or main element is kept and it has more
 unlinked text than all that is kept; an article in what is named for
 comments or related pages counts only where nothing else has text.
+Inside an article or main the last word of a name counts (copyright-law is no copyright), quotes are kept whatever their name, and
+some names (discussion, notice) are believed only of elements without a heading, with little text or with many links. Tables, lists and
+their items that hold an article are wrappers as well.
 Names like with-, has-, no-sidebar or share-enabled say nothing of a container. On pages
 without a kept article or main element, a div or section that holds more than three quarters of
 the text is a wrapper too, whatever its name. Names of elements within a line, such
@@ -59,8 +62,18 @@ NAMES = frozenset(
 )
 #: Names of what holds articles that are not the page's.
 OTHERS = frozenset("related recommended recommendations comment comments commentlist disqus reply replies respond responses discussion".split())
+#: Within an article: names that say nothing of a section with a heading and long unlinked text, and elements whose names say nothing at all.
+DOUBTFUL = frozenset("discussion search notice notices menu copyright banner related".split())
+QUOTES = frozenset("blockquote figure figcaption pre".split())
+#: Within an article, a name is told by its last word but these.
+PARTS = frozenset(
+    "left right top bottom upper lower main inner outer side wrapper wrap container box section area list block bar link links button buttons icon icons form item items panel content slot unit posts post articles article stories story pages "
+    "inline toggle title header body text author meta count thread module zone holder row col column group set region text more info label".split()
+)
+LONG_TEXT, LINKED_SHARE = 200, 1 / 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers whose names may tell of what is beside their content.
-WRAPPERS = frozenset("div section article main".split())
+WRAPPERS = frozenset("div section article main table tbody tr td ul ol li".split())
 _STATE = re.compile(r"(?:with|has|no|without)[-_].*|.*[-_](?:enabled|disabled)", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -68,12 +81,25 @@ _CUT_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+Line = tuple[str, int, int, int, bool, int, int, int]
+
 #: How an element is kept from the text: not at all, as a form, by a name, by the name of other articles, in any case; or by a name within a line.
-KEPT, FORM, NAMED, OTHER, AWAY, INLINE = range(6)
+KEPT, FORM, NAMED, OTHER, AWAY, INLINE, DOUBTED = range(7)
+
+
+def _head_words(value: str) -> set[str]:
+    """Of each name in a class or id, the last word that isn't one of PARTS."""
+    found = set()
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        found.update(words[-1:])
+    return found
 
 
-def _named_away(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """KEPT, or how an element's class, id, role or style says that it is no content."""
+def _named_away(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False) -> int:
+    """KEPT, or how an element's class, id, role or style says that it is no content; ``inside`` an article less is made of names."""
     level = KEPT
     for k, v in attrs:
         if k in ("hidden", "inert") or k == "aria-hidden" and v == "true":
@@ -86,25 +112,33 @@ def _named_away(tag: str, attrs: list[tuple[str, str | None]]) -> int:
             if tag in WRAPPERS:
                 v = " ".join(x for x in v.split() if not _STATE.fullmatch(x))
             words = {w.lower() for w in _WORD.findall(v)}
+            if inside and tag in BLOCKS:
+                words &= _head_words(v) if tag not in QUOTES else set()
+                if tag in WRAPPERS and words & NAMES and words & NAMES <= DOUBTFUL:
+                    level = level or DOUBTED
+                    continue
             if not NAMES.isdisjoint(words):
+                level = KEPT if level == DOUBTED else level
                 level = max(level, NAMED if OTHERS.isdisjoint(words) else OTHER)
-    if not level:
-        return KEPT
+    if level in (KEPT, DOUBTED):
+        return level
     return level if tag in WRAPPERS else AWAY if tag in BLOCKS or tag in SKIPPED else INLINE
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page: (text, tags, linked characters, region, semantic, rank, named).
+    """Collects the lines of a page: (text, tags, linked characters, region, semantic, rank, named, doubt).
 
     ``parents`` has the region around each region; rank is how an article that
     counts only for want of others was kept from the text; named is the innermost element around
-    the line that a name keeps from the text (0: none), and ``wrappers`` has the next such element around each.
+    the line that a name keeps from the text (0: none), and ``wrappers`` has the next such element around each. doubt is the innermost element of a doubtful name inside an
+    article (0: none); ``doubts`` has for each the one around it, and whether it holds a heading, and what is for readers' comments.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int, int]] = []
-        self.stack: list[tuple[str, int, int, bool, int, int]] = []  # tag, level, region, semantic, rank, named
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, int, int, bool, int, int, int]] = []  # tag, level, region, semantic, rank, named, doubt
+        self.doubts: list[list] = [[0, False, False]]
         self.open: dict[str, int] = {}  # elements on the stack by tag
         self.parts: list[str] = []
         self.parents, self.wrappers = [0], [0]
@@ -112,10 +146,10 @@ class Lines(HTMLParser):
         self.aside = 0  # open inline elements on the stack whose name keeps them from the text
         self.own = False  # whether the line has words outside of these
 
-    def top(self) -> tuple[str, int, int, bool, int, int]:
-        return self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT, 0)
+    def top(self) -> tuple[str, int, int, bool, int, int, int]:
+        return self.stack[-1] if self.stack else ("", KEPT, 0, False, KEPT, 0, 0)
 
-    def push(self, item: tuple[str, int, int, bool, int, int]) -> None:
+    def push(self, item: tuple[str, int, int, bool, int, int, int]) -> None:
         self.stack.append(item)
         self.open[item[0]] = self.open.get(item[0], 0) + 1
 
@@ -128,8 +162,7 @@ class Lines(HTMLParser):
     def cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.own else ""
         if text:
-            _, _, region, semantic, rank, named = self.top()
-            self.lines.append((text, self.tags, self.linked, region, semantic, rank, named))
+            self.lines.append((text, self.tags, self.linked, *self.top()[2:]))
             self.tags = self.linked = 0
         self.parts, self.own = [], False
 
@@ -144,16 +177,23 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         elif tag == "a":
             self.links = 1
-        named_away = _named_away(tag, attrs) if attrs and tag not in VOID and tag not in ("body", "html") else KEPT
+        named_away = _named_away(tag, attrs, self.top()[3]) if attrs and tag not in VOID and tag not in ("body", "html") else KEPT
+        doubt = self.top()[6]
+        if doubt and (tag in HEADINGS or named_away == OTHER):
+            self.doubts[doubt][1 if tag in HEADINGS else 2] = True
+        if named_away == DOUBTED:
+            self.doubts.append([doubt, False, False])
+            doubt = len(self.doubts) - 1
         if named_away == INLINE:
-            _, outer, region, semantic, rank, named = self.top()
+            _, outer, region, semantic, rank, named, _ = self.top()
             if not KEPT < outer < INLINE and outer != AWAY:
-                self.push((tag, INLINE, region, semantic, rank, named))
+                self.push((tag, INLINE, region, semantic, rank, named, doubt))
                 self.aside += 1
                 return
             named_away = AWAY
         if tag in HOLDERS or named_away:
-            _, outer, region, semantic, rank, named = self.top()
+            named_away = KEPT if named_away == DOUBTED else named_away
+            _, outer, region, semantic, rank, named, _ = self.top()
             outer = KEPT if outer == INLINE else outer
             only = tag == "main" or ("role", "main") in attrs
             main = only or tag == "article"
@@ -175,7 +215,7 @@ class Lines(HTMLParser):
             if level == NAMED == away:
                 self.wrappers.append(named)
                 named = len(self.wrappers) - 1
-            self.push((tag, level, region, semantic or main and not level, rank, named))
+            self.push((tag, level, region, semantic or main and not level, rank, named, doubt))
 
     def parse_html_declaration(self, i: int) -> int:
         """``<![`` that opens no CDATA is a comment up to the next ``>``, as browsers take it."""
@@ -217,7 +257,25 @@ class Lines(HTMLParser):
             self.linked += len(data)
 
 
-Line = tuple[str, int, int, int, bool, int, int]
+def _believed(lines: list[Line], doubts: list[list]) -> list[Line]:
+    """Without the lines of doubtful elements that have no heading, little text, many links or readers' comments inside."""
+    if len(doubts) == 1:
+        return lines
+    text, linked = [0] * len(doubts), [0] * len(doubts)
+    for x in lines:
+        text[x[7]] += len(x[0])
+        linked[x[7]] += x[2]
+    for i in range(len(doubts) - 1, 0, -1):  # an element is numbered before what it holds
+        outer, heading, other = doubts[i]
+        text[outer] += text[i]
+        linked[outer] += linked[i]
+        doubts[outer][1] |= heading
+        doubts[outer][2] |= other
+    kept = [True]
+    for i in range(1, len(doubts)):
+        outer, heading, other = doubts[i]
+        kept.append(kept[outer] and heading and not other and text[i] - linked[i] >= LONG_TEXT and linked[i] <= LINKED_SHARE * text[i])
+    return [x for x in lines if kept[x[7]]]
 
 
 def _unwrapped(lines: list[Line], wrappers: list[int]) -> list[Line]:
@@ -226,7 +284,7 @@ def _unwrapped(lines: list[Line], wrappers: list[int]) -> list[Line]:
     if len(kept) == len(lines) or any(x[4] and x[5] == KEPT for x in kept):
         return kept
     inside = [0] * len(wrappers)
-    for text, _, linked, *_, named in lines:
+    for text, _, linked, _, _, _, named, _ in lines:
         inside[named] += len(text) - linked
     for i in range(len(wrappers) - 1, 0, -1):  # an element is numbered before what it holds
         inside[wrappers[i]] += inside[i]
@@ -291,7 +349,7 @@ def main_text(html: str | None) -> str:
     except (AssertionError, ValueError):  # the standard parser gives up on some broken declarations; what was read counts
         pass
     parser.cut()
-    return "\n\n".join(content_lines(parser.lines, parser.parents, parser.wrappers))
+    return "\n\n".join(content_lines(_believed(parser.lines, parser.doubts), parser.parents, parser.wrappers))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -33,6 +33,12 @@ LONG = "This is a long paragraph of the article with enough words to count as te
         (f"<div hidden><article>{LONG}</article></div><p>shown</p>", "shown"),
         (f"<div class=content><p>{LONG}{LONG}</p><h2>H</h2><ul><li>one</li><li>two</li></ul><table><tr><td>t</td></tr></table><blockquote>q</blockquote><p>{LONG}</p></div><div>out</div>", f"{(LONG * 2).strip()}\n\nH\n\none\n\ntwo\n\nt\n\nq\n\n{LONG.strip()}"),
         ("<article><p class=ad>ad<p>text<ul><li class=promo>x<li>y</ul><p>z</article>", "text\n\ny\n\nz"),
+        (f"<article><p>{LONG}</p><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>", f"{LONG.strip()}\n\nDiscussion\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><section id=discussion><h2>Discussion</h2><div class=comment><p>{LONG}</p></div></section></article>", LONG.strip()),
+        (f"<article><p>{LONG}</p><div class=related><h2>More</h2><ul><li><a href=1>{LONG}</a></ul></div><div class=notice>short</div></article>", LONG.strip()),
+        ("<article><p class=copyright-law>law</p><p class=social-intro>intro</p><blockquote class=reply>quote</blockquote><p class=post-share>x</p><div class=related-posts>y</div></article>", "law\n\nintro\n\nquote"),
+        ("<table class=sidebar><tr><td>menu</td><td><article><p>in a table</p></article></td></tr></table>", "in a table"),
+        ("<ul class=comments-off><li><article><p>in a list</p></article></li></ul>", "in a list"),
         ("<p>cut off in a <b", "cut off in a"),
         ("", ""),
         (None, ""),
