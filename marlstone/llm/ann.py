@@ -9,7 +9,8 @@ lies there is reranked by the exact inner product of the original vectors.
 Plan: each vector is sent to its bucket of each table, each query to the groups
 of buckets it probes; they meet in a cogroup by (table, group, chunk). Counts a
 bucket (tables x axes numbers, so bounded) set how many chunks a group is cut
-into, hence no task gets more than about ``chunk_rows`` vectors. A group of
+into, hence no task gets more than about ``chunk_rows`` vectors, and queries beyond ``query_rows`` are dealt into
+parts that each meet all chunks, hence no task gets more than about that many of them. A group of
 equal vectors is kept whole but for copies that cannot matter: of each distinct
 vector only the k + 1 smallest ids can be among any query's k nearest, so others
 are set aside before hashing (they still are queries). Ids are counted, not rows:
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window as W
 
 from marlstone.llm.common import materialise
 
-TABLES, PROBES, GROUPS, CHUNK_ROWS, K, SLACK = 8, 16, 4, 16_384, 20, 1e-9
+TABLES, PROBES, GROUPS, CHUNK_ROWS, QUERY_ROWS, K, SLACK = 8, 16, 4, 16_384, 32_768, 20, 1e-9
 
 
 class CrossPolytope:
@@ -110,8 +111,8 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> pd.D
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})[rank < k]
 
 
-def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: range, probes: int, groups: int, chunk_rows: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each query's best in each group of buckets probed."""
+def _sides(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: range, probes: int, groups: int, chunk_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries by (t, g, c, p): table, group of buckets, chunk of its vectors, part of its queries."""
     per_group = cp.axes // groups
 
     def deal(batches):
@@ -124,6 +125,7 @@ def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: ran
     dealt = index.mapInPandas(deal, "t int, b int, id long, v array<double>")
     sizes = {(r["t"], r["g"]): r["n"] for r in dealt.select("t", (F.col("b") / per_group).cast("int").alias("g")).groupBy("t", "g").agg(F.count("*").alias("n")).collect()}  # tables x groups rows
     chunks = {key: max(1, -(-n // chunk_rows)) for key, n in sizes.items()}
+    parts = max(1, -(-queries.count() // query_rows))  # a group's queries are at most all, so a part of them has about query_rows
 
     def ask(batches):
         for pdf in batches:
@@ -140,7 +142,13 @@ def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: ran
     group = (F.col("b") / per_group).cast("int")
     left = dealt.withColumn("g", group).withColumn("c", F.pmod(F.xxhash64("id"), many[F.col("t") * groups + F.col("g")]).cast("int"))
     spread = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "id")  # few rows, but each is turned in every table
-    right = spread.mapInPandas(ask, "t int, g int, c int, id long, buckets array<int>, v array<double>")
+    right = spread.mapInPandas(ask, "t int, g int, c int, id long, buckets array<int>, v array<double>").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    return left.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)), right
+
+
+def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: range, probes: int, groups: int, chunk_rows: int, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, vec_id, score) of each query's best in each group of buckets probed."""
+    left, right = _sides(index, queries, cp, tables, probes, groups, chunk_rows, query_rows)
 
     def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(asked):
@@ -158,7 +166,7 @@ def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: ran
         i, j = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, int) for n in (0, 1))
         return _best(qid[i], vid[j], _exact(y[i], x[j]), k)
 
-    return left.groupBy("t", "g", "c").cogroup(right.groupBy("t", "g", "c")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    return left.groupBy("t", "g", "c", "p").cogroup(right.groupBy("t", "g", "c", "p")).applyInPandas(meet, "query_id long, vec_id long, score double")
 
 
 def _top(parts: DataFrame, k: int) -> DataFrame:
@@ -167,7 +175,7 @@ def _top(parts: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, groups: int = GROUPS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, groups: int = GROUPS, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (of the id) holds."""
     usable = _usable(vectors, id_col, vector_col)
     lengths = usable.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
@@ -179,10 +187,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     copies = W.partitionBy("v").orderBy("id")
     index = materialise(usable.distinct().withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "ann-index")
     cp = CrossPolytope(dim, tables)
-    top = materialise(_top(_search(index, queries, cp, range(tables), min(probes, cp.axes), groups, chunk_rows, k), k), "ann-top")
+    top = materialise(_top(_search(index, queries, cp, range(tables), min(probes, cp.axes), groups, chunk_rows, k, query_rows), k), "ann-top")
     found = top.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
     short = materialise(queries.join(found, "id", "left").where(F.coalesce("n", F.lit(0)) < k).select("id", "v"), "ann-short")
     if not short.isEmpty():
-        rest = _top(_search(index, short, cp, range(1), cp.axes, groups, chunk_rows, k), k)
+        rest = _top(_search(index, short, cp, range(1), cp.axes, groups, chunk_rows, k, query_rows), k)
         top = top.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     return top.select("query_id", "rank", "vec_id", "score")

@@ -34,6 +34,17 @@ def test_recall_and_exact_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_both_sides_of_a_group_are_bounded(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(600, 8)).astype(np.float32))]
+    assert run(spark, rows, k=4, chunk_rows=50, query_rows=40) == run(spark, rows, k=4)
+    index = spark.createDataFrame([(i, v) for i, v in rows], "id long, v array<double>")
+    left, right = A._sides(index, index, A.CrossPolytope(8, 2), range(2), 16, 4, 50, 40)
+    for side, most in ((left, 50), (right, 40)):  # dealt by hash, so about so many
+        assert max(x["count"] for x in side.groupBy("t", "g", "c", "p").count().collect()) <= 2 * most
+    assert right.select("p").distinct().count() == 15
+
+
 def test_copies_ties_and_few_vectors(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(60)] + [(100, [0.0, 1.0, 0.0]), (101, [0.9, 0.1, 0.0])]
     got = run(spark, rows, k=5, chunk_rows=8)
