@@ -20,8 +20,9 @@ found whatever its case.
    document, and back. Consistent alignments with the same values are verbatim,
    others are the question with new parameters. Of an inconsistent alignment only
    the windows with the same values count.
-5. A document is contaminated by an item if the windows that count cover at least
-   ``min_cover`` of the item's windows.
+5. A document is contaminated by an item if the windows that count are at least
+   ``min_cover`` of the item's windows; or if they are that share of those that can match as templates, which in questions full
+   of slots may be few, and hold that share of the item's tokens. cover is the larger share that counts.
 
 Defined cases: null or empty texts match nothing; items of fewer than
 ``min_tokens`` tokens match nothing, items shorter than a window are one window;
@@ -233,10 +234,11 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
 
 
 _WINDOW_ROWS = "id long, size int, pos int, h long, slots array<string>"
+_ITEM_ROWS = _WINDOW_ROWS + ", template boolean"
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_literal: int, min_tokens: int) -> DataFrame:
-    """(item_id, size, ipos, h, islots, n_windows) of the benchmark."""
+    """(item_id, size, ipos, h, islots, n_windows, n_templates) of the benchmark; n_templates: windows that others than copies can match."""
 
     def cut(batches):
         chars = Characters()
@@ -247,13 +249,13 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, min_
                 size = min(window, len(t.h))
                 if size >= min(min_tokens, window):
                     for p, x, typed in zip(*t.windows(size, min_literal)):
-                        rows.append((item, size, int(p), int(x.view(np.int64)), t.slots(p, size) if typed else []))
-            yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots"])
+                        rows.append((item, size, int(p), int(x.view(np.int64)), t.slots(p, size) if typed else [], bool(typed) or not t.placeholder[p : p + size].any()))
+            yield pd.DataFrame(rows, columns=["id", "size", "pos", "h", "slots", "template"])
 
     known = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut_up = known.mapInPandas(cut, _WINDOW_ROWS).dropDuplicates(["id", "pos", "h"])
-    total = cut_up.groupBy("id").agg(F.countDistinct("pos").cast("int").alias("n_windows"))
-    return cut_up.join(total, "id").select(F.col("id").alias("item_id"), "size", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "n_windows")
+    cut_up = known.mapInPandas(cut, _ITEM_ROWS).dropDuplicates(["id", "pos", "h"])
+    total = cut_up.groupBy("id").agg(F.countDistinct("pos").cast("int").alias("n_windows"), F.countDistinct(F.when(F.col("template"), F.col("pos"))).cast("int").alias("n_templates"))
+    return cut_up.join(total, "id").select(F.col("id").alias("item_id"), "size", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"), "n_windows", "n_templates")
 
 
 def _filter_bits(table: DataFrame, bits: int) -> np.ndarray:
@@ -301,23 +303,28 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     if table.count() <= broadcast_rows:
         met = hits.join(F.broadcast(table), "h")
     else:
-        by_hash = table.groupBy("h").agg(F.collect_list(F.struct("item_id", "size", "ipos", "islots", "n_windows")).alias("in"))  # items that share a window
+        by_hash = table.groupBy("h").agg(F.collect_list(F.struct("item_id", "size", "ipos", "islots", "n_windows", "n_templates")).alias("in"))  # items that share a window
         met = fanout_join(hits, by_hash, "h", F.struct("doc_id", "dpos"), "inner").select("*", F.inline("in")).drop("in")
     met = met.withColumn("offset", F.col("dpos") - F.col("ipos"))
     aligned = met.groupBy("doc_id", "item_id", "offset").agg(
         F.collect_set("ipos").alias("at"), F.collect_set(F.when(F.col("islots") == F.col("dslots"), F.col("ipos"))).alias("own"),
         F.array_distinct(F.flatten(F.collect_set(F.zip_with("islots", "dslots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))))).alias("slots"),
-        F.first("n_windows").alias("n_windows"), F.first("size").alias("size"),
+        F.first("n_windows").alias("n_windows"), F.first("n_templates").alias("n_templates"), F.first("size").alias("size"),
     )
     ways = [F.size(F.array_distinct(F.col("slots")[k])) == F.size("slots") for k in ("i", "d")]
     aligned = aligned.withColumn("at", F.when(ways[0] & ways[1], F.col("at")).otherwise(F.col("own"))).where(F.size("at") > 0)
     aligned = aligned.withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"]))
     per_pair = aligned.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched_windows"),
-        F.first("n_windows").alias("n_windows"), F.min("same").alias("verbatim"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"),
+        F.first("n_windows").alias("n_windows"), F.first("n_templates").alias("n_templates"), F.first("size").alias("size"), F.min("same").alias("verbatim"),
         F.min(F.col("offset") + F.array_min("at")).cast("long").alias("first_token"), F.max(F.col("offset") + F.array_max("at") + F.col("size") - 1).cast("long").alias("last_token"),
     )
-    found = per_pair.withColumn("cover", F.col("matched_windows") / F.col("n_windows")).where(F.col("cover") >= min_cover)
+    matched, size = F.size("at").cast("long"), F.col("size")
+    # Tokens in matched windows: each window brings those since the one before, at most all of its own.
+    tokens = F.aggregate(F.transform("at", lambda p, n: F.least(size, p - F.coalesce(F.get("at", n - 1), p - size))), F.lit(0), lambda a, b: a + b)
+    share = F.least(F.lit(1.0), matched / F.nullif(F.col("n_templates"), F.lit(0)), tokens / (F.col("n_windows") + size - 1))
+    cover = F.greatest(matched / F.col("n_windows"), F.when(matched / F.nullif(F.col("n_templates"), F.lit(0)) >= min_cover, share))
+    found = per_pair.withColumn("matched_windows", matched).withColumn("cover", cover).where(F.col("cover") >= min_cover)
     return found.select("doc_id", "item_id", "cover", "matched_windows", "verbatim", "first_token", "last_token")
 
 

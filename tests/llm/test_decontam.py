@@ -39,6 +39,18 @@ def test_windows_in_their_own_words_count_beside_an_inconsistent_slot(spark):
     assert set(run(spark, [(1, " ".join(doc))], [(7, " ".join(item))], broadcast_rows=0)) == {(1, 7)}
 
 
+def test_questions_full_of_slots_are_caught_by_the_templates_they_have(spark):
+    item = "A train covers 120 km in 2 hours 30 minutes"
+    docs = [(1, "Here: A train covers 90 km in 1 hour 20 minutes, they said."), (2, f"copied: {item}."), (3, "A train of 3 cars leaves in 2 hours 30 minutes"), (4, "it covers 90 km in 1 hour 20 minutes"), (5, "A bus covers 90 km in 1 hour 20 minutes")]
+    got = run(spark, docs, [(7, item)])
+    assert set(got) == {(1, 7), (2, 7)} and got[2, 7].cover == 1.0 and not got[1, 7].verbatim and got[1, 7].cover == 0.8
+    # Questions whose windows all hold less than four literal words are found as copies only (stated in the README).
+    assert set(run(spark, [(1, "Convert 9 miles to meters"), (2, "so convert 5 Miles to kilometers now")], [(7, "Convert 5 miles to kilometers")])) == {(2, 7)}
+    # A long item of few templates isn't caught by one of them.
+    rich = "a train covers 1 km in 2 km 3 km 4 km 5 km 6 km 7 km 8 km 9 km 10 km"
+    assert run(spark, [(1, "a train covers 11 km in 12 km and no more")], [(7, rich)]) == {}
+
+
 def test_short_items_and_edge_cases(spark):
     items = [(1, "what is the capital of france"), (2, "too short"), (3, None), (4, ""), (None, ITEM), (5, ITEM), (5, ITEM), (6, ITEM)]
     docs = [(1, "so: What is the capital of France? nobody knows"), (2, None), (3, ""), (None, ITEM), (4, ITEM), (4, ITEM)]
@@ -152,7 +164,9 @@ def brute_force(docs, items, window=8, min_literal=4, min_cover=0.5):
                 pairs = {x for _, a, b in hits for x in zip(a, b)}
                 good = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
                 covered |= {p for p, a, b in hits if good or a == b}
-            if mine and len(covered) >= min_cover * len(mine):
+            templates = [p for p, _, slots in mine if size - len(slots) >= min(min_literal, size)]
+            tokens = {t for p in covered for t in range(p, p + size)}
+            if mine and (len(covered) >= min_cover * len(mine) or templates and len(covered) >= min_cover * len(templates) and len(tokens) >= min_cover * n):
                 out[doc, item] = len(covered)
     return out
 
@@ -173,7 +187,9 @@ def test_templates_against_brute_force(spark):
         return " ".join(out)
 
     items = [(i, fill()) for i in range(12)]
-    docs = [(i, "so it was said that " + fill(i % 2 == 0) + " and so on. " + (fill(False) if i % 5 == 0 else "")) for i in range(50)]
+    items += [(20 + i, f"the cart of {r.choice(names)} takes {i + 1} {r.choice(units)} with {i + 2} {r.choice(units)} {i + 3}") for i in range(6)]
+    frames = [f"so the cart of {r.choice(names)} takes {r.randint(1, 9)} {r.choice(units)} with {r.randint(1, 9)} {r.choice(units)} {r.randint(1, 9)} more" for _ in range(20)]
+    docs = [(100 + i, t) for i, t in enumerate(frames)] + [(i, "so it was said that " + fill(i % 2 == 0) + " and so on. " + (fill(False) if i % 5 == 0 else "")) for i in range(50)]
     want = brute_force(docs, items)
     got = run(spark, docs, items)
     assert {k: v.matched_windows for k, v in got.items()} == want and 0 < len(want) < 600
