@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import text
 from marlstone.operators import filters, graph, names, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query

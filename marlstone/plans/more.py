@@ -9,7 +9,7 @@ from marlstone.functions import formats, text, vector
 from marlstone.operators import chunking, filters, links, maintenance, notes, strategies
 from marlstone.plans import views
 from marlstone.plans.registry import query
-from marlstone.plans.retrieval import BASE, COS, DECAY, EDGES, LINKED, MODEL, SEEDS, SEMANTIC, _linked, _models, _pools
+from marlstone.plans.retrieval import BASE, COS, DECAY, EDGES, LINKED, MODEL, SEEDS, SEMANTIC, _active, _linked, _models, _pools
 from marlstone.plans.retrieval import semantic_entity_seeds as _seeds
 from marlstone.plans.views import now, sql, table
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import dates, scoring, text, vector
-from marlstone.operators import filters, fusion, maintenance, notes, strategies
+from marlstone.functions import dates, scoring, text
+from marlstone.operators import filters, fusion, maintenance, strategies
 from marlstone.operators.nearest import nearest
 from marlstone.plans import views
-from marlstone.plans.registry import query
 from marlstone.plans.more import CHUNK_GRAPH, chunk_graph
-from marlstone.plans.retrieval import BASE, COS, DENSITY, GRAPH, PLACED, SEEDS, TOKS, _pools
+from marlstone.plans.registry import query
+from marlstone.plans.retrieval import BASE, COS, DENSITY, PLACED, SEEDS, TOKS
 from marlstone.plans.views import NOW_SQL, now, sql, table
 
 LATER = "TIMESTAMP '2024-01-28'"
