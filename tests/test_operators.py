@@ -238,10 +238,10 @@ def test_block_diff(spark):
 
 def test_candidates_and_context(spark):
     inputs = spark.createDataFrame([("robert smith", "Robert Smith", ["ann lee", "bob"], datetime(2024, 1, 31))], "normal string, name string, nearby array<string>, event_date timestamp_ntz")
-    known = spark.createDataFrame([(1, "Zed", 5, datetime(2024, 1, 1)), (3, "Rupert", 2, datetime(2024, 1, 1)), (4, "Ann Lee", 14, None)], "entity_id long, name string, mention_count long, last_seen timestamp_ntz")
+    known = spark.createDataFrame([(1, "Zed", 5, datetime(2024, 1, 1)), (3, "Rhoberd Smyth", 2, datetime(2024, 1, 1)), (4, "Ann Lee", 14, None)], "entity_id long, name string, mention_count long, last_seen timestamp_ntz")
     aliases = spark.createDataFrame([(1, "robert smith jr")], "entity_id long, name string")
     got = {(r.entity_id, r.phonetic): r.name_score for r in resolve.candidates(inputs, known, aliases).collect()}
-    assert set(got) == {(1, False), (3, True)} and got[1, False] > 0.7 and got[3, True] == 0.45  # Rupert sounds alike
+    assert set(got) == {(1, False), (3, True)} and got[1, False] > 0.7 and got[3, True] == 0.45  # sounds alike
     pairs = spark.createDataFrame([(1, 4, 2)], "e1 long, e2 long, n long")
     score = resolve.scored_candidates(inputs, known, aliases, pairs).where("entity_id = 1").first().score
     # One of two nearby names is a known neighbour, of 14 mentions: 1 / log2(16) / 2 = 1/8; a month has passed.
