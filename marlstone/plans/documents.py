@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import text
-from marlstone.operators import chunking
+from marlstone.operators import chunking, headers
 from marlstone.plans import views
 from marlstone.plans.registry import query
 from marlstone.plans.views import sql, table
@@ -109,6 +109,30 @@ def header_positions(spark, d):
     return chunking.located_headers(docs, "doc_id", "text", "titles")
 
 
+#: A title every 400 characters: 24 characters with one lost and one changed, or as they are, or what is nowhere; its place is up to 15 characters off.
+PROPOSED = r"""folded AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM documents),
+  cut AS (SELECT doc_id, t, n, 400 * n + (doc_id + n) % 31 - 15 AS start, substr(t, 400 * n + 1, 24) AS piece FROM folded, unnest(range(0, coalesce(length(t) // 400 + 1, 0))) u(n)),
+  proposed AS (SELECT doc_id, n, t, start, CASE (doc_id + n) % 4 WHEN 0 THEN piece WHEN 1 THEN '@@@ nowhere @@@' ELSE substr(piece, 1, 3) || substr(piece, 5, 9) || 'Q' || substr(piece, 15) END AS title FROM cut),
+  likely AS (SELECT *, least(greatest(2, length(title) // 10), length(title) - 1) AS tolerance, greatest(start - 20, 0) AS lo, least(start + length(title) + 20, length(t)) AS hi FROM proposed WHERE substr(t, greatest(start, 0) + 1, length(title)) <> title OR start < 0),
+  parts AS (SELECT doc_id, n, start, a, b, levenshtein(title, substr(t, a + 1, b - a)) AS errors, tolerance, substr(t, a + 1, b - a) AS found FROM (SELECT *, unnest(range(lo, hi)) AS a FROM likely), unnest(range(a + greatest(1, length(title) - tolerance), least(hi, a + length(title) + tolerance) + 1)) u(b)),
+  best AS (SELECT doc_id, n, arg_min(found, (errors, abs(a - start), a, b)) AS title, arg_min(a, (errors, abs(a - start), a, b)) AS start, min(errors) AS errors FROM parts WHERE errors <= tolerance GROUP BY ALL)"""
+
+
+@query(f"""WITH {PROPOSED} SELECT p.doc_id AS id, n, coalesce(b.title, p.title) AS title, CAST(coalesce(b.start, p.start) AS BIGINT) AS start, CAST(CASE WHEN l.doc_id IS NULL THEN 0 ELSE b.errors END AS BIGINT) AS errors, l.doc_id IS NULL OR b.doc_id IS NOT NULL AS verified
+  FROM proposed p LEFT JOIN likely l USING (doc_id, n) LEFT JOIN best b USING (doc_id, n) WHERE length(p.title) > 0""")
+def verified_headers(spark, d):
+    """Proposed headers, some of them damaged or nowhere, aligned with the texts (without what is not ASCII, for the SQL's distance is of bytes)."""
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text")).where("text IS NOT NULL")
+
+    def proposal(n):
+        piece, kind = F.substring(F.col("text"), (400 * n + 1).cast("int"), F.lit(24)), (F.col("doc_id") + n) % 4
+        damaged = F.concat(F.substring(piece, 1, 3), F.substring(piece, 5, 9), F.lit("Q"), F.substring(piece, 15, 24))
+        return F.struct(F.when(kind == 0, piece).when(kind == 1, "@@@ nowhere @@@").otherwise(damaged).alias("title"), (400 * n + (F.col("doc_id") + n) % 31 - 15).cast("long").alias("start"))
+
+    docs = docs.withColumn("proposed", F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 400)), proposal))
+    return headers.verified(docs, "doc_id", "text", "proposed").where("length(title) > 0")
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
 def page_titles(spark, d):
     title = F.trim(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1))
