@@ -170,3 +170,32 @@ def briefing_models(models: DataFrame, budget: int = 2000, shown: int = 2) -> Da
     scored = models.select("vault_id", "model_id", briefing_importance(F.col("observations.trend")).alias("importance"), (first if budget >= 2000 else F.array().cast("array<string>")).alias("trends"))
     place = F.row_number().over(W.partitionBy("vault_id").orderBy(F.desc("importance"), "model_id"))
     return scored.withColumn("place", place).where(F.col("place") <= (10 if budget >= 2000 else 5))
+
+
+def resolve_vaults(asked: DataFrame, vaults: DataFrame) -> DataFrame:
+    """(identifier, state, vault_id) of each distinct identifier, a vault's id as text or a name: found, ambiguous (several vaults of that name; vault_id is null)
+    or missing. An id goes before a name that reads the same; a null identifier is missing, blanks and case count."""
+    one = asked.select("identifier").distinct()
+    by_id = vaults.where("vault_id IS NOT NULL").select(F.col("vault_id").cast("string").alias("_id"), F.col("vault_id").alias("_by_id")).distinct()
+    by_name = vaults.where("name IS NOT NULL AND vault_id IS NOT NULL").groupBy(F.col("name").alias("_name")).agg(F.min("vault_id").alias("_least"), F.max("vault_id").alias("_most"))
+    both = one.join(by_id, F.col("identifier") == F.col("_id"), "left").join(by_name, F.col("identifier") == F.col("_name"), "left")
+    single = F.col("_least") == F.col("_most")
+    state = F.when(F.col("_by_id").isNotNull() | single, "found").when(F.col("_least").isNotNull(), "ambiguous").otherwise("missing")
+    return both.select("identifier", state.alias("state"), F.coalesce("_by_id", F.when(single, F.col("_least"))).alias("vault_id"))
+
+
+def fresh_summaries(summaries: DataFrame, notes: DataFrame, now: Column, dormant_days: int = 30) -> DataFrame:
+    """Summaries (vault_id, themes array<struct<..., trend>>, ...) as they read at ``now``, from the active notes (vault_id, status, created_at, publish_date).
+
+    Adds last_7_days, last_30_days, last_activity_at, days_since_last_note (whole days, 0 for what is to come) and latest_date, those of a
+    vault without active notes 0 and null; if its newest note is more than ``dormant_days`` old, the trend of all its themes is dormant. What is kept does not change.
+    """
+    age = F.timestamp_diff("MICROSECOND", F.col("created_at"), now)
+    day = 86_400_000_000
+    counts = [F.count_if(age <= n * day).alias(f"last_{n}_days") for n in (7, 30)]
+    recent = notes.where("status = 'active'").groupBy("vault_id").agg(*counts, F.max("created_at").alias("last_activity_at"), F.max("publish_date").alias("latest_date"))
+    days = F.when(F.col("last_activity_at").isNotNull(), F.greatest(F.floor(F.timestamp_diff("MICROSECOND", F.col("last_activity_at"), now) / day), F.lit(0)))
+    both = summaries.join(recent, "vault_id", "left").withColumn("days_since_last_note", days.cast("long"))
+    both = both.withColumns({f"last_{n}_days": F.coalesce(f"last_{n}_days", F.lit(0)) for n in (7, 30)})
+    dormant = F.transform("themes", lambda t: t.withField("trend", F.lit("dormant")))
+    return both.withColumn("themes", F.when(F.col("days_since_last_note") > dormant_days, dormant).otherwise(F.col("themes")))

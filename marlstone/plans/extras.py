@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import formats, scoring, text
-from marlstone.operators import dedup, evaluate, filters, fusion
+from marlstone.operators import dedup, evaluate, filters, fusion, notes
 from marlstone.plans import views
 from marlstone.plans.documents import MARKED, marked_documents
 from marlstone.plans.ingest import COSINE
 from marlstone.plans.registry import query
 from marlstone.plans.retrieval import SEMANTIC, _pools
-from marlstone.plans.views import sql, table
+from marlstone.plans.views import NOW_SQL, now, sql, table
+from marlstone.sources import readers
 
 
 @query(sql("SELECT unit_id, concat_ws(' ', text, '(' || fact_type || ')', '[' || context || ']') AS line FROM facts", "facts"))
@@ -65,6 +66,47 @@ def units_of_entities(spark, d):
     return filters.top_per_group(ue, ["entity_id"], [F.desc("event_date"), F.asc("unit_id")], 100).select("entity_id", "unit_id")
 
 
+#: Days are scans, users are files: each is listed on the days on which it has events.
+LISTINGS = "l AS (SELECT user_id, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS scan, max(event_id % 50) AS modified FROM events WHERE event_id % 3 > 0 GROUP BY ALL)"
+
+
+@query(f"""WITH {LISTINGS}, s AS (SELECT a.user_id, a.scan FROM l a ANTI JOIN l b ON b.user_id = a.user_id AND b.scan = a.scan - 1),
+  r AS (SELECT l.*, (SELECT max(s.scan) FROM s WHERE s.user_id = l.user_id AND s.scan <= l.scan) AS since FROM l),
+  t AS (SELECT r.*, (SELECT max(o.modified) FROM l o WHERE o.user_id = r.user_id AND o.scan >= r.since AND o.scan < r.scan) AS told, (SELECT min(o.scan) FROM l o WHERE o.user_id = r.user_id) AS first FROM r)
+  SELECT CAST(user_id AS VARCHAR) AS path, CAST(scan AS BIGINT) AS scan, CASE WHEN scan = first THEN 'new' WHEN scan = since THEN 'returning' ELSE 'changed' END AS change FROM t WHERE scan = since OR modified > told
+  UNION ALL SELECT CAST(a.user_id AS VARCHAR), CAST(a.scan + 1 AS BIGINT), 'deleted' FROM l a ANTI JOIN l b ON b.user_id = a.user_id AND b.scan = a.scan + 1 WHERE a.scan < (SELECT max(scan) FROM l)""")
+def folder_change_log(spark, d):
+    """What each scan of a folder shows as new, changed, returning or deleted, for all scans at once."""
+    e = table(spark, d, "events").where("event_id % 3 > 0")
+    listed = e.select(F.col("user_id").cast("string").alias("path"), F.unix_date(F.col("ts").cast("date")).cast("long").alias("scan"), (F.col("event_id") % 50).alias("modified"))
+    return readers.change_log(listed)
+
+
+@query("""WITH a AS (SELECT DISTINCT * FROM (SELECT p_name AS identifier FROM part UNION ALL SELECT CAST(p_partkey * 2 AS VARCHAR) FROM part UNION ALL SELECT c_name FROM customer UNION ALL SELECT p_name || ' ' || p_partkey // 2 FROM part)),
+  v AS (SELECT p_partkey AS vault_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' ' || p_partkey // 2 END AS name FROM part)
+  SELECT identifier, CASE WHEN i.vault_id IS NOT NULL OR n = 1 THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS state, coalesce(i.vault_id, CASE WHEN n = 1 THEN least_id END) AS vault_id
+  FROM a LEFT JOIN v i ON CAST(i.vault_id AS VARCHAR) = identifier LEFT JOIN (SELECT name, count(*) AS n, min(vault_id) AS least_id FROM v GROUP BY 1) g ON g.name = identifier""")
+def vault_resolve(spark, d):
+    """Identifiers to vaults, by id or else by name; names of several vaults are ambiguous. Parts stand for vaults."""
+    p = table(spark, d, "part")
+    numbered = F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / 2).cast("string"))
+    vaults = p.select(F.col("p_partkey").alias("vault_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(numbered).alias("name"))
+    asked = p.select(F.explode(F.array("p_name", (F.col("p_partkey") * 2).cast("string"), numbered)).alias("identifier"))
+    return notes.resolve_vaults(asked.unionByName(table(spark, d, "customer").select(F.col("c_name").alias("identifier"))), vaults)
+
+
+@query(sql(f"""WITH n AS (SELECT note_id % 300 AS vault_id, status, created_at, publish_date, template FROM notes), s AS (SELECT DISTINCT vault_id, template FROM n),
+  r AS (SELECT vault_id, count(*) FILTER (WHERE created_at >= {NOW_SQL} - INTERVAL 7 DAY) AS d7, count(*) FILTER (WHERE created_at >= {NOW_SQL} - INTERVAL 30 DAY) AS d30, max(created_at) AS last, max(publish_date) AS latest FROM n WHERE status = 'active' GROUP BY 1),
+  f AS (SELECT s.*, coalesce(d7, 0) AS last_7_days, coalesce(d30, 0) AS last_30_days, latest AS latest_date, CASE WHEN last IS NOT NULL THEN CAST(greatest(floor((epoch_us({NOW_SQL}) - epoch_us(last)) / 86400e6), 0) AS BIGINT) END AS days FROM s LEFT JOIN r USING (vault_id))
+  SELECT vault_id, template AS theme, CASE WHEN days > 10 THEN 'dormant' ELSE 'growing' END AS trend, last_7_days, last_30_days, latest_date, days AS days_since_last_note FROM f""", "notes"))
+def summary_freshness(spark, d):
+    """Summaries as they read now: recent counts and days since the last active note; themes of vaults at rest for over ten days are dormant."""
+    n = views.notes(spark, d).withColumn("vault_id", F.col("note_id") % 300)
+    themes = n.groupBy("vault_id").agg(F.array_sort(F.collect_set(F.struct(F.col("template").alias("theme"), F.lit("growing").alias("trend")))).alias("themes"))  # of four templates
+    fresh = notes.fresh_summaries(themes, n, now(), dormant_days=10)
+    return fresh.select("vault_id", F.inline("themes"), "last_7_days", "last_30_days", "latest_date", "days_since_last_note")
+
+
 @query("SELECT n_nationkey AS vault_id FROM nation WHERE n_name = (SELECT max(n_name) FROM nation) OR n_nationkey = 4")
 def vault_lookup(spark, d):
     """Vaults by id or by name."""

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from marlstone.operators.filters import top_per_group
 
@@ -83,6 +84,27 @@ def changes(current: DataFrame, state: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change IS NOT NULL").select("path", "change")
 
 
+def change_log(listings: DataFrame, last: Column | None = None) -> DataFrame:
+    """(path, scan, change) of all scans of a folder at once, from (path, modified, scan) with scans numbered one by one: new, changed (later than
+    what was there since it came), returning and deleted, each with the scan that shows it. ``last`` is the newest scan's number, if not all scans list files.
+
+    Stretches of scans that list a path without a gap are found by windows over its rows alone, so nothing is compared scan by scan.
+    Rows with a null are left out; of a path listed twice in a scan the latest time counts.
+    """
+    one = listings.where("path IS NOT NULL AND modified IS NOT NULL AND scan IS NOT NULL").groupBy("path", "scan").agg(F.max("modified").alias("modified"))
+    order = W.partitionBy("path").orderBy("scan")
+    before, after = F.lag("scan").over(order), F.lead("scan").over(order)
+    starts = F.coalesce(before < F.col("scan") - 1, F.lit(True))
+    rows = one.withColumns({"_starts": starts, "_first": before.isNull(), "_ends": F.coalesce(after > F.col("scan") + 1, F.lit(True))})
+    rows = rows.withColumn("_stretch", F.sum(F.col("_starts").cast("int")).over(order))
+    highest = F.max("modified").over(W.partitionBy("path", "_stretch").orderBy("scan").rowsBetween(W.unboundedPreceding, -1))
+    there = F.when(F.col("_first"), "new").when(F.col("_starts"), "returning").when(F.col("modified") > highest, "changed")
+    told = rows.withColumn("change", there)
+    newest = one.agg((F.max("scan") if last is None else F.greatest(F.max("scan"), last)).alias("_newest"))
+    gone = rows.where("_ends").join(F.broadcast(newest), F.col("scan") < F.col("_newest"))  # one row is broadcast
+    return told.where("change IS NOT NULL").select("path", "scan", "change").unionByName(gone.select("path", F.expr("scan + 1").alias("scan"), F.lit("deleted").alias("change")))
+
+
 def pages_as_notes(pages: DataFrame, extract) -> DataFrame:
     """(url, host, title, text) of raw pages; ``extract`` is a function from html to text."""
 
