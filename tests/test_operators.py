@@ -252,3 +252,18 @@ def test_lineage_limits_children(spark):
     edges = spark.createDataFrame([("r", f"c{i}") for i in range(5)] + [("c0", "d")], "parent string, child string")
     rows = graph.lineage(edges, spark.createDataFrame([("r",)], "root string"), depth=2, limit=3).collect()
     assert sorted((r.node, r.level) for r in rows) == [("c0", 1), ("c1", 1), ("c2", 1), ("d", 2), ("r", 0)]
+
+
+def test_entity_links_are_made_once_and_not_shuffled(spark):
+    rows = [(e, u, u) for e in (1, 2) for u in range(40)] + [(3, 7, 7), (None, 1, 1), (1, None, 2)]
+    new = spark.createDataFrame([r for r in rows if r[1] is None or r[1] % 3 == 0 or r[0] == 3], "entity_id long, unit_id long, event_date long")
+    known = spark.createDataFrame([r for r in rows if r[1] is None or r[1] % 2], "entity_id long, unit_id long, event_date long")  # some are new too
+    found = links.by_entity(new.unionByName(new), known, last=9, block=4)
+    want = set()
+    for e in (1, 2):
+        n, k = [u for u in range(40) if u % 3 == 0], [u for u in range(39, 0, -2)][:9]
+        want |= {(e, x, y) for a in n for b in n + k if a != b for x, y in ((a, b), (b, a))}
+    got = [(r.entity_id, r.from_id, r.to_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    top = found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert "Exchange" not in top and "HashAggregate" not in top
