@@ -102,7 +102,7 @@ ALL_WORDS = f"""asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOKS.form
 def keyword_all_words(spark, d):
     """Notes that hold three words of a benchmark item close together: the second to the fourth."""
     asked = views.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.words(F.col("text")), 2, 3), " ").alias("query_text"))
-    hits = strategies.keyword(views.notes(spark, d), asked, pool=1_000_000, id_col="note_id", every=True).withColumn("score", F.round("score", 9))
+    hits = strategies.keyword(views.notes(spark, d), asked, pool=1_000_000, id_col="note_id", every=True, most_places=None).withColumn("score", F.round("score", 9))
     return filters.top_per_group(hits, ["query_id"], [F.desc("score"), F.asc("id")], strategies.POOL).select("query_id", "id", F.round("score", 6).alias("score"))
 
 

@@ -56,3 +56,15 @@ def test_covers_and_their_noise(spark):
     with pytest.raises(ValueError, match="65 words"):
         coverage.covers(rows, ["id"], many)
     assert coverage.covers(rows, ["id"], asked.limit(0)).count() == 0
+
+
+def test_all_places_of_a_word_count_if_asked_for(spark):
+    docs = [(1, "cat " * 300 + "dog " + "cat dog " * 300)]
+    words = stems(docs[0][1])
+    assert ranks(spark, docs, [(1, "cat dog")], every=True, most_places=None) == {(1, 1): round(by_windows_of_two(words, "cat", "dog"), 9)}
+    assert ranks(spark, docs, [(1, "cat dog")], every=True) != ranks(spark, docs, [(1, "cat dog")], every=True, most_places=None)
+
+
+def by_windows_of_two(words, a, b):
+    """Neighbours of different words, all of which were asked for: no noise."""
+    return sum(0.1 for x, y in zip(words, words[1:]) if {x, y} == {a, b})
