@@ -12,11 +12,14 @@ from marlstone.operators.strategies import directed
 MENTION_CAP, RARE_PER_NOTE, RELATED = 50, 100, 5
 
 
-def count_pairs(unit_entities: DataFrame, date_col: str = "event_date") -> DataFrame:
-    """(e1, e2, n, valid_from, last) of entities in one unit, e1 < e2."""
+def count_pairs(unit_entities: DataFrame, date_col: str = "event_date", tasks: int | None = None) -> DataFrame:
+    """(e1, e2, n, valid_from, last) of entities in one unit, e1 < e2. With ``tasks`` the pairs are counted in so many
+    (see ``filters.tasks_for``), each pair in one."""
     a = unit_entities.select("unit_id", F.col("entity_id").alias("e1"), date_col).distinct()
     b = unit_entities.select("unit_id", F.col("entity_id").alias("e2")).distinct()
-    return a.join(b, "unit_id").where("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(date_col).alias("valid_from"), F.max(date_col).alias("last"))
+    pairs = a.join(b, "unit_id").where("e1 < e2")
+    pairs = pairs.repartition(tasks, "e1", "e2") if tasks else pairs
+    return pairs.groupBy("e1", "e2").agg(F.count("*").alias("n"), F.min(date_col).alias("valid_from"), F.max(date_col).alias("last"))
 
 
 def merge_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -37,9 +40,10 @@ def ranked_entities(entities: DataFrame, cooccurrences: DataFrame) -> DataFrame:
     return c.withColumn("rank_score", scoring.mention_score(F.col("mention_count"), F.col("retrieval_count"), F.col("centrality")))
 
 
-def neighbours(cooccurrences: DataFrame, k: int) -> DataFrame:
-    """The k strongest neighbours of each entity."""
-    return top_per_group(directed(cooccurrences).select("entity_id", "other_id", "n"), ["entity_id"], [F.desc("n"), F.asc("other_id")], k)
+def neighbours(cooccurrences: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
+    """The k strongest neighbours of each entity, found in ``tasks`` if given."""
+    rows = directed(cooccurrences).select("entity_id", "other_id", "n")
+    return top_per_group(rows.repartition(tasks, "entity_id") if tasks else rows, ["entity_id"], [F.desc("n"), F.asc("other_id")], k)
 
 
 def related_notes(note_entities: DataFrame, mentions: DataFrame, cap: int = MENTION_CAP, rare: int = RARE_PER_NOTE, k: int = RELATED) -> DataFrame:

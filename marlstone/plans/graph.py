@@ -13,10 +13,17 @@ from marlstone.plans.views import sql, table
 OP = "op AS (SELECT DISTINCT o_orderkey AS unit_id, l_partkey AS entity_id, o_orderdate AS event_date FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
+def _tasks(spark, d):
+    """By the lines of all orders; these make about two pairs each."""
+    return filters.tasks_for(spark, table(spark, d, "lineitem").count())
+
+
 def order_parts(spark, d):
-    """Orders as units of parts: the large bipartite graph."""
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("entity_id"))
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(lines, "o_orderkey").select(F.col("o_orderkey").alias("unit_id"), "entity_id", F.col("o_orderdate").alias("event_date")).distinct()
+    """Orders as units of parts: the large bipartite graph, dealt out by orders."""
+    n = _tasks(spark, d)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("entity_id")).repartition(n, "o_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate").repartition(n, "o_orderkey")
+    return orders.hint("merge").join(lines, "o_orderkey").select(F.col("o_orderkey").alias("unit_id"), "entity_id", F.col("o_orderdate").alias("event_date")).distinct()
 
 
 PAIRS = f"{OP}, pairs AS (SELECT a.entity_id AS e1, b.entity_id AS e2, count(*) AS n, min(a.event_date) AS valid_from, max(a.event_date) AS last FROM op a JOIN op b ON a.unit_id = b.unit_id AND a.entity_id < b.entity_id GROUP BY 1, 2)"
@@ -24,7 +31,7 @@ PAIRS = f"{OP}, pairs AS (SELECT a.entity_id AS e1, b.entity_id AS e2, count(*)
 
 @query(f"WITH {PAIRS} SELECT e1, e2, n, valid_from FROM pairs")
 def cooccurrence_counts(spark, d):
-    return graph.count_pairs(order_parts(spark, d)).select("e1", "e2", "n", "valid_from")
+    return graph.count_pairs(order_parts(spark, d), tasks=_tasks(spark, d)).select("e1", "e2", "n", "valid_from")
 
 
 @query(f"""WITH {OP}, h AS (SELECT *, event_date < TIMESTAMP '1998-01-01' AS old FROM op), p AS (SELECT a.entity_id AS e1, b.entity_id AS e2, count(*) AS n, min(a.event_date) AS valid_from FROM h a JOIN h b ON a.unit_id = b.unit_id AND a.entity_id < b.entity_id GROUP BY 1, 2)
@@ -32,13 +39,13 @@ def cooccurrence_counts(spark, d):
 def cooccurrence_upsert(spark, d):
     """Old counts merged with a batch's: the same as counting all at once."""
     op = order_parts(spark, d)
-    old, new = (graph.count_pairs(op.where(c)) for c in ("event_date < TIMESTAMP_NTZ'1998-01-01 00:00:00'", "event_date >= TIMESTAMP_NTZ'1998-01-01 00:00:00'"))
+    old, new = (graph.count_pairs(op.where(c), tasks=_tasks(spark, d)) for c in ("event_date < TIMESTAMP_NTZ'1998-01-01 00:00:00'", "event_date >= TIMESTAMP_NTZ'1998-01-01 00:00:00'"))
     return graph.merge_pairs(old, new).select("e1", "e2", "n", "valid_from")
 
 
 @query(f"WITH {PAIRS}, x AS (SELECT e1 AS a, e2 AS b, n FROM pairs UNION ALL SELECT e2, e1, n FROM pairs) SELECT a AS entity_id, CAST(sum(n) AS BIGINT) AS centrality FROM x GROUP BY 1")
 def entity_centrality(spark, d):
-    return graph.centrality(graph.count_pairs(order_parts(spark, d)))
+    return graph.centrality(graph.count_pairs(order_parts(spark, d), tasks=_tasks(spark, d)))
 
 
 @query(sql(f"WITH {EDGES}, c AS (SELECT entity_id, sum(n) AS centrality FROM edges GROUP BY 1) SELECT entity_id, round(0.4 * mention_count + 0.4 * retrieval_count + 0.2 * coalesce(centrality, 0), 6) AS rank_score FROM entities LEFT JOIN c USING (entity_id)", "entities", "cooccurrences"))
@@ -48,7 +55,7 @@ def entity_rank(spark, d):
 
 @query(f"WITH {PAIRS}, x AS (SELECT e1 AS entity_id, e2 AS other_id, n FROM pairs UNION ALL SELECT e2, e1, n FROM pairs) SELECT entity_id, other_id, n FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, other_id) AS nth FROM x) WHERE nth <= 5")
 def strongest_neighbours(spark, d):
-    return graph.neighbours(graph.count_pairs(order_parts(spark, d)), 5)
+    return graph.neighbours(graph.count_pairs(order_parts(spark, d), tasks=_tasks(spark, d)), 5, _tasks(spark, d))
 
 
 @query(sql(f"WITH {EDGES} SELECT entity_id, other_id, n FROM edges WHERE entity_id = 7", "cooccurrences"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, dedup, diversity, fusion, graph, links, maintenance, notes, resolve, strategies
+from marlstone.operators import chunking, dedup, diversity, filters, fusion, graph, links, maintenance, notes, resolve, strategies
 
 # ---------------------------------------------------------------- fusion
 
@@ -267,3 +267,12 @@ def test_entity_links_are_made_once_and_not_shuffled(spark):
     assert len(got) == len(set(got)) and set(got) == want
     top = found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
     assert "Exchange" not in top and "HashAggregate" not in top
+
+
+def test_pairs_are_counted_in_tasks_by_the_size_of_the_input(spark):
+    assert filters.tasks_for(spark, 10_000_001, 200_000) == 51 and filters.tasks_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(u, e, u % 3) for u in range(30) for e in range(u % 5)], "unit_id long, entity_id long, event_date long")
+    one, dealt = graph.count_pairs(rows), graph.count_pairs(rows, tasks=37)
+    assert dealt.rdd.getNumPartitions() == 37 and sorted(one.collect()) == sorted(dealt.collect())
+    best = graph.neighbours(dealt, 2, 41)
+    assert best.rdd.getNumPartitions() == 41 and sorted(best.collect()) == sorted(graph.neighbours(one, 2).collect())
