@@ -64,11 +64,12 @@ def _pools(spark, d, names=tuple(WEIGHTS)):
     if "semantic" in names:
         made["semantic"] = strategies.semantic(units, asked)
     if "keyword" in names:
-        made["keyword"] = strategies.keyword(units, asked)
+        made["keyword"] = strategies.keyword(views.dealt(units.select("unit_id", "text"), spark, d), asked)
     if "graph" in names:
         ue = views.fact_entities(spark, d)
         seeds = strategies.semantic_seeds(views.facts(spark, d), ue, asked)
-        made["graph"] = strategies.cooccurrence_graph(units, ue, views.entities(spark, d), views.cooccurrences(spark, d), seeds, now())
+        dated, held = (views.dealt(x, spark, d, 100_000) for x in (units.select("unit_id", "event_date"), ue.select("unit_id", "entity_id")))
+        made["graph"] = strategies.cooccurrence_graph(dated, held, views.entities(spark, d), views.cooccurrences(spark, d), seeds, now())
     if "temporal" in names:
         made["temporal"] = strategies.temporal(units, asked)
     return made

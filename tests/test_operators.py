@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.operators import chunking, dedup, diversity, filters, fusion, graph, links, maintenance, notes, resolve, strategies
+from marlstone.plans import views
 
 # ---------------------------------------------------------------- fusion
 
@@ -276,3 +277,9 @@ def test_pairs_are_counted_in_tasks_by_the_size_of_the_input(spark):
     assert dealt.rdd.getNumPartitions() == 37 and sorted(one.collect()) == sorted(dealt.collect())
     best = graph.neighbours(dealt, 2, 41)
     assert best.rdd.getNumPartitions() == 41 and sorted(best.collect()) == sorted(graph.neighbours(one, 2).collect())
+
+
+def test_facts_are_dealt_into_tasks_by_their_number(spark, tmp_path):
+    spark.range(2_500).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    rows = views.dealt(spark.range(100).withColumnRenamed("id", "unit_id"), spark, str(tmp_path), 100)
+    assert rows.rdd.getNumPartitions() == 25 and rows.count() == 100
