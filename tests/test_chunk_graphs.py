@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import notes, strategies
+from marlstone.operators import chunking, notes, strategies
 
 NOW = datetime(2024, 1, 1)
 
@@ -52,3 +53,14 @@ def test_the_pool_of_units_is_enough_for_the_pool_of_chunks(spark, pool):
     whole = strategies.causal_graph(units, *args, pool=10_000, tie="first_chunk", merge=False)
     rows = lambda hits: sorted(map(tuple, notes.to_chunks(hits, facts, chunks, pool).collect()))
     assert rows(cut) == rows(whole)
+
+
+def test_rows_of_texts_leave_the_worker_in_small_batches(spark):
+    docs = spark.createDataFrame([(i, "# a\n" * 50 if i % 7 else None) for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def make(t):
+        return [(n, str(len(t))) for n in range(50)]
+
+    rows = chunking._map_text(docs, "doc_id", "text", make, "seq long, text string", at_once=3, most=60)
+    assert rows.count() == 34 * 50 and rows.where("text = '200'").count() == 34 * 50
+    assert chunking._batch([(1, 2, "x")], pa.schema([("id", pa.int64()), ("seq", pa.int64()), ("text", pa.string())])).num_rows == 1
