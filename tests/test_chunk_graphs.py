@@ -64,3 +64,17 @@ def test_rows_of_texts_leave_the_worker_in_small_batches(spark):
     rows = chunking._map_text(docs, "doc_id", "text", make, "seq long, text string", at_once=3, most=60)
     assert rows.count() == 34 * 50 and rows.where("text = '200'").count() == 34 * 50
     assert chunking._batch([(1, 2, "x")], pa.schema([("id", pa.int64()), ("seq", pa.int64()), ("text", pa.string())])).num_rows == 1
+
+
+def test_subtree_totals_read_the_tree_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(1, n, (n - 1) // 3 if n else None, 1) for n in range(40)]
+    tree = spark.createDataFrame(rows, "id long, seq long, parent long, tokens long").mapInArrow(counted, "id long, seq long, parent long, tokens long")
+    got = {r.seq: r.total for r in chunking.subtree_totals(tree, ["id"]).collect()}
+    assert got[0] == 40 and got[1] == 13 and got[39] == 1 and made.value == 40
