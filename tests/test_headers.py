@@ -63,3 +63,18 @@ def test_copies_and_long_texts(spark):
     rows = [(i, text, [("Final Remorks", 1_200_000 + i)]) for i in range(5)]
     docs = spark.createDataFrame(rows, "id long, text string, p array<struct<title: string, start: int>>")
     assert sorted(tuple(r) for r in headers.verified(docs, "id", "text", "p").collect()) == [(i, 0, "Final Remarks", 1_200_000, 1, True) for i in range(5)]
+
+
+def test_many_at_a_time_against_one_at_a_time():
+    rng = random.Random(6)
+    titles = ["".join(rng.choices("abc日🙂 ", k=rng.choice([1, 2, 9, 24, 62, 63]))) for _ in range(400)]
+    windows = ["".join(rng.choices("abc", k=rng.randint(0, 9))) + "".join(c for c in t if rng.random() > 0.05) + "".join(rng.choices("abc", k=rng.randint(0, 20))) for t in titles]
+    ats = [rng.randint(-5, 20) for _ in titles]
+    want = [headers.align(*x) for x in zip(titles, windows, ats)]
+    assert headers.align_many(titles, windows, ats) == want and 200 < sum(x is not None for x in want) < 400
+    assert headers.align_many([], [], []) == [] and headers.align_many(["ab"], [""], [0]) == [None]
+
+
+def test_texts_are_gone_through_once(spark):
+    docs = spark.createDataFrame([(1, "abc", [("abd", 0)])], "id long, text string, p array<struct<title: string, start: int>>")
+    assert headers.verified(docs, "id", "text", "p")._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
