@@ -64,3 +64,30 @@ def test_seeds_by_name_have_no_cross_join(spark):
     assert names.similar(entities.limit(0), entities).count() == 0
     with pytest.raises(ValueError, match="above 0"):
         names.similar(entities, entities, 0)
+
+
+@pytest.mark.parametrize(("least", "few"), [(0.3, 0), (0.3, 2048), (0.05, 0), (0.05, 2048), (1.0, 2048)])
+def test_few_asked_and_many_asked_find_the_same(spark, monkeypatch, least, few):
+    monkeypatch.setattr(names, "KNOWN_BLOCK", 7)
+    rng = random.Random(11)
+    asked = [(i, x) for i, x in enumerate(people(rng, 50))] + [(90, None), (91, ""), (1, "Smith"), (1, "Smith")]
+    known = [(i, x) for i, x in enumerate(people(rng, 130))] + [(900, None), (901, ""), (1, "Smith"), (1, "Smith")]
+    got = [(r.asked.q, r.asked.name, r.known.id, r.known.name, r.similarity) for r in names.similar(spark.createDataFrame(asked, "q long, name string"), spark.createDataFrame(known, "id long, name string").repartition(3), least, hot=9, few=few).collect()]
+    want = {(q, a, i, b, similarity(a, b)) for q, a in asked for i, b in known if similarity(a, b) >= least}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_a_few_asked_names_meet_no_pairs_as_rows(spark):
+    """All names share common trigrams: none is posted, known names are not shuffled and nothing is joined."""
+    known = spark.createDataFrame([(i, f"the and of number {i}") for i in range(200)], "id long, name string")
+    found = names.similar(spark.createDataFrame([(1, "the and of number 7")], "q long, name string"), known, 0.9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan.lower()
+    assert [(r.known.id, r.similarity) for r in found.collect()] == [(i, similarity("the and of number 7", f"the and of number {i}")) for i in [7]]
+
+
+def test_asked_names_are_cut_into_blocks():
+    sets = [["x"] * n for n in (5_000, 3_000, 200, 50_000, *[1] * 600)]
+    blocks = [list(at) for at in names._asked_blocks(sets)]
+    assert [i for at in blocks for i in at] == list(range(len(sets))) and blocks[:3] == [[0, 1], [2], [3]] and max(map(len, blocks)) == names.ASKED_BLOCK
+    assert names._asked_blocks([]) == []
