@@ -81,3 +81,43 @@ def test_empty_and_too_many(spark, monkeypatch):
     assert found(spark, rows, rows, 2) == brute(rows, rows, 2, False, None, False)  # beyond the bound the join in blocks takes over
     with pytest.raises(ValueError, match="more than 2"):
         found(spark, rows, rows, 2, blocked=False)
+
+
+@pytest.mark.parametrize("even", [-1.0, 2.0])
+@pytest.mark.parametrize(("l2", "least", "other"), [(False, None, False), (False, 0.5, True), (True, None, True)])
+def test_grid_and_bounds_find_the_same(spark, monkeypatch, even, l2, least, other):
+    """Whatever a sample says of the vectors, the join by bounds and the grid of all pairs are exact."""
+    monkeypatch.setattr(N, "EVEN", even)
+    monkeypatch.setattr(N, "LEAST_ROWS", 20)
+    rng = random.Random(4)
+    known = [r for r in vectors(rng, 200) if r[1] is None or len(r[1]) != 2]
+    asked = known[::5] + [(6000, known[3][1])]
+    assert found(spark, known, asked, 4, blocked=True, l2=l2, least=least, other=other, pivots=7, block_rows=30, query_rows=9) == brute(known, asked, 4, l2, least, other)
+
+
+def test_even_vectors_go_to_a_grid(spark, monkeypatch):
+    """Vectors that lie evenly are not sent to every pivot: each query goes to as few parts as there are."""
+    monkeypatch.setattr(N, "LEAST_ROWS", 100)
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(1500)]
+    known = N._usable(spark.createDataFrame(rows, "id long, embedding array<double>"), "id", "embedding", (), False)
+    hits, counts = N._blocked(known, known, 3, False, None, True, 64, 1000, 1000)
+    assert counts == {"blocks": 4, "visits": 6000, "possible": 6000}  # 4 tasks a core make 16 cells
+    assert hits.rdd.getNumPartitions() == 16
+    got = N.top_per_group(hits, ["query_id"], [F.desc("score"), F.asc("id")], 3)
+    assert sorted((r.query_id, r.id) for r in got.where("query_id < 30").collect()) == [(q, i) for q, i, _ in brute(rows, rows[:30], 3, False, None, True)]
+
+
+def test_widths_are_tested_on_the_vectors_as_given(spark):
+    known = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>")
+    plan = N._usable(known, "id", "embedding", (), False).where("width = 2").groupBy().agg(F.count("*"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
+
+
+def test_own_rows_of_queries_asked_twice():
+    import numpy as np
+
+    v = np.eye(3)
+    best = N.Best(np.array([7, 5, 7]), v, 3, False, None, True)
+    best.add(np.array([5, 6, 7, 7]), np.eye(4)[:, :3] + 0.5)
+    assert {(a, b) for a, b, _ in zip(*best.rows())} == {(5, 6), (5, 7), (7, 5), (7, 6)}
