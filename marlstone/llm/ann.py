@@ -10,7 +10,8 @@ Plan: each vector is sent to its bucket of each table, each query to the groups
 of buckets it probes; they meet in a cogroup by (table, group, chunk). Counts a
 bucket (tables x axes numbers, so bounded) set how many chunks a group is cut
 into, hence no task gets more than about ``chunk_rows`` vectors, and queries beyond ``query_rows`` are dealt into
-parts that each meet all chunks, hence no task gets more than about that many of them. A group of
+parts that each meet all chunks, hence no task gets more than about that many of them. Where they meet, a block of
+queries at a time is compared and cut to its k best, so what a task makes has a bound too. A group of
 equal vectors is kept whole but for copies that cannot matter: of each distinct
 vector only the k + 1 smallest ids can be among any query's k nearest, so others
 are set aside before hashing (they still are queries). Ids are counted, not rows:
@@ -33,7 +34,9 @@ from pyspark.sql.window import Window as W
 
 from marlstone.llm.common import materialise
 
-TABLES, PROBES, GROUPS, CHUNK_ROWS, QUERY_ROWS, K, SLACK = 8, 16, 4, 16_384, 32_768, 20, 1e-9
+TABLES, PROBES, GROUPS, CHUNK_ROWS, QUERY_ROWS, K, SLACK = 8, 16, 4, 65_536, 32_768, 20, 1e-9
+#: Queries of a block, and products that are held at a time.
+QUERY_BLOCK, PRODUCTS = 1024, 1 << 20
 
 
 class CrossPolytope:
@@ -70,8 +73,14 @@ class CrossPolytope:
         return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
+    if vectors.select(v).dtypes[0][1] != "array<float>":  # floats are as exact as doubles and half as long; they are widened where they are used
+        v = v.cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.where(finite & F.exists("v", lambda x: x != 0))
@@ -91,58 +100,91 @@ def _score_bucket(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray
     return np.nonzero((near >= (limit - SLACK)[:, None]) & (near > -np.inf))
 
 
-def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added from the first number on, so that equal vectors get equal scores."""
-    out = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        out += q[:, j] * v[:, j]
+def _exact(q: np.ndarray, i: np.ndarray, v: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of q and j of v, added from the first number on, so that equal vectors get equal scores."""
+    out = np.zeros(len(i))
+    for x, y in zip(np.ascontiguousarray(q.T), v.T):
+        out += x[i] * y[j]
     return out
 
 
-def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    order = np.lexsort((-score, vec, query))
-    query, vec, score = query[order], vec[order], score[order]
-    once = np.r_[True, (np.diff(query) != 0) | (np.diff(vec) != 0)] if len(query) else np.zeros(0, bool)
-    query, vec, score = query[once], vec[once], score[once]
+def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best, an id once; ``distinct`` says that no id comes twice."""
+    if not distinct:
+        order = np.lexsort((-score, vec, query))
+        query, vec, score = query[order], vec[order], score[order]
+        once = np.r_[True, (np.diff(query) != 0) | (np.diff(vec) != 0)] if len(query) else np.zeros(0, bool)
+        query, vec, score = query[once], vec[once], score[once]
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
     starts = np.r_[0, np.flatnonzero(np.diff(query)) + 1] if len(query) else np.zeros(0, int)
     rank = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})[rank < k]
+    return query[rank < k], vec[rank < k], score[rank < k]
+
+
+def _meet(vectors: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): the k best of each query among the vectors of the buckets it asks for."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(vectors) and len(asked):
+        vectors = vectors.sort_values("b", kind="stable")
+        x, vid, bucket = _matrix(vectors["v"]), vectors["id"].to_numpy(), vectors["b"].to_numpy()
+        y, qid, wanted = _matrix(asked["v"]), asked["id"].to_numpy(), asked["buckets"].to_numpy()
+        columns, distinct = np.asfortranarray(x), len(np.unique(vid)) == len(vid)
+        starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+        for at in range(0, len(qid), QUERY_BLOCK):
+            q, ids, lists = y[at : at + QUERY_BLOCK], qid[at : at + QUERY_BLOCK], wanted[at : at + QUERY_BLOCK]
+            row, want = np.repeat(np.arange(len(ids)), [len(b) for b in lists]), np.concatenate(lists)
+            here = []
+            for first, end in zip(starts[:-1], starts[1:]):
+                who, step = row[want == bucket[first]], max(1, PRODUCTS // (end - first))
+                for part in (who[n : n + step] for n in range(0, len(who), step)):
+                    i, j = _score_bucket(q[part], ids[part], x[first:end], vid[first:end], k)
+                    pairs = ids[part[i]], vid[first + j], _exact(q, part[i], columns, first + j)
+                    here.append(pairs if len(i) <= 2 * k * len(part) else _best(*pairs, k, distinct))  # more are ties, or vectors of one id
+            if here:
+                found.append(_best(*(np.concatenate(c) for c in zip(*here)), k, distinct))
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
 
 
 def _sides(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: range, probes: int, groups: int, chunk_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
     """Vectors and queries by (t, g, c, p): table, group of buckets, chunk of its vectors, part of its queries."""
-    per_group = cp.axes // groups
+    per_group, kind = cp.axes // groups, index.schema["v"].dataType.simpleString()
 
     def deal(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["v"].to_numpy())
+                x = _matrix(pdf["v"])
                 for t in tables:
                     yield pd.DataFrame({"t": t, "b": cp.bucket(cp.rotate(x, t)), "id": pdf["id"], "v": pdf["v"]})
 
-    dealt = index.mapInPandas(deal, "t int, b int, id long, v array<double>")
-    sizes = {(r["t"], r["g"]): r["n"] for r in dealt.select("t", (F.col("b") / per_group).cast("int").alias("g")).groupBy("t", "g").agg(F.count("*").alias("n")).collect()}  # tables x groups rows
+    def count(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = _matrix(pdf["v"])
+                for t in tables:
+                    g, n = np.unique(cp.bucket(cp.rotate(x, t)) // per_group, return_counts=True)
+                    yield pd.DataFrame({"t": t, "g": g, "n": n})
+
+    sizes = {(r["t"], r["g"]): r["n"] for r in index.select("v").mapInPandas(count, "t int, g int, n long").groupBy("t", "g").agg(F.sum("n").alias("n")).collect()}  # tables x groups rows
     chunks = {key: max(1, -(-n // chunk_rows)) for key, n in sizes.items()}
     parts = max(1, -(-queries.count() // query_rows))  # a group's queries are at most all, so a part of them has about query_rows
 
     def ask(batches):
         for pdf in batches:
-            rows = []
+            x = _matrix(pdf["v"]) if len(pdf) else None
             for t in tables if len(pdf) else ():
-                nearest = cp.nearest(cp.rotate(np.stack(pdf["v"].to_numpy()), t), probes)
-                for i, buckets in enumerate(nearest):
+                rows = []
+                for i, buckets in enumerate(cp.nearest(cp.rotate(x, t), probes)):
                     for g in np.unique(buckets // per_group).tolist():
-                        mine = buckets[buckets // per_group == g].tolist()
-                        rows += [(t, g, c, pdf["id"].iat[i], mine, pdf["v"].iat[i]) for c in range(chunks.get((t, g), 0))]
-            yield pd.DataFrame(rows, columns=["t", "g", "c", "id", "buckets", "v"])
+                        rows.append((t, g, pdf["id"].iat[i], buckets[buckets // per_group == g].tolist(), pdf["v"].iat[i]))
+                yield pd.DataFrame(rows, columns=["t", "g", "id", "buckets", "v"])
 
     many = F.create_map(*[x for (t, g), n in chunks.items() for x in (F.lit(t * groups + g), F.lit(n))]) if chunks else F.create_map(F.lit(0), F.lit(1))
-    group = (F.col("b") / per_group).cast("int")
-    left = dealt.withColumn("g", group).withColumn("c", F.pmod(F.xxhash64("id"), many[F.col("t") * groups + F.col("g")]).cast("int"))
+    chunks_here = many[F.col("t") * groups + F.col("g")]
+    left = index.mapInPandas(deal, f"t int, b int, id long, v {kind}").withColumn("g", (F.col("b") / per_group).cast("int")).withColumn("c", F.pmod(F.xxhash64("id"), chunks_here).cast("int"))
     spread = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism, "id")  # few rows, but each is turned in every table
-    right = spread.mapInPandas(ask, "t int, g int, c int, id long, buckets array<int>, v array<double>").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    right = spread.mapInPandas(ask, f"t int, g int, id long, buckets array<int>, v {kind}").withColumn("c", F.explode(F.sequence(F.lit(0), chunks_here - 1)))
+    right = right.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     return left.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)), right
 
 
@@ -150,23 +192,7 @@ def _search(index: DataFrame, queries: DataFrame, cp: CrossPolytope, tables: ran
     """(query_id, vec_id, score) of each query's best in each group of buckets probed."""
     left, right = _sides(index, queries, cp, tables, probes, groups, chunk_rows, query_rows)
 
-    def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, vid, bucket = np.stack(vectors["v"].to_numpy()), vectors["id"].to_numpy(), vectors["b"].to_numpy()
-        y, qid = np.stack(asked["v"].to_numpy()), asked["id"].to_numpy()
-        row, want = np.repeat(np.arange(len(asked)), asked["buckets"].str.len()), np.concatenate(asked["buckets"].to_numpy())
-        found = []
-        for b in np.unique(bucket):
-            here, who = np.flatnonzero(bucket == b), row[want == b]
-            for at in range(0, len(who), 1024):  # a block of queries at a time
-                part = who[at : at + 1024]
-                i, j = _score_bucket(y[part], qid[part], x[here], vid[here], k)
-                found.append((part[i], here[j]))
-        i, j = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, int) for n in (0, 1))
-        return _best(qid[i], vid[j], _exact(y[i], x[j]), k)
-
-    return left.groupBy("t", "g", "c", "p").cogroup(right.groupBy("t", "g", "c", "p")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    return left.groupBy("t", "g", "c", "p").cogroup(right.groupBy("t", "g", "c", "p")).applyInPandas(lambda vectors, asked: _meet(vectors, asked, k), "query_id long, vec_id long, score double")
 
 
 def _top(parts: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from marlstone.llm import ann as A
@@ -45,6 +48,51 @@ def test_both_sides_of_a_group_are_bounded(spark):
     assert right.select("p").distinct().count() == 15
 
 
+def _sides_of_a_group(queries, vectors, buckets, dim):
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(vectors, dim)), r.normal(size=(queries, dim))
+    left = pd.DataFrame({"id": np.arange(vectors), "b": r.integers(0, buckets, vectors).astype(np.int32), "v": list(x)})
+    return left, pd.DataFrame({"id": 5 * np.arange(queries), "buckets": [np.arange(buckets)] * queries, "v": list(y)})
+
+
+def test_what_a_group_makes_is_bounded():
+    left, right = _sides_of_a_group(4000, 2000, 16, 32)
+    tracemalloc.start()
+    try:
+        assert len(A._meet(left, right, 20)) == 4000 * 20
+        assert tracemalloc.get_traced_memory()[1] < 150e6  # 1,280,000 pairs of vectors are 655 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_do_not_change_what_is_found(monkeypatch):
+    left, right = _sides_of_a_group(70, 150, 4, 3)
+    left.loc[100:, "id"] -= 100  # several vectors of an id
+    left.loc[:60, "v"] = left.loc[:60, "b"].map(lambda b: [float(b), 0.0, 0.0])
+    right.loc[:40, "v"] = right.loc[:40, "id"].map(lambda i: [0.0, 0.0, float(i)])  # many ties
+    want = A._meet(left, right, 5).sort_values(["query_id", "vec_id"]).values.tolist()
+    scores = {}
+    for q in right.itertuples():
+        for v in left.itertuples():
+            if v.id != q.id:
+                scores.setdefault(q.id, {}).setdefault(v.id, []).append(sum(a * b for a, b in zip(q.v, v.v)))
+    best = {q: sorted((-max(s), v) for v, s in by.items())[:5] for q, by in scores.items()}
+    assert [(q, v) for q, v, _ in want] == sorted((q, v) for q, found in best.items() for _, v in found)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(A, "PRODUCTS", 50)
+    assert A._meet(left, right, 5).sort_values(["query_id", "vec_id"]).values.tolist() == want
+
+
+def test_queries_leave_python_once_a_group_and_floats_stay_floats(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(200, 8)).astype(np.float32))]
+    usable = A._usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    left, right = A._sides(usable, usable, A.CrossPolytope(8, 2), range(2), 16, 4, 10, 500)
+    assert left.schema["v"].dataType.simpleString() == right.schema["v"].dataType.simpleString() == "array<float>"
+    plan = right._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan.split("MapInPandas")[0] and right.select("t", "g", "c").distinct().count() > 2 * 4 * 4
+
+
 def test_copies_ties_and_few_vectors(spark):
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(60)] + [(100, [0.0, 1.0, 0.0]), (101, [0.9, 0.1, 0.0])]
     got = run(spark, rows, k=5, chunk_rows=8)
