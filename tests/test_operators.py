@@ -270,6 +270,22 @@ def test_entity_links_are_made_once_and_not_shuffled(spark):
     assert "Exchange" not in top and "HashAggregate" not in top
 
 
+def test_entity_links_are_dealt_by_pairs_and_pack_in_files(spark, tmp_path):
+    ids = spark.range(0, 200_000, 100).select(F.lit(1).cast("long").alias("entity_id"), F.col("id").alias("unit_id"), F.lit(0).cast("long").alias("event_date"))
+    links.by_entity(ids, ids).write.parquet(f"{tmp_path}/links")
+    assert spark.read.parquet(f"{tmp_path}/links").count() == 2_000 * 1_999
+    assert sum(f.stat().st_size for f in tmp_path.glob("links/*.parquet")) < 0.5 * 2_000 * 1_999
+    few = spark.createDataFrame([(e, 100 * i, 0) for e in (1, 2) for i in range(60)], "entity_id long, unit_id long, event_date long")
+    new, known = few.where("entity_id = 1 AND unit_id % 300 < 200"), few
+    new = new.unionByName(spark.createDataFrame([(3, 7, 0)], new.schema))
+    found = links.by_entity(new, known, last=30, block=4, run=3, wide=2, per_task=50)
+    assert found.rdd.getNumPartitions() == 33 + 50  # 1,601 pairs of new facts and 41 * 30 * 2 with known ones at most, 50 a task
+    got = [(r.from_id, r.to_id) for r in found.collect()]
+    n, k = [100 * i for i in range(60) if i % 3 < 2], [100 * i for i in range(30)]
+    want = {(a, b) for a in n for b in n + k if a != b}
+    assert len(got) == len(set(got)) and set(got) == want | {(b, a) for a, b in want}
+
+
 def test_pairs_are_counted_in_tasks_by_the_size_of_the_input(spark):
     assert filters.tasks_for(spark, 10_000_001, 200_000) == 51 and filters.tasks_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.createDataFrame([(u, e, u % 3) for u in range(30) for e in range(u % 5)], "unit_id long, entity_id long, event_date long")
